@@ -55,17 +55,18 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame
 
 def _taken(docs: DataFrame, carry: list[str], seed: str) -> DataFrame:
     """The carried columns as _c0, _c1, ..., and source, size, source_size, target, epochs, part."""
-    sized = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col("source").alias("source"), F.col("doc_id").alias("_id"), word_count(F.col("text")).alias("size"), F.length("text").alias("_n"))
-    totals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    # a key without nulls that sorts them last: the window below and the join then share one shuffle
+    s = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
+    sized = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col("source").alias("source"), s.alias("s"), F.col("doc_id").alias("_id"), word_count(F.col("text")).alias("size"), F.length("text").alias("_n"))
+    totals = targets(sized.groupBy(F.col("s").alias("source")).agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = sized.withColumn("key", -F.log(u) / quality_weight(F.col("size"), F.coalesce("_n", F.lit(0))))
     keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
-    sums = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket"))
-    plan = sums.join(totals, sums["source"].eqNullSafe(totals["source"])).select(sums["source"].alias("_s"), F.col("bucket").alias("_b"), "before", "source_size", "target")
-    run = Window.partitionBy("source", "bucket").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = keyed.withColumn("inside", F.sum("size").over(run) - F.col("size"))
-    out = inside.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
+    sums = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("in_bucket"))
+    sums = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("s").orderBy("bucket")) - F.col("in_bucket"))
+    plan = sums.join(totals, "s").select("s", "bucket", "before", "source_size", "target")
+    run = Window.partitionBy("s", "bucket").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    out = keyed.withColumn("inside", F.sum("size").over(run) - F.col("size")).join(plan, ["s", "bucket"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("inside")))

@@ -201,7 +201,7 @@ def fingerprint_rows(docs: DataFrame, keep: list[str], text: str = "text") -> Da
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """For rows (doc_id, fp): rows (fp, component_id, n_docs) of the distinct fingerprints."""
+    """For rows (doc_id, fp): rows (fp, root, component_id, n_docs) of the distinct fingerprints; root names the class."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_docs"))
     distinct = save(distinct, "fingerprints")
     keyed = distinct.select("fp", F.explode(bucket_keys(F.col("fp"))).alias("key"))
@@ -216,7 +216,7 @@ def classes(rows: DataFrame) -> DataFrame:
     labels = connect(edges)
     rooted = distinct.join(labels.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id", "n_docs")
+    return rooted.join(least, "root").select("fp", "root", "component_id", "n_docs")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -225,5 +225,18 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.join(classes(rows), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("n_docs").alias("n_same"))
 
 
+def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates: that of the smallest doc_id, the first of equal ones.
+
+    Rows are told apart by their place in the table, so ``docs`` should be a stored table (the same splits each time it is read).
+    """
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = save(fingerprint_rows(placed, ["doc_id", "_row"], text), "simhash")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    of = rows.groupBy("fp").agg(best.alias("best")).join(classes(rows), "fp")
+    stay = of.groupBy("root").agg(F.min("best")["_row"].alias("_row")).select("_row")
+    return placed.join(stay, "_row", "left_semi").select(*docs.columns)
+
+
 def op1(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"))
