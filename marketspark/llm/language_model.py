@@ -292,12 +292,15 @@ class Block:
         return s, s[self.v]
 
 
-MESSAGE = "block long, shard int, words binary, counts binary, v binary, v_n binary, w1 binary, w3 binary, c binary"
+MESSAGE = "block long, shard int, words binary, counts binary, v_n binary, w1 binary, w3 binary, c binary"
 ANSWER = "block long, shard int, types long, counts binary, a binary, b binary"
 
 
 def questions(rows: DataFrame, n_shards: int) -> DataFrame:
-    """What blocks ask of shards, with their training counts. Words by number; trigrams by v, as the block has them."""
+    """What blocks ask of shards, with their training counts.
+
+    Words by number (the start mark is one, with count 0); v_n is the number of trigrams that have a word as last context, and trigrams follow in that order.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,18 +308,17 @@ def questions(rows: DataFrame, n_shards: int) -> DataFrame:
                 b = Block(row)
                 uni, tri = b.counts()
                 sw, st = b.shards(n_shards)
-                ow, ot = np.argsort(sw[:-1], kind="stable"), np.argsort(st, kind="stable")  # the start mark is no word
+                ow, ot = np.argsort(sw, kind="stable"), np.argsort(st, kind="stable")
+                v_n = np.bincount(b.v, minlength=len(b.words)).astype("<u4")
                 cw, ct = np.searchsorted(sw[ow], np.arange(n_shards + 1)), np.searchsorted(st[ot], np.arange(n_shards + 1))
                 out = []
                 for s in range(n_shards):
                     i, j = ow[cw[s] : cw[s + 1]], ot[ct[s] : ct[s + 1]]
                     if not len(i) and not len(j):
                         continue
-                    starts = _group_starts(b.v[j]) if len(j) else j
-                    v_n = np.diff([*starts, len(j)]) if len(j) else j
-                    out.append((row["block"], s, b.words[i].tobytes(), uni[i].astype("<u4").tobytes(), b.words[b.v[j][starts]].tobytes(), v_n.astype("<u4").tobytes(), _low(b.words[b.w1[j]]).tobytes(), _low(b.words[b.w3[j]]).tobytes(), tri[j].astype("<u4").tobytes()))
+                    out.append((row["block"], s, b.words[i].tobytes(), uni[i].astype("<u4").tobytes(), v_n[i].tobytes(), _low(b.words[b.w1[j]]).tobytes(), _low(b.words[b.w3[j]]).tobytes(), tri[j].astype("<u4").tobytes()))
                 cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 7]
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
                 names = [x.split()[0] for x in MESSAGE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
@@ -325,13 +327,13 @@ def questions(rows: DataFrame, n_shards: int) -> DataFrame:
 
 def _answers(table: pa.Table) -> pa.Table:
     """One shard: sum the counts of all blocks, build the trie, and answer each block in its own order."""
-    rows = table.select(["block", "shard", "words", "counts", "v", "v_n", "w1", "w3", "c"])
+    rows = table.select(["block", "shard", "words", "counts", "v_n", "w1", "w3", "c"])
     get = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in rows.column(c)]
-    words, counts, vs, vn = get("words", "<u8"), get("counts", "<u4"), get("v", "<u8"), get("v_n", "<u4")
+    words, counts, vn = get("words", "<u8"), get("counts", "<u4"), get("v_n", "<u4")
     w1, w3, c = (np.concatenate(get(x, "<u4")) for x in ("w1", "w3", "c"))
     n_words, n_tri = [len(x) for x in words], [int(x.sum()) for x in vn]
     words, counts = np.concatenate(words), np.concatenate(counts).astype(np.int64)
-    v = np.repeat(np.concatenate(vs), np.concatenate(vn))
+    v = np.repeat(words, np.concatenate(vn))
     # different words and trigrams, in order
     ow = np.argsort(words, kind="stable")
     sw = _group_starts(words[ow]) if len(ow) else ow
@@ -378,7 +380,7 @@ def score(docs: DataFrame, trained: F.Column) -> DataFrame:
         b = Block(row)
         sw, st = b.shards(n_shards)
         count, a, back = np.zeros(len(b.words), np.int64), np.zeros(len(b.v)), np.ones(len(b.v))
-        ow, ot = np.argsort(sw[:-1], kind="stable"), np.argsort(st, kind="stable")
+        ow, ot = np.argsort(sw, kind="stable"), np.argsort(st, kind="stable")
         cw, ct = np.searchsorted(sw[ow], np.arange(n_shards + 1)), np.searchsorted(st[ot], np.arange(n_shards + 1))
         for r in replies:
             s = r["shard"]
