@@ -8,11 +8,15 @@ shuffled but the partition totals.
 
 A null text is empty: only its end id. Documents keep the order of the table's partitions; equal rows are packed
 apart. Tokens of a text are those of the public tokenizer; it drops white space between words, so a text
-is encoded word by word, and the words a task has met are remembered (up to ``REMEMBERED``, then forgotten).
+is encoded word by word, and the words a worker has met are remembered, also for its next tasks (up to ``REMEMBERED``, then forgotten).
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,48 +30,79 @@ from .common import save
 
 WINDOW = 2048
 END_ID = 1
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+_encoders: dict[str, WordTokenizer] = {}
 
 
-class WordTokenizer:
-    """Ids of whole texts. Joining the ids of words is exact: normalisation and splitting never reach over white space."""
+#: A word of Latin-1 letters and then ASCII signs (no apostrophe): two pieces for the tokenizer's splitting rule, whatever they are.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one above 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordTokenizer(dict):
+    """Ids of whole texts; maps a word to its number in a table of ids.
+
+    Joining the ids of words is exact: normalisation and splitting never reach over white space. Plain words
+    are lower-cased, spelt in byte letters and given to the tokenizer's model as the one or two pieces that its splitting
+    rule makes of them; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.model = self.inner.model
+        self.letters = byte_letters()
+        self.end_id: int | None = None
+        self.piece = functools.lru_cache(1 << 14)(self.piece)
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint16 if self.inner.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.clear()
+        self.ids = np.zeros(1 << 20, np.uint16 if self.inner.get_vocab_size() <= 1 << 16 and (self.end_id or 0) < 1 << 16 else np.uint32)
         self.ends = [0]
 
-    def learn(self, words: list[str]) -> None:
-        for e, w in zip(self.inner.encode_batch_fast(words, add_special_tokens=False), words, strict=True):
-            end = self.ends[-1] + len(e.ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(e.ids)), self.ids.dtype)])
-            self.ids[self.ends[-1] : end] = e.ids
-            self.code[w] = len(self.ends) - 1
-            self.ends.append(end)
+    def piece(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text if text.isascii() else "".join(self.letters[b] for b in text.encode()))]
+
+    def __missing__(self, word: str | None) -> int:
+        m = PLAIN.fullmatch(word) if word is not None else None
+        if word is None:  # the end of a text
+            ids = [self.end_id]
+        elif m:
+            ids = [*(self.piece(m[1].lower()) if m[1] else ()), *(self.piece(m[2]) if m[2] else ())]
+        else:
+            ids = self.inner.encode(word, add_special_tokens=False).ids
+        end = self.ends[-1] + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), self.ids.dtype)])
+        self.ids[self.ends[-1] : end] = ids
+        self.ends.append(end)
+        self[word] = code = len(self.ends) - 2
+        return code
 
     def __call__(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
-        if len(self.code) > REMEMBERED:
+        if len(self) > REMEMBERED or self.end_id != end_id:
+            self.end_id = end_id
             self.forget()
         # only the plain blank and line feed: other white space stays inside a "word" and is left to the tokenizer
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.code) if split else set()
-        self.learn(sorted(new))
-        codes = np.fromiter((c for words in split for c in map(self.code.__getitem__, words)), np.int64, sum(map(len, split)))
+        split = [[*t.replace("\n", " ").split(" "), None] for t in texts]
+        sizes = np.array([len(w) for w in split])
+        codes = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
         ends = np.array(self.ends)
         first, length = ends[codes], ends[codes + 1] - ends[codes]
-        per_text = np.add.reduceat(length, np.concatenate([[0], np.cumsum([len(w) for w in split])[:-1]])) if split else np.zeros(0, np.int64)
+        per_text = np.add.reduceat(length, np.cumsum(sizes) - sizes) if split else np.zeros(0, np.int64)
         total = int(length.sum())
         source = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(total)
-        ids = np.insert(self.ids[source].astype(np.uint32), np.cumsum(per_text), end_id)
-        return ids, per_text + 1
+        return self.ids[source], per_text
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
@@ -75,15 +110,16 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFram
     schema = docs.select("doc_id").selectExpr("doc_id", "0 as part", "0L as place", "0L as doc_tokens", "cast(null as binary) as ids").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, place = WordTokenizer(tokenizer), 0
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = WordTokenizer(tokenizer)
+        encode, place = _encoders[tokenizer], 0
         part = TaskContext.get().partitionId()
-        small = "<u2" if encode.ids.dtype == np.uint16 and end_id < 1 << 16 else "<u4"
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 ids, n = encode([t or "" for t in batch.column("text").to_pylist()], end_id)
                 ends = np.cumsum(n)
-                data = ids.astype(small)
+                data = ids.astype(ids.dtype.newbyteorder("<"))
                 blobs = [data[a:b].tobytes() for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(place + ends - n), pa.array(n), pa.array(blobs, pa.binary())], names=[f.name for f in schema])
                 place += int(ends[-1])

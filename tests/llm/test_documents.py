@@ -173,7 +173,7 @@ def test_special_strings_and_odd_blanks():
 
     path = _tokenizer()
     whole, fast = Tokenizer.from_file(path), packing.WordTokenizer(path)
-    texts = ["a <|endoftext|> b", " <|startoftext|>x ", "ÉCOLE é é ́x", "a b　c\x1cd\te\r\nf", "it's 'll don't x'", "ΑΣ ΣΑΣ İ ß", "", " ", "\n", "🎈🎈 12345 ^^^^"]
+    texts = ["a <|endoftext|> b", " <|startoftext|>x ", "ÉCOLE é é ́x", "a b　c\x1cd\te\r\nf", "it's 'll don't x'", "ΑΣ ΣΑΣ İ ß", "", " ", "\n", "🎈🎈 12345 ^^^^", "de$$$ Élève*** ÿÿ, ÀÖ×÷Øß. A_b __ <|x|> <|endoftext|>. `` ~{} l'été don't. a-b --- ...!? ñÑ|"]
     for remembered in (texts, texts[::-1]):
         ids, n = fast(remembered, 1)
         for t, part in zip(remembered, np.split(ids, np.cumsum(n)[:-1]), strict=True):
