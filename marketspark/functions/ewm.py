@@ -67,9 +67,14 @@ def ewm_long(df: DataFrame, column: Ewm, keys: tuple[str, ...] = ("symbol",), or
         x = pdf.sort_values("_i")[column.x].to_numpy(float)
         if np.isnan(x).any():
             raise ValueError("the chunked scan needs a series without gaps")
-        m, v = scan(x, np.nan, 0.0)
         out = pdf[[*keys, "_chunk"]].iloc[:1].copy()
-        out["_n"], out["_m"], out["_v"] = len(x), m[-1], v[-1]
+        if out["_chunk"].iloc[0] == 0:  # a series' first value has full weight
+            m, v = (e[-1] for e in scan(x, np.nan, 0.0))
+        else:
+            w = (1 - a) ** np.arange(len(x) - 1, -1, -1)
+            m = np.average(x, weights=w)
+            v = np.average((x - m) ** 2, weights=w)
+        out["_n"], out["_m"], out["_v"] = len(x), m, v
         return out
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,7 +86,7 @@ def ewm_long(df: DataFrame, column: Ewm, keys: tuple[str, ...] = ("symbol",), or
             if np.isnan(m):
                 m, v = mb, vb
             else:
-                left = (1 - a) ** n  # the chunk's own first value stood at full weight, as its mean does here
+                left = (1 - a) ** n  # weight that is left for what came before the chunk
                 gap = m - mb
                 m, v = left * m + (1 - left) * mb, left * v + (1 - left) * vb + left * (1 - left) * gap * gap
         pdf["_m"], pdf["_v"] = ms, vs

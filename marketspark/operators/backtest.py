@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketspark.functions.ewm import Ewm, ewm
 from marketspark.functions.windows import clip, rolling_mean, rolling_std, series
 
 KEYS = ("symbol", "model")
-W = series(*KEYS)
 EPS = 1e-12
 
 
+def W() -> WindowSpec:
+    """A series' rows in time order."""
+    return series(*KEYS)
+
+
 def backtest(scores: DataFrame, returns: DataFrame, z_window: int = 60, raw_weight_cap: float = 1.0, target_vol_annual: float = 0.10, vol_span: int = 20, cost_bps: float = 5.0, gross_limit: float = 3.0, drop_warmup: bool = True, use_vol_targeting: bool = True) -> DataFrame:
     """Scores (symbol, model, ts, score) against next simple returns (symbol, ts, y_next).
 
@@ -26,7 +30,7 @@ def backtest(scores: DataFrame, returns: DataFrame, z_window: int = 60, raw_weig
             raise ValueError(say)
     s, lit = F.col("score"), F.lit
     df = scores.select(*KEYS, "ts", F.col("score").cast("double")).join(returns.select("symbol", "ts", F.col("y_next").cast("double")), ["symbol", "ts"])
-    df = df.withColumns({"z_score": (s - rolling_mean(s, W, z_window)) / (rolling_std(s, W, z_window) + EPS), "_r": F.lag("y_next").over(W)})
+    df = df.withColumns({"z_score": (s - rolling_mean(s, W(), z_window)) / (rolling_std(s, W(), z_window) + EPS), "_r": F.lag("y_next").over(W())})
     df = df.withColumn("weight_pre_scaling", clip(F.col("z_score"), lit(-raw_weight_cap), lit(raw_weight_cap)))
     df = ewm(df, [Ewm("asset_volatility", "_r", "std", span=vol_span, least=vol_span)], KEYS)
     vol = F.col("asset_volatility")
@@ -37,7 +41,7 @@ def backtest(scores: DataFrame, returns: DataFrame, z_window: int = 60, raw_weig
         scale = lit(1.0)
     df = df.withColumn("risk_scaling_multiplier", scale)
     df = df.withColumn("weight", clip(F.col("weight_pre_scaling") * F.col("risk_scaling_multiplier"), lit(-gross_limit), lit(gross_limit)))
-    df = df.withColumn("turnover", F.coalesce(F.abs(F.col("weight") - F.lag("weight").over(W)), lit(0.0)))
+    df = df.withColumn("turnover", F.coalesce(F.abs(F.col("weight") - F.lag("weight").over(W())), lit(0.0)))
     df = df.withColumns({"gross_return": F.col("weight") * F.col("y_next"), "transaction_cost": F.col("turnover") * (cost_bps / 10_000.0)})
     df = df.withColumn("net_return", F.col("gross_return") - F.col("transaction_cost"))
     df = df.select(*KEYS, "ts", "score", "z_score", "weight_pre_scaling", "asset_volatility", "risk_scaling_multiplier", "weight", "turnover", "gross_return", "transaction_cost", "net_return")
