@@ -24,11 +24,13 @@ EXACT = 8
 
 
 def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded, times as dates, counts as long: a form that two engines can agree on."""
+    """Doubles rounded, times as dates, counts as long: a form that two engines can agree on. A ``vwap`` stays as it is."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if f.name == "vwap":
+            pass
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = c.cast("date")
@@ -42,10 +44,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def in_cents(bars: DataFrame) -> DataFrame:
+    """Turnover is in whole cents here, so rounding it takes away the order in which floats were added."""
+    return bars.withColumn("vwap", F.round(F.col("vwap") * F.col("volume"), 2) / F.col("volume"))
+
+
 def daily(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
     ties = tuple(F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    return build_bars(t, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), "day", ties)
+    return in_cents(build_bars(t, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), "day", ties))
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
@@ -55,7 +62,7 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
 def brand_daily(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     ties = tuple(F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    return build_bars(t, F.col("p_brand"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), "day", ties)
+    return in_cents(build_bars(t, F.col("p_brand"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), "day", ties))
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -112,7 +119,7 @@ def queries() -> dict[str, Query]:
     plain = lambda *names, digits=DIGITS: lambda s, d: tidy(with_block(s, d, list(names)), digits)
     made: dict[str, Query] = {
         "bars_daily": lambda s, d: tidy(daily(s, d), EXACT),
-        "bars_hourly": lambda s, d: hourly(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH")).transform(tidy),
+        "bars_hourly": lambda s, d: hourly(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH")).withColumn("vwap", F.round("vwap", DIGITS)).transform(tidy),
         "bars_brand": lambda s, d: tidy(brand_daily(s, d), EXACT),
         "bars_clean": lambda s, d: tidy(normalize_bars(daily(s, d).withColumnRenamed("ts", "Date").withColumnRenamed("close", "CLOSE").withColumn("open", F.when(F.col("open") < 1000, F.lit("abc")).otherwise(F.col("open").cast("string"))), ("high",)), EXACT),
         "last_rows": lambda s, d: tidy(last_rows(daily(s, d), 50), EXACT),
@@ -158,7 +165,7 @@ def queries() -> dict[str, Query]:
 # SQL ------------------------------------------------------------------------------------------------------------------
 
 _PRICE = "l_extendedprice / l_quantity AS p, CAST(l_quantity AS DOUBLE) AS q, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity, l_quantity) AS o"
-_BAR = "arg_min(p, o) AS open, max(p) AS high, min(p) AS low, arg_max(p, o) AS close, sum(q) AS volume, sum(p * q) / sum(q) AS vwap, CAST(count(*) AS DOUBLE) AS trade_count"
+_BAR = "arg_min(p, o) AS open, max(p) AS high, min(p) AS low, arg_max(p, o) AS close, sum(q) AS volume, round(sum(p * q), 2) / sum(q) AS vwap, CAST(count(*) AS DOUBLE) AS trade_count"
 BARS = f"bars AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS ts, {_BAR} FROM (SELECT *, {_PRICE} FROM lineitem) GROUP BY 1, 2)"
 RET = "ret AS (SELECT *, ln(close) - lag(ln(close)) OVER w AS log_return, close - lag(close, 5) OVER w AS momentum_5d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
 Y = "y AS (SELECT *, lead(log_return) OVER w AS y, exp(lead(log_return) OVER w) - 1 AS y_next FROM ret WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
@@ -233,7 +240,7 @@ SELECT symbol, ts, round(CASE WHEN any_value(n) = 20 THEN sum(-(c / n) * ln(c /
 
 
 def oracle_sql() -> dict[str, str]:
-    bar = rnd("open", "high", "low", "close", "volume", "vwap", "trade_count", digits=EXACT)
+    bar = rnd("open", "high", "low", "close", "volume", "trade_count", digits=EXACT) + ", vwap"
     c10, s10 = whole("avg", "close", 10), whole("stddev_samp", "close", 10)
     c20, s20 = whole("avg", "close", 20), whole("stddev_samp", "close", 20)
     split = "SELECT symbol, fold, count(*) AS n, min(ts) AS first, max(ts) AS last FROM f GROUP BY 1, 2"
