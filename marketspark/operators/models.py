@@ -110,11 +110,12 @@ def forest(df: DataFrame, columns: list[str], y: str = "y", trees: int = 600, de
     return RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="all", seed=seed).fit(_assembled(df.filter("fold = 'train'"), columns, y))
 
 
-def permutation_importance(df: DataFrame, columns: list[str], predict, y: str = "y", repeats: int = 20, seed: int = 42) -> DataFrame:
+def permutation_importance(df: DataFrame, columns: list[str], predict, y: str = "y", repeats: int = 20, seed: int = 42, block: int = 200_000) -> DataFrame:
     """Mean and deviation of the fall in validation correlation when a column is permuted, most important first.
 
     ``predict`` maps a DataFrame with the columns to the same rows with ``score``. Columns are permuted one at a time: a row's value comes from the row
-    with the same rank in a random order, an equi-join on the rank.
+    with the same rank in a random order, an equi-join on the rank. Rows are dealt by hash into blocks of about ``block`` rows, anew in each
+    repeat, and permuted inside them, so no task orders all rows.
     """
     from functools import reduce
 
@@ -122,14 +123,15 @@ def permutation_importance(df: DataFrame, columns: list[str], predict, y: str =
 
     val = df.filter("fold = 'val'").select(*columns, y).dropna("any")
     val = val.withColumn("_id", F.xxhash64(*columns, y))
-    base = predict(val).agg(corr(F.col(y), F.col("score"))).first()[0] or 0.0
-    copies = val.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    w = lambda *o: Window.partitionBy("_rep").orderBy(*o)
+    base, n = predict(val).agg(corr(F.col(y), F.col("score")), F.count("*")).first()
+    base, blocks = base or 0.0, -(-n // block) or 1
+    copies = val.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_block", F.pmod(F.xxhash64("_id", "_rep", F.lit(seed)), F.lit(blocks)))
+    w = lambda *o: Window.partitionBy("_rep", "_block").orderBy(*o)
     parts = []
     for c in columns:
         natural = copies.withColumn("_k", F.row_number().over(w("_id")))
-        moved = copies.select("_rep", F.col(c).alias("_moved"), F.row_number().over(w(F.xxhash64("_id", "_rep", F.lit(c), F.lit(seed)), "_id")).alias("_k"))
-        shuffled = natural.join(moved, ["_rep", "_k"]).drop(c).withColumnRenamed("_moved", c)
+        moved = copies.select("_rep", "_block", F.col(c).alias("_moved"), F.row_number().over(w(F.xxhash64("_id", "_rep", F.lit(c), F.lit(seed)), "_id")).alias("_k"))
+        shuffled = natural.join(moved, ["_rep", "_block", "_k"]).drop(c).withColumnRenamed("_moved", c)
         parts.append(predict(shuffled).groupBy("_rep").agg(corr(F.col(y), F.col("score")).alias("s")).select(F.lit(c).alias("feature"), (F.lit(base) - F.coalesce("s", F.lit(0.0))).alias("drop")))
     falls = reduce(DataFrame.unionByName, parts)
     return falls.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std")).orderBy(F.desc("importance"), "feature")

@@ -23,15 +23,15 @@ DIGITS = 6
 EXACT = 8
 
 
-def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded, times as dates, counts as long: a form that two engines can agree on. A ``vwap`` stays as it is."""
+def tidy(df: DataFrame, digits: int = DIGITS, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded, times as dates, counts as long: a form that two engines can agree on. A ``vwap`` stays as it is, and ``exact`` columns keep more digits."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if f.name == "vwap":
             pass
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double"), EXACT if f.name in exact else digits)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = c.cast("date")
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
@@ -83,6 +83,12 @@ def frame(spark: SparkSession, d: str, vol: bool = False) -> DataFrame:
 
 
 PROFILE = ["open", "high", "low", "close", "volume"]
+SCAN = ["ema_20", "ema_50", "rsi_14", "macd", "macd_signal", "macd_histogram"]
+PRICE = ["close_minus_open", "high_minus_low", "close_over_open", "high_over_low", "simple_return", "log_return", "momentum_5d"]
+TECHNICAL = ["sma_10", "sma_20", "bb_middle_20", "bb_upper_20", "bb_lower_20", "stochastic_k_14"]
+VOLUME = ["volume_change", "volume_over_avg_10d", "obv", "close_minus_vwap", "close_over_vwap", "trade_count_change", "trade_count_over_avg_10d"]
+VOLATILITY = ["vol_10", "rolling_std_10", "rolling_mean_10", "vol_20", "rolling_std_20", "rolling_mean_20", "z_score_10"]
+AUTOCORR = ["autocorr_close_1_w20", "autocorr_close_2_w20", "autocorr_close_3_w20"]
 CORR = ["close_minus_open", "high_minus_low", "momentum_5d", "log_return", "volume"]
 
 
@@ -102,6 +108,13 @@ def ridge_result(spark: SparkSession, d: str) -> DataFrame:
     return datasets.score_predictions(models.predict_linear(r, model)).withColumns({"best_alpha": F.lit(model["best_alpha"]), "val_corr": F.lit(model["val_corr"])})
 
 
+def importance(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["close_minus_open", "momentum_5d", "z_score_10", "log_return"]
+    r = datasets.chronological(features.add_plain_features(daily(spark, d)).withColumn("y", F.lead("log_return").over(series())).filter("y is not null"))
+    model = models.ridge(r, cols)
+    return models.permutation_importance(r, cols, lambda rows: models.predict_linear(rows, model))
+
+
 def pruned(spark: SparkSession, d: str) -> DataFrame:
     names = ["sma_10", "sma_20", "rolling_std_10", "rolling_std_20", "z_score_10", "momentum_5d", "log_return"]
     r = datasets.chronological(features.add_plain_features(daily(spark, d))).select("fold", *names)
@@ -124,15 +137,16 @@ def queries() -> dict[str, Query]:
         "bars_clean": lambda s, d: tidy(normalize_bars(daily(s, d).withColumnRenamed("ts", "Date").withColumnRenamed("close", "CLOSE").withColumn("open", F.when(F.col("open") < 1000, F.lit("abc")).otherwise(F.col("open").cast("string"))), ("high",)), EXACT),
         "last_rows": lambda s, d: tidy(last_rows(daily(s, d), 50), EXACT),
         "targets": lambda s, d: tidy(returns(daily(s, d)).select("symbol", "ts", "log_return", F.col("y").alias("y_raw"), "y_next")),
-        "features_price": plain("close_minus_open", "high_minus_low", "close_over_open", "high_over_low", "simple_return", "log_return", "momentum_5d", digits=EXACT),
-        "features_technical": plain("sma_10", "sma_20", "bb_middle_20", "bb_upper_20", "bb_lower_20", "stochastic_k_14"),
-        "features_volume": plain("volume_change", "volume_over_avg_10d", "obv", "close_minus_vwap", "close_over_vwap", "trade_count_change", "trade_count_over_avg_10d"),
-        "features_volatility": plain("vol_10", "rolling_std_10", "rolling_mean_10", "vol_20", "rolling_std_20", "rolling_mean_20", "z_score_10"),
-        "features_autocorr": plain("autocorr_close_1_w20", "autocorr_close_2_w20", "autocorr_close_3_w20"),
+        "features_price": plain(*PRICE, digits=EXACT),
+        "features_technical": plain(*TECHNICAL),
+        "features_volume": plain(*VOLUME),
+        "features_volatility": plain(*VOLATILITY),
+        "features_autocorr": plain(*AUTOCORR),
         "features_hurst": plain("hurst_close_100"),
         "features_entropy": plain("entropy_close_20"),
         "targets_ewm": lambda s, d: tidy(features.add_targets(daily(s, d)).select("symbol", "ts", "log_return", "ewma_vol_20", "y_raw", "y_vol")),
-        "feature_matrix": lambda s, d: tidy(features.feature_matrix(daily(s, d))),
+        "features_scan": lambda s, d: tidy(features.add_scan_features(daily(s, d)).select("symbol", "ts", *SCAN)),
+        "feature_matrix": lambda s, d: tidy(features.feature_matrix(daily(s, d)), exact=tuple(PRICE)),
         "checks": check_report,
         "split": lambda s, d: datasets.chronological(daily(s, d)).groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last")),
         "split_panel": lambda s, d: datasets.chronological(daily(s, d), panel=True).groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last")),
@@ -144,6 +158,7 @@ def queries() -> dict[str, Query]:
         "scores_persistence": lambda s, d: tidy(scored(s, d)),
         "fold_table": lambda s, d: tidy(datasets.fold_table(scored(s, d), "rmse")),
         "ridge": lambda s, d: tidy(ridge_result(s, d)),
+        "importance": lambda s, d: tidy(importance(s, d)),
         "pruned_features": lambda s, d: tidy(pruned(s, d)),
         "price_path": lambda s, d: tidy(bt.price_path(returns(daily(s, d)).filter("log_return is not null").withColumn("predicted", F.col("log_return") * 0.01)).select("symbol", "ts", "anchored", "chained")),
         "shuffled_scores": lambda s, d: tidy(bt.shuffled(scores(returns(daily(s, d))))),
@@ -194,6 +209,23 @@ def _sum(e: str) -> str:
 
 FOLD = "CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) <= floor(count(*) OVER (PARTITION BY symbol) * 0.70::DOUBLE) THEN 'train' WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) <= floor(count(*) OVER (PARTITION BY symbol) * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS fold"
 _SM = "PARTITION BY symbol, model ORDER BY ts"
+
+
+def scan(x: str) -> str:
+    """Exponential averages of the close and the deviation of ``x`` (missing in row 1), a row at a time."""
+    ema = lambda name, span: f"{name} + (close - {name}) * 2.0::DOUBLE / {span + 1}"
+    first = lambda name, then, start: f"CASE WHEN {name} IS NULL THEN {start} ELSE {then} END"
+    up, down, macd, a = "greatest(delta, 0)", "greatest(-delta, 0)", f"({ema('e12', 12)} - ({ema('e26', 26)}))", "(2.0::DOUBLE / 21)"
+    return f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)},
+n AS MATERIALIZED (SELECT *, {x} AS x, close - lag(close) OVER w AS delta, row_number() OVER w AS i FROM y WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+e AS (SELECT symbol, i, close AS e12, close AS e26, close AS e20, close AS e50, NULL::DOUBLE AS up, NULL::DOUBLE AS down, NULL::DOUBLE AS signal, NULL::DOUBLE AS m, NULL::DOUBLE AS cv, NULL::DOUBLE AS s2 FROM n WHERE i = 1
+UNION ALL SELECT n.symbol, n.i, {ema("e12", 12)}, {ema("e26", 26)}, {ema("e20", 20)}, {ema("e50", 50)},
+{first("up", f"up + ({up} - up) / 14", up)}, {first("down", f"down + ({down} - down) / 14", down)}, CASE WHEN n.i >= 26 THEN {first("signal", f"signal + ({macd} - signal) * 0.2::DOUBLE", macd)} END,
+{first("m", f"m + {a} * (x - m)", "x")}, {first("m", f"(1 - {a}) * (cv + {a} * (x - m) * (x - m))", "0")}, {first("m", f"(1 - {a}) * (1 - {a}) * s2 + {a} * {a}", "1")}
+FROM e JOIN n ON n.symbol = e.symbol AND n.i = e.i + 1),
+v AS (SELECT *, CASE WHEN i >= 21 THEN sqrt(cv / (1 - s2)) END AS vol FROM n JOIN e USING (symbol, i))"""
+
+
 FRAME = f"""{BASE},
 sc AS (SELECT symbol, ts, 'persistence' AS model, log_return AS score, y_next FROM y UNION ALL SELECT symbol, ts, 'momentum', momentum_5d, y_next FROM y),
 z AS (SELECT *, CASE WHEN count(score) OVER w = 60 THEN (score - avg(score) OVER w) / (stddev_samp(score) OVER w + 1e-12::DOUBLE) END AS z_score FROM sc WINDOW w AS ({_SM} ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
@@ -202,6 +234,34 @@ tu AS (SELECT *, coalesce(abs(weight - lag(weight) OVER ({_SM})), 0) AS turnover
 bt AS (SELECT *, weight * y_next AS gross_return, turnover * 0.0005::DOUBLE AS transaction_cost, weight * y_next - turnover * 0.0005::DOUBLE AS net_return FROM tu WHERE z_score IS NOT NULL)"""
 
 
+SCALED = f"""{scan("lag(y_next) OVER w")}, {FRAME.removeprefix(BASE + ",").partition("wt AS")[0].strip()}
+wp AS (SELECT z.*, vol AS asset_volatility, CASE WHEN z_score IS NOT NULL THEN greatest(-1.0::DOUBLE, least(z_score, 1.0::DOUBLE)) END AS weight_pre_scaling FROM z JOIN v USING (symbol, ts)),
+ws AS (SELECT *, CASE WHEN asset_volatility IS NOT NULL THEN least(0.1::DOUBLE / sqrt(252.0::DOUBLE) / (asset_volatility + 1e-12::DOUBLE), 3.0::DOUBLE) END AS risk_scaling_multiplier FROM wp),
+wt AS (SELECT *, CASE WHEN weight_pre_scaling * risk_scaling_multiplier IS NOT NULL THEN greatest(-3.0::DOUBLE, least(weight_pre_scaling * risk_scaling_multiplier, 3.0::DOUBLE)) END AS weight FROM ws),
+tu AS (SELECT *, coalesce(abs(weight - lag(weight) OVER ({_SM})), 0) AS turnover FROM wt),
+bt AS (SELECT *, weight * y_next AS gross_return, turnover * 0.0005::DOUBLE AS transaction_cost, weight * y_next - turnover * 0.0005::DOUBLE AS net_return FROM tu WHERE z_score IS NOT NULL AND weight IS NOT NULL)"""
+
+
+def _checks() -> str:
+    names, base = ("close_minus_open", "momentum_5d", "planted"), ("open", "close")
+    row = lambda check, subject, n, src: f"SELECT '{check}' AS \"check\", '{subject}' AS subject, CAST({n} AS BIGINT) AS violations, {n} = 0 AS passed FROM {src}"
+    one = "(SELECT 1)"
+    keys = lambda a, b: f"(SELECT count(*) FROM {a} ANTI JOIN {b} USING (symbol, ts))"
+    twice = lambda t: f"(SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY symbol, ts HAVING count(*) > 1))"
+    parts = [row("required_columns", b, "0", one) for b in base] + [row("duplicate_columns", "all", "0", one)]
+    parts += [row("unique_keys", "symbol, ts", twice(t), one) for t in ("bars", "x")]
+    parts += [row("complete", f, f"count(*) FILTER ({f} IS NULL)", "x") for f in names]
+    parts += [row("same_keys", "symbol, ts", f"({keys('x', 'bars')} + {keys('bars', 'x')})", one)]
+    hits = lambda f, b, k: f"count(*) FILTER (abs({f} - {b}{k}) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs({b}{k}))"
+    parts += [f"{row('future_fields', f'{f} = {b} + {k}', hits(f, b, k), 'xb')} HAVING {hits(f, b, k)} > 0 AND {hits(f, b, k)} >= floor(0.95::DOUBLE * count(*))" for b in base for f in names for k in (1, 2, 3)]
+    parts += [row("lookahead", f, f"CAST(count(*) > 0 AND count(*) FILTER ({f} IS NOT DISTINCT FROM n_{f}) = count(*) AS BIGINT)", "xn") for f in names]
+    leads = ", ".join(f"lead({b}, {k}) OVER w AS {b}{k}" for b in base for k in (1, 2, 3))
+    return f"""{BASE}, x AS (SELECT * FROM (SELECT symbol, ts, close - open AS close_minus_open, momentum_5d, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS planted FROM y) WHERE close_minus_open IS NOT NULL AND momentum_5d IS NOT NULL AND planted IS NOT NULL),
+xb AS (SELECT * FROM x JOIN (SELECT symbol, ts, {leads} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) USING (symbol, ts)),
+xn AS (SELECT *, {", ".join(f"lead({f}) OVER w AS n_{f}" for f in names)} FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts) QUALIFY lead(1) OVER w = 1)
+{" UNION ALL ".join(parts)}"""
+
+
 def grown(keys: str, src: str = "bt") -> str:
     w = f"PARTITION BY {keys} ORDER BY ts ROWS UNBOUNDED PRECEDING"
     return f"wl AS (SELECT *, product(1 + net_return) OVER ({w}) AS wealth FROM {src} WHERE net_return IS NOT NULL), dd AS (SELECT *, wealth / max(wealth) OVER ({w}) - 1 AS drawdown, max(wealth) OVER ({w}) AS peak_w FROM wl)"
@@ -256,7 +316,13 @@ def oracle_sql() -> dict[str, str]:
 cc AS (SELECT symbol, model, quantile_cont(v, 1.0::DOUBLE / 3) AS lo, quantile_cont(v, 2.0::DOUBLE / 3) AS hi FROM vv GROUP BY 1, 2),
 rg AS (SELECT vv.*, CASE WHEN v <= lo THEN 'low' WHEN v <= hi THEN 'mid' WHEN v > hi THEN 'high' END AS Regime FROM vv JOIN cc USING (symbol, model)), rr AS (SELECT * FROM rg WHERE Regime IS NOT NULL), {grown('symbol, model, Regime', 'rr')}
 SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown)')}, count(net_return) AS Count FROM dd GROUP BY 1, 2, 3"""
-    return {
+    vol = "vol"
+    out = {
+        "targets_ewm": f"{scan('log_return')} SELECT symbol, ts, {rnd('log_return', ewma_vol_20=vol, y_raw='y', y_vol='y / nullif(vol, 0)')} FROM v",
+        "features_scan": f"{scan('log_return')} SELECT symbol, ts, {rnd(ema_20='CASE WHEN i >= 20 THEN e20 END', ema_50='CASE WHEN i >= 50 THEN e50 END', rsi_14='CASE WHEN i >= 15 THEN 100 - 100 / (1 + up / nullif(down, 0)) END', macd='CASE WHEN i >= 26 THEN e12 - e26 END', macd_signal='CASE WHEN i >= 34 THEN signal END', macd_histogram='CASE WHEN i >= 34 THEN e12 - e26 - signal END')} FROM v",
+        "backtest_vol_target": f"{SCALED} SELECT symbol, model, ts, {rnd('score', 'z_score', 'weight_pre_scaling', 'asset_volatility', 'risk_scaling_multiplier', 'weight', 'turnover', 'gross_return', 'transaction_cost', 'net_return')} FROM bt",
+        "buy_and_hold": f"{FRAME}, bh AS (SELECT symbol, 'buy_and_hold' AS model, ts, y_next AS net_return FROM (SELECT DISTINCT symbol, ts FROM bt) JOIN y USING (symbol, ts)), {grown('symbol, model', 'bh')} SELECT symbol, model, {stats}, 0.0::DOUBLE AS AvgTurnover, 0.0::DOUBLE AS AnnTurnover, 0.0::DOUBLE AS TotalCost FROM dd GROUP BY 1, 2",
+        "checks": _checks(),
         "bars_daily": f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars",
         "bars_hourly": f"SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H') AS ts, {rnd(open='arg_min(value, row(ts, event_id))', high='max(value)', low='min(value)', close='arg_max(value, row(ts, event_id))', volume='count(*)', vwap='avg(value)', trade_count='count(*)')} FROM events GROUP BY 1, 2",
         "bars_brand": f"WITH b AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS ts, {_BAR} FROM (SELECT *, {_PRICE} FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2) SELECT symbol, ts, {bar} FROM b",
@@ -290,3 +356,9 @@ SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown
         "yearly": f"{FRAME}, yr AS (SELECT *, CAST(year(ts) AS BIGINT) AS Year FROM bt), {grown('symbol, model, Year', 'yr')} SELECT symbol, model, Year, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown)')} FROM dd GROUP BY 1, 2, 3",
         "regimes": reg,
     }
+    blocks = ["features_price", "features_technical", "features_scan", "features_volume", "features_volatility", "features_autocorr", "features_hurst", "features_entropy"]
+    names = [*PRICE, *TECHNICAL, *SCAN, *VOLUME, *VOLATILITY, "entropy_close_20", "hurst_close_100", *AUTOCORR]
+    joined = " JOIN ".join(f"({out[b]}) AS {b}" + (" USING (symbol, ts)" if i else "") for i, b in enumerate(blocks))
+    before = ", ".join(f"lag({c}) OVER (PARTITION BY symbol ORDER BY ts) AS {c}" for c in names)
+    out["feature_matrix"] = f"SELECT * FROM (SELECT symbol, ts, {before} FROM {joined}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names)}"
+    return out
