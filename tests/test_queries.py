@@ -32,7 +32,12 @@ def plain(v):
 
 def ordered(names, rows):
     at = sorted(range(len(names)), key=lambda i: names[i])
-    return [names[i] for i in at], sorted((tuple(plain(r[i]) for i in at) for r in rows), key=repr)
+    return [names[i] for i in at], sorted((tuple(plain(r[i]) for i in at) for r in rows), key=lambda r: (repr([v for v in r if not isinstance(v, float)]), repr(r)))
+
+
+def same(a, b):
+    """Equal; wealth beyond a double's 15 digits may differ in the last ones. Below a million this allows nothing."""
+    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-12))
 
 
 @pytest.mark.parametrize("name", sorted(market.oracle_sql()))
@@ -42,7 +47,7 @@ def test_query_has_its_twins_rows(spark, duck, name):
     want_names, want = ordered([c[0] for c in cursor.description], cursor.fetchall())
     got_names, rows = ordered(got.columns, [tuple(r) for r in got.collect()])
     assert got_names == want_names and len(rows) == len(want) > 0
-    assert rows == want
+    assert [(g, w) for g, w in zip(rows, want, strict=True) if not all(map(same, g, w))] == []
 
 
 @pytest.mark.parametrize("name", sorted(market.queries().keys() - market.oracle_sql().keys()))
