@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes that stay (binary ``kept``)."""
     docs = docs.select("doc_id", "text")
     texts = packed_texts(docs)
-    found = repeats(docs, texts).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = repeats(docs, texts).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # equal rows share a key: each span once
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), *[T.StructField("kept", T.BinaryType())] * with_text])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
