@@ -110,6 +110,11 @@ def forest(df: DataFrame, columns: list[str], y: str = "y", trees: int = 600, de
     return RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="all", seed=seed).fit(_assembled(df.filter("fold = 'train'"), columns, y))
 
 
+def predict_trees(df: DataFrame, model, columns: list[str], name: str = "boosted", y: str = "y") -> DataFrame:
+    """Rows with all inputs, and their ``score`` by a fitted ensemble of trees."""
+    return model.transform(_assembled(df, columns, y)).withColumnRenamed("prediction", "score").withColumn("model", F.lit(name)).drop("_x")
+
+
 def permutation_importance(df: DataFrame, columns: list[str], predict, y: str = "y", repeats: int = 20, seed: int = 42, block: int = 200_000) -> DataFrame:
     """Mean and deviation of the fall in validation correlation when a column is permuted, most important first.
 

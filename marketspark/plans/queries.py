@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketspark.functions.ewm import Ewm, ewm_long
 from marketspark.functions.windows import series
 from marketspark.operators import backtest as bt
 from marketspark.operators import checks, datasets, features, metrics, models
-from marketspark.sources.bars import build_bars, last_rows, normalize_bars
+from marketspark.sources.bars import align, build_bars, last_rows, normalize_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -108,15 +109,49 @@ def ridge_result(spark: SparkSession, d: str) -> DataFrame:
     return datasets.score_predictions(models.predict_linear(r, model)).withColumns({"best_alpha": F.lit(model["best_alpha"]), "val_corr": F.lit(model["val_corr"])})
 
 
+INPUTS = ["close_minus_open", "momentum_5d", "z_score_10", "log_return"]
+
+
+def with_folds(spark: SparkSession, d: str) -> DataFrame:
+    r = features.add_plain_features(daily(spark, d)).withColumn("y", F.lead("log_return").over(series())).filter("y is not null")
+    return datasets.chronological(r).select("symbol", "ts", "fold", "y", *INPUTS)
+
+
+def boosted_result(spark: SparkSession, d: str, rounds: int = 20) -> DataFrame:
+    r = with_folds(spark, d)
+    model, best = models.boosted(r, INPUTS, rounds=rounds)
+    return datasets.score_predictions(models.predict_trees(r, model, INPUTS)).withColumn("best_rounds", F.lit(best))
+
+
+def forest_importance(spark: SparkSession, d: str, trees: int = 20, depth: int = 8, repeats: int = 5) -> DataFrame:
+    r = with_folds(spark, d)
+    model = models.forest(r, INPUTS, trees=trees, depth=depth)
+    return models.permutation_importance(r, INPUTS, lambda rows: models.predict_trees(rows, model, INPUTS, "forest"), repeats=repeats)
+
+
+def scaled_back(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["close", "volume"]
+    r = datasets.chronological(daily(spark, d))
+    scaler = datasets.fit_scaler(r, cols)
+    return datasets.scale(datasets.scale(r, scaler, cols), scaler, cols, inverse=True).select("symbol", "ts", "fold", *cols)
+
+
+def aligned(spark: SparkSession, d: str) -> DataFrame:
+    r = returns(daily(spark, d))
+    return align(with_block(spark, d, ["sma_10", "vol_10"]), r.select("symbol", "ts", "y"))
+
+
 def importance(spark: SparkSession, d: str) -> DataFrame:
-    cols = ["close_minus_open", "momentum_5d", "z_score_10", "log_return"]
-    r = datasets.chronological(features.add_plain_features(daily(spark, d)).withColumn("y", F.lead("log_return").over(series())).filter("y is not null"))
-    model = models.ridge(r, cols)
-    return models.permutation_importance(r, cols, lambda rows: models.predict_linear(rows, model))
+    r = with_folds(spark, d)
+    model = models.ridge(r, INPUTS)
+    return models.permutation_importance(r, INPUTS, lambda rows: models.predict_linear(rows, model))
+
+
+RANKED = ["sma_10", "sma_20", "rolling_std_10", "rolling_std_20", "z_score_10", "momentum_5d", "log_return"]
 
 
 def pruned(spark: SparkSession, d: str) -> DataFrame:
-    names = ["sma_10", "sma_20", "rolling_std_10", "rolling_std_20", "z_score_10", "momentum_5d", "log_return"]
+    names = RANKED
     r = datasets.chronological(features.add_plain_features(daily(spark, d))).select("fold", *names)
     return datasets.correlations(r.filter("fold = 'train'"), names).filter(F.col("f1").isin(models.prune_redundant(r, names)))
 
@@ -160,6 +195,13 @@ def queries() -> dict[str, Query]:
         "ridge": lambda s, d: tidy(ridge_result(s, d)),
         "importance": lambda s, d: tidy(importance(s, d)),
         "pruned_features": lambda s, d: tidy(pruned(s, d)),
+        "boosted": lambda s, d: tidy(boosted_result(s, d)),
+        "forest_importance": lambda s, d: tidy(forest_importance(s, d)),
+        "scaled_back": lambda s, d: tidy(scaled_back(s, d), EXACT),
+        "aligned": lambda s, d: tidy(aligned(s, d)),
+        "ewm_chunked": lambda s, d: tidy(ewm_long(daily(s, d).select("symbol", "ts", "close"), Ewm("ema_20", "close", span=20, least=20), chunk=500).select("symbol", "ts", "ema_20")),
+        "obv_of_tables": lambda s, d: (lambda b: tidy(features.on_balance_volume(b.select("symbol", "ts", "close"), b.select("symbol", "ts", "volume"))))(daily(s, d)),
+        "periods": lambda s, d: tidy(metrics.infer_periods(frame(s, d))),
         "price_path": lambda s, d: tidy(bt.price_path(returns(daily(s, d)).filter("log_return is not null").withColumn("predicted", F.col("log_return") * 0.01)).select("symbol", "ts", "anchored", "chained")),
         "shuffled_scores": lambda s, d: tidy(bt.shuffled(scores(returns(daily(s, d))))),
         "backtest": lambda s, d: tidy(frame(s, d).select("symbol", "model", "ts", "score", "z_score", "weight", "turnover", "gross_return", "transaction_cost", "net_return")),
@@ -299,6 +341,19 @@ c AS (SELECT symbol, ts, any_value(n) AS n, bin, count(*)::DOUBLE AS c FROM b GR
 SELECT symbol, ts, round(CASE WHEN any_value(n) = 20 THEN sum(-(c / n) * ln(c / n)) END, {DIGITS}) AS entropy_close_20 FROM c GROUP BY symbol, ts"""
 
 
+def _pruned() -> str:
+    """A step for each name in order: kept if its correlation with every kept one before is small."""
+    made = {"sma_10": whole("avg", "close", 10), "sma_20": whole("avg", "close", 20), "rolling_std_10": whole("stddev_samp", "close", 10), "rolling_std_20": whole("stddev_samp", "close", 20)}
+    made["z_score_10"] = f"(close - {made['sma_10']}) / nullif({made['rolling_std_10']}, 0)"
+    cols = ", ".join(f"{made.get(n, n)} AS {n}" for n in RANKED)
+    pair = lambda i, j: f"c_{min(i, j)}_{max(i, j)}"
+    n = range(len(RANKED))
+    sums = ", ".join(f"corr({RANKED[i]}, {RANKED[j]}) AS {pair(i, j)}" for i in n for j in n if i <= j)
+    steps = ", ".join(f"k{i} AS (SELECT *, {' AND '.join(['TRUE', *(f'(NOT kept_{j} OR coalesce(abs({pair(i, j)}) < 0.95::DOUBLE, FALSE))' for j in range(i))])} AS kept_{i} FROM {f'k{i - 1}' if i else 'c'})" for i in n)
+    rows = " UNION ALL ".join(f"SELECT '{RANKED[i]}' AS f1, '{RANKED[j]}' AS f2, round({pair(i, j)}, {DIGITS}) AS corr FROM k{n[-1]} WHERE kept_{i}" for i in n for j in n)
+    return f"{BASE}, f AS (SELECT {cols}, {FOLD} FROM y), c AS (SELECT {sums} FROM f WHERE fold = 'train'), {steps} {rows}"
+
+
 def oracle_sql() -> dict[str, str]:
     bar = rnd("open", "high", "low", "close", "volume", "trade_count", digits=EXACT) + ", vwap"
     c10, s10 = whole("avg", "close", 10), whole("stddev_samp", "close", 10)
@@ -323,6 +378,12 @@ SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown
         "backtest_vol_target": f"{SCALED} SELECT symbol, model, ts, {rnd('score', 'z_score', 'weight_pre_scaling', 'asset_volatility', 'risk_scaling_multiplier', 'weight', 'turnover', 'gross_return', 'transaction_cost', 'net_return')} FROM bt",
         "buy_and_hold": f"{FRAME}, bh AS (SELECT symbol, 'buy_and_hold' AS model, ts, y_next AS net_return FROM (SELECT DISTINCT symbol, ts FROM bt) JOIN y USING (symbol, ts)), {grown('symbol, model', 'bh')} SELECT symbol, model, {stats}, 0.0::DOUBLE AS AvgTurnover, 0.0::DOUBLE AS AnnTurnover, 0.0::DOUBLE AS TotalCost FROM dd GROUP BY 1, 2",
         "checks": _checks(),
+        "pruned_features": _pruned(),
+        "scaled_back": f"WITH {BARS} SELECT symbol, ts, {FOLD}, {rnd('close', 'volume', digits=EXACT)} FROM bars",
+        "aligned": f"{BASE}, x AS (SELECT symbol, ts, {c10} AS sma_10, {whole('stddev_samp', 'log_return', 10)} AS vol_10, y FROM y) SELECT symbol, ts, {rnd('sma_10', 'vol_10', 'y')} FROM x WHERE sma_10 IS NOT NULL AND vol_10 IS NOT NULL AND y IS NOT NULL",
+        "ewm_chunked": f"{scan('log_return')} SELECT symbol, ts, {rnd(ema_20='CASE WHEN i >= 20 THEN e20 END')} FROM v",
+        "obv_of_tables": f"{BASE}, s AS (SELECT *, CAST(sign(coalesce(close - {lagged('close')}, 0)) AS DOUBLE) * volume AS sv FROM y) SELECT symbol, ts, {rnd(obv=_sum('sv'))} FROM s",
+        "periods": f"{FRAME}, g AS (SELECT symbol, model, date_diff('day', lag(ts) OVER ({_SM}), ts) AS g FROM bt), m AS (SELECT symbol, model, quantile_cont(g, 0.5) AS g, count(g) AS n FROM g GROUP BY 1, 2) SELECT symbol, model, CAST(CASE WHEN n < 2 OR g <= 4 THEN 252 WHEN g <= 10 THEN 52 WHEN g <= 45 THEN 12 WHEN g <= 135 THEN 4 ELSE 1 END AS BIGINT) AS periods_per_year FROM m",
         "bars_daily": f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars",
         "bars_hourly": f"SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H') AS ts, {rnd(open='arg_min(value, row(ts, event_id))', high='max(value)', low='min(value)', close='arg_max(value, row(ts, event_id))', volume='count(*)', vwap='avg(value)', trade_count='count(*)')} FROM events GROUP BY 1, 2",
         "bars_brand": f"WITH b AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS ts, {_BAR} FROM (SELECT *, {_PRICE} FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2) SELECT symbol, ts, {bar} FROM b",

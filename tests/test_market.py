@@ -155,3 +155,13 @@ def test_split_and_sequences(bars):
     n = {(r.symbol, r.fold): r["count"] for r in f.groupBy("symbol", "fold").count().collect()}
     assert n["a", "train"] == 112 and n["a", "val"] == 24 and n["a", "test"] == 24
     assert datasets.sequences(f, ["close"], "close", 10).filter("symbol = 'a' and fold = 'val'").count() == 14
+
+
+def test_results_are_stored(spark, tmp_path):
+    from marketspark.sources.results import read_features, read_results, write_features, write_results
+
+    rows = spark.createDataFrame([("A", "ridge", 1.0), ("A", "boosted", 2.0)], "symbol string, model string, score double")
+    write_results(rows, f"{tmp_path}/scores")
+    assert [tuple(r) for r in read_results(spark, f"{tmp_path}/scores", ["ridge"]).select("symbol", "model", "score").collect()] == [("A", "ridge", 1.0)]
+    write_features(spark, ["b", "a", "c"], f"{tmp_path}/features")
+    assert read_features(spark, f"{tmp_path}/features") == ["b", "a", "c"]
