@@ -13,7 +13,8 @@ mapped from a temporary file while a shard answers; a lookup is a successor sear
 Documents are read once into blocks of about ``BLOCK_TOKENS`` tokens. A block asks each shard once for every different
 word and trigram it has, with its training counts besides, so counting and asking share one shuffle. Answers go back to the
 blocks by a second one. Both carry packed arrays. Frequent words are one entry a block, so they don't gather in one
-task; the number of shards follows the number of blocks. Words are known by 64-bit hashes.
+task; the number of shards follows the number of blocks, and a block sends to the shards of its own words only. All trigrams around one
+context word are in one shard: of a very frequent word, those that differ must fit a task. Words are known by 64-bit hashes.
 
 A null text is empty: it has only its end. Without training rows N = V = 0 and every token has probability 1 by convention.
 Equal rows get equal results.
@@ -310,12 +311,11 @@ def questions(rows: DataFrame, n_shards: int) -> DataFrame:
                 sw, st = b.shards(n_shards)
                 ow, ot = np.argsort(sw, kind="stable"), np.argsort(st, kind="stable")
                 v_n = np.bincount(b.v, minlength=len(b.words)).astype("<u4")
-                cw, ct = np.searchsorted(sw[ow], np.arange(n_shards + 1)), np.searchsorted(st[ot], np.arange(n_shards + 1))
+                asked = np.unique(sw)  # those of the trigrams are among them
+                cw, ct = (np.searchsorted(x, np.append(asked, n_shards)) for x in (sw[ow], st[ot]))
                 out = []
-                for s in range(n_shards):
-                    i, j = ow[cw[s] : cw[s + 1]], ot[ct[s] : ct[s + 1]]
-                    if not len(i) and not len(j):
-                        continue
+                for k, s in enumerate(asked.tolist()):
+                    i, j = ow[cw[k] : cw[k + 1]], ot[ct[k] : ct[k + 1]]
                     out.append((row["block"], s, b.words[i].tobytes(), uni[i].astype("<u4").tobytes(), v_n[i].tobytes(), _low(b.words[b.w1[j]]).tobytes(), _low(b.words[b.w3[j]]).tobytes(), tri[j].astype("<u4").tobytes()))
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
@@ -381,11 +381,10 @@ def score(docs: DataFrame, trained: F.Column) -> DataFrame:
         sw, st = b.shards(n_shards)
         count, a, back = np.zeros(len(b.words), np.int64), np.zeros(len(b.v)), np.ones(len(b.v))
         ow, ot = np.argsort(sw, kind="stable"), np.argsort(st, kind="stable")
-        cw, ct = np.searchsorted(sw[ow], np.arange(n_shards + 1)), np.searchsorted(st[ot], np.arange(n_shards + 1))
         for r in replies:
-            s = r["shard"]
-            count[ow[cw[s] : cw[s + 1]]] = np.frombuffer(r["counts"], "<i8")
-            i = ot[ct[s] : ct[s + 1]]
+            s = [r["shard"], r["shard"] + 1]
+            count[ow[slice(*np.searchsorted(sw, s, sorter=ow))]] = np.frombuffer(r["counts"], "<i8")
+            i = ot[slice(*np.searchsorted(st, s, sorter=ot))]
             a[i], back[i] = DECODE[np.frombuffer(r["a"], np.uint8)], DECODE[np.frombuffer(r["b"], np.uint8)]
         if n_train:
             p1 = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * n_types / (n_types + 1)) / n_train
