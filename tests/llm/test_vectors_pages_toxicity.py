@@ -60,6 +60,23 @@ def test_text_without_article_comes_from_the_varying_slot(spark):
     assert got[3] == " ".join(["story 3"] * 5) + " more 3"
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://{host}.example/{i}", html) for i, (host, html) in enumerate(pages)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_text_keeps_sibling_sections_and_copies(spark):
+    page = "<body><div class='top'>Same words here</div><div class='lead'><p>{a}</p></div><div class='body'><p>{b}</p><p>last {b}</p></div><div class='end'>Same end</div><div class='ad'>{c}</div></body>"
+    want = [f"lead {i} body {i} of the text last body {i} of the text" for i in range(6)]
+    varied = [("v", page.format(a=f"lead {i}", b=f"body {i} of the text", c=i)) for i in range(6)]
+    copies = [("v", page.format(a="lead 0", b="body 0 of the text", c=f"other {i}")) for i in range(6)]
+    assert texts_of(spark, varied + copies) == want + want[:1] * 6
+    plain = "<body><div class='story'><p>copied words</p></div></body>"
+    other = "<body><div class='story'><p>other words</p></div></body>"
+    assert texts_of(spark, [("w", plain), ("w", plain), ("w", other)]) == ["copied words", "copied words", "other words"]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(8)
