@@ -77,6 +77,17 @@ def test_text_keeps_sibling_sections_and_copies(spark):
     assert texts_of(spark, [("w", plain), ("w", plain), ("w", other)]) == ["copied words", "copied words", "other words"]
 
 
+def test_template_decides_inside_an_article(spark):
+    page = "<body><article><h1>Head {n}</h1><p>Words {n}</p><p>Always said</p><div class='x1'>Read our <b>guide</b></div></article></body>"
+    assert texts_of(spark, [("a", page.format(n=n)) for n in range(6)]) == [f"Head {n} Words {n} Always said" for n in range(6)]
+    named = "<body><nav>Menu</nav><article><h1>Head {n}</h1><div class='search'><p>Body {n} about finding things</p></div><div class='comments'><p>Reader {n} says a lot more than the text itself does</p></div></article></body>"
+    assert texts_of(spark, [("b", named.format(n=n)) for n in range(6)]) == [f"Head {n} Body {n} about finding things" for n in range(6)]
+    small = "<body><article><p>Long text of page {n} for readers</p><div class='share'>Send {n}</div></article></body>"
+    assert texts_of(spark, [("c", small.format(n=n)) for n in range(6)]) == [f"Long text of page {n} for readers" for n in range(6)]
+    around = "<body><div class='with-sidebar'><article><p>Page {n}</p></article></div></body>"
+    assert texts_of(spark, [("d", around.format(n=n)) for n in range(6)]) == [f"Page {n}" for n in range(6)]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(8)
