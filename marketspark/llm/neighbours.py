@@ -8,7 +8,8 @@ of its nearest list. Scores are cosines of the original vectors in double precis
 
 A list of more than ``PART`` vectors is dealt out in parts, and so are the queries of a list, so no group is unbounded.
 Vectors that are null, empty, zero, of another dimension than the sample's usual one, or hold null or non-finite components take no
-part, nor do rows without vec_id. Equal rows count once; the query's own id is not among its neighbours.
+part, nor do rows without vec_id. Equal rows count once, before the nearest are chosen; an id with several vectors counts once, with its best score. The query's own id
+is not among its neighbours.
 """
 
 from __future__ import annotations
@@ -109,6 +110,52 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of id and vector in order of ids, equal ones once."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    if (ids[1:] != ids[:-1]).all():
+        return ids, x
+    row = np.ascontiguousarray(np.column_stack([ids.astype(np.int64).view(np.float64), x + 0.0]))
+    keep = np.sort(np.unique(row.view(np.dtype((np.void, row.shape[1] * 8))).ravel(), return_index=True)[1])
+    return ids[keep], x[keep]
+
+
+def best(query: np.ndarray, found: np.ndarray, score: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``top`` best of the rows of each query, a found id once with its best score."""
+    order = np.lexsort((-score, found, query))
+    query, found, score = query[order], found[order], score[order]
+    new = np.concatenate([[True], (np.diff(query) != 0) | (np.diff(found) != 0)])[: len(query)]
+    query, found, score = query[new], found[new], score[new]
+    order = np.lexsort((found, -score, query))
+    query, found, score = query[order], found[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < top
+    return query[keep], found[keep], score[keep]
+
+
+def tops(asked: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query id, id and score of the ``top`` nearest other ids of each query vector; an id may have several rows."""
+    ids, x = distinct_rows(ids, x)
+    unit = _unit(x)
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])[: len(ids)])
+    rows_of = np.diff(np.append(first, len(ids)))
+    out = []
+    for at in range(0, len(q) if len(ids) else 0, 256):
+        block, names = q[at : at + 256], asked[at : at + 256]
+        sims = _unit(block) @ unit.T
+        if len(first) < len(ids):
+            sims = np.maximum.reduceat(sims, first, axis=1)
+        sims[names[:, None] == ids[first][None]] = -3
+        least = np.partition(sims, max(0, len(first) - top), axis=1)[:, max(0, len(first) - top)] - 1e-9
+        i, g = np.nonzero((sims >= least[:, None]) & (sims > -2))
+        n = rows_of[g]
+        j = np.repeat(first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        i = np.repeat(i, n)
+        row, found, score = best(i, ids[j], exact(block[i], x[j]), top)
+        out.append((names[row], found, score))
+    return tuple(np.concatenate([o[m] for o in out]) if out else np.zeros(0, t) for m, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+
+
 def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, ratio: float = RATIO) -> DataFrame:
     """query_id, rank, vec_id, score of the ``top`` nearest rows found for every row that ``is_query`` marks."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -150,29 +197,13 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, ratio: float =
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ask = table.column("ask").to_numpy()
+        ask = table.column("ask").to_numpy().astype(bool)
         ids = table.column("id").to_numpy()
         x = _rows(table.column("v").combine_chunks(), dim)
-        q, c = np.flatnonzero(ask), np.flatnonzero(~ask)
-        out = []
-        unit = _unit(x[c])
-        for at in range(0, len(q), 256):
-            block = q[at : at + 256]
-            sims = _unit(x[block]) @ unit.T
-            sims[ids[block][:, None] == ids[c][None]] = -3
-            least = np.partition(sims, max(0, len(c) - top), axis=1)[:, max(0, len(c) - top)] - 1e-9
-            i, j = np.nonzero((sims >= least[:, None]) & (sims > -2))
-            score = exact(x[block[i]], x[c[j]])
-            order = np.lexsort((ids[c[j]], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            new = np.concatenate([[True], (np.diff(i) != 0) | (np.diff(ids[c[j]]) != 0) | (np.diff(score) != 0)])[: len(i)]
-            i, j, score = i[new], j[new], score[new]
-            keep = np.arange(len(i)) - np.searchsorted(i, i) < top
-            out.append((ids[block[i[keep]]], ids[c[j[keep]]], score[keep]))
-        cols = [np.concatenate([o[m] for o in out]) if out else np.zeros(0, t) for m, t in ((0, np.int64), (1, np.int64), (2, np.float64))]
-        return pa.table(cols, names=["query_id", "vec_id", "score"])
-
-    found = dealt.groupBy("list", "p", "a").applyInArrow(compare, "query_id long, vec_id long, score double").distinct()
+        cols = tops(*distinct_rows(ids[ask], x[ask]), ids[~ask], x[~ask], top)
+        return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+
+    found = dealt.groupBy("list", "p", "a").applyInArrow(compare, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -36,6 +36,24 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.op5(df.limit(0)).count() == 0
 
 
+def found(spark, rows):
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for r in neighbours.op5(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_repeated_rows_take_no_ranks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(100, 8)).astype(np.float32)
+    x[51:57] = x[50] + np.float32(0.01) * np.arange(1, 7, dtype=np.float32)[:, None] * rng.normal(size=(6, 8)).astype(np.float32)
+    want = brute(list(range(100)), x)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert found(spark, rows + rows[want[50][0] : want[50][0] + 1] * 9 + rows[50:51] * 9) == want
+    assert len(set(found(spark, rows + [(want[50][0], (x[50] + np.float32(1e-4) * k).tolist()) for k in range(1, 9)])[50])) == 5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu {n}</a></li></ul></nav>
 <div class="ad">Buy</div><header>Site</header><article><h1>Head {n}</h1><p><b>One &amp; <i>two</i>\n\t three{n}<br>four<p>five&nbsp;six</p><aside>no</aside><form>no</form><div class="comments"><p>no</p></div></article>
 <div class="sidebar">no</div><footer>&copy; {n}</footer></body>"""
