@@ -4,7 +4,8 @@ Centroids are fitted on a bounded sample (``SAMPLE`` rows, the lowest hashes of
 clusters are split until sizes are even; there are at most ``MOST_LISTS``. A graph over the centroids, held in
 memory, is searched best-first to find the lists of a vector. Every vector is indexed: it goes to its nearest list
 and, near a boundary, to up to ``COPIES`` lists. A query reads the lists whose distance is at most ``RATIO`` times that
-of its nearest list. Scores are cosines of the original vectors in double precision; ties go to the smaller vec_id.
+of its nearest list. Queries that find fewer than asked for, in lists of a few vectors, are compared with all vectors afterwards; they
+are at most a few for each list. Scores are cosines of the original vectors in double precision; ties go to the smaller vec_id.
 
 A list of more than ``PART`` vectors is dealt out in parts, and so are the queries of a list, so no group is unbounded.
 Vectors that are null, empty, zero, of another dimension than the sample's usual one, or hold null or non-finite components take no
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import save
+
 SAMPLE = 20000
 MOST_LISTS = 1024
 LIST_SIZE = 256
@@ -205,7 +208,25 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, ratio: float =
 
     found = dealt.groupBy("list", "p", "a").applyInArrow(compare, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = lambda rows: rows.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    near = save(ranked(found), "neighbours")
+    full = near.filter(F.col("rank") == top).select(F.col("query_id").alias("vec_id"))
+    short = v.filter("q").join(full, "vec_id", "left_anti").select("vec_id", "v").distinct().collect()  # fewer than ``top`` ids share a list with one
+    if not short:
+        return near
+    ids, q = np.array([r.vec_id for r in short], np.int64), np.array([r.v for r in short], float)
+
+    def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                b = batch.slice(at, 2048)
+                new = tops(ids, q, b.column("vec_id").to_numpy().astype(np.int64), _rows(b.column("v"), dim), top)
+                kept = best(*(np.concatenate(pair) for pair in zip(kept, new, strict=True)), top)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query_id", "vec_id", "score"])
+
+    rest = v.select("vec_id", "v").mapInArrow(against_all, "query_id long, vec_id long, score double")
+    return ranked(near.select("query_id", "vec_id", "score").unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
 
 
 def op5(vectors: DataFrame) -> DataFrame:

@@ -54,6 +54,15 @@ def test_repeated_rows_take_no_ranks(spark):
     assert len(set(found(spark, rows + [(want[50][0], (x[50] + np.float32(1e-4) * k).tolist()) for k in range(1, 9)])[50])) == 5
 
 
+def test_every_query_gets_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_SIZE", 2)  # many vectors are the only ones of their list
+    x = np.random.default_rng(6).normal(size=(600, 16)).astype(np.float32)
+    x[51:53] = x[50]
+    got, want = found(spark, [(i, v.tolist()) for i, v in enumerate(x)]), brute(list(range(600)), x)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert got[50] == want[50]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu {n}</a></li></ul></nav>
 <div class="ad">Buy</div><header>Site</header><article><h1>Head {n}</h1><p><b>One &amp; <i>two</i>\n\t three{n}<br>four<p>five&nbsp;six</p><aside>no</aside><form>no</form><div class="comments"><p>no</p></div></article>
 <div class="sidebar">no</div><footer>&copy; {n}</footer></body>"""
