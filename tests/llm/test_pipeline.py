@@ -61,6 +61,16 @@ def test_stages(spark, docs, tmp_path):
     assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
 
 
+def test_packed_pieces_hold_their_token_ids(spark):
+    import zlib
+
+    import corpus_pipeline as p
+
+    rows = p.packed(spark, spark.createDataFrame([(i, "some words to pack " * 700) for i in range(3)], "doc_id long, text string"), "").collect()
+    assert sum(r.length for r in rows) > 2048
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
 def test_one_of_each_keeps_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (2, "q r s t u"), (1, "Q r s t u"), (1, "Q r s t u")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(d.coalesce(1)).collect()) == [(0, "a b c d"), (1, "Q r s t u")]
