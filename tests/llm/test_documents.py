@@ -3,7 +3,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from marketspark.llm import mixing, packing, pii, quality, simhash
 
@@ -172,9 +175,36 @@ def test_special_strings_and_odd_blanks():
     from tokenizers import Tokenizer
 
     path = _tokenizer()
-    whole, fast = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    whole, fast = Tokenizer.from_file(path), packing.TextTokenizer(path)
+    assert fast.by_words
     texts = ["a <|endoftext|> b", " <|startoftext|>x ", "ÉCOLE é é ́x", "a b　c\x1cd\te\r\nf", "it's 'll don't x'", "ΑΣ ΣΑΣ İ ß", "", " ", "\n", "🎈🎈 12345 ^^^^", "de$$$ Élève*** ÿÿ, ÀÖ×÷Øß. A_b __ <|x|> <|endoftext|>. `` ~{} l'été don't. a-b --- ...!? ñÑ|"]
     for remembered in (texts, texts[::-1]):
-        ids, n = fast(remembered, 1)
+        ids, n = fast(pa.array(remembered), 1)
         for t, part in zip(remembered, np.split(ids, np.cumsum(n)[:-1]), strict=True):
             assert part.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1], t
+
+
+LETTERS = st.sampled_from(list("abKZ éÉßÿ×÷ñ.,!_<|>'\n\t09\u0301\u3000Σİ🎈\x0b")) | st.sampled_from([" the ", "<|endoftext|>", "'s", " \n "])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.lists(LETTERS, max_size=30).map("".join), max_size=6))
+def test_ids_of_any_text(texts):
+    path = _tokenizer()
+    if path not in packing._encoders:
+        packing._encoders[path] = packing.TextTokenizer(path)
+    fast = packing._encoders[path]
+    ids, n = fast(pa.array(texts, pa.string()), 1)
+    assert len(n) == len(texts)
+    for t, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True) if texts else ():
+        assert part.tolist() == [*fast.inner.encode(t or "", add_special_tokens=False).ids, 1], t
+
+
+def test_other_tokenizer_files_are_used_whole(docs):
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    rows = packing.tokenized(docs, path, 7).collect()
+    want = sorted([*whole.encode(r.text or "", add_special_tokens=False).ids, 7] for r in docs.collect())
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in rows) == want
