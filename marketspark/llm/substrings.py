@@ -5,14 +5,19 @@ document or another, is removed; overlaps count, and windows are judged on the i
 
 1. Suffixes fall into content-defined buckets: a window belongs to the ``GRAM``-byte string inside it with the least hash, so
    equal windows meet in one bucket at one offset. A document's windows form runs, one per anchor.
-2. A run whose anchor hash occurs nowhere else has no repeats. Runs that are equal as a whole (anchor hash and hash of
-   all bytes of the run, 128 bits together) repeat as a whole.
+2. A run whose anchor hash occurs nowhere else has no repeats. Runs of one anchor that are equal as a whole, by a 128-bit hash of all
+   their bytes, repeat as a whole.
 3. Only runs at the ends of repeats are left. Buckets with different runs are sorted one block at a time: suffixes are
    ordered by their first 8 bytes, and long ties are resolved by ranks of a difference-cover sample (mod 7) that was
    sorted before; for any two suffixes some shift below 7 puts both in the sample. This step compares bytes, not hashes.
-   A bucket of over ``HOT`` different runs is not sorted in one task: its windows are counted by a 128-bit digest instead.
 
-Memory of a task: about 60 bytes per byte of a 2 MB slice (a longer text is read in overlapping pieces), and blocks of
+Hot buckets. Anchors and runs that hold more than 1 / ``MOST_HOT`` of all rows (so at most ``MOST_HOT`` of them) are salted in joins. A bucket of
+over ``SPLIT`` different runs is dealt out before it is sorted: a run is cut into stretches of windows whose anchor offsets fall in one range of ``STEP``; all windows of
+such a range share ``LENGTH - STEP + 1`` bytes around the anchor, and stretches go to a bucket of their own by these bytes. Equal windows
+have equal offsets and equal shared bytes, so they still meet, and stretches equal as a whole are found by step 2 again. What is
+left in one such bucket agrees in the shared bytes and differs in the few bytes around.
+
+Memory of a task: about 80 bytes per byte of a 2 MB slice (a longer text is read in overlapping pieces), and blocks of
 about ``BLOCK`` suffixes. Texts go through a shuffle compressed. A null text is empty; a text under ``LENGTH`` bytes has no
 window. Equal rows are copies of each other, so such a text of ``LENGTH`` bytes or more is removed from both.
 """
@@ -30,16 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE, Rolling, as_bytes, flat, mix, save, slices
+from .common import BYTE, Rolling, as_bytes, discard, flat, mix, save, slices
 
 LENGTH = 200
 GRAM = 40
 PIECE = 1 << 22
 BLOCK = 300_000
-HOT = 2048
+#: Different runs of a bucket that are sorted as one, and the range of anchor offsets of a stretch of a larger one.
+SPLIT = 2048
+STEP = 40
+#: Keys that are salted, at most, and the number of their salts.
+MOST_HOT = 1000
+SALTS = 64
 #: A perfect difference cover: every difference mod 7 occurs.
 MOD, COVER = 7, np.array([True, True, False, True, False, False, False])
-RUN = "key long, place long, h1 long, h2 long"
+RUN = "key long, place long, h1 long, h2 long, h3 long"
+BYTE2 = mix(BYTE)
 
 
 def row_key(doc_id: object, text: bytes) -> int:
@@ -63,11 +74,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For concatenated texts: text number, first window, windows less one, anchor offset, h1 and h2 of every run."""
+    """For concatenated texts: text number, first window, windows less one, anchor offset, anchor hash and two hashes of the whole of every run."""
     size = at[1:] - at[:-1]
     windows = np.maximum(size - LENGTH + 1, 0)
     if not windows.sum():
-        return (*(np.zeros(0, np.int64),) * 4, *(np.zeros(0, np.uint64),) * 2)
+        return (*(np.zeros(0, np.int64),) * 4, *(np.zeros(0, np.uint64),) * 3)
     roll = Rolling(BYTE[data])
     p = np.arange(len(data) - GRAM + 1)
     grams = roll(p, p + GRAM)
@@ -79,11 +90,12 @@ def runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(doc) != 0)]))
     last = np.concatenate([first[1:], [len(j)]]) - 1
     lo, hi, a = j[first], j[last], anchor[first]
-    return doc[first], lo - at[doc[first]], hi - lo, a - lo, grams[a], roll(lo, hi + LENGTH) ^ mix((a - lo).astype(np.uint64))
+    second = Rolling(BYTE2[data], 0xA0761D6478BD642F)
+    return doc[first], lo - at[doc[first]], hi - lo, a - lo, grams[a], roll(lo, hi + LENGTH) ^ mix((a - lo).astype(np.uint64)), second(lo, hi + LENGTH)
 
 
 def run_rows(docs: DataFrame) -> DataFrame:
-    """The runs of all texts: key, place, h1, h2."""
+    """The runs of all texts: key, place, anchor hash h1, and h2, h3 of the whole run."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,8 +106,8 @@ def run_rows(docs: DataFrame) -> DataFrame:
                 data, at = flat(part)
                 for base in range(0, max(1, len(data) - LENGTH + 1), PIECE) if len(part) == 1 else (0,):
                     piece = (data[base : base + PIECE + LENGTH - 1], np.array([0, min(len(data) - base, PIECE + LENGTH - 1)])) if len(part) == 1 else (data, at)
-                    doc, lo, n, off, h1, h2 = runs(*piece)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[done + doc], pack_place(lo + base, n, off), h1.view(np.int64), h2.view(np.int64))], names=["key", "place", "h1", "h2"])
+                    doc, lo, n, off, *hashes = runs(*piece)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[done + doc], pack_place(lo + base, n, off), *(h.view(np.int64) for h in hashes))], names=["key", "place", "h1", "h2", "h3"])
                 done += len(part)
 
     return docs.select("doc_id", "text").mapInArrow(go, RUN)
@@ -158,11 +170,15 @@ def _spans(mask: np.ndarray, key: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats among the runs of whole buckets, for a partition sorted by bucket."""
+    """Repeats among the runs of whole buckets, for a partition sorted by bucket, key and place."""
 
     def block(rows: pa.Table) -> pa.RecordBatch:
+        key, place = rows.column("key").to_numpy(), rows.column("place").to_numpy()
+        again = np.flatnonzero((key[1:] == key[:-1]) & (place[1:] == place[:-1])) + 1  # from equal rows of the input
+        if len(again):
+            rows = rows.take(pa.array(np.delete(np.arange(len(key)), again)))
+            key, place = np.delete(key, again), np.delete(place, again)
         data, at = flat(rows.column("bytes").combine_chunks())
-        place = rows.column("place").to_numpy()
         n = (place >> 10 & 1023) + 1
         usable = np.zeros(len(data) + 1, np.int32)
         np.add.at(usable, at[:-1], 1)
@@ -170,7 +186,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         mask = repeated_windows(data, at[row] + step, np.cumsum(usable[:-1]) > 0)
-        return _spans(mask, rows.column("key").to_numpy()[row], (place >> 20)[row] + step)
+        return _spans(mask, key[row], (place >> 20)[row] + step)
 
     held, waiting = [], 0
     for batch in batches:
@@ -178,7 +194,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         waiting += batch.num_rows
         if waiting * (LENGTH - GRAM) // 2 >= BLOCK:
             rows = pa.Table.from_batches(held)
-            h = rows.column("h1").to_numpy()
+            h = rows.column("bucket").to_numpy()
             cuts = np.flatnonzero(np.diff(h)) + 1
             done = 0
             while len(cuts) and cuts[-1] > done:  # whole buckets, about BLOCK suffixes at once
@@ -191,54 +207,72 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield block(pa.Table.from_batches(held))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a run: key, window and 128-bit digest."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            rows = batch.slice(at, 2000)
-            data, ends = flat(rows.column("bytes"))
-            place = rows.column("place").to_numpy()
-            n = (place >> 10 & 1023) + 1
-            row = np.repeat(np.arange(len(n)), n)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            s = ends[row] + step
-            d = [Rolling(BYTE[data])(s, s + LENGTH), Rolling(mix(BYTE)[data], 0xA0761D6478BD642F)(s, s + LENGTH)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows.column("key").to_numpy()[row]), pa.array((place >> 20)[row] + step), *(pa.array(x.view(np.int64)) for x in d)], names=["key", "lo", "d1", "d2"])
+def stretches(p: int, h1: int, text: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """A run cut by ranges of anchor offsets: bucket, h2, h3, place and bytes of each stretch."""
+    lo, n, off = p >> 20, p >> 10 & 1023, p & 1023
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for c in range((off - n) // STEP, off // STEP + 1):
+        a, b = max(0, off - c * STEP - STEP + 1), min(n, off - c * STEP)
+        part = text[lo + a : lo + b + LENGTH]
+        shared = text[lo + off - c * STEP : lo + off - c * STEP - STEP + 1 + LENGTH]
+        whole = xxhash.xxh3_128_intdigest(part, off - a)
+        bucket = xxhash.xxh64_intdigest(shared, (h1 ^ c) & (1 << 64) - 1)
+        yield signed(bucket), signed(whole >> 64), signed(whole & (1 << 64) - 1), (lo + a) << 20 | (b - a) << 10 | (off - a), part
+
+
+def salted(rows: DataFrame, counts: DataFrame, on: list[str], total: int, salt_by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``counts`` (one row for each key, and ``n``); keys of over total / ``MOST_HOT`` rows are salted."""
+    hot = F.col("n") > total / MOST_HOT
+    few = F.broadcast(counts.filter(hot).select(*on, F.lit(True).alias("_hot")))  # at most MOST_HOT rows
+    left = rows.join(few, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    right = counts.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def whole_spans(rows: DataFrame) -> DataFrame:
+    lo, n = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023).cast("long"))
+    return rows.select("key", lo.alias("lo"), (lo + n).alias("hi"))
 
 
 def repeats(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """key, lo, hi: first and last window of stretches that occur elsewhere."""
-    rows = save(run_rows(docs), "runs")
-    shared = rows.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1")
-    rows = save(rows.join(shared, "h1"), "runs-shared")
-    kinds = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one"))
-    kinds = save(kinds, "runs-kinds")
-    whole = rows.join(kinds.filter("n > 1").select("h1", "h2"), ["h1", "h2"])
-    lo, n = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023).cast("long"))
-    whole = whole.select("key", lo.alias("lo"), (lo + n).alias("hi"))
-    mixed = kinds.groupBy("h1").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    asked = kinds.join(mixed, "h1").select("h1", "kinds", F.col("one.key").alias("key"), F.col("one.place").alias("place"))
-    wanted = asked.groupBy("key").agg(F.collect_list(F.struct("h1", "kinds", "place")).alias("wanted"))  # at most the runs of one text
+    every = save(run_rows(docs), "runs")
+    total = every.count()
+    anchors = save(every.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "runs-anchors")
+    rows = save(salted(every, anchors, ["h1"], total, ["key", "place"]).drop("n"), "runs-shared")
+    discard(every, anchors)
+    which = ["h1", "h2", "h3"]
+    kinds = save(rows.groupBy(*which).agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("place").alias("place")), "runs-kinds")  # both of one row, any
+    equal = salted(rows, kinds.filter("n > 1").select(*which, "n"), which, total, ["key", "place"])
+    mixed = kinds.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1")
+    asked = salted(kinds.drop("n"), mixed, ["h1"], total, ["key", "place"]).select("h1", "key", "place", (F.col("n") > SPLIT).alias("split"))
+    wanted = asked.groupBy("key").agg(F.collect_list(F.struct("h1", "split", "place")).alias("wanted"))  # at most the runs of one text
     fetched = texts.select("key", "packed").join(wanted, "key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
+        open_, last = zstandard.ZstdDecompressor(), None
         for batch in batches:
-            out: list[tuple[int, int, int, int, bytes]] = []
+            out: list[tuple] = []
             for key, packed, want in zip(batch.column("key").to_pylist(), batch.column("packed").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                text = open_.decompress(packed)
+                if key == last:  # an equal row
+                    continue
+                last, text = key, open_.decompress(packed)
                 for w in want:
                     p = w["place"]
-                    out.append((w["h1"], w["kinds"], key, p, text[p >> 20 : (p >> 20) + (p >> 10 & 1023) + LENGTH]))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["h1", "kinds", "key", "place", "bytes"])
-
-    parts = save(fetched.mapInArrow(fetch, "h1 long, kinds long, key long, place long, bytes binary").dropDuplicates(["h1", "key", "place"]), "runs-bytes")
-    usual = parts.filter(F.col("kinds") <= HOT).repartition("h1").sortWithinPartitions("h1").mapInArrow(_sorted_blocks, "key long, lo long, hi long")
-    every = parts.filter(F.col("kinds") > HOT).mapInArrow(_digests, "key long, lo long, d1 long, d2 long")
-    twice = every.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2")
-    hot = every.join(twice, ["d1", "d2"]).select("key", "lo", F.col("lo").alias("hi"))
-    return whole.unionByName(usual).unionByName(hot)
+                    if w["split"]:
+                        out.extend((bucket, h2, h3, key, place, part, True) for bucket, h2, h3, place, part in stretches(p, w["h1"], text))
+                    else:
+                        out.append((w["h1"], 0, 0, key, p, text[p >> 20 : (p >> 20) + (p >> 10 & 1023) + LENGTH], False))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.bool_())], names=["bucket", "h2", "h3", "key", "place", "bytes", "split"])
+
+    parts = save(fetched.mapInArrow(fetch, "bucket long, h2 long, h3 long, key long, place long, bytes binary, split boolean"), "runs-bytes")
+    cut, which = parts.filter("split"), ["bucket", "h2", "h3"]
+    cut_kinds = cut.groupBy(*which).agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("place").alias("place"), F.first("bytes").alias("bytes"))
+    cut_equal = salted(cut.select("key", "place", *which), cut_kinds.filter("n > 1").select(*which, "n"), which, total, ["key", "place"])
+    ready = parts.filter("not split").select("bucket", "key", "place", "bytes").unionByName(cut_kinds.select("bucket", "key", "place", "bytes"))
+    found = ready.repartition("bucket").sortWithinPartitions("bucket", "key", "place").mapInArrow(_sorted_blocks, "key long, lo long, hi long")
+    return whole_spans(equal).unionByName(whole_spans(cut_equal)).unionByName(found)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -44,9 +44,10 @@ def make_texts():
 SCHEMA = "doc_id long, text string, key long, place string, spans string, packed string"
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_repeats(spark, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", hot)
+@pytest.mark.parametrize("split,hot", [(2048, 1000), (1, 1000), (3, 1 << 40)])
+def test_repeats(spark, split, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "SPLIT", split)
+    monkeypatch.setattr(substrings, "MOST_HOT", hot)  # with the last, every key is salted
     texts = make_texts()
     rows = [(None if i == 20 else i % 40, t, 1, "x", "x", "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
@@ -63,6 +64,17 @@ def test_small_blocks_and_pieces(spark, monkeypatch):
     assert got == sorted(brute(texts))
 
 
+def test_bucket_of_many_different_runs(spark):
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, other = noise(230), noise(205)
+    texts = [noise(rng.integers(0, 80)) + passage + noise(rng.integers(0, 80)) for _ in range(2300)]
+    texts += [t[:100] + "#" + t[101:] for t in texts[:300]] + [other + t[:150] for t in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in substrings.remove_repeats(docs).drop("doc_id").collect())
+    assert got == sorted(brute(texts))
+
+
 def test_empty_table(spark):
     assert substrings.op10(spark.createDataFrame([], SCHEMA)).count() == 0
 
