@@ -5,16 +5,20 @@ Smoothing: absolute discounting, interpolated from trigrams down to single words
 P3 = a3 + b3 (a2 + b2 P1), with a = (c - D) / c(context), b = D types(context) / c(context) (a = 0, b = 1 if unseen), and
 P1 = (max(c - D, 0) + D V / (V + 1)) / N.
 
-A shard holds the words whose hash it owns, and every context that ends in one of them. Its trie has the levels word,
-word > next, word > word before, and word > word before > next. A level is one growing sequence (context number, hash of the next word)
-in Elias-Fano form, with pointers that are such a sequence too, and 8-bit codes of log probabilities. Levels are
-mapped from a temporary file while a shard answers; a lookup is a successor search inside its context's range.
+A shard holds the words whose hash it owns, and the contexts that end in one of them. Its trie has the levels word,
+word > next, word > word before, and word > word before > next. A level is an Elias-Fano sequence of word numbers, growing inside
+a context's range and raised by the last value before the range, with a second such sequence of pointers to the ranges, and 8-bit
+codes of log probabilities. Levels are mapped from a temporary file while a shard answers (a task's own, deleted with its answer); a lookup takes a
+context's range from the pointers and is a successor search inside it. Words are known by 64-bit hashes, and inside a shard by their rank.
 
 Documents are read once into blocks of about ``BLOCK_TOKENS`` tokens. A block asks each shard once for every different
 word and trigram it has, with its training counts besides, so counting and asking share one shuffle. Answers go back to the
 blocks by a second one. Both carry packed arrays. Frequent words are one entry a block, so they don't gather in one
-task; the number of shards follows the number of blocks, and a block sends to the shards of its own words only. All trigrams around one
-context word are in one shard: of a very frequent word, those that differ must fit a task. Words are known by 64-bit hashes.
+task; the number of shards follows the number of blocks, and a block sends to the shards of its own words only.
+
+A context word of over ``HOT`` shards' share of all tokens is split: its trigrams go to several shards by the word before, and its bigrams, as
+records of their own, by the next word. Its count is taken before, its number of next words is summed from the
+shards. At most as many words as shards, and no more than ``MOST_HOT``, are split.
 
 A null text is empty: it has only its end. Without training rows N = V = 0 and every token has probability 1 by convention.
 Equal rows get equal results.
@@ -33,13 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_bucket, save
+from .common import as_bytes, crc_bucket, discard, mix, save
 
 DISCOUNT = 0.75
 BLOCK_TOKENS = 1 << 20
 #: Blocks to a shard, about: a shard has the different trigrams of so many tokens as fit a task.
 BLOCKS_PER_SHARD = 2
 LEAST_SHARDS = 16
+HOT = 2.0
+MOST_HOT = 1 << 16
 END = xxhash.xxh64_intdigest(b"\n")
 START = xxhash.xxh64_intdigest(b" ")
 STEPS = 8.0
@@ -111,6 +117,49 @@ class EliasFano:
         return [np.array([self.n, self.low_bytes], "<i8"), self.directory, self.highs, self.lows]
 
 
+class Level:
+    """Children of numbered contexts: word numbers by context, and pointers to each context's range."""
+
+    def __init__(self, ids: EliasFano, pointers: EliasFano):
+        self.ids, self.pointers = ids, pointers
+
+    @staticmethod
+    def build(context: np.ndarray, ids: np.ndarray, n_contexts: int) -> list[np.ndarray]:
+        """From growing context numbers, and ids that grow inside a context."""
+        pointers = np.searchsorted(context, np.arange(n_contexts + 1))
+        last = np.zeros(n_contexts, np.int64)
+        full = np.flatnonzero(np.diff(pointers))
+        last[full] = ids[pointers[full + 1] - 1]
+        raised = ids + (np.cumsum(last) - last)[context]
+        return [*EliasFano.of(raised.astype(np.uint64)).parts(), *EliasFano.of(pointers.astype(np.uint64)).parts()]
+
+    def find(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of children, and whether they are there, for growing contexts. Only chunks that hold a range of an asked context are decoded."""
+        place, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+        if not len(ids) or not self.ids.n:
+            return place, found
+        first = _group_starts(context)
+        size = np.diff([*first, len(context)])
+        asked = context[first]
+        lo, hi = self.pointers[asked].astype(np.int64), self.pointers[asked + 1].astype(np.int64)
+        base = np.where(lo > 0, self.ids[np.maximum(lo - 1, 0)], 0)
+        lo, hi, key = np.repeat(lo, size), np.repeat(hi, size), np.repeat(base, size) + ids.astype(np.uint64)
+        some = hi > lo
+        need = np.zeros(len(self.ids.directory) + 1, np.int64)
+        np.add.at(need, lo[some] // CHUNK, 1)
+        np.add.at(need, (hi[some] - 1) // CHUNK + 1, -1)
+        for k in np.flatnonzero(np.cumsum(need[:-1]) > 0).tolist():
+            values = self.ids.chunk(k)
+            start = k * CHUNK
+            a, b = int(np.searchsorted(hi, start, "right")), int(np.searchsorted(lo, start + len(values), "left"))
+            at = np.maximum(np.searchsorted(values, key[a:b]), lo[a:b] - start)
+            ok = at < np.minimum(hi[a:b] - start, len(values))
+            ok &= values[np.minimum(at, len(values) - 1)] == key[a:b]
+            place[a:b][ok] = at[ok] + start
+            found[a:b] |= ok
+        return place, found
+
+
 def dump(arrays: list[np.ndarray]) -> bytes:
     """Arrays one behind the other, each at a multiple of 8 bytes, behind a table of their sizes."""
     kinds = {"int64": 0, "uint8": 1}
@@ -139,69 +188,67 @@ def _group_starts(*keys: np.ndarray) -> np.ndarray:
 class Trie:
     """The model of one shard, over mapped memory.
 
-    words, counts: single words. ctx, next2, before, next3: hashes by level; code_*: a of an entry or b of a context.
+    words: hashes, whose ranks are the word numbers; counts: their running sums. ctx: numbers of context words. code_*: a of an entry or b of a context.
     """
 
     def __init__(self, blob: np.ndarray):
         a = load(blob)
-        ef = lambda i: EliasFano(int(a[i][0]), int(a[i][1]), a[i + 3], a[i + 2], a[i + 1])
-        self.words, self.counts = ef(0), ef(4)
-        self.ctx, self.next2, self.before, self.next3 = ef(8), ef(12), ef(16), ef(20)
-        self.code2, self.back2, self.code3, self.back3 = a[24:28]
+        ef = lambda i: EliasFano(int(a[4 * i][0]), int(a[4 * i][1]), a[4 * i + 3], a[4 * i + 2], a[4 * i + 1])
+        self.words, self.counts, self.ctx = ef(0), ef(1), ef(2)
+        self.next2, self.before, self.next3 = (Level(ef(i), ef(i + 1)) for i in (3, 5, 7))
+        self.code2, self.back2, self.code3, self.back3 = a[36:40]
 
     @staticmethod
-    def build(words: np.ndarray, counts: np.ndarray, v: np.ndarray, w1: np.ndarray, w3: np.ndarray, c: np.ndarray) -> bytes:
-        """From summed counts: words sorted; trigrams sorted by v, w1, w3."""
-        wide = lambda ctx, low: (ctx.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
-        levels = []
-        first_v = _group_starts(v) if len(v) else np.zeros(0, np.int64)
-        number = np.repeat(np.arange(len(first_v)), np.diff([*first_v, len(v)])) if len(v) else first_v
-        total = np.add.reduceat(c, first_v) if len(v) else c
-        order = np.lexsort((w3, number))
-        k2 = wide(number[order], w3[order])
-        s2 = _group_starts(k2) if len(k2) else first_v
-        c2 = np.add.reduceat(c[order], s2) if len(k2) else c
-        n2 = (k2[s2] >> np.uint64(32)).astype(np.int64)
-        types2 = np.bincount(n2, minlength=len(first_v))
-        k1 = wide(number, w1)
-        s1 = _group_starts(k1) if len(k1) else first_v
-        n1 = np.repeat(np.arange(len(s1)), np.diff([*s1, len(k1)])) if len(k1) else s1
-        c1 = np.add.reduceat(c, s1) if len(k1) else c
-        types3 = np.bincount(n1, minlength=len(s1))
-        sums = np.cumsum(counts)
-        for values in (words, sums.astype(np.uint64), v[first_v], k2[s2], k1[s1], wide(n1, w3)):
-            levels += EliasFano.of(values).parts()
+    def build(words: np.ndarray, counts: np.ndarray, v: np.ndarray, w1: np.ndarray, w3: np.ndarray, c: np.ndarray, hot: dict[int, int]) -> bytes:
+        """From sorted words and their counts, and summed records sorted by the word numbers v, w1, w3; hot: totals of split context words.
+
+        Records of a split word with w1 = len(words) are its bigrams.
+        """
+        first_v = _group_starts(v)
+        ctx = v[first_v]
+        number = np.repeat(np.arange(len(ctx)), np.diff([*first_v, len(v)]))
+        split = np.isin(ctx, np.array(list(hot), np.int64))
+        pair = w1 == len(words)
+        two = np.flatnonzero(~split[number] | pair)  # what the bigrams are summed from
+        two = two[np.lexsort((w3[two], number[two]))]
+        s2 = _group_starts(number[two], w3[two])
+        c2 = np.add.reduceat(c[two], s2) if len(two) else c[:0]
+        n2, w2 = number[two][s2], w3[two][s2]
+        total = np.bincount(n2, c2, minlength=len(ctx))
+        total[split] = [hot[x] for x in ctx[split].tolist()]
+        types2 = np.bincount(n2, minlength=len(ctx))
+        three = np.flatnonzero(~pair)
+        n3, w1, w3, c = number[three], w1[three], w3[three], c[three]
+        s1 = _group_starts(n3, w1)
+        n1 = np.repeat(np.arange(len(s1)), np.diff([*s1, len(n3)]))
+        c1, types3 = np.bincount(n1, c, minlength=len(s1)), np.bincount(n1, minlength=len(s1))
+        levels = [*EliasFano.of(words).parts(), *EliasFano.of(np.cumsum(counts).astype(np.uint64)).parts(), *EliasFano.of(ctx.astype(np.uint64)).parts()]
+        levels += [*Level.build(n2, w2, len(ctx)), *Level.build(n3[s1], w1[s1], len(ctx)), *Level.build(n1, w3, len(s1))]
         return dump([*levels, encode((c2 - DISCOUNT) / total[n2]), encode(DISCOUNT * types2 / np.maximum(total, 1)), encode((c - DISCOUNT) / c1[n1]), encode(DISCOUNT * types3 / np.maximum(c1, 1))])
 
-    def count(self, words: np.ndarray) -> np.ndarray:
-        """Training counts of words in growing order."""
-        place, known = self.words.successor(words)
-        at = place[known]
-        out = np.zeros(len(words), np.int64)
-        before = np.where(at > 0, self.counts[np.maximum(at - 1, 0)], 0)
-        out[known] = (self.counts[at] - before.astype(np.uint64)).astype(np.int64)
-        return out
+    def ask(self, v: np.ndarray, w1: np.ndarray, w3: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of records sorted by v, w1, w3: codes of a (without the single word's part) and of the single word's factor.
 
-    def ask(self, v: np.ndarray, w1: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of trigrams sorted by v, w1, w3: codes of a (without the single word's part) and of the single word's factor."""
+        Of a split word (``hot``), trigrams give their own part only, and bigrams theirs.
+        """
         a, b = np.zeros(len(v)), np.ones(len(v))
         if not len(v) or not self.ctx.n:
             return encode(a), encode(b)
         starts = _group_starts(v)
-        number, seen = self.ctx.successor(v[starts])
+        number, seen = self.ctx.successor(v[starts].astype(np.uint64))
         size = np.diff([*starts, len(v)])
         number, seen = np.repeat(number, size), np.repeat(seen, size)
-        i = np.flatnonzero(seen)
-        key = lambda ctx, low: (ctx.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
-        k2 = key(number[i], w3[i])
-        order = np.argsort(k2, kind="stable")
-        place, found = self.next2.successor(k2[order])
-        a2 = np.zeros(len(i))
-        a2[order[found]] = DECODE[self.code2[place[found]]]
-        a[i], b[i] = a2, DECODE[self.back2[number[i]]]
-        ctx3, found = self.before.successor(key(number[i], w1[i]))
+        pair = w1 == self.words.n
+        i = np.flatnonzero(seen & (pair | ~hot))
+        i = i[np.lexsort((w3[i], number[i]))]
+        place, found = self.next2.find(number[i], w3[i])
+        a[i[found]] = DECODE[self.code2[place[found]]]
+        plain = i[~hot[i]]
+        b[plain] = DECODE[self.back2[number[plain]]]
+        i = np.flatnonzero(seen & ~pair)
+        ctx3, found = self.before.find(number[i], w1[i])
         i, ctx3 = i[found], ctx3[found]
-        place, found = self.next3.successor(key(ctx3, w3[i]))
+        place, found = self.next3.find(ctx3, w3[i])
         a3 = np.zeros(len(i))
         a3[found] = DECODE[self.code3[place[found]]]
         b3 = DECODE[self.back3[ctx3]]
@@ -217,8 +264,20 @@ def mapped(blob: bytes) -> tuple[np.ndarray, str]:
     return np.memmap(path, np.uint8, "r"), path
 
 
-def _low(x: np.ndarray) -> np.ndarray:
-    return x.astype("<u4")
+def squeeze(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes as the largest needs, a byte plane after the other, so that planes of zeros cost nothing once compressed."""
+    wide = -(-int(x.max()).bit_length() // 8) if len(x) else 0
+    return bytes([wide]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+
+
+def expand(raw: bytes | memoryview, n: int | None = None) -> np.ndarray:
+    """What :func:`squeeze` packed; ``n`` numbers, needed where all may be zero."""
+    raw = np.frombuffer(raw, np.uint8)
+    wide = int(raw[0])
+    n = (len(raw) - 1) // wide if n is None else n
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :wide] = raw[1:].reshape(wide, n).T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 BLOCK_SCHEMA = "block long, lengths binary, trained binary, tokens binary, words binary"
@@ -243,7 +302,7 @@ def blocks(docs: DataFrame, trained: F.Column) -> DataFrame:
         back = np.empty_like(rank)
         back[rank] = np.arange(len(rank))
         lengths = np.array([len(w) + 1 for w in texts], "<i4")
-        return pa.RecordBatch.from_arrays([pa.array([ids]), pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in (lengths, np.array(flags, np.uint8), back[t].astype("<u4"), hashes[rank]))], names=["ids", "block", "lengths", "trained", "tokens", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([ids]), pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in (lengths, np.array(flags, np.uint8))), pa.array([squeeze(back[t])], pa.binary()), pa.array([hashes[rank].tobytes()], pa.binary())], names=["ids", "block", "lengths", "trained", "tokens", "words"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -264,128 +323,215 @@ def blocks(docs: DataFrame, trained: F.Column) -> DataFrame:
     return docs.select("doc_id", "text", trained.alias("_trained")).mapInArrow(go, schema)
 
 
+class Hot:
+    """Split context words: sorted hashes, and for each the number of its shards and its training count."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]):
+        rows = sorted(rows)
+        self.hashes = np.array([r[0] for r in rows], np.uint64)
+        self.parts, self.totals = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each word among them, and whether it is one."""
+        at = np.searchsorted(self.hashes, words)
+        safe = np.minimum(at, max(len(self.hashes) - 1, 0))
+        return safe, (self.hashes[safe] == words) if len(self.hashes) else np.zeros(len(words), bool)
+
+
+def columns_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's lengths, trained flags, token numbers, and words with the start mark behind them."""
+    lengths = np.frombuffer(row["lengths"], "<i4").astype(np.int64)
+    words = np.append(np.frombuffer(row["words"], "<u8"), np.uint64(START))
+    return lengths, np.frombuffer(row["trained"], np.uint8) > 0, expand(row["tokens"], int(lengths.sum())), words
+
+
 class Block:
-    """One block's tokens, and its different trigrams in order of (last context word, word before, word)."""
+    """One block's tokens, and its records: different trigrams in order of (last context word, word before, word), and bigrams of split words."""
 
-    def __init__(self, row: dict):
-        buf = lambda c, t: np.frombuffer(row[c], t)
-        self.lengths, self.flags = buf("lengths", "<i4").astype(np.int64), buf("trained", np.uint8) > 0
-        self.t, self.words = buf("tokens", "<u4").astype(np.int64), np.append(buf("words", "<u8"), np.uint64(START))
+    def __init__(self, row: dict, hot: Hot):
+        self.lengths, self.flags, self.t, self.words = columns_of(row)
         n = len(self.words)
-        first = np.cumsum(self.lengths) - self.lengths
+        self.first = first = np.cumsum(self.lengths) - self.lengths
         p1 = np.concatenate([[n - 1], self.t[:-1]])
         p1[first] = n - 1
         p2 = np.concatenate([[n - 1], p1[:-1]])
         p2[first] = n - 1
         pairs, pair = np.unique(p1 * n + p2, return_inverse=True)
         tri, self.inverse = np.unique(pair * n + self.t, return_inverse=True)
-        pair, self.w3 = tri // n, tri % n
-        self.v, self.w1 = pairs[pair] // n, pairs[pair] % n
-        self.first = first
+        pair = tri // n
+        v, w1, w3 = pairs[pair] // n, pairs[pair] % n, tri % n
+        self.hot_at, self.hot = hot.find(self.words)
+        self.split = np.flatnonzero(self.hot[v])
+        two, self.two = np.unique(v[self.split] * n + w3[self.split], return_inverse=True)
+        self.n_tri = len(tri)
+        self.v, self.w1, self.w3 = (np.concatenate(x) for x in ((v, two // n), (w1, np.full(len(two), n)), (w3, two % n)))
+        self.parts = np.where(self.hot, hot.parts[self.hot_at], 1) if len(hot.parts) else np.ones(n, np.int64)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of words and of records."""
         w = np.repeat(self.flags, self.lengths)
-        return np.bincount(self.t[w], minlength=len(self.words)), np.bincount(self.inverse[w], minlength=len(self.v))
+        tri = np.bincount(self.inverse[w], minlength=self.n_tri)
+        two = np.bincount(self.two, tri[self.split], minlength=len(self.v) - self.n_tri).astype(np.int64)
+        return np.bincount(self.t[w], minlength=len(self.words)), np.concatenate([tri, two])
 
     def shards(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shard of each word and of each trigram."""
-        s = (self.words % np.uint64(n)).astype(np.int64)
-        return s, s[self.v]
+        """Shard of each word and of each record."""
+        own = (self.words % np.uint64(n)).astype(np.int64)
+        other = np.where(self.w1 < len(self.words), self.w1, self.w3)
+        return own, (own[self.v] + (mix(self.words)[other] % self.parts[self.v].astype(np.uint64)).astype(np.int64)) % n
 
 
-MESSAGE = "block long, shard int, words binary, counts binary, v_n binary, w1 binary, w3 binary, c binary"
-ANSWER = "block long, shard int, types long, counts binary, a binary, b binary"
+def split_words(rows: DataFrame, n_shards: int) -> tuple[int, Hot]:
+    """Number of training tokens, and the context words of over ``HOT`` shards' share of all tokens.
 
+    A word that is half as frequent in a block is a candidate; in other blocks together it has less than half of the share, so half of it is enough for the sum over candidates.
+    """
+    share = HOT / min(n_shards, MOST_HOT)
+    signed = lambda x: x.view(np.int64)
 
-def questions(rows: DataFrame, n_shards: int) -> DataFrame:
+    def counted(batches: Iterator[pa.RecordBatch], only: Hot | None = None) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths, flags, t, words = columns_of(row)
+                w = np.repeat(flags, lengths)
+                n = np.bincount(t if only is None else t[w], minlength=len(words))
+                n[-1] = len(lengths) if only is None else flags.sum()
+                n[words == np.uint64(END)] = 0  # no context
+                i = np.flatnonzero(n >= max(1, share / 2 * len(t)) if only is None else only.find(words)[1])
+                yield pa.RecordBatch.from_arrays([pa.array([None, *signed(words[i])], pa.int64()), pa.array([len(t), *n[i]], pa.int64()), pa.array([int(w.sum()), *[0] * len(i)], pa.int64())], names=["word", "n", "trained"])
+
+    sums = lambda f: rows.select("lengths", "trained", "tokens", "words").mapInArrow(f, "word long, n long, trained long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
+    found = save(sums(counted), "lm-frequent")
+    every = found.filter("word is null").first()
+    n_tokens, n_train = (every.n, every.trained) if every else (0, 0)
+    frequent = found.filter((F.col("word").isNotNull()) & (F.col("n") >= share / 2 * n_tokens)).collect()  # at most 2 / share words
+    discard(found)
+    parts = {r.word & (1 << 64) - 1: -(-r.n * n_shards // n_tokens) for r in frequent}
+    parts = {w: int(m) for w, m in parts.items() if m > 1}
+    if not parts:
+        return n_train, Hot([])
+    only = Hot([(w, m, 0) for w, m in parts.items()])
+    totals = {r.word & (1 << 64) - 1: r.n for r in sums(lambda batches: counted(batches, only)).filter("word is not null").collect()}
+    return n_train, Hot([(w, m, totals[w]) for w, m in parts.items()])
+
+
+MESSAGE = "block long, shard int, words binary, counts binary, near binary, v binary, v_n binary, w1 binary, w3 binary, c binary"
+ANSWER = "block long, shard int, types long, split array<long>, counts binary, a binary, b binary"
+
+
+def questions(rows: DataFrame, n_shards: int, hot: Hot) -> DataFrame:
     """What blocks ask of shards, with their training counts.
 
-    Words by number (the start mark is one, with count 0); v_n is the number of trigrams that have a word as last context, and trigrams follow in that order.
+    words, counts: those that the shard owns. near: sorted hashes of the words of the records; v (with v_n records each), w1 and w3
+    are places in it, w1 behind its end for a bigram.
     """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                uni, tri = b.counts()
-                sw, st = b.shards(n_shards)
-                ow, ot = np.argsort(sw, kind="stable"), np.argsort(st, kind="stable")
-                v_n = np.bincount(b.v, minlength=len(b.words)).astype("<u4")
-                asked = np.unique(sw)  # those of the trigrams are among them
-                cw, ct = (np.searchsorted(x, np.append(asked, n_shards)) for x in (sw[ow], st[ot]))
+                b = Block(row, hot)
+                uni, count = b.counts()
+                sw, sr = b.shards(n_shards)
+                ow, ot = np.argsort(sw, kind="stable"), np.argsort(sr, kind="stable")
+                asked = np.union1d(sw, sr)
+                cw, ct = (np.searchsorted(x, np.append(asked, n_shards)) for x in (sw[ow], sr[ot]))
+                by_hash = np.argsort(b.words, kind="stable")
+                rank = np.empty(len(by_hash) + 1, np.int64)
+                rank[by_hash], rank[-1] = np.arange(len(by_hash)), len(by_hash)
+                v, w1, w3 = rank[b.v], rank[b.w1], rank[b.w3]
                 out = []
                 for k, s in enumerate(asked.tolist()):
                     i, j = ow[cw[k] : cw[k + 1]], ot[ct[k] : ct[k + 1]]
-                    out.append((row["block"], s, b.words[i].tobytes(), uni[i].astype("<u4").tobytes(), v_n[i].tobytes(), _low(b.words[b.w1[j]]).tobytes(), _low(b.words[b.w3[j]]).tobytes(), tri[j].astype("<u4").tobytes()))
+                    used = np.zeros(len(rank), bool)
+                    for x in (v, w1, w3):
+                        used[x[j]] = True
+                    used[-1] = False
+                    near = np.cumsum(used) - used
+                    starts = _group_starts(v[j])
+                    out.append((row["block"], s, b.words[i].tobytes(), squeeze(uni[i]), b.words[by_hash[used[:-1]]].tobytes(), squeeze(near[v[j][starts]]), squeeze(np.diff([*starts, len(j)])), squeeze(near[w1[j]]), squeeze(near[w3[j]]), squeeze(count[j])))
                 cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
                 names = [x.split()[0] for x in MESSAGE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     return rows.select("block", "lengths", "trained", "tokens", "words").mapInArrow(go, MESSAGE)
 
 
-def _answers(table: pa.Table) -> pa.Table:
+def in_order(v: np.ndarray, w1: np.ndarray, w3: np.ndarray, n: int) -> np.ndarray:
+    """The order by v, w1, w3 of numbers up to n."""
+    if (n + 1) ** 3 < 1 << 63:
+        return np.argsort((v * (n + 1) + w1) * (n + 1) + w3, kind="stable")
+    return np.lexsort((w3, w1, v))
+
+
+def answer(table: pa.Table, hot: Hot) -> pa.Table:
     """One shard: sum the counts of all blocks, build the trie, and answer each block in its own order."""
-    rows = table.select(["block", "shard", "words", "counts", "v_n", "w1", "w3", "c"])
-    get = lambda c, t: [np.frombuffer(x.as_buffer(), t) for x in rows.column(c)]
-    words, counts, vn = get("words", "<u8"), get("counts", "<u4"), get("v_n", "<u4")
-    w1, w3, c = (np.concatenate(get(x, "<u4")) for x in ("w1", "w3", "c"))
-    n_words, n_tri = [len(x) for x in words], [int(x.sum()) for x in vn]
-    words, counts = np.concatenate(words), np.concatenate(counts).astype(np.int64)
-    v = np.repeat(words, np.concatenate(vn))
-    # different words and trigrams, in order
-    ow = np.argsort(words, kind="stable")
-    sw = _group_starts(words[ow]) if len(ow) else ow
-    uw, cw = words[ow][sw], np.add.reduceat(counts[ow], sw) if len(ow) else counts
-    ot = np.lexsort((w3, w1, v))
-    st = _group_starts(v[ot], w1[ot], w3[ot]) if len(ot) else ot
-    uv, u1, u3 = v[ot][st], w1[ot][st], w3[ot][st]
-    ct = np.add.reduceat(c[ot].astype(np.int64), st) if len(ot) else c.astype(np.int64)
-    known, seen = cw > 0, ct > 0
-    blob, path = mapped(Trie.build(uw[known], cw[known], uv[seen], u1[seen], u3[seen], ct[seen]))
+    raw = lambda c: [np.frombuffer(x.as_buffer(), "<u8") for x in table.column(c)]
+    packed = lambda c, n: [expand(x.as_buffer(), k) for x, k in zip(table.column(c), n, strict=True)]
+    words, near = raw("words"), raw("near")
+    vocabulary = np.unique(np.concatenate([*words, *near]))
+    n = len(vocabulary)
+    n_words = [len(x) for x in words]
+    word = np.searchsorted(vocabulary, np.concatenate(words))
+    counts = np.concatenate(packed("counts", n_words))
+    sizes = packed("v_n", [(len(x.as_buffer()) - 1) // max(1, x.as_buffer()[0]) for x in table.column("v_n")])  # no size is zero
+    n_rec = [int(x.sum()) for x in sizes]
+    ids = [np.append(np.searchsorted(vocabulary, x), n) for x in near]
+    v = np.concatenate([np.repeat(i[x], k) for i, x, k in zip(ids, packed("v", [len(x) for x in sizes]), sizes, strict=True)])
+    w1, w3 = (np.concatenate([i[x] for i, x in zip(ids, packed(c, n_rec), strict=True)]) for c in ("w1", "w3"))
+    c = np.concatenate(packed("c", n_rec))
+    total = np.bincount(word, counts, minlength=n).astype(np.int64)
+    order = in_order(v, w1, w3, n)
+    first = _group_starts(v[order], w1[order], w3[order])
+    uv, u1, u3 = v[order][first], w1[order][first], w3[order][first]
+    uc = np.add.reduceat(c[order], first) if len(order) else c
+    seen = uc > 0
+    hot_at, is_hot = hot.find(vocabulary)
+    blob, path = mapped(Trie.build(vocabulary, total, uv[seen], u1[seen], u3[seen], uc[seen], {int(i): int(hot.totals[hot_at[i]]) for i in np.flatnonzero(is_hot)}))
     try:
         trie = Trie(blob)
-        found = trie.count(uw)
-        a, b = trie.ask(uv, u1, u3)
+        a, b = trie.ask(uv, u1, u3, is_hot[uv])
+        sums = np.append(np.uint64(0), trie.counts[np.arange(n)])
     finally:
         os.unlink(path)
-    of_word, of_tri = np.empty(len(ow), np.int64), np.empty(len(ot), np.int64)
-    of_word[ow] = np.repeat(np.arange(len(sw)), np.diff([*sw, len(ow)])) if len(ow) else ow
-    of_tri[ot] = np.repeat(np.arange(len(st)), np.diff([*st, len(ot)])) if len(ot) else ot
-    cut_w, cut_t = np.cumsum(n_words)[:-1], np.cumsum(n_tri)[:-1]
-    split = lambda x, cut: pa.array([p.tobytes() for p in np.split(x, cut)], pa.binary())
-    types = np.zeros(len(rows), np.int64)
-    types[0] = known.sum()
-    return pa.table([rows.column("block"), rows.column("shard"), pa.array(types), split(found[of_word].astype("<i8"), cut_w), split(a[of_tri], cut_t), split(b[of_tri], cut_t)], names=["block", "shard", "types", "counts", "a", "b"])
+    found = np.diff(sums.astype(np.int64))
+    of_rec = np.empty(len(order), np.int64)
+    of_rec[order] = np.repeat(np.arange(len(first)), np.diff([*first, len(order)]))
+    pieces = lambda x, size: np.split(x, np.cumsum(size)[:-1])
+    types = np.zeros(len(table), np.int64)
+    types[0] = (total > 0).sum()
+    split = np.bincount(hot_at[uv[seen & (u1 == n)]], minlength=len(hot.hashes)) if len(hot.hashes) else np.zeros(0, np.int64)
+    codes = [pa.array([p.tobytes() for p in pieces(x[of_rec], n_rec)], pa.binary()) for x in (a, b)]
+    return pa.table([table.column("block"), table.column("shard"), pa.array(types), pa.array([split if i == 0 else [] for i in range(len(table))], pa.list_(pa.int64())), pa.array([squeeze(p) for p in pieces(found[word], n_words)], pa.binary()), *codes], names=["block", "shard", "types", "split", "counts", "a", "b"])
 
 
 def score(docs: DataFrame, trained: F.Column) -> DataFrame:
     """Train on the rows that ``trained`` marks and score all: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score."""
     rows = save(blocks(docs, trained), "lm-blocks")
-    n_blocks = rows.count()
-    n_shards = max(LEAST_SHARDS, -(-n_blocks // BLOCKS_PER_SHARD))
-    answers = save(questions(rows, n_shards).groupBy("shard").applyInArrow(_answers, ANSWER), "lm-answers")
+    n_shards = max(LEAST_SHARDS, -(-rows.count() // BLOCKS_PER_SHARD))
+    n_train, hot = split_words(rows, n_shards)
+    answers = save(questions(rows, n_shards, hot).groupBy("shard").applyInArrow(lambda table: answer(table, hot), ANSWER), "lm-answers")
     n_types = answers.agg(F.sum("types")).first()[0] or 0
+    next_types = np.zeros(len(hot.hashes))
+    for r in answers.select(F.posexplode("split").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each split word
+        next_types[r.i] = r.n
+    back2 = np.where(hot.totals > 0, DISCOUNT * next_types / np.maximum(hot.totals, 1), 1.0)
     ids = rows.schema["ids"].dataType.elementType
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(np.frombuffer(a, "<i4").astype(np.int64)[np.frombuffer(f, np.uint8) > 0].sum()) for a, f in zip(batch.column("lengths").to_pylist(), batch.column("trained").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
-
-    n_train = rows.select("lengths", "trained").mapInArrow(tokens, "n long").agg(F.sum("n")).first()[0] or 0
-
     def finish(row: dict, replies: list[dict]) -> pa.RecordBatch:
-        b = Block(row)
-        sw, st = b.shards(n_shards)
+        b = Block(row, hot)
+        sw, sr = b.shards(n_shards)
         count, a, back = np.zeros(len(b.words), np.int64), np.zeros(len(b.v)), np.ones(len(b.v))
-        ow, ot = np.argsort(sw, kind="stable"), np.argsort(st, kind="stable")
+        ow, ot = np.argsort(sw, kind="stable"), np.argsort(sr, kind="stable")
         for r in replies:
             s = [r["shard"], r["shard"] + 1]
-            count[ow[slice(*np.searchsorted(sw, s, sorter=ow))]] = np.frombuffer(r["counts"], "<i8")
-            i = ot[slice(*np.searchsorted(st, s, sorter=ot))]
+            i = ow[slice(*np.searchsorted(sw, s, sorter=ow))]
+            count[i] = expand(r["counts"], len(i))
+            i = ot[slice(*np.searchsorted(sr, s, sorter=ot))]
             a[i], back[i] = DECODE[np.frombuffer(r["a"], np.uint8)], DECODE[np.frombuffer(r["b"], np.uint8)]
+        i = b.split
+        a[i] += back[i] * a[b.n_tri :][b.two]
+        back[i] *= back2[b.hot_at[b.v[i]]]
         if n_train:
             p1 = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * n_types / (n_types + 1)) / n_train
             p = np.minimum(a[b.inverse] + back[b.inverse] * p1[b.t], 1.0)
@@ -405,7 +551,7 @@ def score(docs: DataFrame, trained: F.Column) -> DataFrame:
     pa_id = to_arrow_type(ids)
     empty = pa.table([pa.array([], t) for t in (pa_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     schema = f"doc_id {ids.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, schema)
+    return rows.groupBy("block").cogroup(answers.drop("split", "types").groupBy("block")).applyInArrow(join, schema)
 
 
 def op3(docs: DataFrame) -> DataFrame:

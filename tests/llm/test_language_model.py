@@ -55,8 +55,9 @@ def rows():
     return [*enumerate([*texts, None, "", " \n", "The THE the", *texts[:5]]), (3, texts[3]), (None, texts[4])]
 
 
-@pytest.mark.parametrize("partitions", [1, 5])
-def test_scores(spark, partitions):
+@pytest.mark.parametrize("partitions,hot", [(1, 2.0), (5, 2.0), (5, 0.02), (1, 0.2)])
+def test_scores(spark, partitions, hot, monkeypatch):
+    monkeypatch.setattr(lm, "HOT", hot)  # with small values, every frequent word is split
     data = rows()
     docs = spark.createDataFrame([(i, t, 1, "x", "x") for i, t in data], "doc_id long, text string, block long, words string, score string").repartition(partitions)
     got = sorted((tuple(r) for r in lm.op3(docs).collect()), key=str)
@@ -69,6 +70,43 @@ def test_scores(spark, partitions):
     assert abs(sum(g[6] for g in got) / sum(w[6] for w in want) - 1) < 0.01
 
 
+def test_words_that_share_half_a_hash_stay_apart(spark):
+    ids = [i for i in range(200) if brute.crc_bucket(i, 7) != 2][:61]
+    data = [(i, "x w26041") for i in ids[:60]] + [(ids[60], "x w95849")]
+    got = {r.doc_id: r.score for r in lm.op3(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    want = plain(data)
+    assert all(abs(got[i] - w[5]) < 0.12 for (i, _), w in zip(data, want, strict=True))
+    assert got[ids[60]] < got[ids[0]] - 1.5
+
+
+def test_split_words_are_found(spark, monkeypatch):
+    data = [(i, "the a the b the c the d " * 20) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    rows = lm.save(lm.blocks(docs, lm.crc_bucket(lm.F.col("doc_id"), 7) != 2), "t")
+    n_train, hot = lm.split_words(rows, 16)
+    trained = sum(brute.crc_bucket(i, 7) != 2 for i in range(40))
+    at = {h: k for k, h in enumerate(hot.hashes.tolist())}
+    the = at[lm.xxhash.xxh64_intdigest(b"the")]
+    assert n_train == trained * 161 and hot.parts[the] == 8 and hot.totals[the] == trained * 80
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 300)), max_size=120), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 400)), max_size=40), st.integers(1, 40))
+def test_search_inside_a_context(children, asked, chunk):
+    old, lm.CHUNK = lm.CHUNK, chunk
+    try:
+        have = np.array(sorted(set(children)), np.int64).reshape(-1, 2)
+        parts = lm.load(np.frombuffer(lm.dump(lm.Level.build(have[:, 0], have[:, 1], 8)), np.uint8))
+        ef = [lm.EliasFano(int(p[0][0]), int(p[0][1]), p[3], p[2], p[1]) for p in (parts[:4], parts[4:])]
+        q = np.array(sorted([*asked, *map(tuple, have[::3].tolist())]), np.int64).reshape(-1, 2)
+        place, found = lm.Level(*ef).find(q[:, 0], q[:, 1])
+        known = {tuple(x): i for i, x in enumerate(have.tolist())}
+        assert found.tolist() == [tuple(x) in known for x in q.tolist()]
+        assert all(place[i] == known[tuple(x)] for i, x in enumerate(q.tolist()) if found[i])
+    finally:
+        lm.CHUNK = old
+
+
 def test_empty_and_untrained(spark):
     schema = "doc_id long, text string"
     assert lm.op3(spark.createDataFrame([], schema)).count() == 0
