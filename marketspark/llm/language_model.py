@@ -5,19 +5,20 @@ Smoothing: absolute discounting, interpolated from trigrams down to single words
 P3 = a3 + b3 (a2 + b2 P1), with a = (c - D) / c(context), b = D types(context) / c(context) (a = 0, b = 1 if unseen), and
 P1 = (max(c - D, 0) + D V / (V + 1)) / N.
 
-A shard holds the words whose hash it owns, and the contexts that end in one of them. Its trie has the levels word,
-word > next, word > word before, and word > word before > next. A level is an Elias-Fano sequence of word numbers, growing inside
+Documents are read once into blocks of about ``BLOCK_TOKENS`` tokens. Words first get numbers: a shard counts the words whose 64-bit hash it owns,
+in an Elias-Fano sequence of hashes, and gives small numbers to frequent ones. Then a block asks each shard once for every different
+trigram it has, with its training counts besides, so counting and asking share one shuffle. Answers go back to the
+blocks by another. All carry packed arrays, one entry for a word or trigram and block, so frequent ones don't gather in one
+task; the number of shards follows the number of blocks, and a block sends to the shards of its own words only.
+
+A shard's trie has the levels context word > next word, context word > word before, and both > next word, of the contexts that
+end in its words. A level is an Elias-Fano sequence of word numbers, growing inside
 a context's range and raised by the last value before the range, with a second such sequence of pointers to the ranges, and 8-bit
 codes of log probabilities. Levels are mapped from a temporary file while a shard answers (a task's own, deleted with its answer); a lookup takes a
-context's range from the pointers and is a successor search inside it. Words are known by 64-bit hashes, and inside a shard by their rank.
-
-Documents are read once into blocks of about ``BLOCK_TOKENS`` tokens. A block asks each shard once for every different
-word and trigram it has, with its training counts besides, so counting and asking share one shuffle. Answers go back to the
-blocks by a second one. Both carry packed arrays. Frequent words are one entry a block, so they don't gather in one
-task; the number of shards follows the number of blocks, and a block sends to the shards of its own words only.
+context's range from the pointers and is a successor search inside it.
 
-A context word of over ``HOT`` shards' share of all tokens is split: its trigrams go to several shards by the word before, and its bigrams, as
-records of their own, by the next word. Its count is taken before, its number of next words is summed from the
+A context word of over ``HOT`` shards' share of all training tokens is split: its trigrams go to several shards by the word before, and its bigrams, as
+records of their own, by the next word. Its count is known from the words, its number of next words is summed from the
 shards. At most as many words as shards, and no more than ``MOST_HOT``, are split.
 
 A null text is empty: it has only its end. Without training rows N = V = 0 and every token has probability 1 by convention.
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_bucket, discard, mix, save
+from .common import as_bytes, crc_bucket, mix, save
 
 DISCOUNT = 0.75
 BLOCK_TOKENS = 1 << 20
@@ -185,51 +186,63 @@ def _group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-class Trie:
-    """The model of one shard, over mapped memory.
+class Words:
+    """Words of one shard, over mapped memory: hashes and running sums of their counts."""
 
-    words: hashes, whose ranks are the word numbers; counts: their running sums. ctx: numbers of context words. code_*: a of an entry or b of a context.
-    """
+    def __init__(self, blob: np.ndarray):
+        a = load(blob)
+        self.hashes, self.sums = (EliasFano(int(a[i][0]), int(a[i][1]), a[i + 3], a[i + 2], a[i + 1]) for i in (0, 4))
+
+    @staticmethod
+    def build(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+        return dump([*EliasFano.of(hashes).parts(), *EliasFano.of(np.cumsum(counts).astype(np.uint64)).parts()])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of growing hashes that are there."""
+        place, known = self.hashes.successor(hashes)
+        assert known.all()
+        before = np.where(place > 0, self.sums[np.maximum(place - 1, 0)], 0)
+        return place, (self.sums[place] - before.astype(np.uint64)).astype(np.int64)
+
+
+class Trie:
+    """The trigrams of one shard, over mapped memory. ctx: numbers of context words; code_*: a of an entry or b of a context."""
 
     def __init__(self, blob: np.ndarray):
         a = load(blob)
         ef = lambda i: EliasFano(int(a[4 * i][0]), int(a[4 * i][1]), a[4 * i + 3], a[4 * i + 2], a[4 * i + 1])
-        self.words, self.counts, self.ctx = ef(0), ef(1), ef(2)
-        self.next2, self.before, self.next3 = (Level(ef(i), ef(i + 1)) for i in (3, 5, 7))
-        self.code2, self.back2, self.code3, self.back3 = a[36:40]
+        self.ctx = ef(0)
+        self.next2, self.before, self.next3 = (Level(ef(i), ef(i + 1)) for i in (1, 3, 5))
+        self.code2, self.back2, self.code3, self.back3 = a[28:32]
 
     @staticmethod
-    def build(words: np.ndarray, counts: np.ndarray, v: np.ndarray, w1: np.ndarray, w3: np.ndarray, c: np.ndarray, hot: dict[int, int]) -> bytes:
-        """From sorted words and their counts, and summed records sorted by the word numbers v, w1, w3; hot: totals of split context words.
-
-        Records of a split word with w1 = len(words) are its bigrams.
-        """
+    def build(v: np.ndarray, w1: np.ndarray, w3: np.ndarray, c: np.ndarray, hot: Hot) -> bytes:
+        """From summed records, sorted by v, w1, w3. w1 is a word's number and one more; those of a split word with w1 = 0 are its bigrams."""
         first_v = _group_starts(v)
         ctx = v[first_v]
         number = np.repeat(np.arange(len(ctx)), np.diff([*first_v, len(v)]))
-        split = np.isin(ctx, np.array(list(hot), np.int64))
-        pair = w1 == len(words)
-        two = np.flatnonzero(~split[number] | pair)  # what the bigrams are summed from
+        hot_at, split = hot.find(ctx)
+        two = np.flatnonzero(~split[number] | (w1 == 0))  # what the bigrams are summed from
         two = two[np.lexsort((w3[two], number[two]))]
         s2 = _group_starts(number[two], w3[two])
         c2 = np.add.reduceat(c[two], s2) if len(two) else c[:0]
         n2, w2 = number[two][s2], w3[two][s2]
         total = np.bincount(n2, c2, minlength=len(ctx))
-        total[split] = [hot[x] for x in ctx[split].tolist()]
+        if split.any():
+            total[split] = hot.totals[hot_at[split]]
         types2 = np.bincount(n2, minlength=len(ctx))
-        three = np.flatnonzero(~pair)
+        three = np.flatnonzero(w1 > 0)
         n3, w1, w3, c = number[three], w1[three], w3[three], c[three]
         s1 = _group_starts(n3, w1)
         n1 = np.repeat(np.arange(len(s1)), np.diff([*s1, len(n3)]))
         c1, types3 = np.bincount(n1, c, minlength=len(s1)), np.bincount(n1, minlength=len(s1))
-        levels = [*EliasFano.of(words).parts(), *EliasFano.of(np.cumsum(counts).astype(np.uint64)).parts(), *EliasFano.of(ctx.astype(np.uint64)).parts()]
-        levels += [*Level.build(n2, w2, len(ctx)), *Level.build(n3[s1], w1[s1], len(ctx)), *Level.build(n1, w3, len(s1))]
+        levels = [*EliasFano.of(ctx.astype(np.uint64)).parts(), *Level.build(n2, w2, len(ctx)), *Level.build(n3[s1], w1[s1], len(ctx)), *Level.build(n1, w3, len(s1))]
         return dump([*levels, encode((c2 - DISCOUNT) / total[n2]), encode(DISCOUNT * types2 / np.maximum(total, 1)), encode((c - DISCOUNT) / c1[n1]), encode(DISCOUNT * types3 / np.maximum(c1, 1))])
 
-    def ask(self, v: np.ndarray, w1: np.ndarray, w3: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ask(self, v: np.ndarray, w1: np.ndarray, w3: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of records sorted by v, w1, w3: codes of a (without the single word's part) and of the single word's factor.
 
-        Of a split word (``hot``), trigrams give their own part only, and bigrams theirs.
+        Of a split word, trigrams give their own part only, and bigrams theirs.
         """
         a, b = np.zeros(len(v)), np.ones(len(v))
         if not len(v) or not self.ctx.n:
@@ -238,14 +251,13 @@ class Trie:
         number, seen = self.ctx.successor(v[starts].astype(np.uint64))
         size = np.diff([*starts, len(v)])
         number, seen = np.repeat(number, size), np.repeat(seen, size)
-        pair = w1 == self.words.n
-        i = np.flatnonzero(seen & (pair | ~hot))
+        i = np.flatnonzero(seen & ((w1 == 0) | ~split))
         i = i[np.lexsort((w3[i], number[i]))]
         place, found = self.next2.find(number[i], w3[i])
         a[i[found]] = DECODE[self.code2[place[found]]]
-        plain = i[~hot[i]]
+        plain = i[~split[i]]
         b[plain] = DECODE[self.back2[number[plain]]]
-        i = np.flatnonzero(seen & ~pair)
+        i = np.flatnonzero(seen & (w1 > 0))
         ctx3, found = self.before.find(number[i], w1[i])
         i, ctx3 = i[found], ctx3[found]
         place, found = self.next3.find(ctx3, w3[i])
@@ -324,33 +336,92 @@ def blocks(docs: DataFrame, trained: F.Column) -> DataFrame:
 
 
 class Hot:
-    """Split context words: sorted hashes, and for each the number of its shards and its training count."""
+    """Split context words: their numbers, growing, and for each the number of its shards and its training count."""
 
     def __init__(self, rows: list[tuple[int, int, int]]):
         rows = sorted(rows)
-        self.hashes = np.array([r[0] for r in rows], np.uint64)
-        self.parts, self.totals = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        self.words, self.parts, self.totals = (np.array([r[k] for r in rows], np.int64) for k in range(3))
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word among them, and whether it is one."""
-        at = np.searchsorted(self.hashes, words)
-        safe = np.minimum(at, max(len(self.hashes) - 1, 0))
-        return safe, (self.hashes[safe] == words) if len(self.hashes) else np.zeros(len(words), bool)
+        if not len(self.words):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return at, self.words[at] == words
 
 
-def columns_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's lengths, trained flags, token numbers, and words with the start mark behind them."""
+def columns_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's lengths, trained flags and token numbers."""
     lengths = np.frombuffer(row["lengths"], "<i4").astype(np.int64)
-    words = np.append(np.frombuffer(row["words"], "<u8"), np.uint64(START))
-    return lengths, np.frombuffer(row["trained"], np.uint8) > 0, expand(row["tokens"], int(lengths.sum())), words
+    return lengths, np.frombuffer(row["trained"], np.uint8) > 0, expand(row["tokens"], int(lengths.sum()))
+
+
+WORD_MESSAGE = "block long, shard int, place binary, words binary, counts binary"
+WORD_ANSWER = "block long, place binary, numbers binary, counts binary, types long, frequent array<struct<number: bigint, n: bigint, start: boolean>>"
+
+
+def word_questions(rows: DataFrame, n_shards: int) -> DataFrame:
+    """The words of blocks by shard: places in the block, hashes and training counts. The start mark is the last word, with count 0."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths, flags, t = columns_of(row)
+                words = np.append(np.frombuffer(row["words"], "<u8"), np.uint64(START))
+                count = np.bincount(t[np.repeat(flags, lengths)], minlength=len(words))
+                shard = (words % np.uint64(n_shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                first = _group_starts(shard[order])
+                parts = np.split(order, first[1:])
+                cols = [[row["block"]] * len(parts), shard[order[first]].tolist(), *([f(p) for p in parts] for f in (squeeze, lambda p: words[p].tobytes(), lambda p: squeeze(count[p])))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), *[pa.binary()] * 3], strict=True)], names=[x.split()[0] for x in WORD_MESSAGE.split(", ")])
+
+    return rows.select("block", "lengths", "trained", "tokens", "words").mapInArrow(go, WORD_MESSAGE)
+
+
+def number_words(table: pa.Table, n_shards: int, least: float) -> pa.Table:
+    """One shard: count its words in all blocks, number them by frequency, and answer each block. ``least``: the count of a frequent word."""
+    words = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("words")]
+    sizes = [len(x) for x in words]
+    every = np.concatenate(words)
+    counts = np.concatenate([expand(x.as_buffer(), n) for x, n in zip(table.column("counts"), sizes, strict=True)])
+    hashes, at = np.unique(every, return_inverse=True)
+    total = np.bincount(at, counts, minlength=len(hashes)).astype(np.int64)
+    blob, path = mapped(Words.build(hashes, total))
+    try:
+        place, found = Words(blob).find(hashes)
+    finally:
+        os.unlink(path)
+    number = np.empty(len(hashes), np.int64)
+    number[np.argsort(-found, kind="stable")] = np.arange(len(hashes))
+    number = number[place] * n_shards + table.column("shard")[0].as_py()
+    frequent = [{"number": int(number[i]), "n": int(total[i]), "start": bool(hashes[i] == START)} for i in np.flatnonzero((total >= least) | (hashes == START))]
+    types = np.zeros(len(table), np.int64)
+    types[0] = (total > 0).sum()
+    cut = np.cumsum(sizes)[:-1]
+    kind = pa.list_(pa.struct([("number", pa.int64()), ("n", pa.int64()), ("start", pa.bool_())]))
+    packed = [pa.array([squeeze(p) for p in np.split(x[at], cut)], pa.binary()) for x in (number, found)]
+    return pa.table([table.column("block"), table.column("place"), *packed, pa.array(types), pa.array([frequent if i == 0 else [] for i in range(len(table))], kind)], names=["block", "place", "numbers", "counts", "types", "frequent"])
+
+
+def numbers_of(replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Number and training count of every word of a block."""
+    places = [expand(r["place"]) if len(r["place"]) > 1 else np.zeros(1, np.int64) for r in replies]
+    out = np.zeros((2, sum(map(len, places))), np.int64)
+    for r, at in zip(replies, places, strict=True):
+        out[0, at], out[1, at] = expand(r["numbers"], len(at)), expand(r["counts"], len(at))
+    return out[0], out[1]
 
 
 class Block:
-    """One block's tokens, and its records: different trigrams in order of (last context word, word before, word), and bigrams of split words."""
+    """One block's tokens, and its records: different trigrams in order of (last context word, word before, word), and bigrams of split words.
 
-    def __init__(self, row: dict, hot: Hot):
-        self.lengths, self.flags, self.t, self.words = columns_of(row)
-        n = len(self.words)
+    words: the numbers of its words, that of the start mark last.
+    """
+
+    def __init__(self, row: dict, words: np.ndarray, hot: Hot):
+        self.lengths, self.flags, self.t = columns_of(row)
+        self.words, n = words, len(words)
         self.first = first = np.cumsum(self.lengths) - self.lengths
         p1 = np.concatenate([[n - 1], self.t[:-1]])
         p1[first] = n - 1
@@ -360,178 +431,127 @@ class Block:
         tri, self.inverse = np.unique(pair * n + self.t, return_inverse=True)
         pair = tri // n
         v, w1, w3 = pairs[pair] // n, pairs[pair] % n, tri % n
-        self.hot_at, self.hot = hot.find(self.words)
+        self.hot_at, self.hot = hot.find(words)
         self.split = np.flatnonzero(self.hot[v])
         two, self.two = np.unique(v[self.split] * n + w3[self.split], return_inverse=True)
         self.n_tri = len(tri)
         self.v, self.w1, self.w3 = (np.concatenate(x) for x in ((v, two // n), (w1, np.full(len(two), n)), (w3, two % n)))
         self.parts = np.where(self.hot, hot.parts[self.hot_at], 1) if len(hot.parts) else np.ones(n, np.int64)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of words and of records."""
-        w = np.repeat(self.flags, self.lengths)
-        tri = np.bincount(self.inverse[w], minlength=self.n_tri)
+    def counts(self) -> np.ndarray:
+        """Training counts of records."""
+        tri = np.bincount(self.inverse[np.repeat(self.flags, self.lengths)], minlength=self.n_tri)
         two = np.bincount(self.two, tri[self.split], minlength=len(self.v) - self.n_tri).astype(np.int64)
-        return np.bincount(self.t[w], minlength=len(self.words)), np.concatenate([tri, two])
+        return np.concatenate([tri, two])
 
-    def shards(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shard of each word and of each record."""
-        own = (self.words % np.uint64(n)).astype(np.int64)
+    def shards(self, n: int) -> np.ndarray:
+        """Shard of each record."""
         other = np.where(self.w1 < len(self.words), self.w1, self.w3)
-        return own, (own[self.v] + (mix(self.words)[other] % self.parts[self.v].astype(np.uint64)).astype(np.int64)) % n
+        return (self.words[self.v] + (mix(self.words.astype(np.uint64))[other] % self.parts[self.v].astype(np.uint64)).astype(np.int64)) % n
 
 
-def split_words(rows: DataFrame, n_shards: int) -> tuple[int, Hot]:
-    """Number of training tokens, and the context words of over ``HOT`` shards' share of all tokens.
+MESSAGE = "block long, shard int, v binary, v_n binary, w1 binary, w3 binary, c binary"
+ANSWER = "block long, shard int, split array<long>, a binary, b binary"
 
-    A word that is half as frequent in a block is a candidate; in other blocks together it has less than half of the share, so half of it is enough for the sum over candidates.
-    """
-    share = HOT / min(n_shards, MOST_HOT)
-    signed = lambda x: x.view(np.int64)
 
-    def counted(batches: Iterator[pa.RecordBatch], only: Hot | None = None) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths, flags, t, words = columns_of(row)
-                w = np.repeat(flags, lengths)
-                n = np.bincount(t if only is None else t[w], minlength=len(words))
-                n[-1] = len(lengths) if only is None else flags.sum()
-                n[words == np.uint64(END)] = 0  # no context
-                i = np.flatnonzero(n >= max(1, share / 2 * len(t)) if only is None else only.find(words)[1])
-                yield pa.RecordBatch.from_arrays([pa.array([None, *signed(words[i])], pa.int64()), pa.array([len(t), *n[i]], pa.int64()), pa.array([int(w.sum()), *[0] * len(i)], pa.int64())], names=["word", "n", "trained"])
-
-    sums = lambda f: rows.select("lengths", "trained", "tokens", "words").mapInArrow(f, "word long, n long, trained long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
-    found = save(sums(counted), "lm-frequent")
-    every = found.filter("word is null").first()
-    n_tokens, n_train = (every.n, every.trained) if every else (0, 0)
-    frequent = found.filter((F.col("word").isNotNull()) & (F.col("n") >= share / 2 * n_tokens)).collect()  # at most 2 / share words
-    discard(found)
-    parts = {r.word & (1 << 64) - 1: -(-r.n * n_shards // n_tokens) for r in frequent}
-    parts = {w: int(m) for w, m in parts.items() if m > 1}
-    if not parts:
-        return n_train, Hot([])
-    only = Hot([(w, m, 0) for w, m in parts.items()])
-    totals = {r.word & (1 << 64) - 1: r.n for r in sums(lambda batches: counted(batches, only)).filter("word is not null").collect()}
-    return n_train, Hot([(w, m, totals[w]) for w, m in parts.items()])
-
-
-MESSAGE = "block long, shard int, words binary, counts binary, near binary, v binary, v_n binary, w1 binary, w3 binary, c binary"
-ANSWER = "block long, shard int, types long, split array<long>, counts binary, a binary, b binary"
-
-
-def questions(rows: DataFrame, n_shards: int, hot: Hot) -> DataFrame:
-    """What blocks ask of shards, with their training counts.
-
-    words, counts: those that the shard owns. near: sorted hashes of the words of the records; v (with v_n records each), w1 and w3
-    are places in it, w1 behind its end for a bigram.
-    """
+def questions(rows: DataFrame, words: DataFrame, n_shards: int, hot: Hot) -> DataFrame:
+    """What blocks ask of shards, with their training counts: numbers of context words v, v_n records for each, and w1 (one more; 0 for a bigram), w3 and c of these."""
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = Block(row, hot)
-                uni, count = b.counts()
-                sw, sr = b.shards(n_shards)
-                ow, ot = np.argsort(sw, kind="stable"), np.argsort(sr, kind="stable")
-                asked = np.union1d(sw, sr)
-                cw, ct = (np.searchsorted(x, np.append(asked, n_shards)) for x in (sw[ow], sr[ot]))
-                by_hash = np.argsort(b.words, kind="stable")
-                rank = np.empty(len(by_hash) + 1, np.int64)
-                rank[by_hash], rank[-1] = np.arange(len(by_hash)), len(by_hash)
-                v, w1, w3 = rank[b.v], rank[b.w1], rank[b.w3]
-                out = []
-                for k, s in enumerate(asked.tolist()):
-                    i, j = ow[cw[k] : cw[k + 1]], ot[ct[k] : ct[k + 1]]
-                    used = np.zeros(len(rank), bool)
-                    for x in (v, w1, w3):
-                        used[x[j]] = True
-                    used[-1] = False
-                    near = np.cumsum(used) - used
-                    starts = _group_starts(v[j])
-                    out.append((row["block"], s, b.words[i].tobytes(), squeeze(uni[i]), b.words[by_hash[used[:-1]]].tobytes(), squeeze(near[v[j][starts]]), squeeze(np.diff([*starts, len(j)])), squeeze(near[w1[j]]), squeeze(near[w3[j]]), squeeze(count[j])))
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 8]
-                names = [x.split()[0] for x in MESSAGE.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    return rows.select("block", "lengths", "trained", "tokens", "words").mapInArrow(go, MESSAGE)
-
-
-def in_order(v: np.ndarray, w1: np.ndarray, w3: np.ndarray, n: int) -> np.ndarray:
-    """The order by v, w1, w3 of numbers up to n."""
-    if (n + 1) ** 3 < 1 << 63:
-        return np.argsort((v * (n + 1) + w1) * (n + 1) + w3, kind="stable")
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            b = Block(row, numbers_of(right.to_pylist())[0], hot)
+            count, shard = b.counts(), b.shards(n_shards)
+            order = np.argsort(shard, kind="stable")
+            first = _group_starts(shard[order])
+            before = np.append(b.words + 1, 0)
+            for j in np.split(order, first[1:]):
+                starts = _group_starts(b.v[j])
+                out.append((row["block"], int(shard[j[0]]), squeeze(b.words[b.v[j][starts]]), squeeze(np.diff([*starts, len(j)])), squeeze(before[b.w1[j]]), squeeze(b.words[b.w3[j]]), squeeze(count[j])))
+        cols = list(zip(*out, strict=True)) if out else [[]] * 7
+        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), *[pa.binary()] * 5], strict=True)], names=[x.split()[0] for x in MESSAGE.split(", ")])
+
+    return rows.select("block", "lengths", "trained", "tokens").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(go, MESSAGE)
+
+
+def in_order(v: np.ndarray, w1: np.ndarray, w3: np.ndarray) -> np.ndarray:
+    """The order by v, w1, w3."""
+    n1, n3 = (int(x.max()) + 1 if len(x) else 1 for x in (w1, w3))
+    if (int(v.max()) + 1 if len(v) else 1) * n1 * n3 < 1 << 63:
+        return np.argsort((v * n1 + w1) * n3 + w3, kind="stable")
     return np.lexsort((w3, w1, v))
 
 
 def answer(table: pa.Table, hot: Hot) -> pa.Table:
     """One shard: sum the counts of all blocks, build the trie, and answer each block in its own order."""
-    raw = lambda c: [np.frombuffer(x.as_buffer(), "<u8") for x in table.column(c)]
     packed = lambda c, n: [expand(x.as_buffer(), k) for x, k in zip(table.column(c), n, strict=True)]
-    words, near = raw("words"), raw("near")
-    vocabulary = np.unique(np.concatenate([*words, *near]))
-    n = len(vocabulary)
-    n_words = [len(x) for x in words]
-    word = np.searchsorted(vocabulary, np.concatenate(words))
-    counts = np.concatenate(packed("counts", n_words))
-    sizes = packed("v_n", [(len(x.as_buffer()) - 1) // max(1, x.as_buffer()[0]) for x in table.column("v_n")])  # no size is zero
+    sizes = [expand(x.as_buffer()) for x in table.column("v_n")]  # no size is zero
     n_rec = [int(x.sum()) for x in sizes]
-    ids = [np.append(np.searchsorted(vocabulary, x), n) for x in near]
-    v = np.concatenate([np.repeat(i[x], k) for i, x, k in zip(ids, packed("v", [len(x) for x in sizes]), sizes, strict=True)])
-    w1, w3 = (np.concatenate([i[x] for i, x in zip(ids, packed(c, n_rec), strict=True)]) for c in ("w1", "w3"))
-    c = np.concatenate(packed("c", n_rec))
-    total = np.bincount(word, counts, minlength=n).astype(np.int64)
-    order = in_order(v, w1, w3, n)
-    first = _group_starts(v[order], w1[order], w3[order])
-    uv, u1, u3 = v[order][first], w1[order][first], w3[order][first]
-    uc = np.add.reduceat(c[order], first) if len(order) else c
-    seen = uc > 0
-    hot_at, is_hot = hot.find(vocabulary)
-    blob, path = mapped(Trie.build(vocabulary, total, uv[seen], u1[seen], u3[seen], uc[seen], {int(i): int(hot.totals[hot_at[i]]) for i in np.flatnonzero(is_hot)}))
+    v = np.concatenate([np.repeat(x, k) for x, k in zip(packed("v", [len(x) for x in sizes]), sizes, strict=True)])
+    w1, w3, c = (np.concatenate(packed(x, n_rec)) for x in ("w1", "w3", "c"))
+    order = in_order(v, w1, w3)
+    v, w1, w3, c = v[order], w1[order], w3[order], c[order]
+    first = _group_starts(v, w1, w3)
+    of_rec = np.empty(len(order), np.int64)
+    of_rec[order] = np.repeat(np.arange(len(first)), np.diff([*first, len(order)]))
+    v, w1, w3, c = v[first], w1[first], w3[first], np.add.reduceat(c, first)
+    seen = c > 0
+    hot_at, split = hot.find(v)
+    blob, path = mapped(Trie.build(v[seen], w1[seen], w3[seen], c[seen], hot))
     try:
-        trie = Trie(blob)
-        a, b = trie.ask(uv, u1, u3, is_hot[uv])
-        sums = np.append(np.uint64(0), trie.counts[np.arange(n)])
+        codes = Trie(blob).ask(v, w1, w3, split)
     finally:
         os.unlink(path)
-    found = np.diff(sums.astype(np.int64))
-    of_rec = np.empty(len(order), np.int64)
-    of_rec[order] = np.repeat(np.arange(len(first)), np.diff([*first, len(order)]))
-    pieces = lambda x, size: np.split(x, np.cumsum(size)[:-1])
-    types = np.zeros(len(table), np.int64)
-    types[0] = (total > 0).sum()
-    split = np.bincount(hot_at[uv[seen & (u1 == n)]], minlength=len(hot.hashes)) if len(hot.hashes) else np.zeros(0, np.int64)
-    codes = [pa.array([p.tobytes() for p in pieces(x[of_rec], n_rec)], pa.binary()) for x in (a, b)]
-    return pa.table([table.column("block"), table.column("shard"), pa.array(types), pa.array([split if i == 0 else [] for i in range(len(table))], pa.list_(pa.int64())), pa.array([squeeze(p) for p in pieces(found[word], n_words)], pa.binary()), *codes], names=["block", "shard", "types", "split", "counts", "a", "b"])
+    cut = np.cumsum(n_rec)[:-1]
+    types = np.bincount(hot_at[seen & split & (w1 == 0)], minlength=len(hot.words)) if len(hot.words) else np.zeros(0, np.int64)
+    a, b = (pa.array([p.tobytes() for p in np.split(x[of_rec], cut)], pa.binary()) for x in codes)
+    return pa.table([table.column("block"), table.column("shard"), pa.array([types if i == 0 else [] for i in range(len(table))], pa.list_(pa.int64())), a, b], names=["block", "shard", "split", "a", "b"])
+
+
+def training_size(rows: DataFrame) -> tuple[int, int]:
+    """Numbers of training tokens and of training documents."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.frombuffer(a, "<i4").astype(np.int64)[np.frombuffer(f, np.uint8) > 0] for a, f in zip(batch.column("lengths").to_pylist(), batch.column("trained").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in n], pa.int64()), pa.array([len(x) for x in n], pa.int64())], names=["tokens", "docs"])
+
+    r = rows.select("lengths", "trained").mapInArrow(go, "tokens long, docs long").agg(F.sum("tokens"), F.sum("docs")).first()
+    return r[0] or 0, r[1] or 0
 
 
 def score(docs: DataFrame, trained: F.Column) -> DataFrame:
     """Train on the rows that ``trained`` marks and score all: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score."""
     rows = save(blocks(docs, trained), "lm-blocks")
     n_shards = max(LEAST_SHARDS, -(-rows.count() // BLOCKS_PER_SHARD))
-    n_train, hot = split_words(rows, n_shards)
-    answers = save(questions(rows, n_shards, hot).groupBy("shard").applyInArrow(lambda table: answer(table, hot), ANSWER), "lm-answers")
-    n_types = answers.agg(F.sum("types")).first()[0] or 0
-    next_types = np.zeros(len(hot.hashes))
+    n_train, n_docs = training_size(rows)
+    least = max(1.0, n_train * HOT / min(n_shards, MOST_HOT))
+    words = save(word_questions(rows, n_shards).groupBy("shard").applyInArrow(lambda table: number_words(table, n_shards, least), WORD_ANSWER), "lm-words")
+    n_types = words.agg(F.sum("types")).first()[0] or 0
+    frequent = [(r.number, n_docs if r.start else r.n) for r in words.select(F.explode("frequent").alias("f")).select("f.*").distinct().collect()]  # at most min(n_shards, MOST_HOT) / HOT + 1 words
+    words = words.select("block", "place", "numbers", "counts")
+    hot = Hot([(w, -(-n * n_shards // n_train), n) for w, n in frequent if n >= least])
+    answers = save(questions(rows, words, n_shards, hot).groupBy("shard").applyInArrow(lambda table: answer(table, hot), ANSWER), "lm-answers")
+    next_types = np.zeros(len(hot.words))
     for r in answers.select(F.posexplode("split").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row for each split word
         next_types[r.i] = r.n
-    back2 = np.where(hot.totals > 0, DISCOUNT * next_types / np.maximum(hot.totals, 1), 1.0)
+    back2 = DISCOUNT * next_types / np.maximum(hot.totals, 1)
     ids = rows.schema["ids"].dataType.elementType
 
     def finish(row: dict, replies: list[dict]) -> pa.RecordBatch:
-        b = Block(row, hot)
-        sw, sr = b.shards(n_shards)
-        count, a, back = np.zeros(len(b.words), np.int64), np.zeros(len(b.v)), np.ones(len(b.v))
-        ow, ot = np.argsort(sw, kind="stable"), np.argsort(sr, kind="stable")
+        numbers, count = numbers_of([r for r in replies if r["place"] is not None])
+        b = Block(row, numbers, hot)
+        shard = b.shards(n_shards)
+        a, back = np.zeros(len(b.v)), np.ones(len(b.v))
+        order = np.argsort(shard, kind="stable")
         for r in replies:
-            s = [r["shard"], r["shard"] + 1]
-            i = ow[slice(*np.searchsorted(sw, s, sorter=ow))]
-            count[i] = expand(r["counts"], len(i))
-            i = ot[slice(*np.searchsorted(sr, s, sorter=ot))]
-            a[i], back[i] = DECODE[np.frombuffer(r["a"], np.uint8)], DECODE[np.frombuffer(r["b"], np.uint8)]
+            if r["place"] is None:
+                i = order[slice(*np.searchsorted(shard, [r["shard"], r["shard"] + 1], sorter=order))]
+                a[i], back[i] = DECODE[np.frombuffer(r["a"], np.uint8)], DECODE[np.frombuffer(r["b"], np.uint8)]
         i = b.split
-        a[i] += back[i] * a[b.n_tri :][b.two]
-        back[i] *= back2[b.hot_at[b.v[i]]]
+        if len(i):
+            a[i] += back[i] * a[b.n_tri :][b.two]
+            back[i] *= back2[b.hot_at[b.v[i]]]
         if n_train:
             p1 = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * n_types / (n_types + 1)) / n_train
             p = np.minimum(a[b.inverse] + back[b.inverse] * p1[b.t], 1.0)
@@ -551,7 +571,8 @@ def score(docs: DataFrame, trained: F.Column) -> DataFrame:
     pa_id = to_arrow_type(ids)
     empty = pa.table([pa.array([], t) for t in (pa_id, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     schema = f"doc_id {ids.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.drop("split", "types").groupBy("block")).applyInArrow(join, schema)
+    both = words.unionByName(answers.drop("split"), allowMissingColumns=True)
+    return rows.drop("words").groupBy("block").cogroup(both.groupBy("block")).applyInArrow(join, schema)
 
 
 def op3(docs: DataFrame) -> DataFrame:
