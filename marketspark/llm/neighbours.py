@@ -1,10 +1,11 @@
 """Approximate nearest neighbours over balanced posting lists.
 
-Centroids are fitted on a bounded sample (``SAMPLE`` rows, the lowest hashes of vec_id) by spherical k-means whose large
-clusters are split until sizes are even; there are at most ``MOST_LISTS``. A graph over the centroids, held in
-memory, is searched best-first to find the lists of a vector. Every vector is indexed: it goes to its nearest list
+Cells: centroids are fitted on a bounded sample (``SAMPLE`` rows, the lowest hashes of vec_id) by spherical k-means whose large
+clusters are split until sizes are even; there are about n / ``LIST_SIZE``, at most ``MOST_CELLS``, so they can be sent to every task. A graph over the centroids, held in
+memory, is searched with a bounded pool to find the lists of a vector. Every vector is indexed: it goes to its nearest list
 and, near a boundary, to up to ``COPIES`` lists. A query reads the lists whose distance is at most ``RATIO`` times that
-of its nearest list. Queries that find fewer than asked for, in lists of a few vectors, are compared with all vectors afterwards; they
+of its nearest list; its pool is doubled while the last list in it is still near enough. In larger tables a cell is divided in the same way, by centroids fitted in a task on a
+bounded sample of the cell (``CELL_SAMPLE``), so that lists keep their size and their number grows with the table. Queries that find fewer than asked for, in lists of a few vectors, are compared with all vectors afterwards; they
 are at most a few for each list. Scores are cosines of the original vectors in double precision; ties go to the smaller vec_id.
 
 A list of more than ``PART`` vectors is dealt out in parts, and so are the queries of a list, so no group is unbounded.
@@ -25,7 +26,13 @@ from pyspark.sql import functions as F
 from .common import save
 
 SAMPLE = 20000
-MOST_LISTS = 1024
+MOST_CELLS = 1024
+#: Rows of a cell that its own centroids are fitted on, at most, and rows for each centroid.
+CELL_SAMPLE = 1 << 16
+ROWS_EACH = 16
+#: Lists in the pool of a search, for vectors and, at first, for queries.
+POOL = 16
+ASK_POOL = 32
 LIST_SIZE = 256
 COPIES = 4
 BOUNDARY = 1.08
@@ -62,34 +69,71 @@ class Centroids:
 
     def __init__(self, c: np.ndarray):
         self.c = c
-        sims = c @ c.T
-        np.fill_diagonal(sims, -2)
         k = min(DEGREE, len(c) - 1)
-        order = np.argsort(-sims, axis=1, kind="stable")
-        far = order[:, np.linspace(k, len(c) - 2, 8).astype(int)] if len(c) > k + 1 else order[:, :0]
-        self.links = np.concatenate([order[:, :k], far], axis=1) if k else np.zeros((len(c), 0), np.int64)
+        self.links = np.zeros((len(c), k + 8 if len(c) > k + 1 else k), np.int64)
+        for at in range(0, len(c), 1024):
+            sims = c[at : at + 1024] @ c.T
+            sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
+            order = np.argsort(-sims, axis=1, kind="stable")
+            self.links[at : at + 1024, :k] = order[:, :k]
+            if len(c) > k + 1:
+                self.links[at : at + 1024, k:] = order[:, np.linspace(k, len(c) - 2, 8).astype(int)]
+        self.entries = np.unique(np.linspace(0, len(c) - 1, max(1, int(len(c) ** 0.5))).astype(int))
+        self.expanded = 0
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the ``width`` nearest centroids found, nearest first, and their similarities."""
+        """For each row the ``width`` nearest centroids found, nearest first, and their similarities.
+
+        A pool of ``width`` centroids, from some spread-out ones on: the links of the best that are not yet followed are looked at, until all in the pool are.
+        ``expanded`` counts the centroids followed.
+        """
         n, k = len(x), len(self.c)
         width = min(width, k)
-        sim = np.full((n, k), -2.0)
-        done = np.zeros((n, k), bool)
-        rows = np.arange(n)
-        sim[:, 0] = x @ self.c[0]
-        while True:
-            todo = np.where(done, -2.0, sim)
-            best = todo.argmax(1)
-            worst = np.partition(sim, k - width, axis=1)[:, k - width]
-            go = np.flatnonzero((todo[rows, best] > -2.0) & (todo[rows, best] >= worst))
-            if not len(go):
-                break
-            done[go, best[go]] = True
-            near = self.links[best[go]]
-            if near.shape[1]:
-                sim[go[:, None], near] = np.einsum("nd,nkd->nk", x[go], self.c[near])
-        order = np.argsort(-sim, axis=1, kind="stable")[:, :width]
-        return order, np.take_along_axis(sim, order, 1)
+        if k <= 2 * width:
+            sims = x @ self.c.T
+            order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+            return order, np.take_along_axis(sims, order, 1)
+        start = x @ self.c[self.entries].T
+        top = np.argsort(-start, axis=1, kind="stable")[:, :width]
+        pool, sim = np.full((n, width), -1), np.full((n, width), -3.0)
+        pool[:, : top.shape[1]], sim[:, : top.shape[1]] = self.entries[top], np.take_along_axis(start, top, 1)
+        done = sim == -3.0
+        go = np.arange(n)
+        while len(go):
+            todo = np.where(done[go], -3.0, sim[go])
+            best = np.argsort(-todo, axis=1, kind="stable")[:, :4]
+            fresh = np.take_along_axis(todo, best, 1) > -3.0
+            self.expanded += int(fresh.sum())
+            i, j = np.nonzero(fresh)
+            done[go[i], best[i, j]] = True
+            near = np.where(fresh[:, :, None], self.links[np.take_along_axis(pool[go], best, 1)], -1).reshape(len(go), -1)
+            near.sort(axis=1)
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+            near[(near[:, :, None] == pool[go][:, None, :]).any(2)] = -1
+            i, j = np.nonzero(near >= 0)
+            found = np.full(near.shape, -3.0)
+            found[i, j] = np.einsum("nd,nd->n", x[go[i]], self.c[near[i, j]])
+            every = np.concatenate([sim[go], found], axis=1)
+            keep = np.argpartition(-every, width - 1, axis=1)[:, :width]
+            pool[go] = np.take_along_axis(np.concatenate([pool[go], near], axis=1), keep, 1)
+            done[go] = np.take_along_axis(np.concatenate([done[go], found == -3.0], axis=1), keep, 1)
+            sim[go] = np.take_along_axis(every, keep, 1)
+            go = go[~done[go].all(1)]
+        order = np.argsort(-sim, axis=1, kind="stable")
+        return np.take_along_axis(pool, order, 1), np.take_along_axis(sim, order, 1)
+
+    def within(self, x: np.ndarray, ratio: float, most: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and their lists: those at most ``ratio`` times as far as the nearest, at most ``most``."""
+        rows, out = np.arange(len(x)), []
+        while len(rows):
+            lists, sim = self.search(x[rows], width)
+            far = np.sqrt(np.maximum(2 - 2 * sim, 0))
+            fine = (far <= ratio * far[:, :1] + 1e-12) & (sim > -3.0)
+            open_ = fine[:, -1] & (lists.shape[1] < min(most, len(self.c)))
+            i, j = np.nonzero(fine[~open_][:, :most])
+            out.append((rows[~open_][i], lists[~open_][i, j]))
+            rows, width = rows[open_], 2 * width
+        return tuple(np.concatenate(p) if p else np.zeros(0, np.int64) for p in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def usable(v: Column) -> Column:
@@ -159,38 +203,70 @@ def tops(asked: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top:
     return tuple(np.concatenate([o[m] for o in out]) if out else np.zeros(0, t) for m, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
 
 
+def divide(placed: DataFrame, dim: int, lists_of, listed: str) -> DataFrame:
+    """Rows of cells (list, ask, id, v) dealt to lists inside the cells."""
+    sizes = placed.filter("not ask").groupBy("list").agg(F.count("*").alias("n"))
+    sizes = F.broadcast(sizes.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))  # a row for each cell
+    rate = F.least(F.lit(ROWS_EACH / LIST_SIZE), F.lit(float(CELL_SAMPLE)) / F.col("n"))
+    few = placed.join(sizes, "list").filter(~F.col("ask") & (F.pmod(F.xxhash64("id", F.lit("cell")), F.lit(1 << 20)) < rate * (1 << 20)))
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x = _unit(_rows(table.column("v").combine_chunks(), dim))
+        c = kmeans(x, max(1, len(x) // ROWS_EACH))
+        return pa.table([table.column("list").slice(0, 1), pa.array([c.tobytes()], pa.binary())], names=["list", "c"])
+
+    fitted = few.select("list", "v").groupBy("list").applyInArrow(fit, "list long, c binary")
+    every = sizes.join(fitted, "list", "left").select(F.col("list").alias("cell"), "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("of"))
+    dealt = placed.join(sizes.select("list", "parts"), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = right.column("c")[0].as_py() if len(right) else None
+        cell = left.column("list")[0].as_py() if len(left) else 0
+        by = Centroids(np.frombuffer(c).reshape(-1, dim) if c else np.ones((1, dim)) / dim**0.5)
+        out = [lists_of(b.slice(at, 2048), by, cell << 32) for b in left.combine_chunks().to_batches() for at in range(0, b.num_rows, 2048)]
+        return pa.Table.from_batches(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.float64()))], names=["list", "ask", "id", "v"])
+
+    return dealt.groupBy("list", "part").cogroup(every.groupBy("cell", "of")).applyInArrow(deal, listed)
+
+
 def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, ratio: float = RATIO) -> DataFrame:
     """query_id, rank, vec_id, score of the ``top`` nearest rows found for every row that ``is_query`` marks."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sample = v.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = v.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sample:
+    if not len(sample):
         return vectors.sparkSession.createDataFrame([], schema)
-    lengths = np.bincount([len(r.v) for r in sample])
-    dim = int(lengths.argmax())
-    x = _unit(np.array([r.v for r in sample if len(r.v) == dim]))
+    sample = sample.column("v").combine_chunks()
+    lengths = sample.value_lengths().to_numpy()
+    dim = int(np.bincount(lengths).argmax())
+    x = _unit(_rows(sample.filter(pa.array(lengths == dim)), dim))
     v = v.filter(F.size("v") == dim)
     n = v.count()
-    centroids = Centroids(kmeans(x, max(1, min(MOST_LISTS, n // LIST_SIZE, len(x)))))
-    k = len(centroids.c)
+    centroids = Centroids(kmeans(x, max(1, min(MOST_CELLS, n // LIST_SIZE, len(x)))))
+
+    def lists_of(b: pa.RecordBatch, by: Centroids, first: int) -> pa.RecordBatch:
+        """Rows of (list, ask, id, v) for vectors of (ask, id, v): queries go to lists by ratio, vectors to the nearest and those near a boundary."""
+        x, q = _unit(_rows(b.column("v"), dim)), b.column("ask").to_numpy(zero_copy_only=False).astype(bool)
+        take, lists = [], []
+        for rows, args in ((np.flatnonzero(~q), (BOUNDARY, COPIES, POOL)), (np.flatnonzero(q), (ratio, len(by.c), ASK_POOL))):
+            i, j = by.within(x[rows], *args)
+            take.append(rows[i])
+            lists.append(j)
+        take = np.concatenate(take)
+        picked = pa.array(take)
+        return pa.RecordBatch.from_arrays([pa.array(first + np.concatenate(lists).astype(np.int64)), pa.array(q[take]), b.column("id").take(picked).cast(pa.int64()), b.column("v").take(picked)], names=["list", "ask", "id", "v"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                b = batch.slice(at, 2048)
-                x = _unit(_rows(b.column("v"), dim))
-                q = b.column("q").to_numpy(zero_copy_only=False).astype(bool)
-                for rows, most, within, ask in ((np.arange(len(x)), COPIES, BOUNDARY, False), (np.flatnonzero(q), k, ratio, True)):
-                    if not len(rows):
-                        continue
-                    lists, sim = centroids.search(x[rows], most if ask else 4 * most)
-                    lists, sim = lists[:, :most], sim[:, :most]
-                    far = np.sqrt(np.maximum(2 - 2 * sim, 0))
-                    i, j = np.nonzero(far <= within * far[:, :1] + 1e-12)
-                    take = pa.array(rows[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(lists[i, j].astype(np.int32)), pa.array(np.full(len(i), ask)), b.column("vec_id").take(take).cast(pa.int64()), b.column("v").take(take)], names=["list", "ask", "id", "v"])
-
-    placed = v.mapInArrow(place, "list int, ask boolean, id long, v array<double>")
+                yield lists_of(batch.slice(at, 2048), centroids, 0)
+
+    listed = "list long, ask boolean, id long, v array<double>"
+    both = v.select(F.explode(F.when(F.col("q"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("ask"), F.col("vec_id").alias("id"), "v")
+    placed = both.mapInArrow(place, listed)
+    if n > 4 * LIST_SIZE * len(centroids.c):
+        placed = divide(save(placed, "cells"), dim, lists_of, listed)
     sizes = placed.groupBy("list").agg(F.ceil(F.count_if(~F.col("ask")) / PART).cast("int").alias("parts"), F.ceil(F.count_if("ask") / PART).cast("int").alias("asks"))
     sizes = F.broadcast(sizes.filter("parts > 0 and asks > 0"))  # a row for each list: at most a few thousand
     own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")

@@ -17,8 +17,11 @@ def brute(ids, x, top=5):
     return out
 
 
-def test_neighbours(spark, monkeypatch):
+@pytest.mark.parametrize("cells,size", [(1024, 256), (3, 60)])
+def test_neighbours(spark, cells, size, monkeypatch):
     monkeypatch.setattr(neighbours, "PART", 300)
+    monkeypatch.setattr(neighbours, "MOST_CELLS", cells)  # with 3 cells of 500 vectors, each is divided
+    monkeypatch.setattr(neighbours, "LIST_SIZE", size)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 8)).astype(np.float32)
     x[200:260] = x[7]  # a common vector: ties go to the smaller id
@@ -27,8 +30,13 @@ def test_neighbours(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score int").repartition(5)
     got = {}
     for r in neighbours.op5(df).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.vec_id)
+        a, b = x[r.query_id].astype(float), x[r.vec_id].astype(float)
+        assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-14 and r.rank == len(got.setdefault(r.query_id, [])) + 1
+        got[r.query_id].append(r.vec_id)
     want = brute(list(range(1500)), x)
+    same = {7, *range(200, 260)}  # of equal vectors, those with the smallest ids, in their order
+    assert got[200] == [7, 201, 202, 203, 204] and got[250] == [7, 200, 201, 202, 203]
+    assert all([j for j in ids if j in same] == sorted(j for j in ids if j in same) for ids in got.values())
     assert set(got) == set(want)
     hits = sum(len(set(got[q]) & set(want[q])) for q in want)
     assert hits >= 0.9 * 5 * len(want)
@@ -36,6 +44,21 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.op5(df.limit(0)).count() == 0
 
 
+def test_graph_search_follows_few_centroids():
+    rng = np.random.default_rng(9)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 16)))
+    by, x = neighbours.Centroids(unit(3000)), unit(200)
+    lists, sim = by.search(x, neighbours.ASK_POOL)
+    assert by.expanded < 200 * 2 * neighbours.ASK_POOL
+    exact = np.argsort(-x @ by.c.T, axis=1)[:, : neighbours.ASK_POOL]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(lists, exact, strict=True)]) > 0.95 * neighbours.ASK_POOL
+    assert (np.diff(sim, axis=1) <= 0).all()
+    i, j = by.within(x, 1.1, 3000, 4)  # the pool grows as far as needed
+    far = np.sqrt(2 - 2 * x @ by.c.T)
+    want = (far <= 1.1 * far.min(1, keepdims=True)).sum()
+    assert len(set(zip(i.tolist(), j.tolist(), strict=True))) == len(i) and 0.95 * want <= len(i) <= want
+
+
 def found(spark, rows):
     got = {}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
