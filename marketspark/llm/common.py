@@ -53,6 +53,22 @@ def discard(*tables: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Keys that are salted in a join, at most.
+MOST_HOT = 1000
+
+
+def salted(rows: DataFrame, counts: DataFrame, on: list[str], total: int, salt_by: list[str], how: str = "inner", most_hot: int = MOST_HOT) -> DataFrame:
+    """Join of ``rows`` (``total`` of them) with ``counts``, one row for each key with its number of rows ``n``.
+
+    Keys of over total / ``most_hot`` rows, so at most ``most_hot`` of them, are dealt to as many parts as they hold such shares.
+    """
+    parts = F.ceil(F.col("n") * most_hot / max(total, 1)).cast("int")
+    few = F.broadcast(counts.withColumn("_parts", parts).filter("_parts > 1").select(*on, "_parts"))  # at most most_hot rows
+    left = rows.join(few, on, "left").withColumn("_salt", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(*salt_by), F.col("_parts")).cast("int")).otherwise(0)).drop("_parts")
+    right = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

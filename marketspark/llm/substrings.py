@@ -11,7 +11,7 @@ document or another, is removed; overlaps count, and windows are judged on the i
    ordered by their first 8 bytes, and long ties are resolved by ranks of a difference-cover sample (mod 7) that was
    sorted before; for any two suffixes some shift below 7 puts both in the sample. This step compares bytes, not hashes.
 
-Hot buckets. Anchors and runs that hold more than 1 / ``MOST_HOT`` of all rows (so at most ``MOST_HOT`` of them) are salted in joins. A bucket of
+Hot buckets. Anchors and runs that hold more than 1 / ``MOST_HOT`` of all rows (so at most ``MOST_HOT`` of them) are dealt to several parts in joins. A bucket of
 over ``SPLIT`` different runs is dealt out before it is sorted: a run is cut into stretches of windows whose anchor offsets fall in one range of ``STEP``; all windows of
 such a range share ``LENGTH - STEP + 1`` bytes around the anchor, and stretches go to a bucket of their own by these bytes. Equal windows
 have equal offsets and equal shared bytes, so they still meet, and stretches equal as a whole are found by step 2 again. What is
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE, Rolling, as_bytes, discard, flat, mix, save, slices
+from .common import BYTE, MOST_HOT, Rolling, as_bytes, discard, flat, mix, salted, save, slices
 
 LENGTH = 200
 GRAM = 40
@@ -44,9 +44,6 @@ BLOCK = 300_000
 #: Different runs of a bucket that are sorted as one, and the range of anchor offsets of a stretch of a larger one.
 SPLIT = 2048
 STEP = 40
-#: Keys that are salted, at most, and the number of their salts.
-MOST_HOT = 1000
-SALTS = 64
 #: A perfect difference cover: every difference mod 7 occurs.
 MOD, COVER = 7, np.array([True, True, False, True, False, False, False])
 RUN = "key long, place long, h1 long, h2 long, h3 long"
@@ -220,15 +217,6 @@ def stretches(p: int, h1: int, text: bytes) -> Iterator[tuple[int, int, int, int
         yield signed(bucket), signed(whole >> 64), signed(whole & (1 << 64) - 1), (lo + a) << 20 | (b - a) << 10 | (off - a), part
 
 
-def salted(rows: DataFrame, counts: DataFrame, on: list[str], total: int, salt_by: list[str]) -> DataFrame:
-    """Inner join of ``rows`` with ``counts`` (one row for each key, and ``n``); keys of over total / ``MOST_HOT`` rows are salted."""
-    hot = F.col("n") > total / MOST_HOT
-    few = F.broadcast(counts.filter(hot).select(*on, F.lit(True).alias("_hot")))  # at most MOST_HOT rows
-    left = rows.join(few, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    right = counts.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
-
-
 def whole_spans(rows: DataFrame) -> DataFrame:
     lo, n = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023).cast("long"))
     return rows.select("key", lo.alias("lo"), (lo + n).alias("hi"))
@@ -239,13 +227,13 @@ def repeats(docs: DataFrame, texts: DataFrame) -> DataFrame:
     every = save(run_rows(docs), "runs")
     total = every.count()
     anchors = save(every.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "runs-anchors")
-    rows = save(salted(every, anchors, ["h1"], total, ["key", "place"]).drop("n"), "runs-shared")
+    rows = save(salted(every, anchors, ["h1"], total, ["key", "place"], most_hot=MOST_HOT).drop("n"), "runs-shared")
     discard(every, anchors)
     which = ["h1", "h2", "h3"]
     kinds = save(rows.groupBy(*which).agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("place").alias("place")), "runs-kinds")  # both of one row, any
-    equal = salted(rows, kinds.filter("n > 1").select(*which, "n"), which, total, ["key", "place"])
+    equal = salted(rows, kinds.filter("n > 1").select(*which, "n"), which, total, ["key", "place"], most_hot=MOST_HOT)
     mixed = kinds.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1")
-    asked = salted(kinds.drop("n"), mixed, ["h1"], total, ["key", "place"]).select("h1", "key", "place", (F.col("n") > SPLIT).alias("split"))
+    asked = salted(kinds.drop("n"), mixed, ["h1"], total, ["key", "place"], most_hot=MOST_HOT).select("h1", "key", "place", (F.col("n") > SPLIT).alias("split"))
     wanted = asked.groupBy("key").agg(F.collect_list(F.struct("h1", "split", "place")).alias("wanted"))  # at most the runs of one text
     fetched = texts.select("key", "packed").join(wanted, "key")
 
@@ -269,7 +257,7 @@ def repeats(docs: DataFrame, texts: DataFrame) -> DataFrame:
     parts = save(fetched.mapInArrow(fetch, "bucket long, h2 long, h3 long, key long, place long, bytes binary, split boolean"), "runs-bytes")
     cut, which = parts.filter("split"), ["bucket", "h2", "h3"]
     cut_kinds = cut.groupBy(*which).agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("place").alias("place"), F.first("bytes").alias("bytes"))
-    cut_equal = salted(cut.select("key", "place", *which), cut_kinds.filter("n > 1").select(*which, "n"), which, total, ["key", "place"])
+    cut_equal = salted(cut.select("key", "place", *which), cut_kinds.filter("n > 1").select(*which, "n"), which, total, ["key", "place"], most_hot=MOST_HOT)
     ready = parts.filter("not split").select("bucket", "key", "place", "bytes").unionByName(cut_kinds.select("bucket", "key", "place", "bytes"))
     found = ready.repartition("bucket").sortWithinPartitions("bucket", "key", "place").mapInArrow(_sorted_blocks, "key long, lo long, hi long")
     return whole_spans(equal).unionByName(whole_spans(cut_equal)).unionByName(found)

@@ -44,10 +44,10 @@ def make_texts():
 SCHEMA = "doc_id long, text string, key long, place string, spans string, packed string"
 
 
-@pytest.mark.parametrize("split,hot", [(2048, 1000), (1, 1000), (3, 1 << 40)])
+@pytest.mark.parametrize("split,hot", [(2048, 1000), (1, 1000), (3, 1 << 12)])
 def test_repeats(spark, split, hot, monkeypatch):
     monkeypatch.setattr(substrings, "SPLIT", split)
-    monkeypatch.setattr(substrings, "MOST_HOT", hot)  # with the last, every key is salted
+    monkeypatch.setattr(substrings, "MOST_HOT", hot)  # with the last, every key is dealt to several parts
     texts = make_texts()
     rows = [(None if i == 20 else i % 40, t, 1, "x", "x", "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)

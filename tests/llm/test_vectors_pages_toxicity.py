@@ -1,5 +1,7 @@
 """Neighbours against brute force, page text against expected text, toxicity on held-out rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +118,59 @@ def texts_of(spark, pages):
     return [got[i] for i in range(len(rows))]
 
 
+def test_layouts_keep_their_text(spark):
+    cases = {
+        "<body><div class='content-sidebar-wrap'><main><article><p>Real text {n}.</p></article></main></div></body>": "Real text {n}.",
+        "<body><article><p>Start {n}.</p><section id='search-methods'><p>Body one {n}.</p></section></article></body>": "Start {n}. Body one {n}.",
+        "<body><article><p>Start {n}, and much more of it.</p><h2 class='related-work'>Related {n}</h2><p class='share-price'>Price {n}</p></article></body>": "Start {n}, and much more of it. Related {n} Price {n}",
+        "<body><div class='page sidebar-left'><div role='main'><p>Told {n}</p><div class='share-buttons'>Send {n}</div></div></div><aside><p>Other {n}</p></aside></body>": "Told {n}",
+        "<body><article><p>Text {n} of the page</p><div id='comments'><article class='comment'><p>Reader {n} says a lot more than that</p></article></div></article></body>": "Text {n} of the page",
+    }
+    pages = [(f"l{i}", page.format(n=n)) for i, page in enumerate(cases) for n in range(6)]
+    assert texts_of(spark, pages) == [want.format(n=n) for want in cases.values() for n in range(6)]
+
+
+def plain_texts(pages):
+    """A second version for well-formed pages of div and p elements without an article: host, [(path, text)] -> text."""
+    words = re.compile("ad|footer")
+    whole = lambda blocks: {p: [t for q, t in blocks if q == p] for p, _ in blocks}
+    out = []
+    for host, blocks in pages:
+        slots = [(p, t) for p, t in blocks if not any(words.fullmatch(c) for c in p)]
+        distinct = {"\n".join(t for p, t in b if not any(words.fullmatch(c) for c in p)): b for h, b in sorted(pages, key=str) if h == host}
+        others = list(distinct.values())
+        kept = []
+        for p, t in slots:
+            having = [b for b in others if p in whole(b)]
+            same = sum(whole(b)[p] == whole(blocks)[p] for b in having)
+            alone = sum((p, t) in b for b in others)
+            least = max(4, 0.5 * len(others))
+            if not ((same >= least and same >= 0.9 * len(having)) or alone >= least):
+                kept.append(t)
+        out.append(" ".join(kept))
+    return out
+
+
+def test_texts_match_a_plain_version(spark):
+    rng = np.random.default_rng(11)
+    pages = []
+    for host in range(4):
+        for n in range(int(rng.integers(1, 14))):
+            blocks = [(("top",), "Welcome here"), (("story", "p"), f"news {n} {host}")]
+            blocks += [(("story", "p"), f"more {rng.integers(0, 3)}") for _ in range(rng.integers(0, 3))]
+            blocks += [(("box",), "Always the same") for _ in range(rng.integers(0, 2))] + [(("note",), f"note {rng.integers(0, 2)}")]
+            blocks += [(("ad",), f"buy {n}")] if n % 2 else [(("footer",), "end")]
+            pages += [(host, blocks)] * int(1 + (n % 5 == 0))
+    html = lambda blocks: "<body>" + "".join(f"<div class='{p[0]}'>" + (f"<p>{t}</p>" if len(p) > 1 else t) + "</div>" for p, t in blocks) + "</body>"
+    assert texts_of(spark, [(f"h{h}", html(b)) for h, b in pages]) == plain_texts(pages)
+
+
+def test_pages_without_a_host_have_no_template(spark):
+    rows = [(i, None if i % 2 else "odd", f"<body><div>Same words</div><p>page {i}</p></body>") for i in range(8)]
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == [f"Same words page {i}" for i in range(8)]
+
+
 def test_text_keeps_sibling_sections_and_copies(spark):
     page = "<body><div class='top'>Same words here</div><div class='lead'><p>{a}</p></div><div class='body'><p>{b}</p><p>last {b}</p></div><div class='end'>Same end</div><div class='ad'>{c}</div></body>"
     want = [f"lead {i} body {i} of the text last body {i} of the text" for i in range(6)]
