@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ WORD = rf"[^{WS}]+"
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _own_dir: list[str] = []
+_made: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    _made.append(out)
     return out
 
 
@@ -51,6 +54,15 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        _made[:] = [t for t in _made if t is not df]
+
+
+def save_only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Save what ``make`` returns, and delete all tables that were saved on the way."""
+    before = list(_made)
+    out = save(make(), name)
+    discard(*(t for t in list(_made) if t is not out and not any(t is b for b in before)))
+    return out
 
 
 #: Keys that are salted in a join, at most.

@@ -10,8 +10,9 @@ in the order of exponential keys -ln(u) / w, with u from a hash of doc_id and se
 document's quality weight in 0.5 ... 1. The document at the budget's edge gives its first words only, so a source takes
 its target to the word. No document gives more than ``MOST_EPOCHS`` times its size.
 
-The running sum does not put a source in one task: keys fall into ``BUCKETS`` fixed ranges, sums run inside
-(source, range), and a table of at most ``BUCKETS`` rows a source carries the totals on. Equal ids have equal keys and
+The running sum does not put a source in one task: keys fall into ``BUCKETS`` fixed ranges, and a table of at most ``BUCKETS`` rows a source
+carries the totals on. Ranges before a source's budget edge are taken whole and those behind it not at all, without a shuffle; only the range at
+the edge is put in order. Equal ids have equal keys and
 are ordered by size; equal rows are interchangeable. Only the table of sources, one row each, is ordered as a whole.
 Sources without words take nothing; an empty table gives an empty result.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, word_count
+from .common import WS, save, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -53,43 +54,54 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame
     return ranked.withColumn("target", F.when(free, level * F.col("w")).otherwise(F.col("cap").cast("double"))).select("source", "source_size", "w", "target")
 
 
-def _taken(docs: DataFrame, carry: list[str], seed: str) -> DataFrame:
-    """The carried columns as _c0, _c1, ..., and source, size, source_size, target, epochs, part."""
-    # a key without nulls that sorts them last: the window below and the join then share one shuffle
-    s = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
+def _keyed(docs: DataFrame, carry: list[str], seed: str) -> DataFrame:
+    """The carried columns as _c0, _c1, ..., and source, s, size, key and bucket."""
+    s = F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))  # without nulls, sorts them last
     sized = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col("source").alias("source"), s.alias("s"), F.col("doc_id").alias("_id"), word_count(F.col("text")).alias("size"), F.length("text").alias("_n"))
-    totals = targets(sized.groupBy(F.col("s").alias("source")).agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    keyed = sized.withColumn("key", -F.log(u) / quality_weight(F.col("size"), F.coalesce("_n", F.lit(0))))
-    keyed = keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-    sums = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("in_bucket"))
-    sums = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("s").orderBy("bucket")) - F.col("in_bucket"))
-    plan = sums.join(totals, "s").select("s", "bucket", "before", "source_size", "target")
-    run = Window.partitionBy("s", "bucket").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.withColumn("inside", F.sum("size").over(run) - F.col("size")).join(plan, ["s", "bucket"])
+    keyed = sized.withColumn("key", -F.log(u) / quality_weight(F.col("size"), F.coalesce("_n", F.lit(0)))).drop("_n")
+    return keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+
+
+def _taken(keyed: DataFrame) -> DataFrame:
+    """Rows of :func:`_keyed` with source_size, target, epochs and part."""
+    sums = save(keyed.groupBy("s", "bucket").agg(F.sum("size").alias("in_bucket")), "mix-ranges")
+    totals = targets(sums.groupBy(F.col("s").alias("source")).agg(F.sum("in_bucket").alias("source_size"))).withColumnRenamed("source", "s")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("inside")))
-    return out.select(*(f"_c{i}" for i in range(len(carry))), "source", "size", "source_size", "target", epochs.alias("epochs"), part.alias("part"))
+    totals = totals.select("s", "source_size", "target", epochs.alias("epochs")).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    before = F.sum("in_bucket").over(Window.partitionBy("s").orderBy("bucket")) - F.col("in_bucket")
+    at_edge = (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("in_bucket"))
+    edge = sums.withColumn("before", before).join(totals.select("s", "rest"), "s").filter(at_edge).select("s", F.col("bucket").alias("edge"), "before")
+    plan = save(totals.join(edge, "s", "left").withColumn("edge", F.coalesce("edge", F.lit(BUCKETS + 1))), "mix-plan")  # a row for each source; broadcast by Spark if it is small
+    out = keyed.join(plan, "s")
+    run = Window.partitionBy("s").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inside") + F.col("size")))
+    ordered = out.filter("bucket = edge").withColumn("inside", F.sum("size").over(run)).withColumn("part", part).drop("inside")
+    whole = out.filter("bucket <> edge").withColumn("part", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    return whole.unionByName(ordered)
 
 
 def mix_sources(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, part and taken of documents (doc_id, text, source).
 
     ``epochs`` complete copies are taken and the first ``part`` words of one more; ``taken`` is their sum in words.
-    Words are counted twice, for the totals and for the documents; no text is shuffled.
+    Words are counted once and kept in a table without texts; no text is shuffled.
     """
     taken = F.col("epochs") * F.col("size") + F.col("part")
-    return _taken(docs, ["doc_id"], seed).withColumn("taken", taken).withColumnRenamed("_c0", "doc_id")
+    rows = _taken(save(_keyed(docs, ["doc_id"], seed), "mix-rows")).withColumn("taken", taken)
+    return rows.select(F.col("_c0").alias("doc_id"), "source", "size", "source_size", "target", "epochs", "part", "taken")
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix as documents, with the columns of ``docs``: a copy for each complete epoch, and the first words of a part."""
+    """The mix as documents, with the columns of ``docs``: a copy for each complete epoch, and the first words of a part.
+
+    Documents are read three times, since texts are neither stored again nor, but for those at a budget's edge, shuffled.
+    """
     text = F.col(f"_c{docs.columns.index('text')}")
     share = F.when(F.col("part") == F.col("size"), text).otherwise(F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[{WS}]*[^{WS}]+"), F.lit(0)), F.lit(1), F.col("part").cast("int")), ""))
     copies = F.array_repeat(F.lit(False), F.col("epochs").cast("int"))
     copies = F.when(F.col("part") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)
-    rows = _taken(docs, docs.columns, seed).withColumn("_partial", F.explode(copies))
+    rows = _taken(_keyed(docs, docs.columns, seed)).withColumn("_partial", F.explode(copies))
     cols = [(F.when(F.col("_partial"), share).otherwise(text) if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(docs.columns)]
     return rows.select(*cols)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, save
+from .common import as_bytes, discard, save
 
 RADIUS = 3
 WIDTHS = (13, 13, 13, 13, 12)
@@ -180,7 +180,8 @@ def connect(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = save(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct(), "links")
+        last, e = e, save(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct(), "links")
+        discard(last)
         now = marks(e)
         if now == seen:
             break

@@ -71,6 +71,19 @@ def test_packed_pieces_hold_their_token_ids(spark):
     assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
 
 
+def test_run_leaves_no_tables_of_earlier_stages(spark, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline as p
+    from marketspark.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    rows = p.run(spark, "/root/testdata/sf0.001")
+    assert {r.doc_tokens > 0 and len(r.ids) == 4 * r.length for r in rows.collect()} == {True}
+    left = sorted(n.rsplit("-", 1)[0] for n in os.listdir(tmp_path) if not n.startswith("."))
+    assert left == ["marketspark-corpus-3", "marketspark-tokens"]
+
+
 def test_one_of_each_keeps_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (2, "q r s t u"), (1, "Q r s t u"), (1, "Q r s t u")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(d.coalesce(1)).collect()) == [(0, "a b c d"), (1, "Q r s t u")]
