@@ -6,11 +6,9 @@ but the last return the columns of ``documents``. Null texts have no words, so t
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm.common import shared_dir
+from marketspark.llm.common import discard, save_only
 from marketspark.llm.mixing import mixed_documents
 from marketspark.llm.packing import pack
 from marketspark.llm.pii import redact
@@ -58,12 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
-    return docs
+    """The packed pieces of ``documents``. A stage's table, and what its operator saved, is deleted when the next one is written; those of the last two stay until the driver ends."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = save_only(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"corpus-{k}")
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
