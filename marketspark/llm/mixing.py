@@ -60,7 +60,8 @@ def _keyed(docs: DataFrame, carry: list[str], seed: str) -> DataFrame:
     sized = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)), F.col("source").alias("source"), s.alias("s"), F.col("doc_id").alias("_id"), word_count(F.col("text")).alias("size"), F.length("text").alias("_n"))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = sized.withColumn("key", -F.log(u) / quality_weight(F.col("size"), F.coalesce("_n", F.lit(0)))).drop("_n")
-    return keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+    # never null, and said so: else each reader would first filter on it, by counting words
+    return keyed.withColumn("bucket", F.coalesce(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"), F.lit(0)))
 
 
 def _taken(keyed: DataFrame) -> DataFrame:
