@@ -13,11 +13,12 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Ewm:
-    """A column to make: ``kind`` mean or std of ``x``, by span or alpha; no value before ``least`` observations."""
+    """A column to make: ``kind`` mean or std of ``x`` (less ``minus``), by span or alpha; no value before ``least`` observations."""
 
     name: str
     x: str
     kind: str = "mean"
+    minus: str | None = None
     span: float | None = None
     alpha: float | None = None
     least: int = 0
@@ -34,7 +35,8 @@ def ewm(df: DataFrame, columns: list[Ewm], keys: tuple[str, ...] = ("symbol",),
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         for c in columns:
-            e = pdf[c.x].astype("float64").ewm(alpha=c.a, adjust=False, min_periods=c.least)
+            x = pdf[c.x].astype("float64")
+            e = (x if c.minus is None else x - pdf[c.minus]).ewm(alpha=c.a, adjust=False, min_periods=c.least)
             pdf[c.name] = e.mean() if c.kind == "mean" else e.std()
         return pdf
 
@@ -52,16 +54,14 @@ def ewm_long(df: DataFrame, column: Ewm, keys: tuple[str, ...] = ("symbol",), or
     a = column.a
 
     def scan(x: np.ndarray, m: float, v: float) -> tuple[np.ndarray, np.ndarray]:
-        means, variances = np.empty(len(x)), np.empty(len(x))
-        for i, y in enumerate(x):
-            if np.isnan(m):
-                m = y
-            else:
-                new = (1 - a) * m + a * y
-                v = (1 - a) * (v + (m - new) ** 2) + a * (y - new) ** 2
-                m = new
-            means[i], variances[i] = m, v
-        return means, variances
+        """Means and variances, carried on from m and v; a missing m starts with the first value."""
+        fresh = bool(np.isnan(m))
+        run = lambda start, rest: pd.Series([start, *rest]).ewm(alpha=a, adjust=False).mean().to_numpy()
+        means = run(x[0], x[1:]) if fresh else run(m, x)
+        rest = x[1:] if fresh else x
+        steps = (1 - a) * np.diff(means) ** 2 + a * (rest - means[1:]) ** 2
+        variances = run(0.0 if fresh else v, steps / a)
+        return (means, variances) if fresh else (means[1:], variances[1:])
 
     def end(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("_i")[column.x].to_numpy(float)

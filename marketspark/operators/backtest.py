@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marketspark.functions.ewm import Ewm, ewm
-from marketspark.functions.windows import clip, rolling_mean, rolling_std, series
+from marketspark.functions.windows import clip, ratio, rolling_mean, rolling_std, series
 
 KEYS = ("symbol", "model")
 EPS = 1e-12
@@ -56,7 +56,7 @@ def buy_and_hold(frame: DataFrame, returns: DataFrame) -> DataFrame:
 
 def shuffled(scores: DataFrame, seed: int = 42, name: str = "shuffled") -> DataFrame:
     """The same scores in a random but repeatable order of dates, per series."""
-    by_time, by_hash = Window.partitionBy(*KEYS).orderBy("ts"), Window.partitionBy(*KEYS).orderBy(F.xxhash64("ts", F.lit(seed)), "ts")
+    by_time, by_hash = Window.partitionBy(*KEYS).orderBy("ts"), Window.partitionBy(*KEYS).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).cast("binary")), "ts")
     days = scores.select(*KEYS, "ts", F.row_number().over(by_time).alias("_n"))
     values = scores.select(*KEYS, "score", F.row_number().over(by_hash).alias("_n"))
     return days.join(values, [*KEYS, "_n"]).select("symbol", F.concat_ws("_", "model", F.lit(name)).alias("model"), "ts", "score")
@@ -69,3 +69,9 @@ def price_path(frame: DataFrame, close: str = "close", predicted: str = "predict
     return frame.withColumns({"anchored": F.col(close) * F.exp(predicted), "chained": F.first(close).over(run) * F.exp(F.sum(predicted).over(run))})
 
 
+def path_scores(paths: DataFrame, close: str = "close") -> DataFrame:
+    """How near the paths of :func:`price_path` come to the next close, by symbol and path: r2, mae, rmse and mape (%)."""
+    after = paths.withColumn("_next", F.lead(close).over(series("symbol"))).filter("_next is not null")
+    long = after.select("symbol", "_next", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.col(p).alias("_p")) for p in ("anchored", "chained")))).alias("v")).select("symbol", "_next", "v.*")
+    d, y = F.col("_p") - F.col("_next"), F.col("_next")
+    return long.groupBy("symbol", "path").agg((1 - ratio(F.sum(d * d), F.var_pop(y) * F.count("*"))).alias("r2"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), (F.avg(ratio(F.abs(d), F.abs(y))) * 100).alias("mape"))

@@ -29,6 +29,11 @@ def duplicate_columns(df: DataFrame) -> DataFrame:
     return _known(df, "duplicate_columns", {"all": len(low) - len(set(low))})
 
 
+def time_type(df: DataFrame, column: str = "ts") -> DataFrame:
+    """Times must be timestamps; rows of a table have no order of their own, so operators order by them."""
+    return _known(df, "time_type", {column: int(column not in df.columns or df.schema[column].dataType.typeName() not in ("timestamp", "timestamp_ntz"))})
+
+
 def unique_keys(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).count().agg(F.count_if(F.col("count") > 1).alias("n")).select(*_counted("unique_keys", F.lit("symbol, ts"), F.col("n")))
 
@@ -69,7 +74,7 @@ def lookahead(x: DataFrame, features: list[str], lag: int = 1) -> DataFrame:
 
 
 def run_all(raw: DataFrame, x: DataFrame, y: DataFrame, features: list[str], base: list[str], ahead: int = 3) -> DataFrame:
-    parts = [required_columns(raw, base), duplicate_columns(x), unique_keys(raw), unique_keys(x), complete(x, features), same_keys(x, y), future_fields(x, raw, features, base, ahead), lookahead(x, features)]
+    parts = [required_columns(raw, base), duplicate_columns(x), time_type(raw), unique_keys(raw), unique_keys(x), complete(x, features), same_keys(x, y), future_fields(x, raw, features, base, ahead), lookahead(x, features)]
     return reduce(DataFrame.unionByName, parts)
 
 

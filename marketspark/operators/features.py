@@ -61,6 +61,10 @@ def technical_block(width: float = 2.0) -> dict[str, Column]:
 
 
 def scan_columns() -> list[Ewm]:
+    return [*_plain_scan(), Ewm("macd_signal", "_ema_12", minus="_ema_26", span=9, least=9)]
+
+
+def _plain_scan() -> list[Ewm]:
     return [Ewm("ema_20", "close", span=20, least=20), Ewm("ema_50", "close", span=50, least=50), Ewm("_gain", "_up", alpha=1 / 14, least=14), Ewm("_loss", "_down", alpha=1 / 14, least=14), Ewm("_ema_12", "close", span=12, least=12), Ewm("_ema_26", "close", span=26, least=26)]
 
 
@@ -134,12 +138,11 @@ def add_plain_features(bars: DataFrame) -> DataFrame:
 
 
 def add_scan_features(df: DataFrame) -> DataFrame:
-    """Exponential averages, RSI and MACD. One grouped scan, which keeps the clustering by symbol."""
+    """Exponential averages, RSI and MACD, in one grouped scan. Its rows are shuffled again by what follows, so it goes first, over few columns."""
     c = F.col("close")
     d = c - F.lag(c).over(W())
     ready = df.withColumns({"_up": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_down": F.when(d.isNotNull(), -F.least(d, F.lit(0.0)))})
     out = ewm(ready, scan_columns()).withColumn("macd", F.col("_ema_12") - F.col("_ema_26"))
-    out = ewm(out, [Ewm("macd_signal", "macd", span=9, least=9)])
     rs = ratio(F.col("_gain"), F.col("_loss"))
     out = out.withColumn("rsi_14", F.when(rs.isNotNull(), 100 - 100 / (1 + rs))).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
     return out.drop("_up", "_down", "_gain", "_loss", "_ema_12", "_ema_26")
@@ -148,7 +151,7 @@ def add_scan_features(df: DataFrame) -> DataFrame:
 def feature_matrix(bars: DataFrame, lag_days: int = 1, drop_incomplete: bool = True) -> DataFrame:
     """symbol, ts and all features, each of ``lag_days`` before; rows with a gap are dropped."""
     names = feature_columns(bars.columns)
-    wide = add_scan_features(add_plain_features(bars))
+    wide = add_plain_features(add_scan_features(bars))
     value = lambda c: F.lag(finite(F.col(c)), lag_days).over(W()) if lag_days else finite(F.col(c))
     out = wide.select("symbol", "ts", *(value(c).alias(c) for c in names))
     return out.dropna("any") if drop_incomplete else out

@@ -12,6 +12,8 @@ YEAR = 252
 
 
 def rate_per_period(annual: float, periods: int = YEAR) -> float:
+    if periods <= 0:
+        raise ValueError("periods must be positive")
     return (1.0 + annual) ** (1.0 / periods) - 1.0
 
 
@@ -49,12 +51,14 @@ def wealth(r: Column, over, start: float = 1.0, log: bool = False) -> Column:
     return start * F.coalesce(grown, F.lit(1.0))
 
 
-def with_wealth(frame: DataFrame, keys: tuple[str, ...] = KEYS, returns: str = "net_return", start: float = 1.0, log: bool = False) -> DataFrame:
-    """Finite returns with wealth, its running peak, the peak's date (the earliest of equal ones) and drawdown."""
+def with_wealth(frame: DataFrame, keys: tuple[str, ...] = KEYS, returns: str = "net_return", start: float = 1.0, log: bool = False, gaps: bool = False) -> DataFrame:
+    """Finite returns with wealth, its running peak, the peak's date (the earliest of equal ones) and drawdown; with ``gaps`` the other rows, too, without these."""
     w = Window.partitionBy(*keys).orderBy("ts")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = frame.withColumn("_r", finite(F.col(returns).cast("double"))).filter("_r is not null").withColumn("wealth", wealth(F.col("_r"), w, start, log))
-    top = F.max(F.struct(F.col("wealth").alias("w"), (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"))).over(run)
+    df = frame.withColumn("_r", finite(F.col(returns).cast("double")))
+    seen = F.col("_r").isNotNull()
+    df = df.withColumn("wealth", F.when(seen, wealth(F.col("_r"), w, start, log))) if gaps else df.filter(seen).withColumn("wealth", wealth(F.col("_r"), w, start, log))
+    top = F.max(F.when(seen, F.struct(F.col("wealth").alias("w"), (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t")))).over(run)
     df = df.withColumn("_top", top)
     return df.withColumns({"peak": F.col("_top.w"), "peak_ts": F.timestamp_micros(-F.col("_top.t")), "drawdown": F.col("wealth") / F.col("_top.w") - 1}).drop("_top")
 
@@ -74,31 +78,36 @@ def summary(frame: DataFrame, start: float = 1000.0, rf: float = 0.0, mar: float
     if lacking:
         raise ValueError(f"missing columns: {sorted(lacking)}")
     r = F.col("_r")
-    seen = with_wealth(frame, start=start).groupBy(*KEYS).agg(
-        F.count(r).alias("n_periods"), annualized_return(r, periods).alias("CAGR"), annualized_volatility(r, periods).alias("AnnVol"), sharpe(r, rf, periods).alias("Sharpe"), sortino(r, mar, periods).alias("Sortino"),
-        F.min("drawdown").alias("MaxDD"), hit_rate(r).alias("HitRate"), F.max_by("wealth", "ts").alias("FinalWealth"),
+    out = with_wealth(frame, start=start, gaps=True).groupBy(*KEYS).agg(
+        F.avg("turnover").alias("AvgTurnover"), (F.avg("turnover") * periods).alias("AnnTurnover"), F.sum("transaction_cost").alias("TotalCost"), F.count(r).alias("n_periods"), annualized_return(r, periods).alias("CAGR"), annualized_volatility(r, periods).alias("AnnVol"), sharpe(r, rf, periods).alias("Sharpe"), sortino(r, mar, periods).alias("Sortino"),
+        F.min("drawdown").alias("MaxDD"), hit_rate(r).alias("HitRate"), F.max_by("wealth", F.when(r.isNotNull(), F.col("ts"))).alias("FinalWealth"),
     )
-    costs = frame.groupBy(*KEYS).agg(F.avg("turnover").alias("AvgTurnover"), (F.avg("turnover") * periods).alias("AnnTurnover"), F.sum("transaction_cost").alias("TotalCost"))
-    out = costs.join(seen, list(KEYS), "left").withColumn("n_periods", F.coalesce("n_periods", F.lit(0)))
     return out.withColumn("fold", F.lit(fold)) if fold is not None else out
 
 
-def trades(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
-    """Runs of one non-zero side. A run without any return is left out, and its number stays unused."""
+def _by_trade(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
+    """A row for each run of one non-zero side, and one without number for all other rows of a series."""
     w = Window.partitionBy(*KEYS).orderBy("ts")
     x = F.col(weight)
     df = frame.withColumn("side", F.when(F.abs(x) > least, F.signum(x)).otherwise(0).cast("int"))
     df = df.withColumn("_new", ((F.col("side") != 0) & (F.col("side") != F.coalesce(F.lag("side").over(w), F.lit(0)))).cast("long"))
-    df = df.withColumn("trade_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("side <> 0")
+    df = df.withColumn("trade_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("trade_id", F.when(F.col("side") != 0, F.col("trade_id")))
     r = finite(F.col(returns))
-    out = df.groupBy(*KEYS, "trade_id").agg(F.first("side").alias("side"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(r).alias("n_days"), F.sum(r).alias("pnl")).filter("n_days > 0")
+    return df.groupBy(*KEYS, "trade_id").agg(F.first("side").alias("side"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(r).alias("n_days"), F.sum(r).alias("pnl"))
+
+
+def trades(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
+    """Runs of one non-zero side. A run without any return is left out, and its number stays unused."""
+    out = _by_trade(frame, weight, returns, least).filter("trade_id is not null and n_days > 0")
     return out.withColumns({"pnl_per_day": F.col("pnl") / F.col("n_days"), "hit": (F.col("pnl") > 0).cast("int")})
 
 
-def trade_summary(frame: DataFrame, table: DataFrame) -> DataFrame:
-    every = frame.select(*KEYS).distinct()
-    got = table.groupBy(*KEYS).agg(F.count("*").alias("Trades"), F.avg("hit").alias("HitRate_trades"), F.avg("pnl").alias("MeanPnL_per_trade"), F.percentile("pnl", F.lit(0.5)).alias("MedianPnL_per_trade"), F.avg("n_days").alias("AvgDays_per_trade"))
-    return every.join(got, list(KEYS), "left").withColumn("Trades", F.coalesce("Trades", F.lit(0)))
+def trade_summary(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
+    """Count, hit rate, mean and median result and length of the trades of every series, also of one without trades."""
+    of = lambda x: F.when(F.col("trade_id").isNotNull() & (F.col("n_days") > 0), x)
+    pnl = of(F.col("pnl"))
+    return _by_trade(frame, weight, returns, least).groupBy(*KEYS).agg(F.count(of(F.lit(1))).alias("Trades"), F.avg(of((F.col("pnl") > 0).cast("int"))).alias("HitRate_trades"), F.avg(pnl).alias("MeanPnL_per_trade"), F.percentile(pnl, F.lit(0.5)).alias("MedianPnL_per_trade"), F.avg(of(F.col("n_days"))).alias("AvgDays_per_trade"))
 
 
 def attribution(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
@@ -130,9 +139,13 @@ def regimes(frame: DataFrame, window: int = 20, cuts: tuple[float, float] | None
         df = df.withColumn("_c", F.array(*map(F.lit, cuts)))
     v, lo, hi = F.col("_v"), F.col("_c")[0], F.col("_c")[1]
     df = df.withColumn("Regime", F.when(v <= lo, "low").when(v <= hi, "mid").when(v > hi, "high"))
-    got = _grouped(df.filter("Regime is not null"), (*KEYS, "Regime"), periods)
-    every = frame.select(*KEYS).distinct().withColumn("Regime", F.explode(F.array(*map(F.lit, ("low", "mid", "high")))))
-    return every.join(got, [*KEYS, "Regime"], "left").withColumn("Count", F.coalesce("Count", F.lit(0)))
+    r, values = F.col("_r"), ["CAGR", "Sharpe", "MaxDD", "Count"]
+    got = with_wealth(df, (*KEYS, "Regime"), gaps=True).groupBy(*KEYS, "Regime").agg(annualized_return(r, periods).alias("CAGR"), sharpe(r, 0.0, periods).alias("Sharpe"), F.min("drawdown").alias("MaxDD"), F.count(r).alias("Count"))
+    # all regimes of a series in one row (at most four), so that those without rows appear, too
+    found = F.map_from_entries(F.collect_list(F.struct(F.coalesce("Regime", F.lit("none")), F.struct(*values))))
+    rows = got.groupBy(*KEYS).agg(found.alias("_found")).select(*KEYS, "_found", F.explode(F.array(*map(F.lit, ("low", "mid", "high")))).alias("Regime"))
+    at = F.try_element_at("_found", "Regime")
+    return rows.select(*KEYS, "Regime", *(F.coalesce(at[c], F.lit(0).cast("long")).alias(c) if c == "Count" else at[c].alias(c) for c in values))
 
 
 def wealth_table(frame: DataFrame, models: list[str] | None = None, start: float = 1.0) -> DataFrame:

@@ -6,6 +6,8 @@ Bars are built from lineitem (a symbol per return flag, price per piece) and eve
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from marketspark.functions.ewm import Ewm, ewm_long
 from marketspark.functions.windows import series
 from marketspark.operators import backtest as bt
 from marketspark.operators import checks, datasets, features, metrics, models
-from marketspark.sources.bars import align, build_bars, last_rows, normalize_bars
+from marketspark.sources.bars import align, build_bars, last_rows, normalize_bars, read_bars, write_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -57,7 +59,7 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, d: str) -> DataFrame:
-    return build_bars(table(spark, d, "events"), F.col("event_type"), F.col("ts"), F.col("value"), F.lit(1.0), "hour", (F.col("event_id"),))
+    return build_bars(table(spark, d, "events"), F.col("event_type"), F.col("ts"), F.col("value"), F.get_json_object("props", "$.k").cast("double") + 1, "hour", (F.col("event_id"),))
 
 
 def brand_daily(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +68,38 @@ def brand_daily(spark: SparkSession, d: str) -> DataFrame:
     return in_cents(build_bars(t, F.col("p_brand"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), "day", ties))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: under ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/bars-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The last two years of bars that were written and are read again; the folder goes when the driver ends."""
+    path = f"{scratch(spark)}/bars.PARQUET"
+    write_bars(daily(spark, d), path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return read_bars(spark, path, 2, "1998-12-31")
+
+
+def dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Every bar twice, with gaps in some of the first rows and values that are no numbers in some volumes."""
+    twice = daily(spark, d).withColumn("seq", F.explode(F.array(F.lit(2), F.lit(1))))
+    close = F.when((F.col("seq") == 1) & (F.dayofmonth("ts") % 7 == 0), F.lit(None)).otherwise(F.col("close") + F.col("seq") - 1)
+    odd = F.when(F.col("volume") % 5 == 0, float("nan")).when(F.col("volume") % 5 == 1, float("inf")).otherwise(F.col("volume"))
+    return twice.withColumns({"close": close, "volume": odd, "ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss")}).withColumnRenamed("ts", "Time")
+
+
+def strategy_table(spark: SparkSession, d: str) -> DataFrame:
+    r = returns(daily(spark, d))
+    f = frame(spark, d)
+    names = ["symbol", "model", "ts", "net_return", "turnover", "transaction_cost"]
+    return metrics.summary(f.select(*names).unionByName(bt.buy_and_hold(f, r).select(*names)))
+
+
 def returns(bars: DataFrame) -> DataFrame:
     w = series()
     r = bars.withColumn("log_return", features.log_return())
@@ -170,6 +204,11 @@ def queries() -> dict[str, Query]:
         "bars_hourly": lambda s, d: hourly(s, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH")).withColumn("vwap", F.round("vwap", DIGITS)).transform(tidy),
         "bars_brand": lambda s, d: tidy(brand_daily(s, d), EXACT),
         "bars_clean": lambda s, d: tidy(normalize_bars(daily(s, d).withColumnRenamed("ts", "Date").withColumnRenamed("close", "CLOSE").withColumn("open", F.when(F.col("open") < 1000, F.lit("abc")).otherwise(F.col("open").cast("string"))), ("high",)), EXACT),
+        "bars_stored": lambda s, d: tidy(stored(s, d), EXACT),
+        "bars_deduplicated": lambda s, d: tidy(normalize_bars(dirty(s, d), ("seq",)), EXACT),
+        "aligned_left": lambda s, d: (lambda r: tidy(align(r.select("symbol", "ts", "close"), with_block(s, d, ["sma_10"]).filter("sma_10 is not null"), dropna=False, how="left"), EXACT))(daily(s, d)),
+        "price_path_scores": lambda s, d: tidy(bt.path_scores(bt.price_path(returns(daily(s, d)).filter("log_return is not null").withColumn("predicted", F.col("log_return") * 0.01)))),
+        "strategy_table": lambda s, d: tidy(strategy_table(s, d)),
         "last_rows": lambda s, d: tidy(last_rows(daily(s, d), 50), EXACT),
         "targets": lambda s, d: tidy(returns(daily(s, d)).select("symbol", "ts", "log_return", F.col("y").alias("y_raw"), "y_next")),
         "features_price": plain(*PRICE, digits=EXACT),
@@ -210,7 +249,7 @@ def queries() -> dict[str, Query]:
         "max_drawdown": lambda s, d: tidy(metrics.max_drawdown(frame(s, d))),
         "wealth": lambda s, d: tidy(metrics.wealth_table(frame(s, d), ["momentum", "persistence"]), 3),
         "trades": lambda s, d: tidy(metrics.trades(frame(s, d))),
-        "trade_summary": lambda s, d: (lambda f: tidy(metrics.trade_summary(f, metrics.trades(f))))(frame(s, d)),
+        "trade_summary": lambda s, d: tidy(metrics.trade_summary(frame(s, d))),
         "attribution": lambda s, d: tidy(metrics.attribution(frame(s, d))),
         "yearly": lambda s, d: tidy(metrics.yearly(frame(s, d))),
         "regimes": lambda s, d: tidy(metrics.regimes(frame(s, d))),
@@ -291,6 +330,7 @@ def _checks() -> str:
     keys = lambda a, b: f"(SELECT count(*) FROM {a} ANTI JOIN {b} USING (symbol, ts))"
     twice = lambda t: f"(SELECT count(*) FROM (SELECT 1 FROM {t} GROUP BY symbol, ts HAVING count(*) > 1))"
     parts = [row("required_columns", b, "0", one) for b in base] + [row("duplicate_columns", "all", "0", one)]
+    parts += [row("time_type", "ts", "0", one)]
     parts += [row("unique_keys", "symbol, ts", twice(t), one) for t in ("bars", "x")]
     parts += [row("complete", f, f"count(*) FILTER ({f} IS NULL)", "x") for f in names]
     parts += [row("same_keys", "symbol, ts", f"({keys('x', 'bars')} + {keys('bars', 'x')})", one)]
@@ -385,7 +425,7 @@ SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown
         "obv_of_tables": f"{BASE}, s AS (SELECT *, CAST(sign(coalesce(close - {lagged('close')}, 0)) AS DOUBLE) * volume AS sv FROM y) SELECT symbol, ts, {rnd(obv=_sum('sv'))} FROM s",
         "periods": f"{FRAME}, g AS (SELECT symbol, model, date_diff('day', lag(ts) OVER ({_SM}), ts) AS g FROM bt), m AS (SELECT symbol, model, quantile_cont(g, 0.5) AS g, count(g) AS n FROM g GROUP BY 1, 2) SELECT symbol, model, CAST(CASE WHEN n < 2 OR g <= 4 THEN 252 WHEN g <= 10 THEN 52 WHEN g <= 45 THEN 12 WHEN g <= 135 THEN 4 ELSE 1 END AS BIGINT) AS periods_per_year FROM m",
         "bars_daily": f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars",
-        "bars_hourly": f"SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H') AS ts, {rnd(open='arg_min(value, row(ts, event_id))', high='max(value)', low='min(value)', close='arg_max(value, row(ts, event_id))', volume='count(*)', vwap='avg(value)', trade_count='count(*)')} FROM events GROUP BY 1, 2",
+        "bars_hourly": f"SELECT event_type AS symbol, strftime(ts, '%Y-%m-%d %H') AS ts, {rnd(open='arg_min(value, row(ts, event_id))', high='max(value)', low='min(value)', close='arg_max(value, row(ts, event_id))', volume='sum(q)', vwap='sum(value * q) / sum(q)', trade_count='count(*)')} FROM (SELECT *, 1 + CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS q FROM events) GROUP BY 1, 2",
         "bars_brand": f"WITH b AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS ts, {_BAR} FROM (SELECT *, {_PRICE} FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2) SELECT symbol, ts, {bar} FROM b",
         "bars_clean": f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars WHERE open >= 1000",
         "last_rows": f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 50",
@@ -417,6 +457,17 @@ SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown
         "yearly": f"{FRAME}, yr AS (SELECT *, CAST(year(ts) AS BIGINT) AS Year FROM bt), {grown('symbol, model, Year', 'yr')} SELECT symbol, model, Year, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown)')} FROM dd GROUP BY 1, 2, 3",
         "regimes": reg,
     }
+    out["bars_stored"] = f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars WHERE ts BETWEEN DATE '1996-12-31' AND DATE '1998-12-31'"
+    out["bars_deduplicated"] = f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars WHERE day(ts) % 7 <> 0 AND volume % 5 NOT IN (0, 1)"
+    out["aligned_left"] = f"{BASE} SELECT symbol, ts, {rnd('close', sma_10=c10, digits=EXACT)} FROM y"
+    path = f"{out['price_path'].partition(' SELECT symbol, ts, round')[0]}, pp AS (SELECT symbol, close * exp(predicted) AS anchored, first_value(close) OVER (PARTITION BY symbol ORDER BY ts) * exp({_sum('predicted')}) AS chained, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS nx FROM q)"
+    ps = lambda p: f"SELECT symbol, '{p}' AS path, {rnd(r2=f'1 - sum(({p} - nx) * ({p} - nx)) / (var_pop(nx) * count(*))', mae=f'avg(abs({p} - nx))', rmse=f'sqrt(avg(({p} - nx) * ({p} - nx)))', mape=f'avg(abs({p} - nx) / nx) * 100')} FROM pp WHERE nx IS NOT NULL GROUP BY symbol"
+    out["price_path_scores"] = f"{path} {ps('anchored')} UNION ALL {ps('chained')}"
+    out["strategy_table"] = f"SELECT * FROM ({out['summary']}) UNION ALL BY NAME SELECT * FROM ({out['buy_and_hold']})"
+    day = "strftime(ts, '%Y-%m-%d %H:%M:%S')"
+    out["shuffled_scores"] = f"""{BASE}, sc AS (SELECT symbol, ts, 'persistence' AS model, log_return AS score FROM y UNION ALL SELECT symbol, ts, 'momentum', momentum_5d FROM y),
+d AS (SELECT symbol, model, ts, row_number() OVER ({_SM}) AS n FROM sc), v AS (SELECT symbol, model, score, row_number() OVER (PARTITION BY symbol, model ORDER BY md5('42:' || {day}), ts) AS n FROM sc)
+SELECT symbol, model || '_shuffled' AS model, ts, {rnd('score')} FROM d JOIN v USING (symbol, model, n)"""
     blocks = ["features_price", "features_technical", "features_scan", "features_volume", "features_volatility", "features_autocorr", "features_hurst", "features_entropy"]
     names = [*PRICE, *TECHNICAL, *SCAN, *VOLUME, *VOLATILITY, "entropy_close_20", "hurst_close_100", *AUTOCORR]
     joined = " JOIN ".join(f"({out[b]}) AS {b}" + (" USING (symbol, ts)" if i else "") for i, b in enumerate(blocks))

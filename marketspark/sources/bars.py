@@ -16,9 +16,10 @@ BAR_SCHEMA = T.StructType([T.StructField("symbol", T.StringType()), T.StructFiel
 
 def read_bars(spark: SparkSession, path: str, years: int | None = None, end: str | None = None) -> DataFrame:
     """Stored bars, Parquet or CSV by extension; only the last ``years`` before ``end`` if both are given."""
-    if path.endswith((".parquet", ".pq")):
+    kind = path.lower()
+    if kind.endswith((".parquet", ".pq")):
         df = spark.read.schema(BAR_SCHEMA).parquet(path)
-    elif path.endswith((".csv", ".csv.gz")):
+    elif kind.endswith((".csv", ".csv.gz")):
         df = spark.read.schema(BAR_SCHEMA).option("header", True).csv(path)
     else:
         raise ValueError(f"neither Parquet nor CSV: {path}")
@@ -31,7 +32,8 @@ def read_bars(spark: SparkSession, path: str, years: int | None = None, end: str
 
 
 def write_bars(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy("symbol").parquet(path)
+    """A folder for each symbol, and in it about a file for each year."""
+    df.repartition("symbol", F.year("ts")).write.mode(mode).partitionBy("symbol").parquet(path)
 
 
 def build_bars(trades: DataFrame, symbol: Column, ts: Column, price: Column, size: Column, every: str = "day", ties: tuple[Column, ...] = ()) -> DataFrame:
@@ -50,7 +52,7 @@ def normalize_bars(df: DataFrame, ties: tuple[str, ...] = (), required: tuple[st
     """Clean bars from a raw table of any name case.
 
     Finds the time column, reads times and numbers (what cannot be read is missing), keeps the first row of each (symbol, ts) by ``ties``,
-    and then drops rows with anything missing. A first row with a gap therefore removes its time.
+    and then drops rows with anything missing. A first row with a gap therefore removes its time; without ``ties``, complete rows come first, by value.
     """
     by_name = {c.lower(): c for c in df.columns}
     time = next((by_name[t] for t in TIME_NAMES if t in by_name), None)
@@ -64,7 +66,7 @@ def normalize_bars(df: DataFrame, ties: tuple[str, ...] = (), required: tuple[st
     at = F.col(f"`{time}`")
     at = F.try_to_timestamp(at) if isinstance(df.schema[time].dataType, T.StringType) else at.cast("timestamp")
     rows = df.select(name.alias("symbol"), at.alias("ts"), *(finite(F.col(f"`{by_name[c]}`").try_cast("double")).alias(c) for c in kept), *(F.col(f"`{t}`").alias(f"_t{i}") for i, t in enumerate(ties)))
-    order = [f"_t{i}" for i in range(len(ties))] or [F.struct(*kept)]
+    order = [f"_t{i}" for i in range(len(ties))] or [sum((F.col(c).isNull().cast("int") for c in kept), F.lit(0)), F.struct(*kept)]
     first = F.row_number().over(Window.partitionBy("symbol", "ts").orderBy(*order))
     return rows.filter("ts is not null").withColumn("_n", first).filter("_n = 1").select("symbol", "ts", *kept).dropna("any")
 
@@ -73,8 +75,8 @@ def last_rows(df: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",)) -> Dat
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))).filter(F.col("_n") <= n).drop("_n")
 
 
-def align(x: DataFrame, y: DataFrame, keys: tuple[str, ...] = ("symbol", "ts"), dropna: bool = True) -> DataFrame:
-    """Inner join on the keys, numbers made finite, incomplete rows dropped."""
-    both = x.join(y, list(keys))
+def align(x: DataFrame, y: DataFrame, keys: tuple[str, ...] = ("symbol", "ts"), dropna: bool = True, how: str = "inner") -> DataFrame:
+    """Join on the keys, numbers made finite, incomplete rows dropped. With ``how="left"`` and without dropping, y is brought to the rows of x."""
+    both = x.join(y, list(keys), how)
     both = both.select(*keys, *(finite(F.col(c).cast("double")).alias(c) for c in both.columns if c not in keys))
     return both.dropna("any") if dropna else both

@@ -85,6 +85,7 @@ def test_cleaning(spark):
     rows = [("2020-01-01", None, 1), ("2020-01-01", "5", 2), ("2020-01-02", "abc", 3), ("2020-01-03", "7", 4), ("never", "8", 5), ("2020-01-04", "NaN", 6)]
     df = spark.createDataFrame([(t, c, c, c, c, c, i) for t, c, i in rows], "Date string, Open string, HIGH string, low string, close string, volume string, seq int")
     assert [str(r.ts)[:10] for r in normalize_bars(df, ("seq",), symbol="s").collect()] == ["2020-01-03"]
+    assert [str(r.ts)[:10] for r in normalize_bars(df, symbol="s").orderBy("ts").collect()] == ["2020-01-01", "2020-01-03"]
     with pytest.raises(ValueError):
         normalize_bars(df.drop("volume"))
     with pytest.raises(KeyError):
@@ -142,6 +143,43 @@ def test_ridge_and_selection(spark):
     assert [r.feature for r in imp] == ["f1", "f3"] and imp[1].importance > 0.01
 
 
+def test_trees_find_the_planted_signal(spark):
+    rng = np.random.default_rng(1)
+    n = 900
+    x = rng.normal(size=(n, 3))
+    y = np.where(x[:, 0] > 0, 1.0, -1.0) + 0.2 * x[:, 1] + rng.normal(size=n) * 0.05
+    fold = np.where(np.arange(n) < 600, "train", np.where(np.arange(n) < 750, "val", "test"))
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "a", "ts": range(n), "fold": fold, "f1": x[:, 0], "f2": x[:, 1], "f3": x[:, 2], "y": y})).cache()
+    names = ["f1", "f2", "f3"]
+    model, rounds = models.boosted(df, names, rounds=15, step=0.3)
+    scored = {r.fold: r for r in datasets.score_predictions(models.predict_trees(df, model, names)).collect()}
+    assert 1 < rounds <= 15 and scored["test"]["corr"] > 0.97 and scored["test"].n == 150
+    trees = models.forest(df, names, trees=10, depth=6)
+    ranked = models.permutation_importance(df, names, lambda d: models.predict_trees(d, trees, names, "forest"), repeats=2).collect()
+    assert [r.feature for r in ranked][:2] == ["f1", "f2"] and ranked[0].importance > 0.5 and abs(ranked[2].importance) < 0.02
+
+
+def test_summary_counts_only_finite_returns(spark):
+    rets = [None, -0.5, float("nan"), 1.0, None]
+    f = spark.createDataFrame([("a", "m", (DAY + pd.Timedelta(days=i)).to_pydatetime(), v, 1.0, 0.25) for i, v in enumerate(rets)] + [("a", "none", DAY.to_pydatetime(), None, 1.0, 0.0)], "symbol string, model string, ts timestamp, net_return double, turnover double, transaction_cost double")
+    rows = {r.model: r for r in metrics.summary(f, start=10.0).collect()}
+    assert (rows["m"].n_periods, rows["m"].FinalWealth, rows["m"].MaxDD, rows["m"].TotalCost) == (2, 10.0, 0.0, 1.25)
+    assert rows["none"].n_periods == 0 and rows["none"].FinalWealth is None
+    assert {(r.Regime, r.Count) for r in metrics.regimes(f.filter("model = 'none'")).collect()} == {("low", 0), ("mid", 0), ("high", 0)}
+    flat = f.withColumn("weight", F.lit(0.0))
+    assert [(r.Trades, r.MeanPnL_per_trade) for r in metrics.trade_summary(flat).collect()] == [(0, None)] * 2
+    with pytest.raises(ValueError):
+        metrics.rate_per_period(0.02, 0)
+
+
+def test_reports_run_the_backtest_once(spark):
+    bars = spark.createDataFrame(walk(n=70))
+    r = bars.withColumn("lr", features.log_return()).withColumn("y_next", F.expm1(F.lead("lr").over(features.W())))
+    f = bt.backtest(r.select("symbol", "ts", F.lit("m").alias("model"), F.col("lr").alias("score")), r)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas")
+    assert [scans(x) for x in (metrics.summary(f), metrics.regimes(f), metrics.trade_summary(f), features.feature_matrix(bars))] == [1, 1, 1, 1]
+
+
 def test_checks_find_planted_leak(spark, bars):
     x = bars.withColumn("leak", F.lead("close", 2).over(features.W())).select("symbol", "ts", "open", "leak").dropna()
     found = checks.future_fields(x, bars, ["open", "leak"], ["open", "close"]).collect()
