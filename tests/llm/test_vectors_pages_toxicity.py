@@ -228,3 +228,33 @@ def test_toxicity_without_labels(labelled):
     assert toxicity.op2(docs.limit(0), labels.limit(0)).count() == 0
     none = toxicity.op2(docs, labels.withColumn("toxic", F.lit(0))).collect()
     assert all(r.predicted == 0 for r in none)
+
+
+def test_gains_match_a_plain_version(spark):
+    """Windows, gains and the score of a text, a window at a time, with the model's own dictionaries."""
+    import math
+
+    import zstandard
+
+    words = [f"w{i}x" for i in range(300)]
+    ordinary = " ".join(words).encode()
+    bad = b" stupidhead  nastyword  rottenegg "
+    model = toxicity.Model(ordinary + b" " + toxicity.TAIL, ordinary + bad + b" " + toxicity.TAIL, [-3.0, 0.5, 0.25, 1.0, -0.1, 0.5], 3)
+    texts = ["", "w1x w2x nastyword " + " ".join(words[5:30]), " ".join(words[:40]) + " rottenegg stupidhead"]
+    both = model.compressors()
+    for text in texts:
+        split = text.split()
+        plain = []
+        for i in range(0, len(split), 8):
+            window = (" " + " ".join(split[i : i + 8])).encode() + toxicity.PAD
+            plain.append(len(both[0].compress(window)) - len(both[1].compress(window)))
+            for c, d in zip(both, (model.ordinary, model.toxic), strict=True):
+                back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+                assert back.decompress(c.compress(window), max_output_size=1000) == window
+        assert toxicity.gains(text.encode(), *both).tolist() == plain
+    assert toxicity.gains(texts[0].encode(), *both).tolist() == [] and toxicity.gains(texts[1].encode(), *both)[0] >= 3
+    z = lambda g: -3.0 + 0.5 * max(g, default=0) + 0.25 * (sorted(g)[-2] if len(g) > 1 else 0) + math.log1p(sum(x >= 3 for x in g)) - 0.1 * math.log1p(len(g)) + 0.5 * sum(x >= 3 for x in g) / math.sqrt(len(g) + 1)
+    want = [1 / (1 + math.exp(-z([max(0, x) for x in toxicity.gains(t.encode(), *both).tolist()]))) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.score for r in toxicity.score(df, model, ["doc_id"]).orderBy("doc_id").collect()]
+    assert np.allclose(got, want, rtol=1e-12)
