@@ -91,23 +91,44 @@ def _assembled(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="_x").transform(df.dropna("any", subset=[*columns, y]))
 
 
-def boosted(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 200, depth: int = 3, step: float = 0.05, share: float = 0.8, seed: int = 42) -> tuple[object, int]:
-    """Boosted trees; the number of rounds with the least validation error, then a refit on train and validation."""
+def best_round(errors: list[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) of the least error before ``patience`` rounds bring none smaller, and whether they were seen."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def boosted(df: DataFrame, columns: list[str], y: str = "y", rounds: int = 2000, depth: int = 3, step: float = 0.05, share: float = 0.8, patience: int = 50, seed: int = 42) -> tuple[object, int]:
+    """Boosted trees, stopped when ``patience`` rounds bring no smaller validation error, then a refit of the best number of rounds on train and validation.
+
+    A fit cannot be continued, so it is repeated with twice the rounds until it was long enough; a round's tree depends on the seed and those before, not on
+    their number.
+    """
     from pyspark.ml.regression import GBTRegressor
 
+    if rounds < 1 or patience < 1:
+        raise ValueError("rounds and patience must be at least 1")
     rows = _assembled(df, columns, y).cache()
     make = lambda n: GBTRegressor(featuresCol="_x", labelCol=y, maxIter=n, maxDepth=depth, stepSize=step, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed)
-    errors = make(rounds).fit(rows.filter("fold = 'train'")).evaluateEachIteration(rows.filter("fold = 'val'"), "squared")
-    best = int(np.argmin(errors)) + 1
+    n, done = min(rounds, 2 * patience), False
+    while not done:
+        errors = make(n).fit(rows.filter("fold = 'train'")).evaluateEachIteration(rows.filter("fold = 'val'"), "squared")
+        best, done = best_round(errors, patience)
+        done, n = done or n == rounds, min(2 * n, rounds)
     model = make(best).fit(rows.filter("fold in ('train', 'val')"))
     rows.unpersist()
     return model, best
 
 
-def forest(df: DataFrame, columns: list[str], y: str = "y", trees: int = 600, depth: int = 30, least: int = 2, seed: int = 42):
+def forest(df: DataFrame, columns: list[str], y: str = "y", trees: int = 600, depth: int = 30, least: int = 2, memory: int = 32, seed: int = 42):
+    """A random forest on the train fold. ``memory``: MB of split statistics that a task holds at a time; the driver holds the trees, up to 2^depth nodes each."""
     from pyspark.ml.regression import RandomForestRegressor
 
-    return RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="all", seed=seed).fit(_assembled(df.filter("fold = 'train'"), columns, y))
+    return RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="all", maxMemoryInMB=memory, seed=seed).fit(_assembled(df.filter("fold = 'train'"), columns, y))
 
 
 def predict_trees(df: DataFrame, model, columns: list[str], name: str = "boosted", y: str = "y") -> DataFrame:
@@ -118,28 +139,29 @@ def predict_trees(df: DataFrame, model, columns: list[str], name: str = "boosted
 def permutation_importance(df: DataFrame, columns: list[str], predict, y: str = "y", repeats: int = 20, seed: int = 42, block: int = 200_000) -> DataFrame:
     """Mean and deviation of the fall in validation correlation when a column is permuted, most important first.
 
-    ``predict`` maps a DataFrame with the columns to the same rows with ``score``. Columns are permuted one at a time: a row's value comes from the row
-    with the same rank in a random order, an equi-join on the rank. Rows are dealt by hash into blocks of about ``block`` rows, anew in each
-    repeat, and permuted inside them, so no task orders all rows.
+    ``predict`` maps a DataFrame with the columns to the same rows with ``score``, and keeps other columns. Columns are permuted one at a time, all of a repeat by
+    the same permutation: a row's value comes from the row with the same rank in a random order, an equi-join on the rank. Rows are dealt by hash into blocks of
+    about ``block`` rows, anew in each repeat, and permuted inside them, so no task orders all rows. The plan has one join, whatever the number of columns.
     """
-    from functools import reduce
-
     from marketspark.functions.windows import corr
 
     val = df.filter("fold = 'val'").select(*columns, y).dropna("any")
     val = val.withColumn("_id", F.xxhash64(*columns, y))
     base, n = predict(val).agg(corr(F.col(y), F.col("score")), F.count("*")).first()
     base, blocks = base or 0.0, -(-n // block) or 1
-    copies = val.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_block", F.pmod(F.xxhash64("_id", "_rep", F.lit(seed)), F.lit(blocks)))
-    w = lambda *o: Window.partitionBy("_rep", "_block").orderBy(*o)
-    parts = []
-    for c in columns:
-        natural = copies.withColumn("_k", F.row_number().over(w("_id")))
-        moved = copies.select("_rep", "_block", F.col(c).alias("_moved"), F.row_number().over(w(F.xxhash64("_id", "_rep", F.lit(c), F.lit(seed)), "_id")).alias("_k"))
-        shuffled = natural.join(moved, ["_rep", "_block", "_k"]).drop(c).withColumnRenamed("_moved", c)
-        parts.append(predict(shuffled).groupBy("_rep").agg(corr(F.col(y), F.col("score")).alias("s")).select(F.lit(c).alias("feature"), (F.lit(base) - F.coalesce("s", F.lit(0.0))).alias("drop")))
-    falls = reduce(DataFrame.unionByName, parts)
-    return falls.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std")).orderBy(F.desc("importance"), "feature")
+    packed = val.select("_id", y, F.array(*(F.col(c).cast("double") for c in columns)).alias("_v"))
+    copies = packed.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_block", F.pmod(F.xxhash64("_id", "_rep", F.lit(seed)), F.lit(blocks)))
+    rank = lambda *o: F.row_number().over(Window.partitionBy("_rep", "_block").orderBy(*o))
+    natural = copies.withColumn("_k", rank("_id"))
+    moved = copies.select("_rep", "_block", F.col("_v").alias("_moved"), rank(F.xxhash64("_id", "_rep", F.lit("order"), F.lit(seed)), "_id").alias("_k"))
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, so that rows small before they are repeated are not put in few tasks
+    one = natural.join(moved, ["_rep", "_block", "_k"]).repartition(spread, "_rep", "_k").withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))))
+    value = lambda k, c: F.when(F.col("_at") == k, F.col("_moved")[k]).otherwise(F.col("_v")[k]).alias(c)
+    scored = predict(one.select("_rep", "_at", y, *(value(k, c) for k, c in enumerate(columns))))
+    falls = scored.groupBy("_at", "_rep").agg(corr(F.col(y), F.col("score")).alias("s"))
+    fall = F.lit(base) - F.coalesce("s", F.lit(0.0))
+    names = F.array(*map(F.lit, columns))
+    return falls.groupBy(names[F.col("_at")].alias("feature")).agg(F.avg(fall).alias("importance"), F.stddev_pop(fall).alias("std")).orderBy(F.desc("importance"), "feature")
 
 
 def prune_redundant(df: DataFrame, ranked: list[str], most: float = 0.95, top: int | None = None) -> list[str]:

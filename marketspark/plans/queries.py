@@ -143,24 +143,24 @@ def ridge_result(spark: SparkSession, d: str) -> DataFrame:
     return datasets.score_predictions(models.predict_linear(r, model)).withColumns({"best_alpha": F.lit(model["best_alpha"]), "val_corr": F.lit(model["val_corr"])})
 
 
-INPUTS = ["close_minus_open", "momentum_5d", "z_score_10", "log_return"]
-
-
-def with_folds(spark: SparkSession, d: str) -> DataFrame:
-    r = features.add_plain_features(daily(spark, d)).withColumn("y", F.lead("log_return").over(series())).filter("y is not null")
-    return datasets.chronological(r).select("symbol", "ts", "fold", "y", *INPUTS)
+def matrix_with_folds(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """The whole feature matrix with targets and folds, cached because fits read it often, and its inputs."""
+    bars = daily(spark, d)
+    names = features.feature_columns(bars.columns)
+    y = returns(bars).filter("y is not null").select("symbol", "ts", "y")
+    return datasets.chronological(align(features.feature_matrix(bars), y)).select("symbol", "ts", "fold", "y", *names).cache(), names
 
 
-def boosted_result(spark: SparkSession, d: str, rounds: int = 20) -> DataFrame:
-    r = with_folds(spark, d)
-    model, best = models.boosted(r, INPUTS, rounds=rounds)
-    return datasets.score_predictions(models.predict_trees(r, model, INPUTS)).withColumn("best_rounds", F.lit(best))
+def boosted_result(spark: SparkSession, d: str) -> DataFrame:
+    r, names = matrix_with_folds(spark, d)
+    model, best = models.boosted(r, names)
+    return datasets.score_predictions(models.predict_trees(r, model, names)).withColumn("best_rounds", F.lit(best))
 
 
-def forest_importance(spark: SparkSession, d: str, trees: int = 20, depth: int = 8, repeats: int = 5) -> DataFrame:
-    r = with_folds(spark, d)
-    model = models.forest(r, INPUTS, trees=trees, depth=depth)
-    return models.permutation_importance(r, INPUTS, lambda rows: models.predict_trees(rows, model, INPUTS, "forest"), repeats=repeats)
+def forest_importance(spark: SparkSession, d: str, trees: int = 100, depth: int = 8) -> DataFrame:
+    r, names = matrix_with_folds(spark, d)
+    model = models.forest(r, names, trees=trees, depth=depth)
+    return models.permutation_importance(r, names, lambda rows: models.predict_trees(rows, model, names, "forest"))
 
 
 def scaled_back(spark: SparkSession, d: str) -> DataFrame:
@@ -176,9 +176,9 @@ def aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def importance(spark: SparkSession, d: str) -> DataFrame:
-    r = with_folds(spark, d)
-    model = models.ridge(r, INPUTS)
-    return models.permutation_importance(r, INPUTS, lambda rows: models.predict_linear(rows, model))
+    r, names = matrix_with_folds(spark, d)
+    model = models.ridge(r, names)
+    return models.permutation_importance(r, names, lambda rows: models.predict_linear(rows, model))
 
 
 RANKED = ["sma_10", "sma_20", "rolling_std_10", "rolling_std_20", "z_score_10", "momentum_5d", "log_return"]

@@ -159,6 +159,20 @@ def test_trees_find_the_planted_signal(spark):
     assert [r.feature for r in ranked][:2] == ["f1", "f2"] and ranked[0].importance > 0.5 and abs(ranked[2].importance) < 0.02
 
 
+def test_boosting_stops_by_patience(spark):
+    assert models.best_round([3.0, 2.0, 2.5, 2.4, 1.0], 2) == (2, True)
+    assert models.best_round([3.0, 2.0, 2.0, 2.0, 1.0], 2) == (2, True)  # an equal error is no gain
+    assert models.best_round([3.0, 2.0, 2.5, 1.0], 3) == (4, False) and models.best_round([1.0], 1) == (1, False)
+    x = np.random.default_rng(2).normal(size=300)
+    df = spark.createDataFrame(pd.DataFrame({"fold": ["train"] * 200 + ["val"] * 100, "f1": x, "y": x}))  # each round helps
+    short, n = models.boosted(df, ["f1"], rounds=4, step=0.3, patience=2)
+    long, m = models.boosted(df, ["f1"], rounds=8, step=0.3, patience=2)  # fits 4 rounds, then 8
+    assert (n, m) == (4, 8)
+    assert [t.toDebugString.split("\n", 1)[1] for t in short.trees] == [t.toDebugString.split("\n", 1)[1] for t in long.trees[:4]]
+    with pytest.raises(ValueError):
+        models.boosted(df, ["f1"], rounds=0)
+
+
 def test_summary_counts_only_finite_returns(spark):
     rets = [None, -0.5, float("nan"), 1.0, None]
     f = spark.createDataFrame([("a", "m", (DAY + pd.Timedelta(days=i)).to_pydatetime(), v, 1.0, 0.25) for i, v in enumerate(rets)] + [("a", "none", DAY.to_pydatetime(), None, 1.0, 0.0)], "symbol string, model string, ts timestamp, net_return double, turnover double, transaction_cost double")
