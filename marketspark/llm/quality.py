@@ -114,3 +114,47 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 def op7(docs: DataFrame) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality_rules(docs.select("doc_id", "text")).select(*cols, *(F.col(f"chars_in_{k}grams") for k in MOST_IN_NGRAMS))
+
+
+def _sql() -> str:
+    ks = sorted({8, *MOST_IN_NGRAMS})
+    each = lambda form, join=",\n    ": join.join(form(k) for k in ks)
+    gram = lambda k: " || ' ' || ".join(["word", *(f"lead(word, {j}) OVER w" for j in range(1, k))])
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d)),
+grams AS (
+  SELECT r, i, length(word) AS n,
+    {each(lambda k: f"{gram(k)} AS g{k}")}
+  FROM words WINDOW w AS (PARTITION BY r ORDER BY i)),
+twice AS (
+  SELECT r, i, n,
+    {each(lambda k: f"CAST(g{k} IS NOT NULL AND count(*) OVER (PARTITION BY r, g{k}) > 1 AS BIGINT) AS f{k}")}
+  FROM grams),
+inside AS (
+  SELECT r, n,
+    {each(lambda k: f"max(f{k}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS c{k}")}
+  FROM twice),
+of_words AS (
+  SELECT r, count(*) AS n_words, sum(n) AS word_chars, sum(c8) AS n_repeat_words,
+    {each(lambda k: f"sum(n * c{k}) AS chars_in_{k}grams")}
+  FROM inside GROUP BY r),
+lines AS (
+  SELECT r, line, row_number() OVER (PARTITION BY r, line) > 1 AS again
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+of_lines AS (
+  SELECT r, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))) AS chars_in_dup_lines FROM lines WHERE again GROUP BY r),
+counted AS (
+  SELECT doc_id, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ["n_words", "word_chars", "n_repeat_words", "n_dup_lines", "chars_in_dup_lines", *(f"chars_in_{k}grams" for k in ks)])}
+  FROM d LEFT JOIN of_words USING (r) LEFT JOIN of_lines USING (r)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, greatest(word_chars, 1)::DOUBLE AS ink FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {", ".join(f"chars_in_{k}grams" for k in MOST_IN_NGRAMS)}, base_failed,
+  NOT (base_failed OR chars_in_dup_lines > {MOST_IN_LINES}::DOUBLE * ink OR {" OR ".join(f"chars_in_{k}grams > {most}::DOUBLE * ink" for k, most in MOST_IN_NGRAMS.items())}) AS kept
+FROM judged
+"""
+
+
+#: DuckDB. Compares n-grams and lines themselves, not their hashes.
+SQL = _sql()

@@ -35,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.SQL}
+    return {"op7_quality": quality.SQL, "op8_mixing": mixing.SQL, "op10_substrings": substrings.SQL}

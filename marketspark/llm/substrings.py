@@ -302,3 +302,23 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op10(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs)
+
+
+#: DuckDB. Every window of 200 bytes (400 hex digits, cut from pieces of 1024 starts) by its MD5; windows that occur twice, joined where they overlap or touch.
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT r, c * 1024 AS base, substr(h, 2048 * c + 1, {2 * (1023 + LENGTH)}) AS piece FROM (SELECT r, h, unnest(range(length(h) // 2048 + 1)) AS c FROM d)),
+windows AS MATERIALIZED (SELECT r, base + i AS i, md5(substr(piece, 2 * i + 1, {2 * LENGTH})) AS key FROM (SELECT *, unnest(range(length(piece) // 2 - {LENGTH - 1})) AS i FROM pieces)),
+twice AS (SELECT r, i FROM windows JOIN (SELECT key FROM windows GROUP BY key HAVING count(*) > 1) USING (key)),
+numbered AS (
+  SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run
+  FROM (SELECT r, i, CAST(i - lag(i, 1, -{LENGTH + 1}) OVER (PARTITION BY r ORDER BY i) > {LENGTH} AS BIGINT) AS opens FROM twice)),
+runs AS (SELECT r, min(i) AS lo, max(i) + {LENGTH} AS hi FROM numbered GROUP BY r, run),
+gaps AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM runs),
+cut AS (
+  SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head
+  FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
