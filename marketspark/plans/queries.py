@@ -136,10 +136,12 @@ def with_block(spark: SparkSession, d: str, names: list[str], plain: bool = True
     return features.add_plain_features(daily(spark, d)).select("symbol", "ts", *names)
 
 
+LINEAR = ["log_return", "momentum_5d", "z_score_10", "vol_10"]
+
+
 def ridge_result(spark: SparkSession, d: str) -> DataFrame:
-    r = datasets.chronological(returns(features.add_plain_features(daily(spark, d)).drop("momentum_5d", "log_return")).filter("y is not null")).select("symbol", "ts", "fold", "y", "log_return", "momentum_5d", "z_score_10", "vol_10").dropna("any")
-    cols = ["log_return", "momentum_5d", "z_score_10", "vol_10"]
-    model = models.ridge(r, cols)
+    r = datasets.chronological(returns(features.add_plain_features(daily(spark, d)).drop("momentum_5d", "log_return")).filter("y is not null")).select("symbol", "ts", "fold", "y", *LINEAR).dropna("any")
+    model = models.ridge(r, LINEAR)
     return datasets.score_predictions(models.predict_linear(r, model)).withColumns({"best_alpha": F.lit(model["best_alpha"]), "val_corr": F.lit(model["val_corr"])})
 
 
@@ -394,6 +396,28 @@ def _pruned() -> str:
     return f"{BASE}, f AS (SELECT {cols}, {FOLD} FROM y), c AS (SELECT {sums} FROM f WHERE fold = 'train'), {steps} {rows}"
 
 
+def _ridge(score_cols: str, z: str, vol: str) -> str:
+    """Normal equations of standardised inputs for every penalty, solved by elimination a column at a time."""
+    p, same = len(LINEAR), lambda a, b: "1.0::DOUBLE" if a == b else f"corr({a}, {b})"
+    system = ", ".join("[" + ", ".join([f"count(*) * {same(a, b)}" + (" + alpha" if a == b else "") for b in LINEAR] + [f"count(*) * covar_pop({a}, y) / stddev_pop({a})"]) + "]" for a in LINEAR)
+    value = " + ".join(f"a[{j}][{p + 1}] / sd[{j}] * ({c} - mean[{j}])" for j, c in enumerate(LINEAR, 1))
+    lists = ", ".join(f"[{', '.join(f'{f}({c})' for c in LINEAR)}] AS {n}" for f, n in (("avg", "mean"), ("stddev_pop", "sd")))
+    return f"""{BASE.replace("WITH", "WITH RECURSIVE", 1)}, x AS (SELECT symbol, ts, y, log_return, momentum_5d, {z} AS z_score_10, {vol} AS vol_10 FROM y),
+f AS (SELECT *, {FOLD} FROM x WHERE y IS NOT NULL), g AS (SELECT * FROM f WHERE {" AND ".join(f"{c} IS NOT NULL" for c in LINEAR)}),
+used AS (SELECT 'train' AS part, * FROM g WHERE fold = 'train' UNION ALL SELECT 'both', * FROM g WHERE fold IN ('train', 'val')),
+penalties AS (SELECT i, pow(10.0::DOUBLE, i / 3.0::DOUBLE - 4) AS alpha FROM range(25) AS t(i)),
+sums AS (SELECT part, avg(y) AS my, {lists} FROM used GROUP BY part),
+solved AS (
+  SELECT part, i, alpha, CAST(1 AS BIGINT) AS k, [{system}] AS a FROM used, penalties GROUP BY part, i, alpha
+  UNION ALL
+  SELECT part, i, alpha, k + 1, list_transform(a, lambda r, j: CASE WHEN j = k THEN list_transform(r, lambda v: v / a[k][k]) ELSE list_transform(r, lambda v, c: v - r[k] * a[k][c] / a[k][k]) END) FROM solved WHERE k <= {p}),
+best AS (
+  SELECT i, alpha, corr(g.y, my + {value}) AS c FROM solved JOIN sums USING (part), g WHERE k = {p + 1} AND part = 'train' AND fold = 'val'
+  GROUP BY i, alpha ORDER BY c DESC NULLS LAST, i LIMIT 1),
+p AS (SELECT fold, g.y, my + {value} AS score, best.alpha, best.c FROM solved JOIN sums USING (part) JOIN best USING (i), g WHERE k = {p + 1} AND part = 'both')
+SELECT 'ridge' AS model, fold, count(*) AS n, {score_cols}, {rnd(best_alpha="max(alpha)", val_corr="max(c)")} FROM p GROUP BY fold"""
+
+
 def oracle_sql() -> dict[str, str]:
     bar = rnd("open", "high", "low", "close", "volume", "trade_count", digits=EXACT) + ", vwap"
     c10, s10 = whole("avg", "close", 10), whole("stddev_samp", "close", 10)
@@ -457,6 +481,7 @@ SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown
         "yearly": f"{FRAME}, yr AS (SELECT *, CAST(year(ts) AS BIGINT) AS Year FROM bt), {grown('symbol, model, Year', 'yr')} SELECT symbol, model, Year, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown)')} FROM dd GROUP BY 1, 2, 3",
         "regimes": reg,
     }
+    out["ridge"] = _ridge(score_cols, f"(close - {c10}) / nullif({s10}, 0)", whole("stddev_samp", "log_return", 10))
     out["bars_stored"] = f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars WHERE ts BETWEEN DATE '1996-12-31' AND DATE '1998-12-31'"
     out["bars_deduplicated"] = f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars WHERE day(ts) % 7 <> 0 AND volume % 5 NOT IN (0, 1)"
     out["aligned_left"] = f"{BASE} SELECT symbol, ts, {rnd('close', sma_10=c10, digits=EXACT)} FROM y"
