@@ -58,11 +58,12 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-EMPTY = "array<struct<start:bigint,end:bigint,rank:int,kind:string,score:double>>"
+#: Spans compare by start, then by the place of their kind in the list.
+EMPTY = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """The confirmed spans of a kind: array of (start, end, rank, kind, score)."""
+    """The confirmed spans of a kind: array of (start, rank, end, kind, score)."""
     pattern, can, score, words, least = KINDS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # place: (end of the last match, spans so far), over pairs of the piece before a match and the match
@@ -75,7 +76,7 @@ def spans_of(text: Column, kind: str) -> Column:
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
     found = F.aggregate(pairs, zero, step)["out"]
     near = lambda s: F.concat(F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)).cast("int") + 1, (s["start"] - F.greatest(s["start"] - NEAR, F.lit(0))).cast("int")), F.lit(" "), F.substr(text, s["end"].cast("int") + 1, F.lit(NEAR)))
-    scored = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(list(KINDS).index(kind)).alias("rank"), F.lit(kind).alias("kind"), F.when(F.rlike(near(s), F.lit(words)), F.lit(min(1.0, score + RAISE))).otherwise(F.lit(score)).alias("score")))
+    scored = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(list(KINDS).index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.when(F.rlike(near(s), F.lit(words)), F.lit(min(1.0, score + RAISE))).otherwise(F.lit(score)).alias("score")))
     if least > 0:
         scored = F.filter(scored, lambda s: s["score"] >= least)
     return F.when(F.rlike(text, F.lit(can)), scored).otherwise(F.array().cast(EMPTY))
@@ -115,3 +116,60 @@ def op4(docs: DataFrame) -> DataFrame:
         joined(F.col("findings")).alias("spans"),
         F.when(F.size("findings") > 0, F.array_max(F.transform("findings", lambda s: s["score"]))).alias("top_score"),
     )
+
+
+#: The kinds' patterns for an engine without look-around. ``<`` and ``>`` stand for marks around the runs of a class of characters.
+PLAIN = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", None),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", None),
+    "card": (r"[0-9]([\x20-]?[0-9])+", None),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", None),
+    "iban": (r"<[A-Z]{2}[0-9]{2}(?:(?:>\x20<)?[A-Z0-9]{4}){2,7}(?:(?:>\x20<)?[A-Z0-9]{1,3})?>", "[A-Za-z0-9]"),
+    "ssn": (r"<[0-9]{3}-[0-9]{2}-[0-9]{4}>", "[0-9-]"),
+}
+
+
+def _sql() -> str:
+    low, high = "\ue000", "\ue001"
+    sources, raised, plain, least = [], [], [], []
+    for rank, (kind, (pattern, runs)) in enumerate(PLAIN.items()):
+        text = f"regexp_replace(t, '({runs}+)', '{low}\\1{high}', 'g')" if runs else "t"
+        pattern = pattern.replace("<", low).replace(">", high)
+        sources.append(f"SELECT r, {rank} AS rank, '{kind}' AS kind, t, string_split_regex(s, '{pattern}') AS gaps, regexp_extract_all(s, '{pattern}') AS found FROM (SELECT r, t, {text} AS s FROM d)")
+        _, _, score, words, lowest = KINDS[kind]
+        raised.append(f"WHEN kind = '{kind}' AND regexp_matches(near, '{words}') THEN {min(1.0, score + RAISE)}::DOUBLE")
+        plain.append(f"WHEN kind = '{kind}' THEN {score}::DOUBLE")
+        least.append(f"WHEN '{kind}' THEN {lowest}::DOUBLE")
+    bare = lambda c: f"replace(replace({c}, '{low}', ''), '{high}', '')"
+    span = "kind || ':' || (e - n) || ':' || e"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+proposed AS ({" UNION ALL ".join(sources)}),
+pieces AS (SELECT r, rank, kind, t, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM proposed WHERE len(found) > 0),
+bare AS (SELECT r, rank, kind, t, k, {bare("m")} AS m, length({bare("gap")}) AS before FROM pieces),
+placed AS (
+  SELECT *, length(m) AS n, CAST(sum(before + length(m)) OVER (PARTITION BY r, rank ORDER BY k) AS BIGINT) AS e, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS account
+  FROM bare),
+confirmed AS (
+  SELECT * FROM placed WHERE CASE kind
+    WHEN 'ip' THEN list_max(list_transform(string_split(m, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(p, '0') AS INTEGER) END)) <= 255
+    WHEN 'card' THEN length(digits) BETWEEN 12 AND 19
+      AND list_sum(list_transform(string_split(reverse(digits), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) ELSE CAST(c AS INTEGER) * 2 // 10 + CAST(c AS INTEGER) * 2 % 10 END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(account) BETWEEN 15 AND 34
+      AND list_reduce(list_transform(string_split(substr(account, 5) || substr(account, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, v: (a * CASE WHEN v < 10 THEN 10 ELSE 100 END + v) % 97, 0) = 1
+    ELSE true END),
+beside AS (SELECT *, substr(t, greatest(e - n - {NEAR}, 0) + 1, e - n - greatest(e - n - {NEAR}, 0)) || ' ' || substr(t, e + 1, {NEAR}) AS near FROM confirmed),
+scored AS (SELECT *, CASE {" ".join(raised + plain)} END AS score FROM beside),
+stay AS (SELECT * FROM scored WHERE score >= CASE kind {" ".join(least)} END),
+joined AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, max(score) AS top_score,
+    string_agg({span}, ',' ORDER BY e - n, rank) FILTER (rank < {len(BASE)}) AS base, string_agg({span}, ',' ORDER BY e - n, rank) AS spans
+  FROM stay GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, top_score
+FROM d LEFT JOIN joined USING (r)
+"""
+
+
+#: DuckDB.
+SQL = _sql()

@@ -35,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality": quality.SQL, "op8_mixing": mixing.SQL, "op10_substrings": substrings.SQL}
+    return {"op4_pii": pii.SQL, "op7_quality": quality.SQL, "op8_mixing": mixing.SQL, "op10_substrings": substrings.SQL}

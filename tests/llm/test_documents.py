@@ -26,6 +26,7 @@ TEXTS = [
     "a\nb\na\n\n\na\nb c\r\nb c\r",
     "x " * 300,
     " ".join(str(i * 7919) for i in range(20000)),
+    "1.2.3.4@host.com +12345678901@x.org 000000000018.1.1.1",
     "mail me: a.b+c@ex-am.ple.org_d@e.fr, @x.y a@b 1.2.3.4.5 300.1.1.1 host 10.0.0.255",
     "card 4111 1111 1111 1111 12/26 and 4111-1111-1111-1111 or 378282246310005; +49 (30) 1234-567. +1 é +33.1.22.33.44.55",
     "é ñ 🎈 4111111111111111 +4930123456789012345 tail 00000000000000",

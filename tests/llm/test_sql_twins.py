@@ -7,7 +7,7 @@ import pytest
 
 from marketspark.llm import queries as llm
 
-ONE_TABLE = ["op7_quality", "op8_mixing", "op10_substrings"]
+ONE_TABLE = ["op4_pii", "op7_quality", "op8_mixing", "op10_substrings"]
 LONG = "".join(f"word{i * i % 977} é{i}\n" for i in range(300))
 ODD = [
     (1, "a", None),
@@ -19,6 +19,8 @@ ODD = [
     (6, "b", "start " + LONG[40:700] + LONG[1500:2600] + "  end   | <tag> 100% *"),
     (7, "b", "ü" * 2500),
     (8, "b", "one two three four five six seven eight nine ten. " * 3 + " ".join(f"only{i}" for i in range(90))),
+    (9, "b", "ü mail 1.2.3.4@ho-st.com, +12345678901@x.org 000000000018.1.1.1 4111 1111-1111 1111; IBAN DE89 3704 0044 0532 0130 00, xDE89370400440532013000 ssn 078-05-1120 or 1078-05-1120"),
+    (10, "b", "078-05-1120 a@b.c_d@e.fr 1.2.3.4.5.6.7.8 300.1.1.1 +49 (30) 1234-567. bank GB82WEST12345698765432 GB82 WEST 1234 5698 7654 33"),
     (None, "c", "no id, few words"),
 ]
 
@@ -41,7 +43,7 @@ def test_given_documents(spark, name):
     compare(spark, name, "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["op7_quality", "op10_substrings"])
+@pytest.mark.parametrize("name", ["op4_pii", "op7_quality", "op10_substrings"])
 def test_odd_documents(spark, name, tmp_path):
     spark.createDataFrame(ODD, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     compare(spark, name, str(tmp_path))
