@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, language_model, mixing, neighbours, packing, pii, quality, simhash, substrings, toxicity
+from . import htmltext, language_model, manifest, mixing, neighbours, packing, pii, quality, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +31,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": _of(mixing.op8, "documents"),
         "op9_html_text": _of(htmltext.op9, "pages"),
         "op10_substrings": _of(substrings.op10, "documents"),
+        "op11_merkle": _of(manifest.op11, "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii.SQL, "op7_quality": quality.SQL, "op8_mixing": mixing.SQL, "op10_substrings": substrings.SQL}
+    return {"op4_pii": pii.SQL, "op7_quality": quality.SQL, "op8_mixing": mixing.SQL, "op10_substrings": substrings.SQL, "op11_merkle": manifest.SQL}

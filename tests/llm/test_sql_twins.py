@@ -7,7 +7,7 @@ import pytest
 
 from marketspark.llm import queries as llm
 
-ONE_TABLE = ["op4_pii", "op7_quality", "op8_mixing", "op10_substrings"]
+ONE_TABLE = ["op4_pii", "op7_quality", "op8_mixing", "op10_substrings", "op11_merkle"]
 LONG = "".join(f"word{i * i % 977} é{i}\n" for i in range(300))
 ODD = [
     (1, "a", None),
