@@ -50,4 +50,13 @@ def test_odd_documents(spark, name, tmp_path):
 
 
 def test_every_twin_is_compared():
-    assert sorted(llm.oracle_sql()) == sorted(ONE_TABLE)
+    assert sorted(llm.oracle_sql()) == sorted([*ONE_TABLE, "op13_search"])
+
+
+def test_search_on_given_tables(spark):
+    con = duckdb.connect()
+    d = "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
+    want = sorted(con.execute(llm.oracle_sql()["op13_search"]).fetchall())
+    assert sorted(map(tuple, llm.queries()["op13_search"](spark, d).collect())) == want and want
