@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, language_model, manifest, mixing, neighbours, packing, pii, quality, ranking, simhash, substrings, toxicity
+from . import htmltext, language_model, manifest, mixing, neighbours, packing, pii, quality, ranking, setjoin, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +32,10 @@ def queries() -> dict[str, Query]:
         "op9_html_text": _of(htmltext.op9, "pages"),
         "op10_substrings": _of(substrings.op10, "documents"),
         "op11_merkle": _of(manifest.op11, "documents"),
+        "op12_jaccard": _of(setjoin.op12, "documents"),
         "op13_search": _of(ranking.op13, "documents", "benchmark"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii.SQL, "op7_quality": quality.SQL, "op8_mixing": mixing.SQL, "op10_substrings": substrings.SQL, "op11_merkle": manifest.SQL, "op13_search": ranking.SQL}
+    return {"op4_pii": pii.SQL, "op7_quality": quality.SQL, "op8_mixing": mixing.SQL, "op10_substrings": substrings.SQL, "op11_merkle": manifest.SQL, "op12_jaccard": setjoin.SQL, "op13_search": ranking.SQL}

@@ -7,7 +7,7 @@ import pytest
 
 from marketspark.llm import queries as llm
 
-ONE_TABLE = ["op4_pii", "op7_quality", "op8_mixing", "op10_substrings", "op11_merkle"]
+ONE_TABLE = ["op4_pii", "op7_quality", "op8_mixing", "op10_substrings", "op11_merkle", "op12_jaccard"]
 LONG = "".join(f"word{i * i % 977} é{i}\n" for i in range(300))
 ODD = [
     (1, "a", None),
@@ -43,7 +43,7 @@ def test_given_documents(spark, name):
     compare(spark, name, "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["op4_pii", "op7_quality", "op10_substrings"])
+@pytest.mark.parametrize("name", ["op4_pii", "op7_quality", "op10_substrings", "op12_jaccard"])
 def test_odd_documents(spark, name, tmp_path):
     spark.createDataFrame(ODD, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     compare(spark, name, str(tmp_path))
