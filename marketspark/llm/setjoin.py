@@ -4,7 +4,7 @@ A document's set holds the distinct 3-word shingles of its words ``[^\\x20\\x09-
 whole sequence). Two sets link when 100 * intersection >= 90 * union. Equal sets meet in one node before anything is compared.
 
 Prefixes. A set of ``a`` shingles shares at least ceil(0.9 a) with a partner, so of any a - ceil(0.9 a) + 1 of its shingles one is shared.
-Shingles are known by 64-bit hashes and put in one order for all sets: the quarter of the hashes below ``REGION`` first, in it rare ones
+Shingles are known by 64-bit hashes and put in one order for all sets: the hashes below ``REGION``, three in 16, first, in it rare ones
 (in at most ``RARE`` sets' regions) before frequent before very frequent ones, then by hash. A set's prefix is the start of that order, and of two linked
 sets the one whose prefix ends first has all that they share of it in the other's prefix, too. Rare shingles are signatures on
 their own. Of the frequent classes only combinations are: pairs of frequent, triples of very frequent shingles. For that the
@@ -13,10 +13,11 @@ set's size, and c shingles of a group count as c - 1 or c - 2. Group numbers fol
 beyond the next power takes part there as well. A region with too few shingles (short texts) is extended by shingles outside, taken as rare.
 So no link is lost, whatever the frequencies are; they only decide how many candidates there are.
 
-Candidates are verified with the whole sets. Two rounds first compare each signature's members with one of them (a star, not
+Candidates are verified with the whole sets, made anew from the texts of just the documents that are asked for. A first round compares each signature's members with one of them (a star, not
 all pairs); sets that are joined by verified links need no further comparison with each other. Then all pairs of a signature in different classes are looked at in
-tasks, hot signatures dealt out as pairs of chunks; only pairs that pass a bound leave a task: sizes within 0.9, and parities of 512
-bits that differ in at most (a + b) / 19 places, which is the largest difference of linked sets.
+tasks, hot signatures dealt out as pairs of chunks; only pairs that pass a bound leave a task: sizes within 0.9, and parities of 256
+bits that differ in at most (a + b) / 19 places, which is the largest difference of linked sets; for sets of ``LARGE`` and more, parities
+of 16,384 bits are compared before the sets.
 
 Null and empty texts, and those of blanks, have an empty set: they link with nothing and are classes of their own. Equal rows, and equal
 texts under several ids, are one node; a class has the smallest doc_id that is not null. Other columns play no part. Two shingles
@@ -39,14 +40,17 @@ from pyspark.sql import types as T
 from .common import as_bytes, salted, save
 from .simhash import connect
 
-#: Hashes below this are looked at first: a quarter.
-REGION = 1 << 62
+#: Hashes below this are looked at first.
+REGION = 3 << 60
 #: A shingle in more regions than this is frequent; in more than the second number, very frequent.
 RARE, VERY = 32, 1024
 #: Sets of this many shingles, times a power of two, get one group of combinations more.
 GROUP = 80
-WORDS = 8
+#: 64-bit words of the parities; of the finer ones of large sets, from so many shingles.
+WORDS, FINE, LARGE = 4, 256, 900
 CHUNK = 512
+#: Nodes that are broadcast to find their texts, at most (about 60 bytes each); more are joined by a shuffle.
+FEW = 100_000
 #: Smaller sets link with no other.
 LEAST = 9
 
@@ -81,66 +85,87 @@ def prefix_size(a: int, a0: int) -> int:
     return 0 if a < LEAST else min(a, max(a0, needed(a) + 3 * systems(a)[-1][1]))
 
 
-def parities(h: np.ndarray) -> np.ndarray:
-    """512 bits: whether an odd number of hashes falls on each."""
-    odd = np.bincount((h & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+def parities(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """64 bits a word: whether an odd number of hashes falls on each."""
+    odd = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def digest(h: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
+
+
 def set_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (doc_id, key, a, a0, bits, prefix, tokens): the set's digest (null: empty), size, hashes in the region, parities, first hashes, all hashes."""
+    """Rows (doc_id, key, a, a0, bits, fine, prefix): the set's digest (null: empty), size, hashes in the region, parities, finer ones of large sets, first hashes."""
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("a", T.IntegerType()), T.StructField("a0", T.IntegerType()), *(T.StructField(c, longs) for c in ("bits", "prefix", "tokens"))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("a", T.IntegerType()), T.StructField("a0", T.IntegerType()), *(T.StructField(c, longs) for c in ("bits", "fine", "prefix"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
         for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                key, a, a0, bits, prefix, tokens = [], [], [], [], [], []
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                key, a, a0, bits, fine, prefix = [], [], [], [], [], []
                 for t in as_bytes(batch.column("text")):
                     grams = shingles(t.as_py())
                     h = hashes(grams)
                     low = int(np.searchsorted(h, np.uint64(REGION)))
-                    key.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                    key.append(digest(h))
                     a.append(len(grams))
                     a0.append(low)
                     bits.append(parities(h))
+                    fine.append(parities(h, FINE) if len(h) >= LARGE else [])
                     prefix.append(h[: prefix_size(len(grams), low)].view(np.int64))
-                    tokens.append(h.view(np.int64))
-                cols = [batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(a, pa.int32()), pa.array(a0, pa.int32()), *(pa.array(x, kind) for x in (bits, prefix, tokens))]
+                cols = [batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(a, pa.int32()), pa.array(a0, pa.int32()), *(pa.array(x, kind) for x in (bits, fine, prefix))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def signatures_of(a: int, a0: int, shared: list[tuple[int, int, int]], rare: int = RARE, very: int = VERY) -> set[int]:
-    """Signatures of a set. ``shared``: (place in the order of hashes, hash, number of sets) of its prefix's hashes that other prefixes hold, too."""
-    p, shared = needed(a), sorted(shared)
-    classes = {1: [], 2: [], 3: []}
-    for at, h, n in shared:
-        if at < a0:
-            classes[1 if n <= rare else 2 if n <= very else 3].append((at, h))
-    common = sorted(at for c in (2, 3) for at, _ in classes[c])
-    alone = a0 - len(common)
-    before = np.searchsorted(common, [at for at, _ in classes[1]])
-    out = {h for (at, h), skip in zip(classes[1], before.tolist(), strict=True) if at - skip < p}
+def whole_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (node, a, tokens) of the nodes ``wanted`` (node, key, first), with all their hashes.
+
+    Texts are found by a node's smallest doc_id and told apart by the set's digest; the first of equal ones counts.
+    """
+    asked = wanted.select("node", "key", F.col("first").alias("_id"))
+    asked = F.broadcast(asked) if wanted.count() <= FEW else asked
+    found = docs.select("doc_id", F.col(text).alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                sets = [hashes(shingles(t.as_py())) for t in as_bytes(batch.column("text"))]
+                use = [i for i, (h, key) in enumerate(zip(sets, batch.column("key").to_pylist(), strict=True)) if digest(h) == key]
+                cols = [batch.column("node").take(pa.array(use, pa.int64())), pa.array([len(sets[i]) for i in use], pa.int32()), pa.array([sets[i].view(np.int64) for i in use], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "a", "tokens"])
+
+    one = F.first(F.struct("a", "tokens")).alias("s")
+    return found.mapInArrow(run, "node long, a int, tokens array<long>").groupBy("node").agg(one).select("node", "s.*")
+
+
+def signatures_of(a: int, a0: int, at: np.ndarray, h: np.ndarray, n: np.ndarray, rare: int = RARE, very: int = VERY) -> np.ndarray:
+    """Signatures of a set, from its prefix's hashes that other prefixes hold, too: places in the order of hashes (ascending), hashes, numbers of sets."""
+    p = needed(a)
+    inside = at < a0
+    common = inside & (n > rare)
+    skip = np.cumsum(common)
+    alone = a0 - int(common.sum())
+    out = [h[inside & ~common & (at - skip < p)]]
     if alone >= p:
-        return out
+        return out[0]
     for power, groups in systems(a):
-        have = alone
-        for k in (2, 3):
+        have, made = alone, []
+        for k, those in ((2, common & (n <= very)), (3, common & (n > very))):
             held: dict[int, list[int]] = {}
-            for _, h in classes[k]:
+            for x in h[those].tolist():
                 if have >= p:
                     break
-                group = held.setdefault((h & 0xFFFFFFFF) % groups, [])
-                group.append(h)
+                group = held.setdefault((x & 0xFFFFFFFF) % groups, [])
+                group.append(x)
                 have += len(group) >= k
             for group in held.values():
-                for some in combinations(group, k):
-                    out.add(xxhash.xxh3_64_intdigest(np.array([power, k, *(x - (1 << 64) if x >> 63 else x for x in some)], np.int64).tobytes()))
-        out |= {h for at, h, _ in shared if a0 <= at < a0 + p - have}
-    return out
+                made += [xxhash.xxh3_64_intdigest(np.array([power, k, *some], np.uint64).tobytes()) for some in combinations(group, k)]
+        out += [np.array(made, np.uint64), h[(at >= a0) & (at < a0 + p - have)]]
+    return np.unique(np.concatenate(out))
 
 
 def signatures(nodes: DataFrame, rare: int = RARE, very: int = VERY) -> DataFrame:
@@ -148,17 +173,19 @@ def signatures(nodes: DataFrame, rare: int = RARE, very: int = VERY) -> DataFram
     rows = nodes.select("node", F.posexplode("prefix").alias("at", "token"))
     total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     counts = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = salted(rows, counts, ["token"], total, ["node"]).groupBy("node").agg(F.collect_list(F.struct("at", "token", "n")).alias("shared"))
+    shared = salted(rows, counts, ["token"], total, ["node"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("shared"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig, of = [], []
-            for i, (a, a0, found) in enumerate(zip(batch.column("a").to_pylist(), batch.column("a0").to_pylist(), batch.column("shared").to_pylist(), strict=True)):
-                new = signatures_of(a, a0, [(x["at"], x["token"] & 0xFFFFFFFFFFFFFFFF, x["n"]) for x in found], rare, very)
-                sig += new
-                of += [i] * len(new)
-            take = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(sig, np.uint64).view(np.int64)), *(batch.column(c).take(take) for c in ("node", "a", "bits"))], names=["sig", "node", "a", "bits"])
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                shared = batch.column("shared")
+                ends = (shared.offsets.to_numpy() - shared.offsets[0].as_py()).tolist()
+                at, token, n = (x.to_numpy() for x in shared.flatten().flatten())
+                token = token.view(np.uint64)
+                sigs = [signatures_of(a, a0, at[i:j], token[i:j], n[i:j], rare, very) for a, a0, i, j in zip(batch.column("a").to_pylist(), batch.column("a0").to_pylist(), ends[:-1], ends[1:], strict=True)]
+                take = pa.array(np.repeat(np.arange(len(sigs)), [len(x) for x in sigs]))
+                sig = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *(batch.column(c).take(take) for c in ("node", "a", "bits"))], names=["sig", "node", "a", "bits"])
 
     return shared.join(nodes.select("node", "a", "a0", "bits"), "node").mapInArrow(run, "sig long, node long, a int, bits array<long>")
 
@@ -169,17 +196,17 @@ def possible(a: Column, a_bits: Column, b: Column, b_bits: Column) -> Column:
     return (10 * F.least(a, b) >= 9 * F.greatest(a, b)) & (19 * differ <= a + b)
 
 
-def open_signatures(sigs: DataFrame, pick=F.min) -> DataFrame:
+def open_signatures(sigs: DataFrame) -> DataFrame:
     """For signatures (sig, node, a, bits, label) of several classes: sig, n, and one member."""
-    one = pick(F.struct("node", "a", "bits", "label")).alias("one")
+    one = F.min(F.struct("node", "a", "bits", "label")).alias("one")
     return sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), one).filter("_lo < _hi").drop("_lo", "_hi")
 
 
-def star_pairs(sigs: DataFrame, total: int, pick) -> DataFrame:
-    """Possible pairs (u < v) of each open signature's member ``pick`` with the others."""
-    both = salted(sigs, open_signatures(sigs, pick), ["sig"], total, ["node"])
+def star_pairs(sigs: DataFrame, total: int) -> DataFrame:
+    """Possible pairs (u < v, large) of each open signature's smallest member with the others."""
+    both = salted(sigs, open_signatures(sigs), ["sig"], total, ["node"])
     use = (F.col("label") != F.col("one.label")) & possible(F.col("a"), F.col("bits"), F.col("one.a"), F.col("one.bits"))
-    return both.filter(use).select(F.least("node", "one.node").alias("u"), F.greatest("node", "one.node").alias("v")).distinct()
+    return both.filter(use).select(F.least("node", "one.node").alias("u"), F.greatest("node", "one.node").alias("v"), (F.least("a", "one.a") >= LARGE).alias("large")).distinct()
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +229,12 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits = 10 * np.minimum(a[i], a[j]) >= 9 * np.maximum(a[i], a[j])
                 i, j = i[fits], j[fits]
                 near = 19 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= a[i] + a[j]
-                us.append(node[i[near]])
-                vs.append(node[j[near]])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+                us.append(i[near])
+                vs.append(j[near])
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+        pairs = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(a[i], a[j]) >= LARGE], 1)
+        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(pairs[:, 2] > 0)], names=["u", "v", "large"])
 
     held: list[pa.RecordBatch] = []
     waiting = 0
@@ -225,40 +253,52 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def all_pairs(sigs: DataFrame, total: int, chunk: int = CHUNK) -> DataFrame:
-    """Possible pairs (u < v) of different labels that share a signature."""
+    """Possible pairs (u < v, large) of different labels that share a signature."""
     hot = open_signatures(sigs).select("sig", "n")
     parts = F.ceil(F.col("n") / chunk).cast("int")
     dealt = salted(sigs, hot, ["sig"], total, ["node"]).withColumns({"_parts": parts, "_own": F.pmod(F.xxhash64("node"), parts).cast("int")})
     other = F.explode(F.when(F.col("_parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("_parts") - 1), F.col("_own"))))
     dealt = dealt.withColumn("_other", other).select(F.xxhash64("sig", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("bucket"), "node", "label", "a", "bits")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_cross, "u long, v long").distinct()
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_cross, "u long, v long, large boolean").distinct()
 
 
-def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (u, v) of rows (row, a, tokens) that link."""
-    pairs = save(pairs, "pairs")
-    total = pairs.count()
-    sets = rows.select(F.col("row").alias("node"), "a", "tokens")
+def _with(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (u, v) with columns of both sets, those of u first; a set that stands in many pairs is salted."""
+    out, total = pairs.select("u", "v"), pairs.count()
     for end, rest in (("u", "v"), ("v", "u")):
-        counts = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n")).join(sets, "node")
-        side = counts.select(F.col("node").alias(end), "n", F.col("a").alias(f"a_{end}"), F.col("tokens").alias(f"tokens_{end}"))
-        joined = salted(pairs if end == "u" else joined, side, [end], total, [rest]).drop("n")
-    both = F.size(F.array_intersect("tokens_u", "tokens_v"))
-    return joined.filter(190 * both >= 90 * (F.col("a_u") + F.col("a_v"))).select(F.col("v").alias("u"), F.col("u").alias("v"))
-
-
-def classes(rows: DataFrame, nodes: DataFrame, chunk: int = CHUNK, rare: int = RARE, very: int = VERY) -> DataFrame:
-    """Rows (node, label) of the nodes that link with another; ``label`` is a node, the same for a class."""
-    sigs = save(signatures(nodes, rare, very), "signatures")
-    counts = sigs.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    total = sigs.count()
-    sigs = save(salted(sigs, counts, ["sig"], total, ["node"]).drop("n"), "shared-signatures")
-    total, edges, labels = sigs.count(), None, None
-    for find in (lambda s: star_pairs(s, total, F.min), lambda s: star_pairs(s, total, F.max), lambda s: all_pairs(s, total, chunk)):
-        now = sigs.withColumn("label", F.col("node")) if labels is None else sigs.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is not None:
-            now = save(now, "labelled")
-        new = linked(find(now), rows)
+        counts = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n"))
+        side = counts.join(sets, "node").select(F.col("node").alias(end), "n", F.struct(*columns).alias(f"of_{end}"))
+        out = salted(out, side, [end], total, [rest]).drop("n")
+    return out
+
+
+def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The pairs (u, v, large) that link, as rows (u, v) with u > v."""
+    pairs = save(pairs, "pairs")
+    large = _with(pairs.filter("large"), rows.filter(F.size("fine") > 0).select(F.col("row").alias("node"), "a", "fine"), ["a", "fine"])
+    differ = F.aggregate(F.zip_with("of_u.fine", "of_v.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    large = large.filter(19 * differ <= F.col("of_u.a") + F.col("of_v.a")).select("u", "v")
+    near = save(pairs.filter("not large").select("u", "v").unionByName(large), "near-pairs")
+    wanted = near.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "key", "first"), "node")
+    sets = save(whole_sets(docs, save(wanted, "wanted"), text), "whole-sets")
+    both = _with(near, sets, ["a", "tokens"])
+    shared = F.size(F.array_intersect("of_u.tokens", "of_v.tokens"))
+    return both.filter(190 * shared >= 90 * (F.col("of_u.a") + F.col("of_v.a"))).select(F.col("v").alias("u"), F.col("u").alias("v"))
+
+
+def classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, text: str = "text", chunk: int = CHUNK, rare: int = RARE, very: int = VERY) -> DataFrame:
+    """Rows (node, label) of the nodes (node, key, first) that link with another; ``label`` is a node, the same for a class."""
+    sigs = save(signatures(prefixes, rare, very), "signatures").withColumn("label", F.col("node"))
+    edges = labels = None
+    for find in (star_pairs, lambda s, n: all_pairs(s, n, chunk)):
+        total = sigs.count()
+        if labels is not None:  # only signatures of several classes go on
+            sigs = sigs.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            sigs = save(salted(sigs, open_signatures(sigs).select("sig", "n"), ["sig"], total, ["node"]).drop("n"), "open-signatures")
+            total = sigs.count()
+            if not total:
+                break
+        new = linked(find(sigs, total), rows, nodes, docs, text)
         edges = save(new if edges is None else edges.unionByName(new), "set-links")
         labels = connect(edges).select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels
@@ -268,14 +308,14 @@ def join(docs: DataFrame, text: str = "text", chunk: int = CHUNK, rare: int = RA
     """One row per document: doc_id, n_shingles, component_id, and n_same (documents with the same set)."""
     rows = save(set_rows(docs, text).withColumn("row", F.monotonically_increasing_id()), "sets")
     some = rows.filter("key is not null")
-    best = F.min(F.struct("row", "a", "a0", "bits", "prefix")).alias("best")
-    nodes = some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), best)
-    nodes = save(nodes.select("key", "first", "n", F.col("best.row").alias("node"), "best.a", "best.a0", "best.bits", "best.prefix"), "nodes")
-    labels = classes(rows, nodes.select("node", "a", "a0", "bits", "prefix"), chunk, rare, very)
-    placed = nodes.select("key", "first", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = save(some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("row").alias("node")), "nodes")
+    prefixes = some.filter(F.size("prefix") > 0).select(F.col("row").alias("node"), "a", "a0", "bits", "prefix").join(nodes.select("node"), "node", "left_semi")
+    labels = classes(docs, rows, nodes, prefixes, text, chunk, rare, very)
+    placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    sized = salted(placed.withColumnRenamed("n", "n_same"), least, ["label"], rows.count(), ["node"]).select("key", F.col("n_same").alias("n"), "component_id")
-    out = salted(some.select("doc_id", "key", "a"), sized, ["key"], rows.count(), ["doc_id"])
+    total = rows.count()
+    sized = salted(placed.withColumnRenamed("n", "n_same"), least, ["label"], total, ["node"]).select("key", F.col("n_same").alias("n"), "component_id")
+    out = salted(some.select("doc_id", "key", "a"), sized, ["key"], total, ["doc_id"])
     alone = rows.filter("key is null").select("doc_id", F.col("a").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_same"))
     return out.select("doc_id", F.col("a").alias("n_shingles"), "component_id", F.col("n").alias("n_same")).unionByName(alone).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 

@@ -95,6 +95,7 @@ def test_linked_sets_share_a_signature():
         found = []
         for z in (x, y):
             low = int(np.searchsorted(z, np.uint64(setjoin.REGION)))
-            first = z[: setjoin.prefix_size(len(z), low)].tolist()
-            found.append(setjoin.signatures_of(len(z), low, [(i, h, n(h)) for i, h in enumerate(first)]))
+            first = z[: setjoin.prefix_size(len(z), low)]
+            counts = np.array([n(x) for x in first.tolist()])
+            found.append(set(setjoin.signatures_of(len(z), low, np.arange(len(first)), first, counts).tolist()))
         assert found[0] & found[1], (trial, a)
