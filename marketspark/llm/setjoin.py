@@ -13,9 +13,10 @@ set's size, and c shingles of a group count as c - 1 or c - 2. Group numbers fol
 beyond the next power takes part there as well. A region with too few shingles (short texts) is extended by shingles outside, taken as rare.
 So no link is lost, whatever the frequencies are; they only decide how many candidates there are.
 
-Candidates are verified with the whole sets, made anew from the texts of just the documents that are asked for. A first round compares each signature's members with one of them (a star, not
-all pairs); sets that are joined by verified links need no further comparison with each other. Then all pairs of a signature in different classes are looked at in
-tasks, hot signatures dealt out as pairs of chunks; only pairs that pass a bound leave a task: sizes within 0.9, and parities of 256
+Candidates are verified with the whole sets, made anew from the texts of just the documents that are asked for. Of a signature with at most ``RARE``
+members all pairs are looked at; of others, members are first compared with one of them (a star, not all pairs). Sets that are joined
+by verified links need no further comparison with each other, so what is left are members outside a signature's largest class: they
+are compared with all others, hot signatures dealt out in chunks. Only pairs that pass a bound leave a task: sizes within 0.9, and parities of 256
 bits that differ in at most (a + b) / 19 places, which is the largest difference of linked sets; for sets of ``LARGE`` and more, parities
 of 16,384 bits are compared before the sets.
 
@@ -252,14 +253,29 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pa.Table.from_batches(held))
 
 
-def all_pairs(sigs: DataFrame, total: int, chunk: int = CHUNK) -> DataFrame:
-    """Possible pairs (u < v, large) of different labels that share a signature."""
-    hot = open_signatures(sigs).select("sig", "n")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    dealt = salted(sigs, hot, ["sig"], total, ["node"]).withColumns({"_parts": parts, "_own": F.pmod(F.xxhash64("node"), parts).cast("int")})
-    other = F.explode(F.when(F.col("_parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("_parts") - 1), F.col("_own"))))
-    dealt = dealt.withColumn("_other", other).select(F.xxhash64("sig", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("bucket"), "node", "label", "a", "bits")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_cross, "u long, v long, large boolean").distinct()
+def pairs_in(buckets: DataFrame) -> DataFrame:
+    """Possible pairs (u < v, large) of different labels in the same bucket (bucket, node, label, a, bits)."""
+    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_cross, "u long, v long, large boolean").distinct()
+
+
+def outsiders(sigs: DataFrame, total: int, chunk: int = CHUNK) -> DataFrame:
+    """Buckets of the open signatures (sig, node, a, bits, label): each part of the members outside the largest class with each part of all members.
+
+    Where the largest class holds less than half of them, each two parts of all members.
+    """
+    sized = sigs.groupBy("sig", "label").agg(F.count("*").alias("size"))
+    most = sized.groupBy("sig").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
+    rows = salted(sigs, most.select("sig", "n", F.col("most.label").alias("largest"), (F.col("n") - F.col("most.size")).alias("others")), ["sig"], total, ["node"])
+    outer, part = F.ceil(F.col("others") / chunk).cast("int"), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    inner = F.ceil(F.col("n") / (8 * chunk)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    as_other = F.when(F.col("label") != F.col("largest"), F.transform(each(inner), lambda i: F.struct(part(outer).alias("o"), i.alias("i")))).otherwise(F.array())
+    as_member = F.transform(each(outer), lambda o: F.struct(o.alias("o"), part(inner).alias("i")))
+    own, parts = part(F.ceil(F.col("n") / chunk).cast("int")), F.ceil(F.col("n") / chunk).cast("int")
+    two = F.transform(each(parts), lambda x: F.struct(F.least(own, x).alias("o"), F.greatest(own, x).alias("i")))
+    pairs = F.when(parts > 1, F.filter(two, lambda x: x["o"] != x["i"])).otherwise(two)
+    dealt = rows.withColumn("at", F.explode(F.when(2 * F.col("others") > F.col("n"), pairs).otherwise(F.array_distinct(F.concat(as_member, as_other)))))
+    return dealt.select(F.xxhash64("sig", "at.o", "at.i").alias("bucket"), "node", "label", "a", "bits")
 
 
 def _with(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
@@ -288,20 +304,19 @@ def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, docs: DataFrame,
 
 def classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, text: str = "text", chunk: int = CHUNK, rare: int = RARE, very: int = VERY) -> DataFrame:
     """Rows (node, label) of the nodes (node, key, first) that link with another; ``label`` is a node, the same for a class."""
-    sigs = save(signatures(prefixes, rare, very), "signatures").withColumn("label", F.col("node"))
-    edges = labels = None
-    for find in (star_pairs, lambda s, n: all_pairs(s, n, chunk)):
-        total = sigs.count()
-        if labels is not None:  # only signatures of several classes go on
-            sigs = sigs.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            sigs = save(salted(sigs, open_signatures(sigs).select("sig", "n"), ["sig"], total, ["node"]).drop("n"), "open-signatures")
-            total = sigs.count()
-            if not total:
-                break
-        new = linked(find(sigs, total), rows, nodes, docs, text)
-        edges = save(new if edges is None else edges.unionByName(new), "set-links")
-        labels = connect(edges).select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels
+    sigs = save(signatures(prefixes, rare, very), "signatures")
+    counts = sigs.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = save(salted(sigs, counts, ["sig"], sigs.count(), ["node"]).withColumn("label", F.col("node")), "shared-signatures")
+    hot = shared.filter(F.col("n") > rare).drop("n")
+    n_hot = hot.count()
+    few = pairs_in(shared.filter(F.col("n") <= rare).select(F.col("sig").alias("bucket"), "node", "label", "a", "bits"))
+    edges = save(linked(few.unionByName(star_pairs(hot, n_hot)).distinct(), rows, nodes, docs, text), "set-links")
+    labels = connect(edges).select(F.col("u").alias("node"), F.col("v").alias("label"))
+    left = save(outsiders(save(hot.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"), n_hot, chunk), "outsiders")
+    if left.isEmpty():
+        return labels
+    edges = edges.unionByName(linked(pairs_in(left), rows, nodes, docs, text))
+    return connect(edges).select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
 def join(docs: DataFrame, text: str = "text", chunk: int = CHUNK, rare: int = RARE, very: int = VERY) -> DataFrame:
