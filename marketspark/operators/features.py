@@ -68,10 +68,15 @@ def _plain_scan() -> list[Ewm]:
     return [Ewm("ema_20", "close", span=20, least=20), Ewm("ema_50", "close", span=50, least=50), Ewm("_gain", "_up", alpha=1 / 14, least=14), Ewm("_loss", "_down", alpha=1 / 14, least=14), Ewm("_ema_12", "close", span=12, least=12), Ewm("_ema_26", "close", span=26, least=26)]
 
 
-def obv(close: str = "close", volume: str = "volume") -> Column:
+def signed_volume(close: str = "close", volume: str = "volume") -> Column:
+    """The volume with the sign of the close's change; 0 in the first row. An error for a negative volume."""
     c, v = F.col(close), F.col(volume)
     v = F.when(v < 0, F.raise_error(F.lit("volumes must not be negative")).cast("double")).otherwise(v)
-    return F.sum(F.signum(F.coalesce(c - F.lag(c).over(W()), F.lit(0.0))) * v).over(running(W()))
+    return F.signum(F.coalesce(c - F.lag(c).over(W()), F.lit(0.0))) * v
+
+
+def obv(close: str = "close", volume: str = "volume") -> Column:
+    return F.sum(signed_volume(close, volume)).over(running(W()))
 
 
 def on_balance_volume(close: DataFrame, volume: DataFrame, how: str = "inner") -> DataFrame:
@@ -130,7 +135,7 @@ def feature_columns(columns: list[str]) -> list[str]:
 def add_plain_features(bars: DataFrame) -> DataFrame:
     """Bars with all features that windows express: a few selects on one shuffle and sort."""
     c = F.col("close")
-    first = bars.withColumns({**price_block(), **{f"_d{k}": c - F.lag(c, k).over(W()) for k in LAGS}, **{f"_c{k}": F.lag(c, k).over(W()) for k in (1, 2, 3)}, **({"obv": obv()} if "volume" in bars.columns else {})})
+    first = bars.withColumns({**price_block(), **{f"_d{k}": c - F.lag(c, k).over(W()) for k in LAGS}, **{f"_c{k}": F.lag(c, k).over(W()) for k in (1, 2, 3)}, **({"obv": obv()} if "volume" in bars.columns and "obv" not in bars.columns else {})})
     out = first.withColumns({**technical_block(), **volume_block(bars.columns), **volatility_block(), **statistical_block()})
     out = add_slope(out, [(math.log(k), f"_t{k}") for k in LAGS], "hurst_close_100").withColumn("hurst_close_100", F.when(F.col("_rows") == HURST, F.col("hurst_close_100")))
     out = add_entropy(out, "_values", "entropy_close_20")
@@ -139,10 +144,19 @@ def add_plain_features(bars: DataFrame) -> DataFrame:
 
 def add_scan_features(df: DataFrame) -> DataFrame:
     """Exponential averages, RSI and MACD, in one grouped scan. Its rows are shuffled again by what follows, so it goes first, over few columns."""
+    return finish_scan(ewm(with_moves(df), scan_columns()))
+
+
+def with_moves(df: DataFrame) -> DataFrame:
+    """What RSI starts from: rises and falls of the close."""
     c = F.col("close")
     d = c - F.lag(c).over(W())
-    ready = df.withColumns({"_up": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_down": F.when(d.isNotNull(), -F.least(d, F.lit(0.0)))})
-    out = ewm(ready, scan_columns()).withColumn("macd", F.col("_ema_12") - F.col("_ema_26"))
+    return df.withColumns({"_up": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_down": F.when(d.isNotNull(), -F.least(d, F.lit(0.0)))})
+
+
+def finish_scan(scanned: DataFrame) -> DataFrame:
+    """MACD and RSI from the scan's columns, which go."""
+    out = scanned.withColumn("macd", F.col("_ema_12") - F.col("_ema_26"))
     rs = ratio(F.col("_gain"), F.col("_loss"))
     out = out.withColumn("rsi_14", F.when(rs.isNotNull(), 100 - 100 / (1 + rs))).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
     return out.drop("_up", "_down", "_gain", "_loss", "_ema_12", "_ema_26")

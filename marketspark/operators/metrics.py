@@ -86,12 +86,17 @@ def summary(frame: DataFrame, start: float = 1000.0, rf: float = 0.0, mar: float
 
 
 def _by_trade(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
-    """A row for each run of one non-zero side, and one without number for all other rows of a series."""
+    """A row for each run of one non-zero side, and one without number for all other rows of a series. A weight of exactly ``least`` is a side."""
     w = Window.partitionBy(*KEYS).orderBy("ts")
     x = F.col(weight)
-    df = frame.withColumn("side", F.when(F.abs(x) > least, F.signum(x)).otherwise(0).cast("int"))
+    df = frame.withColumn("side", F.when(F.abs(x) >= least, F.signum(x)).otherwise(0).cast("int"))
     df = df.withColumn("_new", ((F.col("side") != 0) & (F.col("side") != F.coalesce(F.lag("side").over(w), F.lit(0)))).cast("long"))
     df = df.withColumn("trade_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _of_trades(df, returns)
+
+
+def _of_trades(df: DataFrame, returns: str) -> DataFrame:
+    """Rows with a side and a running number of trades, by trade."""
     df = df.withColumn("trade_id", F.when(F.col("side") != 0, F.col("trade_id")))
     r = finite(F.col(returns))
     return df.groupBy(*KEYS, "trade_id").agg(F.first("side").alias("side"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(r).alias("n_days"), F.sum(r).alias("pnl"))
@@ -99,7 +104,16 @@ def _by_trade(frame: DataFrame, weight: str = "weight", returns: str = "net_retu
 
 def trades(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
     """Runs of one non-zero side. A run without any return is left out, and its number stays unused."""
-    out = _by_trade(frame, weight, returns, least).filter("trade_id is not null and n_days > 0")
+    return _with_results(_by_trade(frame, weight, returns, least))
+
+
+def finish_trades(df: DataFrame, returns: str = "net_return") -> DataFrame:
+    """Trades of rows with ``side`` and ``trade_id``, the number of trades begun so far."""
+    return _with_results(_of_trades(df, returns))
+
+
+def _with_results(by_trade: DataFrame) -> DataFrame:
+    out = by_trade.filter("trade_id is not null and n_days > 0")
     return out.withColumns({"pnl_per_day": F.col("pnl") / F.col("n_days"), "hit": (F.col("pnl") > 0).cast("int")})
 
 
@@ -112,7 +126,7 @@ def trade_summary(frame: DataFrame, weight: str = "weight", returns: str = "net_
 
 def attribution(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
     x, r = F.col(weight), finite(F.col(returns))
-    long, short = (x > least) & r.isNotNull(), (x < -least) & r.isNotNull()
+    long, short = (x >= least) & r.isNotNull(), (x <= -least) & r.isNotNull()
     pnl = lambda side: F.coalesce(F.sum(F.when(side, r)), F.lit(0.0))
     out = frame.groupBy(*KEYS).agg(pnl(long).alias("PnL_long"), pnl(short).alias("PnL_short"), F.count_if(long).alias("Days_long"), F.count_if(short).alias("Days_short"))
     return out.withColumns({f"AvgPnL_day_{s}": ratio(F.col(f"PnL_{s}"), F.col(f"Days_{s}")) for s in ("long", "short")})

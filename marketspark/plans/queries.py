@@ -6,19 +6,21 @@ Bars are built from lineitem (a symbol per return flag, price per piece) and eve
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketspark.functions.chunks import number_rows, rolling_apply
 from marketspark.functions.ewm import Ewm, ewm_long
 from marketspark.functions.windows import series
 from marketspark.operators import backtest as bt
-from marketspark.operators import checks, datasets, features, metrics, models
+from marketspark.operators import checks, datasets, features, longseries, metrics, models
 from marketspark.sources.bars import align, build_bars, last_rows, normalize_bars, read_bars, write_bars
+from marketspark.sources.scratch import delete_on_exit, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -68,20 +70,11 @@ def brand_daily(spark: SparkSession, d: str) -> DataFrame:
     return in_cents(build_bars(t, F.col("p_brand"), F.col("l_shipdate"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), "day", ties))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: under ``spark.checkpoint.dir``, or a temporary one in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/bars-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def stored(spark: SparkSession, d: str) -> DataFrame:
     """The last two years of bars that were written and are read again; the folder goes when the driver ends."""
     path = f"{scratch(spark)}/bars.PARQUET"
     write_bars(daily(spark, d), path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    delete_on_exit(spark, path)
     return read_bars(spark, path, 2, "1998-12-31")
 
 
@@ -241,6 +234,10 @@ def queries() -> dict[str, Query]:
         "scaled_back": lambda s, d: tidy(scaled_back(s, d), EXACT),
         "aligned": lambda s, d: tidy(aligned(s, d)),
         "ewm_chunked": lambda s, d: tidy(ewm_long(daily(s, d).select("symbol", "ts", "close"), Ewm("ema_20", "close", span=20, least=20), chunk=500).select("symbol", "ts", "ema_20")),
+        "feature_matrix_chunked": lambda s, d: tidy(longseries.feature_matrix(daily(s, d), size=150), exact=tuple(PRICE)),
+        "max_drawdown_chunked": lambda s, d: tidy(longseries.max_drawdown(frame(s, d), size=150)),
+        "trades_chunked": lambda s, d: tidy(longseries.trades(frame(s, d), size=150)),
+        "rolling_median": lambda s, d: tidy(rolling_apply(number_rows(daily(s, d).select("symbol", "ts", "close")), "close", "median_30", 30, partial(np.median, axis=1), size=150).select("symbol", "ts", "median_30")),
         "obv_of_tables": lambda s, d: (lambda b: tidy(features.on_balance_volume(b.select("symbol", "ts", "close"), b.select("symbol", "ts", "volume"))))(daily(s, d)),
         "periods": lambda s, d: tidy(metrics.infer_periods(frame(s, d))),
         "price_path": lambda s, d: tidy(bt.price_path(returns(daily(s, d)).filter("log_return is not null").withColumn("predicted", F.col("log_return") * 0.01)).select("symbol", "ts", "anchored", "chained")),
@@ -446,6 +443,10 @@ SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown
         "scaled_back": f"WITH {BARS} SELECT symbol, ts, {FOLD}, {rnd('close', 'volume', digits=EXACT)} FROM bars",
         "aligned": f"{BASE}, x AS (SELECT symbol, ts, {c10} AS sma_10, {whole('stddev_samp', 'log_return', 10)} AS vol_10, y FROM y) SELECT symbol, ts, {rnd('sma_10', 'vol_10', 'y')} FROM x WHERE sma_10 IS NOT NULL AND vol_10 IS NOT NULL AND y IS NOT NULL",
         "ewm_chunked": f"{scan('log_return')} SELECT symbol, ts, {rnd(ema_20='CASE WHEN i >= 20 THEN e20 END')} FROM v",
+        "feature_matrix_chunked": lambda s, d: tidy(longseries.feature_matrix(daily(s, d), size=150), exact=tuple(PRICE)),
+        "max_drawdown_chunked": lambda s, d: tidy(longseries.max_drawdown(frame(s, d), size=150)),
+        "trades_chunked": lambda s, d: tidy(longseries.trades(frame(s, d), size=150)),
+        "rolling_median": lambda s, d: tidy(rolling_apply(number_rows(daily(s, d).select("symbol", "ts", "close")), "close", "median_30", 30, partial(np.median, axis=1), size=150).select("symbol", "ts", "median_30")),
         "obv_of_tables": f"{BASE}, s AS (SELECT *, CAST(sign(coalesce(close - {lagged('close')}, 0)) AS DOUBLE) * volume AS sv FROM y) SELECT symbol, ts, {rnd(obv=_sum('sv'))} FROM s",
         "periods": f"{FRAME}, g AS (SELECT symbol, model, date_diff('day', lag(ts) OVER ({_SM}), ts) AS g FROM bt), m AS (SELECT symbol, model, quantile_cont(g, 0.5) AS g, count(g) AS n FROM g GROUP BY 1, 2) SELECT symbol, model, CAST(CASE WHEN n < 2 OR g <= 4 THEN 252 WHEN g <= 10 THEN 52 WHEN g <= 45 THEN 12 WHEN g <= 135 THEN 4 ELSE 1 END AS BIGINT) AS periods_per_year FROM m",
         "bars_daily": f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars",
@@ -498,4 +499,6 @@ SELECT symbol, model || '_shuffled' AS model, ts, {rnd('score')} FROM d JOIN v U
     joined = " JOIN ".join(f"({out[b]}) AS {b}" + (" USING (symbol, ts)" if i else "") for i, b in enumerate(blocks))
     before = ", ".join(f"lag({c}) OVER (PARTITION BY symbol ORDER BY ts) AS {c}" for c in names)
     out["feature_matrix"] = f"SELECT * FROM (SELECT symbol, ts, {before} FROM {joined}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names)}"
+    out |= {f"{name}_chunked": out[name] for name in ("feature_matrix", "max_drawdown", "trades")}
+    out["rolling_median"] = f"WITH {BARS} SELECT symbol, ts, {rnd(median_30=whole('median', 'close', 30))} FROM bars"
     return out
