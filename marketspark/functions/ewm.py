@@ -1,13 +1,11 @@
-"""Exponentially weighted mean and deviation, the one place where a scan in order is needed."""
+"""Exponentially weighted mean and deviation: a scan in order, a series at a time. :mod:`marketspark.functions.chunks` has the form for long series."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
@@ -41,74 +39,3 @@ def ewm(df: DataFrame, columns: list[Ewm], keys: tuple[str, ...] = ("symbol",),
         return pdf
 
     return df.groupBy(*keys).applyInPandas(one, schema)
-
-
-def ewm_long(df: DataFrame, column: Ewm, keys: tuple[str, ...] = ("symbol",), order: str = "ts", chunk: int = 1_000_000) -> DataFrame:
-    """The same for series of any length without gaps, as a chunked scan.
-
-    Rows are numbered in chunks by a running count; every chunk is summarised on its own, the summaries (a row a chunk) are carried forward, and
-    every chunk runs again from what came before. Only numbering needs a series in one window.
-    """
-    w = Window.partitionBy(*keys).orderBy(order)
-    numbered = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_chunk", F.floor(F.col("_i") / chunk).cast("long"))
-    a = column.a
-
-    def scan(x: np.ndarray, m: float, v: float) -> tuple[np.ndarray, np.ndarray]:
-        """Means and variances, carried on from m and v; a missing m starts with the first value."""
-        fresh = bool(np.isnan(m))
-        run = lambda start, rest: pd.Series([start, *rest]).ewm(alpha=a, adjust=False).mean().to_numpy()
-        means = run(x[0], x[1:]) if fresh else run(m, x)
-        rest = x[1:] if fresh else x
-        steps = (1 - a) * np.diff(means) ** 2 + a * (rest - means[1:]) ** 2
-        variances = run(0.0 if fresh else v, steps / a)
-        return (means, variances) if fresh else (means[1:], variances[1:])
-
-    def end(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("_i")[column.x].to_numpy(float)
-        if np.isnan(x).any():
-            raise ValueError("the chunked scan needs a series without gaps")
-        out = pdf[[*keys, "_chunk"]].iloc[:1].copy()
-        if out["_chunk"].iloc[0] == 0:  # a series' first value has full weight
-            m, v = (e[-1] for e in scan(x, np.nan, 0.0))
-        else:
-            w = (1 - a) ** np.arange(len(x) - 1, -1, -1)
-            m = np.average(x, weights=w)
-            v = np.average((x - m) ** 2, weights=w)
-        out["_n"], out["_m"], out["_v"] = len(x), m, v
-        return out
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk").reset_index(drop=True)
-        m, v, ms, vs = np.nan, 0.0, [], []
-        for n, mb, vb in zip(pdf["_n"], pdf["_m"], pdf["_v"], strict=True):
-            ms.append(m)
-            vs.append(v)
-            if np.isnan(m):
-                m, v = mb, vb
-            else:
-                left = (1 - a) ** n  # weight that is left for what came before the chunk
-                gap = m - mb
-                m, v = left * m + (1 - left) * mb, left * v + (1 - left) * vb + left * (1 - left) * gap * gap
-        pdf["_m"], pdf["_v"] = ms, vs
-        return pdf.drop(columns="_n")
-
-    key_type = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    ends = numbered.groupBy(*keys, "_chunk").applyInPandas(end, f"{key_type}, _chunk long, _n long, _m double, _v double")
-    before = ends.groupBy(*keys).applyInPandas(carry, f"{key_type}, _chunk long, _m double, _v double")
-    schema = T.StructType([*df.schema.fields, T.StructField(column.name, T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        m, v = scan(pdf[column.x].to_numpy(float), pdf["_m"].iloc[0] if pdf["_m"].notna().any() else np.nan, pdf["_v"].iloc[0])
-        t = pdf["_i"].to_numpy(float)
-        if column.kind == "mean":
-            out = m
-        else:
-            s = a / (2 - a) + (1 - a / (2 - a)) * (1 - a) ** (2 * t)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out = np.sqrt(v / (1 - s))
-            out[t < 1] = np.nan
-        out[t + 1 < column.least] = np.nan
-        return pdf.drop(columns=["_i", "_chunk", "_m", "_v"]).assign(**{column.name: out})
-
-    return numbered.join(before, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(run, schema)

@@ -50,8 +50,8 @@ def same_keys(x: DataFrame, y: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("n")).select(*_counted("same_keys", F.lit("symbol, ts"), F.col("n")))
 
 
-def future_fields(x: DataFrame, raw: DataFrame, features: list[str], base: list[str], ahead: int = 3, atol: float = 1e-8, rtol: float = 1e-5, share: float = 0.95) -> DataFrame:
-    """Pairs where a feature equals a base column of 1 ... ``ahead`` rows later on nearly all rows. One aggregate per base column."""
+def future_fields(x: DataFrame, raw: DataFrame, features: list[str], base: list[str], ahead: int = 3, atol: float = 0.0, rtol: float = 0.0, share: float = 0.95) -> DataFrame:
+    """Pairs where a feature equals (or comes as near as allowed to) a base column of 1 ... ``ahead`` rows later on nearly all rows. One aggregate per base column."""
     w = series()
     parts = []
     for b in base:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketspark.functions.windows import corr, ratio
+from marketspark.functions.windows import corr, finite, ratio
 
 KEYS = ("symbol",)
 
@@ -58,18 +63,72 @@ def missing(df: DataFrame, columns: list[str], top: int | None = 10) -> DataFram
     return out.orderBy(F.desc("missing"), "column").limit(top) if top else out
 
 
-def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All pairs of columns as rows (f1, f2, corr), in one pass; p (p - 1) / 2 sums, not a join."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    one = df.agg(*(corr(F.col(a), F.col(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)))
-    both = [F.struct(F.lit(x).alias("f1"), F.lit(y).alias("f2"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs) for x, y in {(a, b), (b, a)}]
-    return one.select(F.explode(F.array(*both)).alias("v")).select("v.*")
+#: Columns of a block, and pairs of blocks in one scan: a task holds six sums for each pair of columns, 50 MB at most.
+BLOCK, PAIRS = 256, 16
+_SUMS = 6
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a partition's rows (pair, salt, sums) by pair and salt."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for pair, salt, sums in zip(*(batch.column(c).to_pylist() for c in ("pair", "salt", "sums")), strict=True):
+            total[pair, salt] = total.get((pair, salt), 0) + np.frombuffer(sums)
+    yield pa.RecordBatch.from_pydict({"pair": pa.array([k[0] for k in total], pa.int32()), "salt": pa.array([k[1] for k in total], pa.int32()), "sums": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+
+
+def correlations(df: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """All pairs of columns as rows (f1, f2, corr), over the rows where both have finite values; NULL where either doesn't vary.
+
+    Columns are cut into blocks. A task adds up six matrix products for each pair of blocks: values, squares and masks of those that are there,
+    so that each pair of columns has its own count, sums and squares. Tasks' sums meet in two steps, a row for each pair of blocks. One
+    scan serves ``PAIRS`` pairs of blocks. Values are taken less the columns' means.
+    """
+    rows = df.select(*(finite(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)))
+    means = rows.agg(*(F.coalesce(F.avg(f"c{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(len(columns)))).first()  # p numbers
+    centre, starts = np.array(means, float), range(0, len(columns), block)
+    pairs = [(a, b) for a in starts for b in starts if a <= b]
+    kinds, out = "pair int, salt int, sums binary", None
+    for lo in range(0, len(pairs), PAIRS):
+        some = pairs[lo : lo + PAIRS]
+
+        def products(batches: Iterator[pa.RecordBatch], some: list[tuple[int, int]] = some) -> Iterator[pa.RecordBatch]:
+            total = {k: 0 for k in range(len(some))}
+            for batch in batches:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre
+                there = (~np.isnan(x)).astype(float)
+                x = np.where(there > 0, x, 0.0)
+                for k, (a, b) in enumerate(some):
+                    xa, xb, ma, mb = x[:, a : a + block], x[:, b : b + block], there[:, a : a + block], there[:, b : b + block]
+                    total[k] = total[k] + np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
+            made = {k: v for k, v in total.items() if not isinstance(v, int)}
+            salt = [TaskContext.get().partitionId() % 32] * len(made)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(list(made), pa.int32()), "salt": pa.array(salt, pa.int32()), "sums": pa.array([v.tobytes() for v in made.values()], pa.binary())})
+
+        def finish(batches: Iterator[pa.RecordBatch], some: list[tuple[int, int]] = some) -> Iterator[pa.RecordBatch]:
+            for done in _add_up(batches):
+                for pair, sums in zip(done.column("pair").to_pylist(), done.column("sums").to_pylist(), strict=True):
+                    a, b = some[pair]
+                    fa, fb = columns[a : a + block], columns[b : b + block]
+                    n, sx, sy, xx, yy, xy = np.frombuffer(sums).reshape(_SUMS, len(fa), len(fb))
+                    vx, vy = n * xx - sx * sx, n * yy - sy * sy
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        c = np.where((vx > 1e-12 * n * xx) & (vy > 1e-12 * n * yy), (n * xy - sx * sy) / np.sqrt(vx * vy), np.nan)
+                    i, j = np.meshgrid(np.arange(len(fa)), np.arange(len(fb)), indexing="ij")
+                    use = ((i <= j) | (a != b)).ravel()
+                    f1, f2, c = [fa[k] for k in i.ravel()[use]], [fb[k] for k in j.ravel()[use]], c.ravel()[use]
+                    again = [k for k in range(len(f1)) if f1[k] != f2[k]]
+                    both = np.concatenate([c, c[again]])
+                    yield pa.RecordBatch.from_pydict({"f1": f1 + [f2[k] for k in again], "f2": f2 + [f1[k] for k in again], "corr": pa.array(np.clip(both, -1.0, 1.0), mask=np.isnan(both))})
+
+        parts = rows.mapInArrow(products, kinds).repartition(32, "pair", "salt").mapInArrow(_add_up, kinds)
+        got = parts.withColumn("salt", F.lit(0)).repartition(min(len(some), 32), "pair").mapInArrow(finish, "f1 string, f2 string, corr double")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def score_predictions(df: DataFrame, keys: tuple[str, ...] = ("model", "fold"), y: str = "y", score: str = "score") -> DataFrame:
     """corr, rmse, mae, mse, r2 and directional accuracy (%) of finite pairs."""
-    from marketspark.functions.windows import finite
-
     a, b = finite(F.col(y).cast("double")), finite(F.col(score).cast("double"))
     rows = df.select(*keys, a.alias("_y"), b.alias("_s")).filter("_y is not null and _s is not null")
     d = F.col("_y") - F.col("_s")

@@ -144,8 +144,9 @@ def yearly(frame: DataFrame, periods: int = YEAR) -> DataFrame:
 
 def regimes(frame: DataFrame, window: int = 20, cuts: tuple[float, float] | None = None, periods: int = YEAR) -> DataFrame:
     """By realised volatility of earlier returns: low, mid, high at the given cut-offs or the sample's thirds. Empty ones have Count 0."""
-    w = Window.partitionBy(*KEYS).orderBy("ts")
-    df = frame.withColumn("_p", F.lag(finite(F.col("net_return"))).over(w))
+    # rows without a return are set apart: the earlier returns of a row are those that exist
+    w = Window.partitionBy(*KEYS, "_seen").orderBy("ts")
+    df = frame.withColumn("_seen", finite(F.col("net_return")).isNotNull()).withColumn("_p", F.lag(finite(F.col("net_return"))).over(w))
     df = df.withColumn("_v", F.when(F.count("_p").over(roll(w, window)) == window, F.stddev_samp("_p").over(roll(w, window))))
     if cuts is None:
         df = df.withColumn("_c", F.percentile("_v", F.array(F.lit(1 / 3), F.lit(2 / 3))).over(Window.partitionBy(*KEYS)))

@@ -61,9 +61,9 @@ def _fit_quality(g: np.ndarray, a: float, b: np.ndarray) -> tuple[float, float]:
 
 def ridge(df: DataFrame, columns: list[str], y: str = "y", alphas: list[float] | None = None, refit: bool = True) -> dict:
     """Ridge on the train fold, its penalty chosen by correlation on the validation fold (the first of equal ones)."""
-    alphas = list(np.logspace(-4, 4, 25)) if alphas is None else alphas
-    if not alphas or min(alphas) < 0:
-        raise ValueError("alphas must be a list of penalties, none negative")
+    alphas = [x for x in (np.logspace(-4, 4, 25) if alphas is None else alphas) if x > 0 and np.isfinite(x)]
+    if not alphas:
+        raise ValueError("no positive, finite penalty given")
     means = df.filter("fold = 'train'").agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns)).first()
     centre = np.array([means[c] for c in columns], float)
     g = gram(df, columns, y, centre)
@@ -166,9 +166,14 @@ def permutation_importance(df: DataFrame, columns: list[str], predict, y: str =
 
 def prune_redundant(df: DataFrame, ranked: list[str], most: float = 0.95, top: int | None = None) -> list[str]:
     """In order of rank, columns whose correlation with every kept one is below ``most``; an undefined one fails."""
-    c = {(r.f1, r.f2): r["corr"] for r in correlations(df.filter("fold = 'train'"), ranked).collect()}  # p x p numbers
+    return prune_by(correlations(df.filter("fold = 'train'"), ranked), ranked, most, top)
+
+
+def prune_by(pairs: DataFrame, ranked: list[str], most: float = 0.95, top: int | None = None) -> list[str]:
+    """The same from rows (f1, f2, corr), for the ``top`` first of the ranked columns."""
+    c = {(r.f1, r.f2): r["corr"] for r in pairs.collect()}  # p x p numbers
     kept: list[str] = []
     for f in ranked[:top]:
-        if all(c[f, k] is not None and abs(c[f, k]) < most for k in kept):
+        if all(c.get((f, k)) is not None and abs(c[f, k]) < most for k in kept):
             kept.append(f)
     return kept

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketspark.functions.chunks import number_rows, rolling_apply
-from marketspark.functions.ewm import Ewm, ewm_long
+from marketspark.functions.chunks import ewm_chunks, number_rows, rolling_apply
+from marketspark.functions.ewm import Ewm
 from marketspark.functions.windows import series
 from marketspark.operators import backtest as bt
 from marketspark.operators import checks, datasets, features, longseries, metrics, models
@@ -88,9 +88,7 @@ def dirty(spark: SparkSession, d: str) -> DataFrame:
 
 def strategy_table(spark: SparkSession, d: str) -> DataFrame:
     r = returns(daily(spark, d))
-    f = frame(spark, d)
-    names = ["symbol", "model", "ts", "net_return", "turnover", "transaction_cost"]
-    return metrics.summary(f.select(*names).unionByName(bt.buy_and_hold(f, r).select(*names)))
+    return metrics.summary(bt.with_benchmark(frame(spark, d), r))
 
 
 def returns(bars: DataFrame) -> DataFrame:
@@ -105,9 +103,9 @@ def scores(r: DataFrame) -> DataFrame:
     return r.select("symbol", "ts", two.alias("v")).select("symbol", "ts", "v.*")
 
 
-def frame(spark: SparkSession, d: str, vol: bool = False) -> DataFrame:
+def frame(spark: SparkSession, d: str, vol: bool = False, size: int | None = None) -> DataFrame:
     r = returns(daily(spark, d))
-    return bt.backtest(scores(r), r.select("symbol", "ts", "y_next"), use_vol_targeting=vol)
+    return bt.backtest(scores(r), r.select("symbol", "ts", "y_next"), use_vol_targeting=vol, size=size)
 
 
 PROFILE = ["open", "high", "low", "close", "volume"]
@@ -117,6 +115,8 @@ TECHNICAL = ["sma_10", "sma_20", "bb_middle_20", "bb_upper_20", "bb_lower_20", "
 VOLUME = ["volume_change", "volume_over_avg_10d", "obv", "close_minus_vwap", "close_over_vwap", "trade_count_change", "trade_count_over_avg_10d"]
 VOLATILITY = ["vol_10", "rolling_std_10", "rolling_mean_10", "vol_20", "rolling_std_20", "rolling_mean_20", "z_score_10"]
 AUTOCORR = ["autocorr_close_1_w20", "autocorr_close_2_w20", "autocorr_close_3_w20"]
+#: The columns of the feature matrix, in its order.
+MATRIX = [*PRICE, *TECHNICAL[:2], *SCAN, *TECHNICAL[2:], *VOLUME, *VOLATILITY, "entropy_close_20", "hurst_close_100", *AUTOCORR]
 CORR = ["close_minus_open", "high_minus_low", "momentum_5d", "log_return", "volume"]
 
 
@@ -180,9 +180,19 @@ RANKED = ["sma_10", "sma_20", "rolling_std_10", "rolling_std_20", "z_score_10",
 
 
 def pruned(spark: SparkSession, d: str) -> DataFrame:
-    names = RANKED
-    r = datasets.chronological(features.add_plain_features(daily(spark, d))).select("fold", *names)
-    return datasets.correlations(r.filter("fold = 'train'"), names).filter(F.col("f1").isin(models.prune_redundant(r, names)))
+    return kept_pairs(datasets.chronological(features.add_plain_features(daily(spark, d))), RANKED)
+
+
+def kept_pairs(r: DataFrame, names: list[str], top: int | None = None) -> DataFrame:
+    """Correlations of the columns that pruning keeps with all."""
+    c = datasets.correlations(r.filter("fold = 'train'"), names)
+    return c.filter(F.col("f1").isin(models.prune_by(c, names, top=top)))
+
+
+def pruned_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The 25 first of the whole matrix's columns, pruned."""
+    x = tidy(features.feature_matrix(daily(spark, d)), exact=tuple(PRICE))
+    return kept_pairs(datasets.chronological(x), x.columns[2:], 25)
 
 
 def check_report(spark: SparkSession, d: str) -> DataFrame:
@@ -222,6 +232,8 @@ def queries() -> dict[str, Query]:
         "describe": lambda s, d: tidy(datasets.describe(daily(s, d), PROFILE)),
         "missing": lambda s, d: datasets.missing(with_block(s, d, ["sma_10", "sma_20", "momentum_5d", "vol_20", "obv"]), ["sma_10", "sma_20", "momentum_5d", "vol_20", "obv"]),
         "correlations": lambda s, d: tidy(datasets.correlations(with_block(s, d, CORR[:-1]).join(daily(s, d).select("symbol", "ts", "volume"), ["symbol", "ts"]), CORR)),
+        "correlations_matrix": lambda s, d: (lambda x: tidy(datasets.correlations(x, x.columns[2:])))(tidy(features.feature_matrix(daily(s, d)), exact=tuple(PRICE))),
+        "pruned_matrix": lambda s, d: tidy(pruned_matrix(s, d)),
         "scaled": lambda s, d: (lambda r: tidy(datasets.scale(r, datasets.fit_scaler(r, ["close", "volume"]), ["close", "volume"]).select("symbol", "ts", "fold", "close", "volume")))(datasets.chronological(daily(s, d))),
         "sequences": lambda s, d: tidy(datasets.sequences(datasets.chronological(daily(s, d)).withColumn("y", F.col("volume")), ["close", "volume"], "y").select("symbol", "ts", "fold", F.size("sequence").alias("rows"), F.col("sequence")[0][1].alias("first_volume"), "y")),
         "scores_persistence": lambda s, d: tidy(scored(s, d)),
@@ -233,8 +245,9 @@ def queries() -> dict[str, Query]:
         "forest_importance": lambda s, d: tidy(forest_importance(s, d)),
         "scaled_back": lambda s, d: tidy(scaled_back(s, d), EXACT),
         "aligned": lambda s, d: tidy(aligned(s, d)),
-        "ewm_chunked": lambda s, d: tidy(ewm_long(daily(s, d).select("symbol", "ts", "close"), Ewm("ema_20", "close", span=20, least=20), chunk=500).select("symbol", "ts", "ema_20")),
+        "ewm_chunked": lambda s, d: tidy(ewm_chunks(number_rows(daily(s, d).select("symbol", "ts", "close")), [Ewm("ema_20", "close", span=20, least=20)], 500).select("symbol", "ts", "ema_20")),
         "feature_matrix_chunked": lambda s, d: tidy(longseries.feature_matrix(daily(s, d), size=150), exact=tuple(PRICE)),
+        "backtest_chunked": lambda s, d: tidy(frame(s, d, True, 150)),
         "max_drawdown_chunked": lambda s, d: tidy(longseries.max_drawdown(frame(s, d), size=150)),
         "trades_chunked": lambda s, d: tidy(longseries.trades(frame(s, d), size=150)),
         "rolling_median": lambda s, d: tidy(rolling_apply(number_rows(daily(s, d).select("symbol", "ts", "close")), "close", "median_30", 30, partial(np.median, axis=1), size=150).select("symbol", "ts", "median_30")),
@@ -333,7 +346,7 @@ def _checks() -> str:
     parts += [row("unique_keys", "symbol, ts", twice(t), one) for t in ("bars", "x")]
     parts += [row("complete", f, f"count(*) FILTER ({f} IS NULL)", "x") for f in names]
     parts += [row("same_keys", "symbol, ts", f"({keys('x', 'bars')} + {keys('bars', 'x')})", one)]
-    hits = lambda f, b, k: f"count(*) FILTER (abs({f} - {b}{k}) <= 1e-8::DOUBLE + 1e-5::DOUBLE * abs({b}{k}))"
+    hits = lambda f, b, k: f"count(*) FILTER (abs({f} - {b}{k}) <= 0)"
     parts += [f"{row('future_fields', f'{f} = {b} + {k}', hits(f, b, k), 'xb')} HAVING {hits(f, b, k)} > 0 AND {hits(f, b, k)} >= floor(0.95::DOUBLE * count(*))" for b in base for f in names for k in (1, 2, 3)]
     parts += [row("lookahead", f, f"CAST(count(*) > 0 AND count(*) FILTER ({f} IS NOT DISTINCT FROM n_{f}) = count(*) AS BIGINT)", "xn") for f in names]
     leads = ", ".join(f"lead({b}, {k}) OVER w AS {b}{k}" for b in base for k in (1, 2, 3))
@@ -380,17 +393,31 @@ c AS (SELECT symbol, ts, any_value(n) AS n, bin, count(*)::DOUBLE AS c FROM b GR
 SELECT symbol, ts, round(CASE WHEN any_value(n) = 20 THEN sum(-(c / n) * ln(c / n)) END, {DIGITS}) AS entropy_close_20 FROM c GROUP BY symbol, ts"""
 
 
+def _pairs(names: list[str], source: str) -> str:
+    """c: one row with the correlations of all pairs, as c_i_j."""
+    n = range(len(names))
+    sums = ", ".join(f"corr({names[i]}, {names[j]}) AS c_{i}_{j}" for i in n for j in n if i <= j)
+    return f"c AS MATERIALIZED (SELECT {sums} FROM {source})"
+
+
+def _listed(names: list[str], source: str, only: str = "TRUE") -> str:
+    """f1, f2, corr of all ordered pairs; ``only`` is a condition with {i}."""
+    n = range(len(names))
+    rows = ", ".join(f"{{'f1': '{names[i]}', 'f2': '{names[j]}', 'corr': c_{min(i, j)}_{max(i, j)}, 'use': {only.format(i=i)}}}" for i in n for j in n)
+    return f"SELECT x.f1, x.f2, round(CASE WHEN NOT isnan(x.corr) THEN x.corr END, {DIGITS}) AS corr FROM (SELECT unnest([{rows}]) AS x FROM {source}) WHERE x.use"
+
+
+def _kept(names: list[str], top: int) -> str:
+    """A step for each of the first names in order: kept if its correlation with every kept one before is small."""
+    near = lambda i, j: f"(NOT kept_{j} OR coalesce(abs(c_{j}_{i}) < 0.95::DOUBLE, FALSE))"
+    return ", ".join(f"k{i} AS (SELECT *, {' AND '.join(['TRUE', *(near(i, j) for j in range(i))])} AS kept_{i} FROM {f'k{i - 1}' if i else 'c'})" for i in range(top))
+
+
 def _pruned() -> str:
-    """A step for each name in order: kept if its correlation with every kept one before is small."""
     made = {"sma_10": whole("avg", "close", 10), "sma_20": whole("avg", "close", 20), "rolling_std_10": whole("stddev_samp", "close", 10), "rolling_std_20": whole("stddev_samp", "close", 20)}
     made["z_score_10"] = f"(close - {made['sma_10']}) / nullif({made['rolling_std_10']}, 0)"
-    cols = ", ".join(f"{made.get(n, n)} AS {n}" for n in RANKED)
-    pair = lambda i, j: f"c_{min(i, j)}_{max(i, j)}"
-    n = range(len(RANKED))
-    sums = ", ".join(f"corr({RANKED[i]}, {RANKED[j]}) AS {pair(i, j)}" for i in n for j in n if i <= j)
-    steps = ", ".join(f"k{i} AS (SELECT *, {' AND '.join(['TRUE', *(f'(NOT kept_{j} OR coalesce(abs({pair(i, j)}) < 0.95::DOUBLE, FALSE))' for j in range(i))])} AS kept_{i} FROM {f'k{i - 1}' if i else 'c'})" for i in n)
-    rows = " UNION ALL ".join(f"SELECT '{RANKED[i]}' AS f1, '{RANKED[j]}' AS f2, round({pair(i, j)}, {DIGITS}) AS corr FROM k{n[-1]} WHERE kept_{i}" for i in n for j in n)
-    return f"{BASE}, f AS (SELECT {cols}, {FOLD} FROM y), c AS (SELECT {sums} FROM f WHERE fold = 'train'), {steps} {rows}"
+    cols, top = ", ".join(f"{made.get(n, n)} AS {n}" for n in RANKED), len(RANKED)
+    return f"{BASE}, f AS (SELECT {cols}, {FOLD} FROM y), t AS (SELECT * FROM f WHERE fold = 'train'), {_pairs(RANKED, 't')}, {_kept(RANKED, top)} {_listed(RANKED, f'k{top - 1}', 'kept_{i}')}"
 
 
 def _ridge(score_cols: str, z: str, vol: str) -> str:
@@ -428,7 +455,7 @@ def oracle_sql() -> dict[str, str]:
     feat = f"{BASE}, x AS (SELECT symbol, ts, close - open AS close_minus_open, high - low AS high_minus_low, momentum_5d, log_return, volume FROM y)"
     pairs = " UNION ALL ".join(f"SELECT '{a}' AS f1, '{b}' AS f2, round(corr({a}, {b}), {DIGITS}) AS corr FROM x" for a in CORR for b in CORR)
     miss = f"{BASE}, r AS (SELECT {c10} AS sma_10, {c20} AS sma_20, momentum_5d, {whole('stddev_samp', 'log_return', 20)} AS vol_20, 1 AS obv FROM y) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing, count({c}) AS present FROM r" for c in ("sma_10", "sma_20", "momentum_5d", "vol_20", "obv"))
-    reg = f"""{FRAME}, pv AS (SELECT *, lag(net_return) OVER ({_SM}) AS p FROM bt), vv AS (SELECT *, CASE WHEN count(p) OVER w = 20 THEN stddev_samp(p) OVER w END AS v FROM pv WINDOW w AS ({_SM} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    reg = f"""{FRAME}, pv AS (SELECT *, lag(net_return) OVER ({_SM}) AS p FROM bt WHERE net_return IS NOT NULL), vv AS (SELECT *, CASE WHEN count(p) OVER w = 20 THEN stddev_samp(p) OVER w END AS v FROM pv WINDOW w AS ({_SM} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 cc AS (SELECT symbol, model, quantile_cont(v, 1.0::DOUBLE / 3) AS lo, quantile_cont(v, 2.0::DOUBLE / 3) AS hi FROM vv GROUP BY 1, 2),
 rg AS (SELECT vv.*, CASE WHEN v <= lo THEN 'low' WHEN v <= hi THEN 'mid' WHEN v > hi THEN 'high' END AS Regime FROM vv JOIN cc USING (symbol, model)), rr AS (SELECT * FROM rg WHERE Regime IS NOT NULL), {grown('symbol, model, Regime', 'rr')}
 SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown)')}, count(net_return) AS Count FROM dd GROUP BY 1, 2, 3"""
@@ -443,10 +470,6 @@ SELECT symbol, model, Regime, {rnd(CAGR=CAGR, Sharpe=SHARPE, MaxDD='min(drawdown
         "scaled_back": f"WITH {BARS} SELECT symbol, ts, {FOLD}, {rnd('close', 'volume', digits=EXACT)} FROM bars",
         "aligned": f"{BASE}, x AS (SELECT symbol, ts, {c10} AS sma_10, {whole('stddev_samp', 'log_return', 10)} AS vol_10, y FROM y) SELECT symbol, ts, {rnd('sma_10', 'vol_10', 'y')} FROM x WHERE sma_10 IS NOT NULL AND vol_10 IS NOT NULL AND y IS NOT NULL",
         "ewm_chunked": f"{scan('log_return')} SELECT symbol, ts, {rnd(ema_20='CASE WHEN i >= 20 THEN e20 END')} FROM v",
-        "feature_matrix_chunked": lambda s, d: tidy(longseries.feature_matrix(daily(s, d), size=150), exact=tuple(PRICE)),
-        "max_drawdown_chunked": lambda s, d: tidy(longseries.max_drawdown(frame(s, d), size=150)),
-        "trades_chunked": lambda s, d: tidy(longseries.trades(frame(s, d), size=150)),
-        "rolling_median": lambda s, d: tidy(rolling_apply(number_rows(daily(s, d).select("symbol", "ts", "close")), "close", "median_30", 30, partial(np.median, axis=1), size=150).select("symbol", "ts", "median_30")),
         "obv_of_tables": f"{BASE}, s AS (SELECT *, CAST(sign(coalesce(close - {lagged('close')}, 0)) AS DOUBLE) * volume AS sv FROM y) SELECT symbol, ts, {rnd(obv=_sum('sv'))} FROM s",
         "periods": f"{FRAME}, g AS (SELECT symbol, model, date_diff('day', lag(ts) OVER ({_SM}), ts) AS g FROM bt), m AS (SELECT symbol, model, quantile_cont(g, 0.5) AS g, count(g) AS n FROM g GROUP BY 1, 2) SELECT symbol, model, CAST(CASE WHEN n < 2 OR g <= 4 THEN 252 WHEN g <= 10 THEN 52 WHEN g <= 45 THEN 12 WHEN g <= 135 THEN 4 ELSE 1 END AS BIGINT) AS periods_per_year FROM m",
         "bars_daily": f"WITH {BARS} SELECT symbol, ts, {bar} FROM bars",
@@ -500,5 +523,10 @@ SELECT symbol, model || '_shuffled' AS model, ts, {rnd('score')} FROM d JOIN v U
     before = ", ".join(f"lag({c}) OVER (PARTITION BY symbol ORDER BY ts) AS {c}" for c in names)
     out["feature_matrix"] = f"SELECT * FROM (SELECT symbol, ts, {before} FROM {joined}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names)}"
     out |= {f"{name}_chunked": out[name] for name in ("feature_matrix", "max_drawdown", "trades")}
+    m = f"WITH m AS MATERIALIZED ({out['feature_matrix']})"
+    out["correlations_matrix"] = f"{m}, {_pairs(MATRIX, 'm')} {_listed(MATRIX, 'c')}"
+    only = " ".join(f"WHEN {{i}} = {i} THEN kept_{i}" for i in range(25))
+    out["pruned_matrix"] = f"{m}, t AS (SELECT * FROM (SELECT *, {FOLD} FROM m) WHERE fold = 'train'), {_pairs(MATRIX, 't')}, {_kept(MATRIX, 25)} {_listed(MATRIX, 'k24', f'CASE {only} ELSE FALSE END')}"
+    out["backtest_chunked"] = out["backtest_vol_target"]
     out["rolling_median"] = f"WITH {BARS} SELECT symbol, ts, {rnd(median_30=whole('median', 'close', 30))} FROM bars"
     return out

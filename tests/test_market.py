@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marketspark.functions.ewm import Ewm, ewm, ewm_long
+from marketspark.functions.ewm import Ewm, ewm
 from marketspark.operators import backtest as bt
 from marketspark.operators import checks, datasets, features, metrics, models
 from marketspark.sources.bars import normalize_bars
@@ -69,16 +69,12 @@ def test_no_lookahead_and_series_apart(spark, bars):
     pd.testing.assert_frame_equal(alone, whole.filter("symbol = 'b'").orderBy("ts").toPandas(), rtol=1e-12)
 
 
-def test_ewm_gaps_and_long_form(spark):
+def test_ewm_gaps(spark):
     x = np.random.default_rng(3).normal(size=90)
     gappy = [None if i % 7 == 3 else float(v) for i, v in enumerate(x)]
     df = spark.createDataFrame([("a", i, v, float(w)) for i, (v, w) in enumerate(zip(gappy, x, strict=True))], "symbol string, ts long, x double, y double")
     got = ewm(df, [Ewm("s", "x", "std", span=9, least=5)]).orderBy("ts").toPandas()
     np.testing.assert_allclose(got.s.to_numpy(float), pd.Series(gappy, dtype=float).ewm(span=9, adjust=False, min_periods=5).std(), rtol=1e-12)
-    for kind in ("mean", "std"):
-        c = Ewm("s", "y", kind, span=9, least=5)
-        a, b = ewm(df, [c]).orderBy("ts").toPandas().s, ewm_long(df, c, chunk=7).orderBy("ts").toPandas().s
-        np.testing.assert_allclose(a.to_numpy(float), b.to_numpy(float), rtol=1e-9)
 
 
 def test_cleaning(spark):
@@ -186,12 +182,33 @@ def test_summary_counts_only_finite_returns(spark):
         metrics.rate_per_period(0.02, 0)
 
 
+def test_regimes_pass_over_gaps(spark):
+    r = np.random.default_rng(8).normal(0, 0.01, 90)
+    make = lambda at, v: spark.createDataFrame([("a", "m", (DAY + pd.Timedelta(days=i)).to_pydatetime(), x) for i, x in zip(at, v, strict=True)], "symbol string, model string, ts timestamp, net_return double")
+    whole = make(range(90), r.tolist())
+    at = [i for i in range(95) if i not in (40, 41, 42, 70, 94)]
+    gaps = make(range(95), [r[at.index(i)].item() if i in at else None for i in range(95)])
+    rows = lambda f: sorted(map(tuple, metrics.regimes(f).drop("symbol", "model").collect()))
+    assert rows(gaps) == rows(whole) and sum(x[-1] for x in rows(gaps)) == 70
+
+
+def test_penalties_that_are_none_are_left_out(spark):
+    x = np.random.default_rng(0).normal(size=60)
+    df = spark.createDataFrame(pd.DataFrame({"fold": ["train"] * 40 + ["val"] * 20, "f1": x, "y": x * 2}))
+    assert models.ridge(df, ["f1"], alphas=[0.0, -1.0, float("inf"), 0.5])["best_alpha"] == 0.5
+    with pytest.raises(ValueError):
+        models.ridge(df, ["f1"], alphas=[0.0, -1.0])
+
+
 def test_reports_run_the_backtest_once(spark):
     bars = spark.createDataFrame(walk(n=70))
     r = bars.withColumn("lr", features.log_return()).withColumn("y_next", F.expm1(F.lead("lr").over(features.W())))
     f = bt.backtest(r.select("symbol", "ts", F.lit("m").alias("model"), F.col("lr").alias("score")), r)
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas")
     assert [scans(x) for x in (metrics.summary(f), metrics.regimes(f), metrics.trade_summary(f), features.feature_matrix(bars))] == [1, 1, 1, 1]
+    plain = bt.backtest(r.select("symbol", "ts", F.lit("m").alias("model"), F.col("lr").alias("score")), r, use_vol_targeting=False)
+    assert scans(metrics.summary(plain)) == 0 and plain.filter("asset_volatility is not null").count() == 0
+    assert scans(metrics.summary(bt.with_benchmark(f, r))) == 1
 
 
 def test_checks_find_planted_leak(spark, bars):
