@@ -6,7 +6,10 @@ but the last return the columns of ``documents``. Null texts have no words, so t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketspark.llm.common import discard, save_only
 from marketspark.llm.mixing import mixed_documents
@@ -16,24 +19,31 @@ from marketspark.llm.quality import quality_rules
 from marketspark.llm.simhash import one_of_each
 
 
+def carried(docs: DataFrame, need: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` on the columns it needs; all others pass it in one struct, so that none is overwritten, whatever its name."""
+    rest = [c for c in docs.columns if c not in need]
+    out = stage(docs.select(*(c for c in docs.columns if c in need), *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("own")] if rest else [])))
+    return out.select(*(F.col(c) if c in need else F.col("own")[c].alias(c) for c in docs.columns))
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    return carried(docs, ["text"], lambda d: quality_rules(d).filter("kept"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
-    return one_of_each(docs)
+    return carried(docs, ["doc_id", "text"], one_of_each)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind. ``n_chars`` stays that of the source text."""
-    return redact(docs)
+    return carried(docs, ["text"], redact)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources; a document is as many rows as it is taken times."""
-    return mixed_documents(docs)
+    return carried(docs, ["doc_id", "source", "text"], mixed_documents)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
