@@ -3,7 +3,8 @@
 Each text is a sequence of words ``[^\\x20\\x09-\\x0D]+``. Rolling hashes of word n-grams of several lengths and of
 whole lines find what is said twice inside one text; the rules look at the share of the text's characters that
 such repeats cover. A null or empty text has no words and fails. Equal rows get equal results. Hashes have
-64 bits, so two different n-grams of one text count as equal with a chance below 1e-9 for a text of 100,000 words.
+64 bits; those of words and lines depend on bytes and places without algebraic structure, so that two different n-grams of one text count as equal with a
+chance below 1e-9 for a text of 100,000 words.
 Memory: about 60 bytes per byte of the longest text or of a 2 MB slice, whichever is larger.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE, Rolling, as_bytes, covered, flat, mix, repeated, slices, word_bounds
+from .common import Rolling, as_bytes, covered, flat, mix, range_hashes, repeated, slices, word_bounds
 
 #: Largest share of characters inside repeated word n-grams, by n.
 MOST_IN_NGRAMS = {5: 0.35, 6: 0.33, 8: 0.30, 10: 0.27}
@@ -45,7 +46,6 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
         "word_chars": np.bincount(doc, n_chars, minlength=n_docs).astype(np.int64),
         "n_symbols": symbols[at[1:]] - symbols[at[:-1]],
     }
-    hashes = Rolling(BYTE[data])
     # lines: between line feeds and the ends of texts
     cuts = np.flatnonzero(data == 10)
     line_start = np.concatenate([at[:-1], cuts + 1])
@@ -58,7 +58,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     use = words_before[1] > words_before[0]
     line_start, line_end, line_doc = line_start[use], line_end[use], np.searchsorted(at, line_start[use], "right") - 1
     salt = mix(np.arange(1, n_docs + 1, dtype=np.uint64))
-    keys = hashes(line_start, line_end) ^ salt[line_doc]
+    keys = range_hashes(data, line_start, line_end) ^ salt[line_doc]
     _, first = np.unique(keys, return_index=True)  # lines are in order, so the first of equal ones stays
     again = np.ones(len(keys), bool)
     again[first] = False
@@ -68,7 +68,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     out["chars_in_dup_lines"] = np.bincount(line_doc[again], (ink[w[1]] - ink[w[0]])[again], minlength=n_docs).astype(np.int64)
     # word n-grams
     n = len(starts)
-    grams = Rolling(hashes(starts, ends))
+    grams = Rolling(range_hashes(data, starts, ends))  # of ten words at most
     for k in sorted({8, *MOST_IN_NGRAMS}):
         i = np.arange(max(0, n - k + 1))
         i = i[doc[i] == doc[i + k - 1]] if len(i) else i

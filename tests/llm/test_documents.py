@@ -52,6 +52,16 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_quality_tells_thue_morse_words_apart(spark):
+    """Polynomial hashes modulo 2**64 are equal for these, for every base."""
+    for n in (10, 12):
+        a = "".join("ab"[i.bit_count() % 2] for i in range(1 << n))
+        b = a.translate(str.maketrans("ab", "ba"))
+        texts = [f"{a}\n{b}", f"{a}\n{b}\n{a}", " ".join([*"stuvwxy", a, *"stuvwxy", b, *"stuvwxy"]), " ".join([*"stuvwxy", a] * 2)]
+        got = quality.quality_rules(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", *quality.COUNTS[:5], "base_failed").collect()
+        assert sorted(map(tuple, got)) == sorted((t, *brute.quality(t)) for t in texts)
+
+
 def test_quality(docs, empty):
     got = sorted(map(tuple, quality.quality_rules(docs).select("text", *quality.COUNTS[:5], "base_failed", "kept").collect()), key=str)
     want = sorted(((r.text, *brute.quality(r.text)) for r in docs.collect()), key=str)

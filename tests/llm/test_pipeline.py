@@ -84,6 +84,21 @@ def test_run_leaves_no_tables_of_earlier_stages(spark, tmp_path, monkeypatch):
     assert left == ["marketspark-corpus-3", "marketspark-tokens"]
 
 
+def test_own_columns_pass_all_stages(spark):
+    """Columns with names that operators use for their own."""
+    import corpus_pipeline as p
+
+    names = ["n_words", "kept", "findings", "_row", "_text", "_pii_email", "fp", "size", "own", "taken", "base_failed", "_salt"]
+    text = lambda i: f"mail me at user{i}@host.org now " + " ".join(f"word{i * 31 + j * j}" for j in range(40))
+    docs = spark.createDataFrame([(i, text(i), "s", *(f"{n} {i}" for n in names)) for i in range(8)], ", ".join(f"`{c}` {t}" for c, t in [("doc_id", "long"), ("text", "string"), ("source", "string"), *((n, "string") for n in names)]))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {tuple(r[n] for n in names) for r in rows} == {tuple(f"{n} {i}" for n in names) for i in range(8)}, name
+    assert p.carried(docs.select("doc_id", "text"), ["doc_id", "text"], lambda d: d).columns == ["doc_id", "text"]
+
+
 def test_one_of_each_keeps_null_ids(spark):
     d = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (2, "q r s t u"), (1, "Q r s t u"), (1, "Q r s t u")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(d.coalesce(1)).collect()) == [(0, "a b c d"), (1, "Q r s t u")]
