@@ -1,19 +1,25 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-A page is a sequence of tokens: elements by their path, and texts with their path. The template of a host is deduced from pages
-with different content: pages with the same body text count once, so copies never become template. A token is valid on at least
-``SUPPORT`` of a host's contents (``LEAST`` at least). Text nests in the class of the element that holds it: its
-pages are among the element's, so both have the same occurrence vector just when they are on as many pages. An element whose whole text is
-the same on nearly all pages that have it (``NESTED``) is fixed, also inside an article; all other elements are slots.
-Blocks outside an article that are valid by themselves are template text, too. A page gives the text of all its slots, in page order.
+A page is a sequence of tokens: elements by their path, and words with the path of their element. A token's occurrence vector says how often it is on
+each of a host's different contents; pages with the same body text are one content, so copies never become template. Tokens with the same vector are a
+class. A class is valid on at least ``SUPPORT`` of the contents (``LEAST`` at least) and if it holds an element; its words must lie in such an element and stand
+in the same order on all contents. Paths tell tokens apart, so valid classes nest as their elements do; together they are the host's template.
+Text between its tokens are slots. A block all of whose words are template is fixed, outside an article by itself, inside one with all blocks of its
+path; other blocks are slots, whole. A page gives the text of its slots, in page order.
 
 Elements and class names are hints for choosing among slots: with an article or main element, its slots only; never those of menus, headers,
 footers, sidebars, adverts, forms, scripts, styles and reader comments. A class name counts if all its parts are such words or words of layout: share-box
 does, share-price does not. Weak ones (search, share, promo and the like) leave a slot out unless such slots hold most of the text; the others, unless an
 article would be empty without them. A main element is never inside one.
 
-A page is parsed once; its blocks are kept in a table for both steps. Null or empty html gives empty text. Broken markup is read as far as it goes: an end tag closes the nearest open
-element of its name, others are ignored. Pages whose url is null or odd have no host, so no template. Equal rows get equal results.
+A page is parsed once; its blocks are kept in a table for both steps. Contents are ranged by (host, hash), so a large host is spread over tasks, and
+counted in chunks of ``CHUNK`` contents at most; a token on under an eighth of a chunk, or on one content of a chunk of more than three, is not counted there, since
+template text is on half of all. Vectors are known by the exclusive or of 64-bit hashes of (content, count). A task holds one batch of pages or the tokens of one chunk.
+A very long page is parsed as any other, and is a row of its own.
+
+Null or empty html gives empty text. Markup is read as browsers do where that matters: end tags of head, paragraphs, items and cells are optional, attributes are read one after another; an
+end tag closes the nearest open element of its name, others are ignored. Pages whose url is null or odd have no host, so no template. Equal rows get equal results. Of other
+columns none is read, whatever its name.
 """
 
 from __future__ import annotations
@@ -22,22 +28,32 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import salted, save
+from .common import _ODD, mix, salted, save
 
 SUPPORT = 0.5
 #: Least number of different contents that template text is on.
 LEAST = 4
-#: Share of the pages with an element that have the same text in it, for a fixed element.
-NESTED = 0.9
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Contents counted at once.
+CHUNK = 512
+
+_REST = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)\b{_REST}(?<=/)>|<(script|style|noscript|template|textarea|svg|math|iframe|select)\b{_REST}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_REST})(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+#: One attribute: its name, and its value if it has one.
+ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: Elements that end an open paragraph; what an element of a name ends, and where the search for it ends.
+_BLOCK = "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul"
+_ENDS = {n: ({"p"}, {"button", "table", "td", "th", "caption", "object"}) for n in _BLOCK.split()}
+_ENDS |= {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
+_ENDS |= {n: ({"td", "th"}, {"tr", "table"}) for n in ("td", "th")} | {"tr": ({"tr"}, {"table"})} | {n: ({"thead", "tbody", "tfoot"}, {"table"}) for n in ("thead", "tbody", "tfoot")}
+#: Elements of a head; any other ends it.
+_IN_HEAD = frozenset("title meta link base basefont".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text, and words in class, id or role that say so.
@@ -65,8 +81,16 @@ def named(words: str) -> int:
     return most
 
 
+def attributes(text: str) -> dict[str, str]:
+    """Names, in lower case, and values of a tag's attributes; of a repeated one the first."""
+    out: dict[str, str] = {}
+    for name, value in ATTR.findall(text):
+        out.setdefault(name.lower(), value.strip("\"'"))
+    return out
+
+
 def parse(page: str) -> list[tuple[str, str, bool, int]]:
-    """Text blocks in page order as (path, text, inside an article, how surely outside the text)."""
+    """Text blocks in page order as (path, text, inside an article, how surely outside the text). Paths of over 512 characters are hashed."""
     blocks: list[tuple[str, str, bool, int]] = []
     stack: list[tuple[str, str, bool, int]] = []  # name, path, article, chrome
     parts: list[str] = []
@@ -78,10 +102,31 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
         if text:
             blocks.append((now[1], text, now[2], now[3]))
 
+    opened: dict[str, int] = {}
+
+    def end(closed: set[str], until: set[str]) -> None:
+        nonlocal now
+        if not any(opened.get(n) for n in closed):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in closed:
+                for gone in stack[i:]:
+                    opened[gone[0]] -= 1
+                del stack[i:]
+                now = stack[-1] if stack else ("", "", False, FREE)
+                break
+            if stack[i][0] in until:
+                break
+
+    def say(text: str) -> None:
+        if now[0] == "head" and text.strip():
+            end({"head"}, set())
+        parts.append(text)
+
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            say(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -90,17 +135,13 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
             continue
         flush()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            now = stack[-1] if stack else ("", "", False, FREE)
+            end({name}, set())
             continue
-        if name == "p":  # a paragraph ends where the next begins
-            while stack and stack[-1][0] == "p":
-                stack.pop()
-            now = stack[-1] if stack else ("", "", False, FREE)
-        attrs = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(m[4])} if m[4] else {}
+        if name not in _IN_HEAD:
+            end({"head"}, {"body"})
+        if name in _ENDS:
+            end(*_ENDS[name])
+        attrs = attributes(m[4]) if m[4] else {}
         words = " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs)
         article = now[2] or name in ("article", "main") or attrs.get("role") == "main"
         if name in OUTSIDE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (not article and name == "header"):
@@ -114,11 +155,14 @@ def parse(page: str) -> list[tuple[str, str, bool, int]]:
         if now[3] == SURE or not (name == "main" or attrs.get("role") == "main"):
             chrome = max(chrome, now[3])
         path = f"{now[1]}/{name}" + (f".{attrs['class']}" if attrs.get("class") else "")
+        if len(path) > 512:
+            path = "~" + xxhash.xxh64_hexdigest(path)
         if name not in VOID:
             stack.append((name, path, article, chrome))
+            opened[name] = opened.get(name, 0) + 1
             now = stack[-1]
     if at < len(page):
-        parts.append(page[at:])
+        say(page[at:])
     flush()
     return blocks
 
@@ -127,19 +171,41 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit("")), F.lit(""))
 
 
-def _by_path(blocks: list[tuple[str, str, bool, int]]) -> dict[str, str]:
-    """The token of each element's whole text."""
-    texts: dict[str, list[str]] = {}
+Block = tuple[str, str, bool, int]
+
+
+def tokens_of(blocks: list[Block]) -> dict[tuple[str, str], tuple[int, int]]:
+    """Count and first place of each token (path, word) of a page; an element is its path with an empty word, once for each of its own blocks, or each run of blocks inside it."""
+    found: dict[tuple[str, str], tuple[int, int]] = {}
+    place, last = 0, None
+
+    def see(token: tuple[str, str]) -> None:
+        nonlocal place
+        n, first = found.get(token, (0, place))
+        found[token] = n + 1, first
+        place += 1
+
     for path, text, _, _ in blocks:
-        texts.setdefault(path, []).append(text)
-    return {path: "=" + xxhash.xxh64_hexdigest("\n".join(found)) for path, found in texts.items()}
+        parts = path.split("/")
+        before = last.split("/") if last is not None else []
+        same = 0
+        while same < min(len(parts) - 1, len(before)) and parts[same] == before[same]:
+            same += 1
+        for k in range(max(same, 1), len(parts) - 1):
+            see(("/".join(parts[: k + 1]), ""))
+        if path:
+            see((path, ""))
+        last = path
+        for word in text.split(" "):
+            see((path, word))
+    return found
 
 
 PARSED = [("host", "string"), ("content", "bigint"), ("own", "bigint"), ("paths", "array<string>"), ("texts", "array<string>"), ("marks", "array<int>")]
 
 
 def blocks_of(pages: DataFrame) -> DataFrame:
-    """page_id, url and what :data:`PARSED` lists: content (a hash of the body text), own (of the page), and the blocks that may be text; a mark is 4 inside an article, and how surely the block is outside the text."""
+    """page_id, url and what :data:`PARSED` lists: content (a hash of the body text), own (of the page), and the blocks; a mark is 4 inside an article, and how surely the block is outside the text."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     schema = T.StructType([*pages.select("page_id", "url").schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in PARSED)])
 
@@ -147,8 +213,8 @@ def blocks_of(pages: DataFrame) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for page in batch.column("html").to_pylist():
-                blocks = [b for b in parse(page or "") if b[3] < SURE]
-                inside = any(article for _, _, article, _ in blocks)
+                blocks = parse(page or "")
+                inside = any(article for _, _, article, chrome in blocks if chrome < SURE)
                 body = "\n".join(text for _, text, article, chrome in blocks if article >= inside and chrome == FREE)
                 row = signed(xxhash.xxh64_intdigest(body)), signed(xxhash.xxh64_intdigest(page or "")), [b[0] for b in blocks], [b[1] for b in blocks], [4 * b[2] + b[3] for b in blocks]
                 for c, x in zip(cols, row, strict=True):
@@ -159,47 +225,104 @@ def blocks_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).mapInArrow(run, schema)
 
 
-def _blocks(row: dict) -> list[tuple[str, str, bool, int]]:
+def _blocks(row: dict) -> list[Block]:
     return [(p, t, m >= 4, m % 4) for p, t, m in zip(row["paths"], row["texts"], row["marks"], strict=True)]
 
 
-def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, content, own, and tokens: path and text, empty for the element itself."""
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without those whose content a task has seen with a lower or the same ``own``; the lowest of all is never left out."""
+    lowest: dict[tuple[str, int], int] = {}
     for batch in batches:
-        tokens = []
-        for row in batch.select(["paths", "texts", "marks"]).to_pylist():
-            blocks = _blocks(row)
-            whole = _by_path(blocks)
-            single = {(path, "-" + xxhash.xxh64_hexdigest(text)) for path, text, article, _ in blocks if not article}
-            tokens.append([{"path": a, "text": b} for a, b in sorted({*((path, "") for path in whole), *whole.items(), *single})])
-        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "content", "own")), pa.array(tokens, kind)], names=["host", "content", "own", "tokens"])
+        keep = []
+        for k, (host, content, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "content", "own")), strict=True)):
+            if own < lowest.get((host, content), 1 << 63):
+                lowest[host, content] = own
+                keep.append(k)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def count_chunk(pages: list[tuple[int, list[Block]]]) -> Iterator[tuple[str, str, int, int, bool]]:
+    """Tokens of some contents of a host: path, word, contents, vector, and whether it keeps its order among the words of its vector."""
+    seen: dict[tuple[str, str], list[tuple[int, int, int]]] = {}
+    for k, (_, blocks) in enumerate(pages):
+        for token, (n, first) in tokens_of(blocks).items():
+            seen.setdefault(token, []).append((k, n, first))
+    least = 1 if len(pages) <= 3 else max(2, len(pages) / 8)
+    classes: dict[int, list[tuple[tuple[str, str], np.ndarray]]] = {}
+    of = np.array([content for content, _ in pages], np.int64).view(np.uint64)
+    for token, rows in seen.items():
+        if len(rows) >= least:
+            at = np.array(rows, np.int64)
+            vector = int(np.bitwise_xor.reduce(mix(of[at[:, 0]] + mix(at[:, 1].astype(np.uint64) * _ODD))).view(np.int64))
+            classes.setdefault(vector, []).append((token, at[:, 2]))
+    for vector, members in classes.items():
+        words = sorted((m for m in members if m[0][1]), key=lambda m: (m[1].mean(), m[0]))
+        places = np.array([m[1] for m in words])
+        turned = (np.diff(places, axis=0) < 0).any(1) if len(words) > 1 else np.zeros(0, bool)
+        bad = np.zeros(len(words) + 1, bool)
+        bad[1:-1] = turned
+        odd = {words[k][0] for k in range(len(words)) if bad[k] or bad[k + 1]}
+        for token, first in members:
+            yield *token, len(first), vector, token not in odd
+
+
+COUNTED = "host string, path string, word string, n long, vector long, ordered boolean"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token counts of each chunk of contents of sorted rows, and the number of its contents as a token without path."""
+    names = ["host", "path", "word", "n", "vector", "ordered"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def out(host: str, chunk: list[tuple[int, list[Block]]]) -> pa.RecordBatch:
+        rows = [(host, "", "", len(chunk), 0, True), *((host, *r) for r in count_chunk(chunk))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    host, chunk = "", []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if chunk and (row["host"] != host or len(chunk) == CHUNK and row["content"] != chunk[-1][0]):
+                yield out(host, chunk)
+                chunk = []
+            host = row["host"]
+            if not chunk or chunk[-1][0] != row["content"]:
+                chunk.append((row["content"], _blocks(row)))
+    if chunk:
+        yield out(host, chunk)
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """For each host that has one: the array ``template`` of its fixed elements and template texts.
+    """Valid classes of each host: host, ``of`` (its contents), n (those with the class), vector, elements (paths) and words (path, word).
 
-    parsed: as of :func:`blocks_of`. At most (tokens on a page) / ``SUPPORT`` tokens a host.
+    parsed: as of :func:`blocks_of`. A class has at most (tokens on a page) / ``SUPPORT`` tokens, and so have all of a host.
     """
-    seen = parsed.filter("host <> ''").select("host", "content", "own", "paths", "texts", "marks").mapInArrow(_page_tokens, "host string, content long, own long, tokens array<struct<path: string, text: string>>")
-    contents = seen.groupBy("host", "content").agg(F.min_by("tokens", "own").alias("tokens"))
-    found = contents.select("host", F.explode(F.concat("tokens", F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("text"))))).alias("t"))
-    vectors = found.select("host", "t.path", "t.text").groupBy("host", "path", "text").agg(F.count("*").alias("n_pages"))
-    sizes = vectors.filter("path = '' and text = ''").select("host", F.col("n_pages").alias("of"))
-    valid = vectors.join(sizes, "host").filter((F.col("n_pages") >= LEAST) & (F.col("n_pages") >= SUPPORT * F.col("of")))
-    holder = F.max(F.when(F.col("text") == "", F.col("n_pages"))).over(Window.partitionBy("host", "path"))
-    fixed = F.col("text").startswith("-") | (F.col("text").startswith("=") & (F.col("n_pages") >= NESTED * F.col("holder")))
-    return valid.withColumn("holder", holder).filter(fixed).groupBy("host").agg(F.collect_list(F.concat("path", "text")).alias("template"))
-
-
-def main_text(blocks: list[tuple[str, str, bool, int]], template: frozenset[str]) -> str:
+    rows = parsed.filter("host <> ''").select("host", "content", "own", "paths", "texts", "marks")
+    ranged = rows.mapInArrow(_first_seen, rows.schema).repartitionByRange("host", "content").sortWithinPartitions("host", "content", "own")
+    counted = ranged.mapInArrow(_count, COUNTED)
+    tokens = counted.groupBy("host", "path", "word").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"), F.min("ordered").alias("ordered"))
+    sizes = F.max(F.when((F.col("path") == "") & (F.col("word") == ""), F.col("n"))).over(Window.partitionBy("host"))
+    often = tokens.filter(F.col("n") >= LEAST).withColumn("of", sizes).filter((F.col("path") != "") & (F.col("n") >= SUPPORT * F.col("of")))
+    word = F.struct("path", "word")
+    classes = often.groupBy("host", "of", "n", "vector").agg(F.array_sort(F.collect_list(F.when(F.col("word") == "", F.col("path")))).alias("elements"), F.array_sort(F.collect_list(F.when((F.col("word") != "") & F.col("ordered"), word))).alias("words"))
+    inside = lambda w: F.exists("elements", lambda e: F.concat(w["path"], F.lit("/")).startswith(F.concat(e, F.lit("/"))))
+    return classes.filter(F.size("elements") > 0).withColumn("words", F.filter("words", inside))
+
+
+def fixed_words(classes: DataFrame) -> DataFrame:
+    """For each host with a template: the array ``template`` of its words with their paths."""
+    every = F.flatten(F.collect_list("words"))
+    return classes.groupBy("host").agg(F.transform(every, lambda w: F.concat(w["path"], F.lit(" "), w["word"])).alias("template"))
+
+
+def main_text(blocks: list[Block], template: frozenset[str]) -> str:
     """The text of a page's blocks that a host's template leaves open."""
+    blocks = [b for b in blocks if b[3] < SURE]
     inside = any(article for _, _, article, _ in blocks)
-    whole = _by_path(blocks)
+    alone = [all(f"{path} {word}" in template for word in text.split(" ")) for path, text, _, _ in blocks]
+    open_ = {b[0] for b, fixed in zip(blocks, alone, strict=True) if not fixed}
     slots = []
-    for path, text, article, chrome in blocks:
-        fixed = path + whole[path] in template or (not article and f"{path}-{xxhash.xxh64_hexdigest(text)}" in template)
-        if article >= inside and not fixed:
+    for (path, text, article, chrome), fixed in zip(blocks, alone, strict=True):
+        if article >= inside and not (fixed and (not article or path not in open_)):
             slots.append((text, chrome))
     mass = [sum(len(text) for text, chrome in slots if chrome == level) for level in (FREE, HINTED, NAMED)]
     most = HINTED if mass[HINTED] > mass[FREE] else FREE
@@ -212,7 +335,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of pages (page_id, url, html)."""
     parsed = save(blocks_of(pages), "page-blocks")
     sizes = parsed.groupBy("host").agg(F.count("*").alias("n"))
-    joined = salted(parsed, sizes.join(templates(parsed), "host"), ["host"], parsed.count(), ["own", "page_id"], "left")
+    joined = salted(parsed, sizes.join(fixed_words(templates(parsed)), "host"), ["host"], parsed.count(), ["own", "page_id"], "left")
     schema = T.StructType([*pages.select("page_id", "url").schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

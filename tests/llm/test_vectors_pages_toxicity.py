@@ -1,9 +1,10 @@
 """Neighbours against brute force, page text against expected text, toxicity on held-out rows."""
 
-import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from marketspark.llm import htmltext, neighbours, toxicity
@@ -130,39 +131,105 @@ def test_layouts_keep_their_text(spark):
     assert texts_of(spark, pages) == [want.format(n=n) for want in cases.values() for n in range(6)]
 
 
+class Plain(HTMLParser):
+    """Blocks of well-formed pages of div, p and article elements."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.at, self.blocks = [], []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.at.append(tag + "".join(f".{v}" for k, v in attrs if k == "class"))
+
+    def handle_endtag(self, tag):
+        self.at.pop()
+
+    def handle_data(self, data):
+        self.blocks.append((tuple(self.at), tuple(data.split())))
+
+
 def plain_texts(pages):
-    """A second version for well-formed pages of div and p elements without an article: host, [(path, text)] -> text."""
-    words = re.compile("ad|footer")
-    whole = lambda blocks: {p: [t for q, t in blocks if q == p] for p, _ in blocks}
+    """A second version from html, for such pages: every token's counts on all contents of its host, side by side."""
+    parsed = [(host, html, [b for b in Plain(html).blocks if b[1]]) for host, html in pages]
+    free = lambda blocks: [b for b in blocks if not {"div.ad", "div.footer"} & set(b[0]) and (("article" in b[0]) or not any("article" in p for p, _ in blocks))]
+    signed = lambda html: xxhash.xxh64_intdigest(html) - (1 << 64) * (xxhash.xxh64_intdigest(html) >> 63)
     out = []
-    for host, blocks in pages:
-        slots = [(p, t) for p, t in blocks if not any(words.fullmatch(c) for c in p)]
-        distinct = {"\n".join(t for p, t in b if not any(words.fullmatch(c) for c in p)): b for h, b in sorted(pages, key=str) if h == host}
-        others = list(distinct.values())
-        kept = []
-        for p, t in slots:
-            having = [b for b in others if p in whole(b)]
-            same = sum(whole(b)[p] == whole(blocks)[p] for b in having)
-            alone = sum((p, t) in b for b in others)
-            least = max(4, 0.5 * len(others))
-            if not ((same >= least and same >= 0.9 * len(having)) or alone >= least):
-                kept.append(t)
-        out.append(" ".join(kept))
+    for host, _, blocks in parsed:
+        contents = {}
+        for _, html, other in sorted((p for p in parsed if p[0] == host), key=lambda p: -signed(p[1])):
+            contents[str([t for _, t in free(other)])] = other
+        pages_of = []
+        for other in contents.values():
+            places, before = [], ()
+            for path, words in other:
+                fresh = [path[:k] for k in range(1, len(path)) if before[:k] != path[:k]]
+                places += [(p, "") for p in fresh] + [(path, "")] + [(path, w) for w in words]
+                before = path
+            pages_of.append(places)
+        tokens = {t for places in pages_of for t in places}
+        vector = {t: tuple(places.count(t) for places in pages_of) for t in tokens}
+        on = lambda t: sum(n > 0 for n in vector[t])
+        valid = {t for t in tokens if on(t) >= max(4, 0.5 * len(pages_of))}
+        held = {w for w in valid if w[1] and any(not e[1] and e[0] == w[0][: len(e[0])] and vector[e] == vector[w] for e in valid)}
+        fixed = set()
+        for w in held:
+            same = sorted((v for v in valid if v[1] and vector[v] == vector[w]), key=lambda v: np.mean([p.index(v) for p in pages_of if v in p]))
+            k = same.index(w)
+            beside = [(same[j], same[j + 1]) for j in (k - 1, k) if 0 <= j < len(same) - 1]
+            if all(p.index(a) < p.index(b) for a, b in beside for p in pages_of if a in p):
+                fixed.add(w)
+        whole = lambda b: all((b[0], w) in fixed for w in b[1])
+        path_fixed = lambda path: all(whole(b) for b in blocks if b[0] == path)
+        out.append(" ".join(" ".join(b[1]) for b in free(blocks) if not (whole(b) and ("article" not in b[0] or path_fixed(b[0])))))
     return out
 
 
 def test_texts_match_a_plain_version(spark):
     rng = np.random.default_rng(11)
     pages = []
-    for host in range(4):
-        for n in range(int(rng.integers(1, 14))):
-            blocks = [(("top",), "Welcome here"), (("story", "p"), f"news {n} {host}")]
-            blocks += [(("story", "p"), f"more {rng.integers(0, 3)}") for _ in range(rng.integers(0, 3))]
-            blocks += [(("box",), "Always the same") for _ in range(rng.integers(0, 2))] + [(("note",), f"note {rng.integers(0, 2)}")]
-            blocks += [(("ad",), f"buy {n}")] if n % 2 else [(("footer",), "end")]
-            pages += [(host, blocks)] * int(1 + (n % 5 == 0))
-    html = lambda blocks: "<body>" + "".join(f"<div class='{p[0]}'>" + (f"<p>{t}</p>" if len(p) > 1 else t) + "</div>" for p, t in blocks) + "</body>"
-    assert texts_of(spark, [(f"h{h}", html(b)) for h, b in pages]) == plain_texts(pages)
+    for host in range(6):
+        story = "article" if host % 2 else "div class='story'"
+        for n in range(int(rng.integers(4, 14))):
+            blocks = ["<div class='top'>Welcome here</div>", f"<p>news {n} {host}</p>"]
+            blocks += [f"<p>more {rng.integers(0, 3)}</p>" for _ in range(rng.integers(0, 3))] + ["<p>See also</p>"] * (host % 3) + ["<div class='x2'>Read our guide</div>"] * (n % 4 > 0)
+            blocks[1:] = [f"<{story}>", *blocks[1:], f"</{story.split()[0]}>"]
+            blocks += ["<div class='box'>Always the same</div>"] * rng.integers(0, 3) + [f"<div class='note'>note {rng.integers(0, 2)}</div>"]
+            blocks += [f"<div class='swap'>{' '.join(rng.permutation(['one', 'two']))}</div>", f"<div class='ad'>buy {n}</div>" if n % 2 else "<div class='footer'>end</div>"]
+            pages += [(f"h{host}", "<body>" + "".join(blocks) + "</body>")] * int(1 + (n % 5 == 0))
+    got, want = texts_of(spark, pages), plain_texts(pages)
+    assert got == want
+    assert any("Welcome" not in t for t in want) and any("one two" in t for t in want)
+
+
+def test_chunks_of_contents_add_up():
+    pages = [(mixed, htmltext.parse(f"<body><div class='top'>Same {'top' if n % 3 else 'bar'}</div><p>text {n} of all</p></body>")) for n, mixed in enumerate(range(1000, 1040))]
+    total = lambda parts: {t: (n, v) for t, (n, v) in parts.items() if n >= 20}
+    whole = total({(path, word): (n, v) for path, word, n, v, _ in htmltext.count_chunk(pages)})
+    summed: dict = {}
+    for at in range(0, 40, 8):
+        for path, word, n, v, _ in htmltext.count_chunk(pages[at : at + 8]):
+            old = summed.get((path, word), (0, 0))
+            summed[path, word] = old[0] + n, old[1] ^ v
+    assert total(summed) == whole and ("/body/div.top", "Same") in whole and whole["/body/div.top", "Same"] == whole["/body/div.top", ""] == whole["/body", ""]
+
+
+def test_markup_that_keeps_its_text(spark):
+    cases = {
+        '<body><div style="overflow:hidden">In a div {n}</div></body>': "In a div {n}",
+        '<body><p title="hidden gems">Found {n}</p></body>': "Found {n}",
+        '<body><div data-hidden="0">Shown {n}</div><p hidden>Never</p><p aria-hidden="true">Not read</p></body>': "Shown {n}",
+        "<html><head><title>T</title><body><p>No end of head {n}": "No end of head {n}",
+        "<html><head><meta charset=utf-8>Words {n} end the head</html>": "Words {n} end the head",
+        '<body><p>Before {n}</p><svg width="1" title="a>b"/><p>Behind {n}</p><svg><text>drawn</text></svg></body>': "Before {n} Behind {n}",
+        "<body><ul><li>One {n}<li class=ad>Bought<li>Three {n}</ul><table><tr><td class=ad>No<td>Cell {n}<tr><td>Next {n}</table></body>": "One {n} Three {n} Cell {n} Next {n}",
+        "<body><p class=ad>Bought<div>Told {n}</div></body>": "Told {n}",
+        "<body><a title='x>y' href=z>Linked {n}</a> <b class='ad' hidden=>too</b></body>": "Linked {n} too",
+    }
+    pages = [(f"k{i}", page.format(n=n)) for i, page in enumerate(cases) for n in range(5)]
+    assert texts_of(spark, pages) == [want.format(n=n) for want in cases.values() for n in range(5)]
+    deep = htmltext.parse("<div>" * 3000 + "deep" + "</div>" * 3000)
+    assert [b[1] for b in deep] == ["deep"] and len(deep[0][0]) <= 512 and set(htmltext.tokens_of(deep)) >= {(deep[0][0], "deep")}
 
 
 def test_pages_without_a_host_have_no_template(spark):
