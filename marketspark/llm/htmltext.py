@@ -25,12 +25,15 @@ columns none is read, whatever its name.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +43,8 @@ from .common import _ODD, mix, salted, save
 SUPPORT = 0.5
 #: Least number of different contents that template text is on.
 LEAST = 4
+#: Characters of all hosts' templates, at most, that are sent to every task; more are joined by host, large hosts salted.
+SENT = 32 << 20
 #: Contents counted at once.
 CHUNK = 512
 
@@ -174,8 +179,8 @@ def host_of(url: Column) -> Column:
 Block = tuple[str, str, bool, int]
 
 
-def tokens_of(blocks: list[Block]) -> dict[tuple[str, str], tuple[int, int]]:
-    """Count and first place of each token (path, word) of a page; an element is its path with an empty word, once for each of its own blocks, or each run of blocks inside it."""
+def tokens_of(blocks: list[Block], words_of: dict[str, set[str]] | None = None) -> dict[tuple[str, str], tuple[int, int]]:
+    """Count and first place of each token (path, word) of a page; an element is its path with an empty word, once for each of its own blocks, or each run of blocks inside it. With ``words_of``, of each path these words only."""
     found: dict[tuple[str, str], tuple[int, int]] = {}
     place, last = 0, None
 
@@ -196,37 +201,44 @@ def tokens_of(blocks: list[Block]) -> dict[tuple[str, str], tuple[int, int]]:
         if path:
             see((path, ""))
         last = path
-        for word in text.split(" "):
-            see((path, word))
+        words = text.split(" ")
+        few = words_of.get(path) if words_of is not None else None
+        start = place
+        for k, word in enumerate(words):
+            if words_of is None or few and word in few:
+                place = start + k
+                see((path, word))
+        place = start + len(words)
     return found
 
 
-PARSED = [("host", "string"), ("content", "bigint"), ("own", "bigint"), ("paths", "array<string>"), ("texts", "array<string>"), ("marks", "array<int>")]
+PARSED = [("host", "string"), ("content", "bigint"), ("own", "bigint"), ("packed", "binary")]
 
 
 def blocks_of(pages: DataFrame) -> DataFrame:
-    """page_id, url and what :data:`PARSED` lists: content (a hash of the body text), own (of the page), and the blocks; a mark is 4 inside an article, and how surely the block is outside the text."""
+    """page_id, url and what :data:`PARSED` lists: content (a hash of the body text), own (of the page), and the page's blocks, packed, so that little is stored and sent."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     schema = T.StructType([*pages.select("page_id", "url").schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in PARSED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], []]
             for page in batch.column("html").to_pylist():
                 blocks = parse(page or "")
                 inside = any(article for _, _, article, chrome in blocks if chrome < SURE)
                 body = "\n".join(text for _, text, article, chrome in blocks if article >= inside and chrome == FREE)
-                row = signed(xxhash.xxh64_intdigest(body)), signed(xxhash.xxh64_intdigest(page or "")), [b[0] for b in blocks], [b[1] for b in blocks], [4 * b[2] + b[3] for b in blocks]
+                row = signed(xxhash.xxh64_intdigest(body)), signed(xxhash.xxh64_intdigest(page or "")), pack.compress(json.dumps(blocks, ensure_ascii=False).encode())
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[f.name for f in schema])
 
     return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).mapInArrow(run, schema)
 
 
-def _blocks(row: dict) -> list[Block]:
-    return [(p, t, m >= 4, m % 4) for p, t, m in zip(row["paths"], row["texts"], row["marks"], strict=True)]
+def _blocks(packed: bytes) -> list[Block]:
+    return json.loads(zstandard.decompress(packed))
 
 
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +255,19 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_chunk(pages: list[tuple[int, list[Block]]]) -> Iterator[tuple[str, str, int, int, bool]]:
     """Tokens of some contents of a host: path, word, contents, vector, and whether it keeps its order among the words of its vector."""
+    on: dict[str, Counter[str]] = {}  # of each path its words, by contents
+    for _, blocks in pages:
+        own: dict[str, set[str]] = {}
+        for path, text, _, _ in blocks:
+            own.setdefault(path, set()).update(text.split(" "))
+        for path, words in own.items():
+            on.setdefault(path, Counter()).update(words)
+    least = 1 if len(pages) <= 3 else max(2, len(pages) / 8)
+    often = {path: {word for word, n in words.items() if n >= least} for path, words in on.items()}
     seen: dict[tuple[str, str], list[tuple[int, int, int]]] = {}
     for k, (_, blocks) in enumerate(pages):
-        for token, (n, first) in tokens_of(blocks).items():
+        for token, (n, first) in tokens_of(blocks, often).items():
             seen.setdefault(token, []).append((k, n, first))
-    least = 1 if len(pages) <= 3 else max(2, len(pages) / 8)
     classes: dict[int, list[tuple[tuple[str, str], np.ndarray]]] = {}
     of = np.array([content for content, _ in pages], np.int64).view(np.uint64)
     for token, rows in seen.items():
@@ -286,7 +306,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chunk = []
             host = row["host"]
             if not chunk or chunk[-1][0] != row["content"]:
-                chunk.append((row["content"], _blocks(row)))
+                chunk.append((row["content"], _blocks(row["packed"])))
     if chunk:
         yield out(host, chunk)
 
@@ -296,7 +316,7 @@ def templates(parsed: DataFrame) -> DataFrame:
 
     parsed: as of :func:`blocks_of`. A class has at most (tokens on a page) / ``SUPPORT`` tokens, and so have all of a host.
     """
-    rows = parsed.filter("host <> ''").select("host", "content", "own", "paths", "texts", "marks")
+    rows = parsed.filter("host <> ''").select("host", "content", "own", "packed")
     ranged = rows.mapInArrow(_first_seen, rows.schema).repartitionByRange("host", "content").sortWithinPartitions("host", "content", "own")
     counted = ranged.mapInArrow(_count, COUNTED)
     tokens = counted.groupBy("host", "path", "word").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector"), F.min("ordered").alias("ordered"))
@@ -334,16 +354,21 @@ def main_text(blocks: list[Block], template: frozenset[str]) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of pages (page_id, url, html)."""
     parsed = save(blocks_of(pages), "page-blocks")
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("n"))
-    joined = salted(parsed, sizes.join(fixed_words(templates(parsed)), "host"), ["host"], parsed.count(), ["own", "page_id"], "left")
+    found = save(fixed_words(templates(parsed)), "page-templates")
+    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("template", " ")) + 16 * F.size("template"))).first()[0] or 0
+    if size <= SENT:
+        joined = parsed.join(F.broadcast(found), "host", "left")
+    else:
+        sizes = parsed.groupBy("host").agg(F.count("*").alias("n"))
+        joined = salted(parsed, sizes.join(found, "host"), ["host"], parsed.count(), ["own", "page_id"], "left")
     schema = T.StructType([*pages.select("page_id", "url").schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(_blocks(r), frozenset(r["template"] or ())) for r in batch.select(["paths", "texts", "marks", "template"]).to_pylist()]
+            texts = [main_text(_blocks(r["packed"]), frozenset(r["template"] or ())) for r in batch.select(["packed", "template"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "paths", "texts", "marks", "template").mapInArrow(run, schema)
+    return joined.select("page_id", "url", "packed", "template").mapInArrow(run, schema)
 
 
 def op9(pages: DataFrame) -> DataFrame:
