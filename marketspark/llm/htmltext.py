@@ -221,14 +221,14 @@ def blocks_of(pages: DataFrame) -> DataFrame:
     schema = T.StructType([*pages.select("page_id", "url").schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in PARSED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=19)  # a page is packed once, stored and sent
         for batch in batches:
             cols: list[list] = [[], [], []]
             for page in batch.column("html").to_pylist():
                 blocks = parse(page or "")
                 inside = any(article for _, _, article, chrome in blocks if chrome < SURE)
                 body = "\n".join(text for _, text, article, chrome in blocks if article >= inside and chrome == FREE)
-                row = signed(xxhash.xxh64_intdigest(body)), signed(xxhash.xxh64_intdigest(page or "")), pack.compress(json.dumps(blocks, ensure_ascii=False).encode())
+                row = signed(xxhash.xxh64_intdigest(body)), signed(xxhash.xxh64_intdigest(page or "")), pack.compress(json.dumps(list(zip(*blocks, strict=True)), ensure_ascii=False, separators=(",", ":")).encode())
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
             kinds = [pa.int64(), pa.int64(), pa.binary()]
@@ -238,7 +238,7 @@ def blocks_of(pages: DataFrame) -> DataFrame:
 
 
 def _blocks(packed: bytes) -> list[Block]:
-    return json.loads(zstandard.decompress(packed))
+    return list(zip(*json.loads(zstandard.decompress(packed)), strict=True))
 
 
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
