@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.functions.windows import finite, series
+from marketspark.functions.windows import finite
+from marketspark.operators.leakage import scan
 
 KEYS = ["symbol", "ts"]
 
@@ -51,31 +52,19 @@ def same_keys(x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def future_fields(x: DataFrame, raw: DataFrame, features: list[str], base: list[str], ahead: int = 3, atol: float = 0.0, rtol: float = 0.0, share: float = 0.95) -> DataFrame:
-    """Pairs where a feature equals (or comes as near as allowed to) a base column of 1 ... ``ahead`` rows later on nearly all rows. One aggregate per base column."""
-    w = series()
-    parts = []
-    for b in base:
-        lead = raw.select(*KEYS, *(F.lead(b, k).over(w).alias(f"_b{k}") for k in range(1, ahead + 1)))
-        both = x.select(*KEYS, *features).join(lead, KEYS)
-        close = lambda f, k: F.abs(F.col(f) - F.col(f"_b{k}")) <= atol + rtol * F.abs(F.col(f"_b{k}"))
-        one = both.agg(F.count("*").alias("_n"), *(F.count_if(close(f, k)).alias(f"{f}@{k}") for f in features for k in range(1, ahead + 1)))
-        rows = F.explode(F.array(*(F.struct(F.lit(f"{f} = {b} + {k}").alias("s"), F.col(f"{f}@{k}").alias("n")) for f in features for k in range(1, ahead + 1))))
-        parts.append(one.select("_n", rows.alias("x")).filter((F.col("x.n") > 0) & (F.col("x.n") >= F.floor(share * F.col("_n")))).select(*_counted("future_fields", F.col("x.s"), F.col("x.n"))))
-    return reduce(DataFrame.unionByName, parts)
+    """Pairs where a feature equals (or comes as near as allowed to) a base column of 1 ... ``ahead`` rows later on nearly all rows."""
+    return scan(raw, x, x, features, base, ahead, atol=atol, rtol=rtol, share=share).filter("check = 'future_fields'")
 
 
 def lookahead(x: DataFrame, features: list[str], lag: int = 1) -> DataFrame:
     """Features that equal themselves ``lag`` rows later wherever there is such a row."""
-    w = series()
-    nxt = x.select(*(F.col(f) for f in features), *(F.lead(f, lag).over(w).alias(f"_l_{f}") for f in features), F.lead(F.lit(1), lag).over(w).alias("_has")).filter("_has = 1")
-    one = nxt.agg(F.count("*").alias("_n"), *(F.count_if(F.col(f).eqNullSafe(F.col(f"_l_{f}"))).alias(f) for f in features))
-    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("s"), ((F.col(f) == F.col("_n")) & (F.col("_n") > 0)).cast("int").alias("n")) for f in features)))
-    return one.select(rows.alias("x")).select(*_counted("lookahead", F.col("x.s"), F.col("x.n")))
+    return scan(x, x, x, features, [], lag=lag).filter("check = 'lookahead'")
 
 
 def run_all(raw: DataFrame, x: DataFrame, y: DataFrame, features: list[str], base: list[str], ahead: int = 3) -> DataFrame:
-    parts = [required_columns(raw, base), duplicate_columns(x), time_type(raw), unique_keys(raw), unique_keys(x), complete(x, features), same_keys(x, y), future_fields(x, raw, features, base, ahead), lookahead(x, features)]
-    return reduce(DataFrame.unionByName, parts)
+    """All checks: names and types from the schema, the rest in one scan of the three tables. Base columns that raw lacks are only reported."""
+    named = [required_columns(raw, base), duplicate_columns(x), time_type(raw)]
+    return reduce(DataFrame.unionByName, named).unionByName(scan(raw, x, y, features, [b for b in base if b in raw.columns], ahead))
 
 
 def raise_on_failure(checks: DataFrame) -> None:

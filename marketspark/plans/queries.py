@@ -202,6 +202,18 @@ def check_report(spark: SparkSession, d: str) -> DataFrame:
     return checks.run_all(bars, x, y, ["close_minus_open", "momentum_5d", "planted"], ["open", "close"])
 
 
+BARS_OF = ["open", "high", "low", "close", "volume", "vwap", "trade_count"]
+
+
+def matrix_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The whole feature matrix, with a planted leak, against all columns of the bars."""
+    bars = daily(spark, d)
+    leak = bars.select("symbol", "ts", F.lead("close").over(series()).alias("planted"))
+    x = features.feature_matrix(bars)
+    x = x.select("symbol", "ts", *(F.round(c, EXACT if c in PRICE else DIGITS).alias(c) for c in x.columns[2:])).join(leak.dropna("any"), ["symbol", "ts"])
+    return checks.run_all(bars, x, bars.select("symbol", "ts"), x.columns[2:], BARS_OF)
+
+
 def queries() -> dict[str, Query]:
     plain = lambda *names, digits=DIGITS: lambda s, d: tidy(with_block(s, d, list(names)), digits)
     made: dict[str, Query] = {
@@ -227,6 +239,7 @@ def queries() -> dict[str, Query]:
         "features_scan": lambda s, d: tidy(features.add_scan_features(daily(s, d)).select("symbol", "ts", *SCAN)),
         "feature_matrix": lambda s, d: tidy(features.feature_matrix(daily(s, d)), exact=tuple(PRICE)),
         "checks": check_report,
+        "checks_matrix": matrix_checks,
         "split": lambda s, d: datasets.chronological(daily(s, d)).groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last")),
         "split_panel": lambda s, d: datasets.chronological(daily(s, d), panel=True).groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last")),
         "describe": lambda s, d: tidy(datasets.describe(daily(s, d), PROFILE)),
@@ -335,8 +348,10 @@ tu AS (SELECT *, coalesce(abs(weight - lag(weight) OVER ({_SM})), 0) AS turnover
 bt AS (SELECT *, weight * y_next AS gross_return, turnover * 0.0005::DOUBLE AS transaction_cost, weight * y_next - turnover * 0.0005::DOUBLE AS net_return FROM tu WHERE z_score IS NOT NULL AND weight IS NOT NULL)"""
 
 
-def _checks() -> str:
-    names, base = ("close_minus_open", "momentum_5d", "planted"), ("open", "close")
+_FEW = "SELECT symbol, ts, close - open AS close_minus_open, momentum_5d, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS planted FROM y"
+
+
+def _checks(names: tuple[str, ...] = ("close_minus_open", "momentum_5d", "planted"), base: tuple[str, ...] = ("open", "close"), head: str = BASE, x: str = _FEW) -> str:
     row = lambda check, subject, n, src: f"SELECT '{check}' AS \"check\", '{subject}' AS subject, CAST({n} AS BIGINT) AS violations, {n} = 0 AS passed FROM {src}"
     one = "(SELECT 1)"
     keys = lambda a, b: f"(SELECT count(*) FROM {a} ANTI JOIN {b} USING (symbol, ts))"
@@ -350,7 +365,7 @@ def _checks() -> str:
     parts += [f"{row('future_fields', f'{f} = {b} + {k}', hits(f, b, k), 'xb')} HAVING {hits(f, b, k)} > 0 AND {hits(f, b, k)} >= floor(0.95::DOUBLE * count(*))" for b in base for f in names for k in (1, 2, 3)]
     parts += [row("lookahead", f, f"CAST(count(*) > 0 AND count(*) FILTER ({f} IS NOT DISTINCT FROM n_{f}) = count(*) AS BIGINT)", "xn") for f in names]
     leads = ", ".join(f"lead({b}, {k}) OVER w AS {b}{k}" for b in base for k in (1, 2, 3))
-    return f"""{BASE}, x AS (SELECT * FROM (SELECT symbol, ts, close - open AS close_minus_open, momentum_5d, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS planted FROM y) WHERE close_minus_open IS NOT NULL AND momentum_5d IS NOT NULL AND planted IS NOT NULL),
+    return f"""{head}, x AS (SELECT * FROM ({x}) WHERE {" AND ".join(f"{f} IS NOT NULL" for f in names)}),
 xb AS (SELECT * FROM x JOIN (SELECT symbol, ts, {leads} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)) USING (symbol, ts)),
 xn AS (SELECT *, {", ".join(f"lead({f}) OVER w AS n_{f}" for f in names)} FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts) QUALIFY lead(1) OVER w = 1)
 {" UNION ALL ".join(parts)}"""
@@ -524,6 +539,8 @@ SELECT symbol, model || '_shuffled' AS model, ts, {rnd('score')} FROM d JOIN v U
     out["feature_matrix"] = f"SELECT * FROM (SELECT symbol, ts, {before} FROM {joined}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names)}"
     out |= {f"{name}_chunked": out[name] for name in ("feature_matrix", "max_drawdown", "trades")}
     m = f"WITH m AS MATERIALIZED ({out['feature_matrix']})"
+    planted = "SELECT m.*, planted FROM m JOIN (SELECT symbol, ts, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS planted FROM bars) USING (symbol, ts)"
+    out["checks_matrix"] = _checks((*MATRIX, "planted"), tuple(BARS_OF), f"{m}, {BARS}", planted)
     out["correlations_matrix"] = f"{m}, {_pairs(MATRIX, 'm')} {_listed(MATRIX, 'c')}"
     only = " ".join(f"WHEN {{i}} = {i} THEN kept_{i}" for i in range(25))
     out["pruned_matrix"] = f"{m}, t AS (SELECT * FROM (SELECT *, {FOLD} FROM m) WHERE fold = 'train'), {_pairs(MATRIX, 't')}, {_kept(MATRIX, 25)} {_listed(MATRIX, 'k24', f'CASE {only} ELSE FALSE END')}"
