@@ -10,7 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketspark.functions.quantiles import beside, quantiles
 from marketspark.functions.windows import corr, finite, ratio
+from marketspark.sources.scratch import keep
 
 KEYS = ("symbol",)
 
@@ -51,10 +53,13 @@ def sequences(df: DataFrame, columns: list[str], target: str, length: int = 60,
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std, min, quartiles and max: a row for each symbol and column."""
-    long = df.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")).select(*KEYS, "v.*")
-    q = F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    return long.groupBy(*KEYS, "column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max("x").alias("max"))
+    """count, mean, std, min, quartiles and max: a row for each symbol and column. The quartiles are exact, and no symbol's values meet in one task."""
+    stored = keep(df.select(*KEYS, *(F.col(c).cast("double").alias(c) for c in columns)), "described")
+    long = stored.select(*KEYS, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns))).alias("v")).select(*KEYS, "v.*")
+    q = quantiles(long, (*KEYS, "column"), "x", (0.25, 0.5, 0.75)).drop("n")
+    out = long.groupBy(*KEYS, "column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    at = F.col("quantiles")
+    return beside(out, q, (*KEYS, "column")).select(*KEYS, "column", "n", "mean", "std", "min", at[0].alias("q25"), at[1].alias("q50"), at[2].alias("q75"), "max")
 
 
 def missing(df: DataFrame, columns: list[str], top: int | None = 10) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Feature matrix, backtest frames, wealth and trades of series too long for one task. Results equal those of the window forms."""
+"""Feature matrix, backtest frames, wealth, trades and regimes of series too long for one task. Results equal those of the window forms."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketspark.functions.chunks import SIZE, ewm_chunks, number_rows, over_chunks, running
-from marketspark.functions.windows import finite
+from marketspark.functions.quantiles import beside, quantiles
+from marketspark.functions.windows import finite, roll
 from marketspark.operators import features, metrics
 from marketspark.sources.scratch import keep
 
@@ -43,8 +44,8 @@ def max_drawdown(frame: DataFrame, keys: tuple[str, ...] = metrics.KEYS, returns
     return with_wealth(frame, keys, returns, size=size).groupBy(*keys).agg(*(c.alias(n) for n, c in metrics.worst().items()))
 
 
-def trades(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6, size: int = SIZE) -> DataFrame:
-    """As :func:`metrics.trades`: a trade's rows may lie in any number of chunks."""
+def _with_trades(frame: DataFrame, weight: str, least: float, size: int) -> DataFrame:
+    """Rows with ``side`` and ``trade_id``, the number of trades begun so far."""
     side = F.when(F.abs(F.col(weight)) >= least, F.signum(weight)).otherwise(0).cast("int")
 
     def starts(df: DataFrame) -> DataFrame:
@@ -52,4 +53,40 @@ def trades(frame: DataFrame, weight: str = "weight", returns: str = "net_return"
         return df.withColumn("_new", ((F.col("side") != 0) & (F.col("side") != before)).cast("long"))
 
     rows = over_chunks(number_rows(frame.withColumn("side", side), metrics.KEYS), starts, size, before=1)
-    return metrics.finish_trades(running(rows, {"trade_id": ("sum", "_new")}, size, metrics.KEYS), returns)
+    return running(rows, {"trade_id": ("sum", "_new")}, size, metrics.KEYS)
+
+
+def trades(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6, size: int = SIZE) -> DataFrame:
+    """As :func:`metrics.trades`: a trade's rows may lie in any number of chunks."""
+    return metrics.finish_trades(_with_trades(frame, weight, least, size), returns)
+
+
+def trade_summary(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6, size: int = SIZE) -> DataFrame:
+    """As :func:`metrics.trade_summary`, for any number of trades: the median is selected by counts."""
+    by_trade = keep(metrics.of_trades(_with_trades(frame, weight, least, size), returns), "trades")
+    median = quantiles(by_trade.filter("trade_id is not null and n_days > 0"), metrics.KEYS, "pnl", (0.5,))
+    median = median.select(*metrics.KEYS, F.col("quantiles")[0].alias("MedianPnL_per_trade"))
+    return beside(by_trade.groupBy(*metrics.KEYS).agg(*metrics.trade_results()), median, metrics.KEYS)
+
+
+def regimes(frame: DataFrame, window: int = 20, cuts: tuple[float, float] | None = None, periods: int = metrics.YEAR, size: int = SIZE) -> DataFrame:
+    """As :func:`metrics.regimes`: volatility and wealth in chunks, thirds selected by counts."""
+    keys, values = metrics.KEYS, ("CAGR", "Sharpe", "MaxDD", "Count")
+    rows = keep(frame.select(*keys, "ts", finite(F.col("net_return").cast("double")).alias("net_return")), "returns")
+
+    def volatility(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("ts")
+        df = df.withColumn("_p", F.lag("net_return").over(w))
+        return df.withColumn("_v", F.when(F.count("_p").over(roll(w, window)) == window, F.stddev_samp("_p").over(roll(w, window)))).drop("_p")
+
+    seen = keep(over_chunks(number_rows(rows.filter("net_return is not null"), keys), volatility, size, before=window).drop("_i"), "volatility").filter("_v is not null")
+    if cuts is None:
+        seen = beside(seen, quantiles(seen, keys, "_v", (1 / 3, 2 / 3)).drop("n"), keys)
+    else:
+        seen = seen.withColumn("quantiles", F.array(*map(F.lit, cuts)))
+    v, lo, hi = F.col("_v"), F.col("quantiles")[0], F.col("quantiles")[1]
+    seen = seen.select(*keys, "ts", "net_return", F.when(v <= lo, "low").when(v <= hi, "mid").otherwise("high").alias("Regime"))
+    r = F.col("_r")
+    got = with_wealth(seen, (*keys, "Regime"), size=size).groupBy(*keys, "Regime").agg(metrics.annualized_return(r, periods).alias("CAGR"), metrics.sharpe(r, 0.0, periods).alias("Sharpe"), F.min("drawdown").alias("MaxDD"), F.count(r).alias("Count"))
+    every = rows.select(*keys).distinct().withColumn("Regime", F.explode(F.array(*map(F.lit, ("low", "mid", "high")))))
+    return beside(every, got, (*keys, "Regime")).select(*keys, "Regime", *(F.coalesce(c, F.lit(0)).alias(c) if c == "Count" else c for c in values))

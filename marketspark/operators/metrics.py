@@ -92,10 +92,10 @@ def _by_trade(frame: DataFrame, weight: str = "weight", returns: str = "net_retu
     df = frame.withColumn("side", F.when(F.abs(x) >= least, F.signum(x)).otherwise(0).cast("int"))
     df = df.withColumn("_new", ((F.col("side") != 0) & (F.col("side") != F.coalesce(F.lag("side").over(w), F.lit(0)))).cast("long"))
     df = df.withColumn("trade_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return _of_trades(df, returns)
+    return of_trades(df, returns)
 
 
-def _of_trades(df: DataFrame, returns: str) -> DataFrame:
+def of_trades(df: DataFrame, returns: str) -> DataFrame:
     """Rows with a side and a running number of trades, by trade."""
     df = df.withColumn("trade_id", F.when(F.col("side") != 0, F.col("trade_id")))
     r = finite(F.col(returns))
@@ -109,7 +109,7 @@ def trades(frame: DataFrame, weight: str = "weight", returns: str = "net_return"
 
 def finish_trades(df: DataFrame, returns: str = "net_return") -> DataFrame:
     """Trades of rows with ``side`` and ``trade_id``, the number of trades begun so far."""
-    return _with_results(_of_trades(df, returns))
+    return _with_results(of_trades(df, returns))
 
 
 def _with_results(by_trade: DataFrame) -> DataFrame:
@@ -119,9 +119,18 @@ def _with_results(by_trade: DataFrame) -> DataFrame:
 
 def trade_summary(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:
     """Count, hit rate, mean and median result and length of the trades of every series, also of one without trades."""
-    of = lambda x: F.when(F.col("trade_id").isNotNull() & (F.col("n_days") > 0), x)
-    pnl = of(F.col("pnl"))
-    return _by_trade(frame, weight, returns, least).groupBy(*KEYS).agg(F.count(of(F.lit(1))).alias("Trades"), F.avg(of((F.col("pnl") > 0).cast("int"))).alias("HitRate_trades"), F.avg(pnl).alias("MeanPnL_per_trade"), F.percentile(pnl, F.lit(0.5)).alias("MedianPnL_per_trade"), F.avg(of(F.col("n_days"))).alias("AvgDays_per_trade"))
+    pnl = _of_trade(F.col("pnl"))
+    return _by_trade(frame, weight, returns, least).groupBy(*KEYS).agg(*trade_results(), F.percentile(pnl, F.lit(0.5)).alias("MedianPnL_per_trade"))
+
+
+def _of_trade(x: Column) -> Column:
+    return F.when(F.col("trade_id").isNotNull() & (F.col("n_days") > 0), x)
+
+
+def trade_results() -> list[Column]:
+    """Aggregates of rows by trade, but for the median."""
+    pnl = F.col("pnl")
+    return [F.count(_of_trade(F.lit(1))).alias("Trades"), F.avg(_of_trade((pnl > 0).cast("int"))).alias("HitRate_trades"), F.avg(_of_trade(pnl)).alias("MeanPnL_per_trade"), F.avg(_of_trade(F.col("n_days"))).alias("AvgDays_per_trade")]
 
 
 def attribution(frame: DataFrame, weight: str = "weight", returns: str = "net_return", least: float = 1e-6) -> DataFrame:

@@ -263,6 +263,8 @@ def queries() -> dict[str, Query]:
         "backtest_chunked": lambda s, d: tidy(frame(s, d, True, 150)),
         "max_drawdown_chunked": lambda s, d: tidy(longseries.max_drawdown(frame(s, d), size=150)),
         "trades_chunked": lambda s, d: tidy(longseries.trades(frame(s, d), size=150)),
+        "trade_summary_chunked": lambda s, d: tidy(longseries.trade_summary(frame(s, d), size=150)),
+        "regimes_chunked": lambda s, d: tidy(longseries.regimes(frame(s, d), size=150)),
         "rolling_median": lambda s, d: tidy(rolling_apply(number_rows(daily(s, d).select("symbol", "ts", "close")), "close", "median_30", 30, partial(np.median, axis=1), size=150).select("symbol", "ts", "median_30")),
         "obv_of_tables": lambda s, d: (lambda b: tidy(features.on_balance_volume(b.select("symbol", "ts", "close"), b.select("symbol", "ts", "volume"))))(daily(s, d)),
         "periods": lambda s, d: tidy(metrics.infer_periods(frame(s, d))),
@@ -537,7 +539,7 @@ SELECT symbol, model || '_shuffled' AS model, ts, {rnd('score')} FROM d JOIN v U
     joined = " JOIN ".join(f"({out[b]}) AS {b}" + (" USING (symbol, ts)" if i else "") for i, b in enumerate(blocks))
     before = ", ".join(f"lag({c}) OVER (PARTITION BY symbol ORDER BY ts) AS {c}" for c in names)
     out["feature_matrix"] = f"SELECT * FROM (SELECT symbol, ts, {before} FROM {joined}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names)}"
-    out |= {f"{name}_chunked": out[name] for name in ("feature_matrix", "max_drawdown", "trades")}
+    out |= {f"{name}_chunked": out[name] for name in ("feature_matrix", "max_drawdown", "trades", "trade_summary", "regimes")}
     m = f"WITH m AS MATERIALIZED ({out['feature_matrix']})"
     planted = "SELECT m.*, planted FROM m JOIN (SELECT symbol, ts, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS planted FROM bars) USING (symbol, ts)"
     out["checks_matrix"] = _checks((*MATRIX, "planted"), tuple(BARS_OF), f"{m}, {BARS}", planted)
