@@ -5,10 +5,12 @@ clusters are split until sizes are even; there are about n / ``LIST_SIZE``, at m
 memory, is searched with a bounded pool to find the lists of a vector. Every vector is indexed: it goes to its nearest list
 and, near a boundary, to up to ``COPIES`` lists. A query reads the lists whose distance is at most ``RATIO`` times that
 of its nearest list; its pool is doubled while the last list in it is still near enough. In larger tables a cell is divided in the same way, by centroids fitted in a task on a
-bounded sample of the cell (``CELL_SAMPLE``), so that lists keep their size and their number grows with the table. Queries that find fewer than asked for, in lists of a few vectors, are compared with all vectors afterwards; they
-are at most a few for each list. Scores are cosines of the original vectors in double precision; ties go to the smaller vec_id.
+bounded sample of the cell (``CELL_SAMPLE``), so that lists keep their size and their number grows with the table. Queries that find fewer than asked for, in lists of a few vectors, read the
+``WIDE`` cells nearest to them afterwards, and those that still lack some are compared with all vectors, in blocks. They stay a table all the time. Scores are cosines of the original vectors in double precision; ties go to the smaller vec_id.
 
-A list of more than ``PART`` vectors is dealt out in parts, and so are the queries of a list, so no group is unbounded.
+A list of more than ``PART`` vectors is dealt out in parts, and so are the queries of a list, so no group is unbounded: a task holds ``PART`` vectors and queries, and as
+many similarities as 256 queries have. Fitting holds a sample's similarities to the centroids for ``ROWS`` rows at a time. What is sent to all tasks are at most ``MOST_CELLS`` centroids (divided up to twice
+by sizes) and sizes of lists behind Spark's own check of a stored table.
 Vectors that are null, empty, zero, of another dimension than the sample's usual one, or hold null or non-finite components take no
 part, nor do rows without vec_id. Equal rows count once, before the nearest are chosen; an id with several vectors counts once, with its best score. The query's own id
 is not among its neighbours.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import salted, save
 
 SAMPLE = 20000
 MOST_CELLS = 1024
@@ -39,6 +41,10 @@ BOUNDARY = 1.08
 RATIO = 1.28
 DEGREE = 24
 PART = 8192
+#: Cells read by queries that lack neighbours.
+WIDE = 64
+#: Rows whose similarities to all centroids are held at once while fitting.
+ROWS = 2048
 TOP = 5
 STRIDE = 50
 
@@ -47,13 +53,14 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     """Unit centroids of unit vectors; clusters over twice the mean size are split afterwards."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    nearest_of = lambda: np.concatenate([(x[at : at + ROWS] @ c.T).argmax(1) for at in range(0, len(x), ROWS)])
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
+        near = nearest_of()
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         size = np.linalg.norm(total, axis=1)
         c = np.where(size[:, None] > 1e-12, total / np.maximum(size, 1e-12)[:, None], c)
-    near = (x @ c.T).argmax(1)
+    near = nearest_of()
     out = []
     for i in range(len(c)):
         own = x[near == i]
@@ -89,10 +96,6 @@ class Centroids:
         """
         n, k = len(x), len(self.c)
         width = min(width, k)
-        if k <= 2 * width:
-            sims = x @ self.c.T
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
-            return order, np.take_along_axis(sims, order, 1)
         start = x @ self.c[self.entries].T
         top = np.argsort(-start, axis=1, kind="stable")[:, :width]
         pool, sim = np.full((n, width), -1), np.full((n, width), -3.0)
@@ -206,7 +209,7 @@ def tops(asked: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, top:
 def divide(placed: DataFrame, dim: int, lists_of, listed: str) -> DataFrame:
     """Rows of cells (list, ask, id, v) dealt to lists inside the cells."""
     sizes = placed.filter("not ask").groupBy("list").agg(F.count("*").alias("n"))
-    sizes = F.broadcast(sizes.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))  # a row for each cell
+    sizes = F.broadcast(sizes.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))  # a row for each cell: a few thousand at most, by MOST_CELLS
     rate = F.least(F.lit(ROWS_EACH / LIST_SIZE), F.lit(float(CELL_SAMPLE)) / F.col("n"))
     few = placed.join(sizes, "list").filter(~F.col("ask") & (F.pmod(F.xxhash64("id", F.lit("cell")), F.lit(1 << 20)) < rate * (1 << 20)))
 
@@ -264,15 +267,11 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, ratio: float =
 
     listed = "list long, ask boolean, id long, v array<double>"
     both = v.select(F.explode(F.when(F.col("q"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("ask"), F.col("vec_id").alias("id"), "v")
-    placed = both.mapInArrow(place, listed)
+    cells = placed = both.mapInArrow(place, listed)
     if n > 4 * LIST_SIZE * len(centroids.c):
-        placed = divide(save(placed, "cells"), dim, lists_of, listed)
-    sizes = placed.groupBy("list").agg(F.ceil(F.count_if(~F.col("ask")) / PART).cast("int").alias("parts"), F.ceil(F.count_if("ask") / PART).cast("int").alias("asks"))
-    sizes = F.broadcast(sizes.filter("parts > 0 and asks > 0"))  # a row for each list: at most a few thousand
-    own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    sized = placed.join(sizes, "list")
-    dealt = sized.filter("ask").withColumn("a", own("asks")).withColumn("p", every("parts")).unionByName(sized.filter("not ask").withColumn("p", own("parts")).withColumn("a", every("asks")))
+        cells = save(placed, "cells")
+        placed = divide(cells, dim, lists_of, listed)
+    found = "query_id long, vec_id long, score double"
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -282,27 +281,49 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, ratio: float =
         cols = tops(*distinct_rows(ids[ask], x[ask]), ids[~ask], x[~ask], top)
         return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
-    found = dealt.groupBy("list", "p", "a").applyInArrow(compare, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    def compared(rows: DataFrame) -> DataFrame:
+        """Best pairs of the queries and vectors (list, ask, id, v) of one list; each part of its vectors meets each part of its queries."""
+        sizes = rows.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count_if(~F.col("ask")) / PART).cast("int").alias("parts"), F.ceil(F.count_if("ask") / PART).cast("int").alias("asks"))
+        sizes = save(sizes.filter("parts > 0 and asks > 0"), "sizes")
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        own = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        sized = salted(rows, sizes, ["list"], total, ["id"])
+        dealt = sized.filter("ask").withColumn("a", own("asks")).withColumn("p", every("parts")).unionByName(sized.filter("not ask").withColumn("p", own("parts")).withColumn("a", every("asks")))
+        return dealt.select("list", "p", "a", "ask", "id", "v").groupBy("list", "p", "a").applyInArrow(compare, found)
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    ranked = lambda rows: rows.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    near = save(ranked(found), "neighbours")
-    full = near.filter(F.col("rank") == top).select(F.col("query_id").alias("vec_id"))
-    short = v.filter("q").join(full, "vec_id", "left_anti").select("vec_id", "v").distinct().collect()  # fewer than ``top`` ids share a list with one
-    if not short:
-        return near
-    ids, q = np.array([r.vec_id for r in short], np.int64), np.array([r.v for r in short], float)
 
-    def against_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                b = batch.slice(at, 2048)
-                new = tops(ids, q, b.column("vec_id").to_numpy().astype(np.int64), _rows(b.column("v"), dim), top)
-                kept = best(*(np.concatenate(pair) for pair in zip(kept, new, strict=True)), top)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["query_id", "vec_id", "score"])
+    def ranked(pairs: DataFrame) -> DataFrame:
+        best_of = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return best_of.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    rest = v.select("vec_id", "v").mapInArrow(against_all, "query_id long, vec_id long, score double")
-    return ranked(near.select("query_id", "vec_id", "score").unionByName(rest).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    def lacking(near: DataFrame, queries: DataFrame) -> DataFrame:
+        """Queries (id, v) with fewer than ``top`` neighbours so far."""
+        full = near.filter(F.col("rank") == top).select(F.col("query_id").alias("id"))
+        return save(queries.join(full, "id", "left_anti"), "lacking")
+
+    def place_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                lists, sim = centroids.search(_unit(_rows(b.column("v"), dim)), WIDE)
+                i, j = np.nonzero(sim > -3.0)
+                yield pa.RecordBatch.from_arrays([pa.array(lists[i, j].astype(np.int64)), pa.array(np.ones(len(i), bool)), b.column("id").take(pa.array(i)), b.column("v").take(pa.array(i))], names=["list", "ask", "id", "v"])
+
+    near = save(ranked(compared(placed)), "neighbours")
+    short = lacking(near, v.filter("q").select(F.col("vec_id").cast("long").alias("id"), "v").distinct())
+    if short.isEmpty():
+        return near
+    pairs = near.select("query_id", "vec_id", "score")
+    near = save(ranked(pairs.unionByName(compared(short.mapInArrow(place_wide, listed).unionByName(cells.filter("not ask"))))), "neighbours")
+    short = lacking(near, short)
+    if short.isEmpty():
+        return near
+    blocks = max(1, -(-n // PART))
+    asked = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("list"), F.lit(True).alias("ask"), "id", "v")
+    all_rows = v.select(F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("long").alias("list"), F.lit(False).alias("ask"), F.col("vec_id").cast("long").alias("id"), "v")
+    return ranked(near.select("query_id", "vec_id", "score").unionByName(compared(asked.unionByName(all_rows))))
 
 
 def op5(vectors: DataFrame) -> DataFrame:

@@ -325,3 +325,28 @@ def test_gains_match_a_plain_version(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.score for r in toxicity.score(df, model, ["doc_id"]).orderBy("doc_id").collect()]
     assert np.allclose(got, want, rtol=1e-12)
+
+
+def test_the_three_steps_of_a_search(spark, monkeypatch):
+    """Lists, then the nearest cells, then all vectors in blocks: no query lacks neighbours, in cells that are divided or not."""
+    monkeypatch.setattr(neighbours, "WIDE", 1)
+    monkeypatch.setattr(neighbours, "PART", 40)  # 15 blocks
+    x = np.random.default_rng(8).normal(size=(600, 16)).astype(np.float32)
+    want = brute(list(range(600)), x)
+    for most, size in ((1024, 2), (40, 3)):
+        monkeypatch.setattr(neighbours, "MOST_CELLS", most)
+        monkeypatch.setattr(neighbours, "LIST_SIZE", size)
+        got = found(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+        assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    plan = neighbours.op5(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    assert "CartesianProduct" not in plan._jdf.queryExecution().toString()
+
+
+def test_graph_of_few_centroids():
+    """The search has one form: with no more centroids than its pool, it finds all of them in order."""
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 7, 30):
+        c, x = neighbours._unit(rng.normal(size=(k, 8))), neighbours._unit(rng.normal(size=(20, 8)))
+        lists, sim = neighbours.Centroids(c).search(x, 32)
+        np.testing.assert_array_equal(lists, np.argsort(-x @ c.T, axis=1))
+        np.testing.assert_allclose(sim, -np.sort(-x @ c.T, axis=1))
