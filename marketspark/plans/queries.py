@@ -5,11 +5,13 @@ Bars are built from lineitem (a symbol per return flag, price per piece) and eve
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +20,9 @@ from marketspark.functions.chunks import ewm_chunks, number_rows, rolling_apply
 from marketspark.functions.ewm import Ewm
 from marketspark.functions.windows import series
 from marketspark.operators import backtest as bt
-from marketspark.operators import checks, datasets, features, longseries, metrics, models
+from marketspark.operators import checks, datasets, features, longseries, metrics, models, tensors
 from marketspark.sources.bars import align, build_bars, last_rows, normalize_bars, read_bars, write_bars
-from marketspark.sources.scratch import delete_on_exit, scratch
+from marketspark.sources.scratch import delete_on_exit, keep, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -202,6 +204,21 @@ def check_report(spark: SparkSession, d: str) -> DataFrame:
     return checks.run_all(bars, x, y, ["close_minus_open", "momentum_5d", "planted"], ["open", "close"])
 
 
+@F.pandas_udf(T.StringType())
+def contents(sequence: pd.Series) -> pd.Series:
+    """MD5 of all numbers of a window: floats in whole parts of 4096, which no two roundings can tell apart."""
+    of = lambda b: np.frombuffer(b, np.float32).reshape(-1, 2).astype(float)
+    text = lambda x: ",".join(f"{math.floor(c * 4096)}:{math.floor(v * 4096)}" for c, v in x)
+    return pd.Series([hashlib.md5(text(of(b)).encode()).hexdigest() for b in sequence])
+
+
+def sequences_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Windows cut from stored chunks, each with a digest of its whole contents."""
+    r = datasets.chronological(daily(spark, d)).withColumn("y", F.col("volume"))
+    stored = keep(tensors.sequence_chunks(r, ["close", "volume"], "y", size=500), "sequences")
+    return tensors.sequence_windows(stored, 2).select("symbol", "ts", "fold", contents("sequence").alias("contents"), "y")
+
+
 BARS_OF = ["open", "high", "low", "close", "volume", "vwap", "trade_count"]
 
 
@@ -249,6 +266,7 @@ def queries() -> dict[str, Query]:
         "pruned_matrix": lambda s, d: tidy(pruned_matrix(s, d)),
         "scaled": lambda s, d: (lambda r: tidy(datasets.scale(r, datasets.fit_scaler(r, ["close", "volume"]), ["close", "volume"]).select("symbol", "ts", "fold", "close", "volume")))(datasets.chronological(daily(s, d))),
         "sequences": lambda s, d: tidy(datasets.sequences(datasets.chronological(daily(s, d)).withColumn("y", F.col("volume")), ["close", "volume"], "y").select("symbol", "ts", "fold", F.size("sequence").alias("rows"), F.col("sequence")[0][1].alias("first_volume"), "y")),
+        "sequences_stored": lambda s, d: tidy(sequences_stored(s, d)),
         "scores_persistence": lambda s, d: tidy(scored(s, d)),
         "fold_table": lambda s, d: tidy(datasets.fold_table(scored(s, d), "rmse")),
         "ridge": lambda s, d: tidy(ridge_result(s, d)),
@@ -546,6 +564,10 @@ SELECT symbol, model || '_shuffled' AS model, ts, {rnd('score')} FROM d JOIN v U
     out["correlations_matrix"] = f"{m}, {_pairs(MATRIX, 'm')} {_listed(MATRIX, 'c')}"
     only = " ".join(f"WHEN {{i}} = {i} THEN kept_{i}" for i in range(25))
     out["pruned_matrix"] = f"{m}, t AS (SELECT * FROM (SELECT *, {FOLD} FROM m) WHERE fold = 'train'), {_pairs(MATRIX, 't')}, {_kept(MATRIX, 25)} {_listed(MATRIX, 'k24', f'CASE {only} ELSE FALSE END')}"
+    window = "PARTITION BY symbol, fold ORDER BY ts"
+    cells = " || ':' || ".join(f"CAST(floor(CAST(CAST({c} AS FLOAT) AS DOUBLE) * 4096) AS BIGINT)" for c in ("close", "volume"))
+    out["sequences_stored"] = f"""WITH {BARS}, f AS (SELECT *, {FOLD} FROM bars), g AS (SELECT *, list({cells}) OVER ({window} ROWS 59 PRECEDING) AS l, lead(1) OVER ({window}) AS more FROM f)
+SELECT symbol, ts, fold, md5(array_to_string(l, ',')) AS contents, {rnd(y="volume")} FROM g WHERE len(l) = 60 AND more = 1"""
     out["backtest_chunked"] = out["backtest_vol_target"]
     out["rolling_median"] = f"WITH {BARS} SELECT symbol, ts, {rnd(median_30=whole('median', 'close', 30))} FROM bars"
     return out
