@@ -21,7 +21,8 @@ from marketspark.functions.ewm import Ewm
 from marketspark.functions.windows import series
 from marketspark.operators import backtest as bt
 from marketspark.operators import checks, datasets, features, longseries, metrics, models, tensors
-from marketspark.sources.bars import align, build_bars, last_rows, normalize_bars, read_bars, write_bars
+from marketspark.sources.bars import align, build_bars, last_rows, normalize_bars, read_bars, select_numeric, write_bars
+from marketspark.sources.results import read_features, read_results, write_features, write_results
 from marketspark.sources.scratch import delete_on_exit, keep, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +192,24 @@ def kept_pairs(r: DataFrame, names: list[str], top: int | None = None) -> DataFr
     return c.filter(F.col("f1").isin(models.prune_by(c, names, top=top)))
 
 
+def results_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A backtest stored by model; one model read alone."""
+    path = f"{scratch(spark)}/results"
+    write_results(frame(spark, d), path)
+    delete_on_exit(spark, path)
+    return read_results(spark, path, ["momentum"]).select("symbol", "model", "ts", "score", "z_score", "weight", "net_return")
+
+
+def features_frozen(spark: SparkSession, d: str) -> DataFrame:
+    """The list that pruning keeps is stored and read again; correlations of its columns with all."""
+    r = datasets.chronological(features.add_plain_features(daily(spark, d)))
+    c = datasets.correlations(r.filter("fold = 'train'"), RANKED)
+    path = f"{scratch(spark)}/features"
+    write_features(spark, models.prune_by(c, RANKED), path)
+    delete_on_exit(spark, path)
+    return c.filter(F.col("f1").isin(read_features(spark, path)))
+
+
 def pruned_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The 25 first of the whole matrix's columns, pruned."""
     x = tidy(features.feature_matrix(daily(spark, d)), exact=tuple(PRICE))
@@ -266,6 +285,9 @@ def queries() -> dict[str, Query]:
         "pruned_matrix": lambda s, d: tidy(pruned_matrix(s, d)),
         "scaled": lambda s, d: (lambda r: tidy(datasets.scale(r, datasets.fit_scaler(r, ["close", "volume"]), ["close", "volume"]).select("symbol", "ts", "fold", "close", "volume")))(datasets.chronological(daily(s, d))),
         "sequences": lambda s, d: tidy(datasets.sequences(datasets.chronological(daily(s, d)).withColumn("y", F.col("volume")), ["close", "volume"], "y").select("symbol", "ts", "fold", F.size("sequence").alias("rows"), F.col("sequence")[0][1].alias("first_volume"), "y")),
+        "results_stored": lambda s, d: tidy(results_stored(s, d)),
+        "features_frozen": lambda s, d: tidy(features_frozen(s, d)),
+        "columns_numeric": lambda s, d: tidy(select_numeric(daily(s, d).withColumn("high", F.col("high").cast("string")), ["volume", "absent", "high", "close", "volume"]), EXACT),
         "sequences_stored": lambda s, d: tidy(sequences_stored(s, d)),
         "scores_persistence": lambda s, d: tidy(scored(s, d)),
         "fold_table": lambda s, d: tidy(datasets.fold_table(scored(s, d), "rmse")),
@@ -564,6 +586,9 @@ SELECT symbol, model || '_shuffled' AS model, ts, {rnd('score')} FROM d JOIN v U
     out["correlations_matrix"] = f"{m}, {_pairs(MATRIX, 'm')} {_listed(MATRIX, 'c')}"
     only = " ".join(f"WHEN {{i}} = {i} THEN kept_{i}" for i in range(25))
     out["pruned_matrix"] = f"{m}, t AS (SELECT * FROM (SELECT *, {FOLD} FROM m) WHERE fold = 'train'), {_pairs(MATRIX, 't')}, {_kept(MATRIX, 25)} {_listed(MATRIX, 'k24', f'CASE {only} ELSE FALSE END')}"
+    out["results_stored"] = f"{FRAME} SELECT symbol, model, ts, {rnd('score', 'z_score', 'weight', 'net_return')} FROM bt WHERE model = 'momentum'"
+    out["features_frozen"] = out["pruned_features"]
+    out["columns_numeric"] = f"WITH {BARS} SELECT symbol, ts, {rnd('volume', 'close', digits=EXACT)} FROM bars"
     window = "PARTITION BY symbol, fold ORDER BY ts"
     cells = " || ':' || ".join(f"CAST(floor(CAST(CAST({c} AS FLOAT) AS DOUBLE) * 4096) AS BIGINT)" for c in ("close", "volume"))
     out["sequences_stored"] = f"""WITH {BARS}, f AS (SELECT *, {FOLD} FROM bars), g AS (SELECT *, list({cells}) OVER ({window} ROWS 59 PRECEDING) AS l, lead(1) OVER ({window}) AS more FROM f)

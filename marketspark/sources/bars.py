@@ -71,6 +71,17 @@ def normalize_bars(df: DataFrame, ties: tuple[str, ...] = (), required: tuple[st
     return rows.filter("ts is not null").withColumn("_n", first).filter("_n = 1").select("symbol", "ts", *kept).dropna("any")
 
 
+def numeric_columns(df: DataFrame, wanted: list[str] | None = None) -> list[str]:
+    """Names of the columns that hold numbers, in the order of ``df``; of ``wanted``, those that exist, in its order. Names are compared as they are."""
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    return numbers if wanted is None else [c for c in dict.fromkeys(wanted) if c in numbers]
+
+
+def select_numeric(df: DataFrame, wanted: list[str] | None = None, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """Keys and numeric columns, of ``wanted`` those that exist; the scan reads no others."""
+    return df.select(*keys, *(F.col(f"`{c}`") for c in numeric_columns(df, wanted) if c not in keys))
+
+
 def last_rows(df: DataFrame, n: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ts")))).filter(F.col("_n") <= n).drop("_n")
 

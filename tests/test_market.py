@@ -234,3 +234,11 @@ def test_results_are_stored(spark, tmp_path):
     assert [tuple(r) for r in read_results(spark, f"{tmp_path}/scores", ["ridge"]).select("symbol", "model", "score").collect()] == [("A", "ridge", 1.0)]
     write_features(spark, ["b", "a", "c"], f"{tmp_path}/features")
     assert read_features(spark, f"{tmp_path}/features") == ["b", "a", "c"]
+
+
+def test_numeric_columns(spark):
+    from marketspark.sources.bars import numeric_columns, select_numeric
+
+    df = spark.createDataFrame([("a", 1, 2.0, "x", True)], "symbol string, ts long, `a.b` double, s string, flag boolean").withColumn("d", F.lit(1).cast("decimal(9,2)"))
+    assert numeric_columns(df) == ["ts", "a.b", "d"] and numeric_columns(df, ["d", "S", "s", "a.b", "none", "d"]) == ["d", "a.b"]
+    assert select_numeric(df, ["d", "a.b", "ts"]).columns == ["symbol", "ts", "d", "a.b"] and select_numeric(df, []).columns == ["symbol", "ts"]
