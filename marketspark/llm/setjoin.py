@@ -1,29 +1,24 @@
-"""Similarity join of documents by the Jaccard measure of their shingles, with token-combination prefixes.
+"""Similarity join of documents by the Jaccard measure of their shingles, with prefixes of token combinations.
 
 A document's set holds the distinct 3-word shingles of its words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased (fewer words: the
 whole sequence). Two sets link when 100 * intersection >= 90 * union. Equal sets meet in one node before anything is compared.
 
-Prefixes. A set of ``a`` shingles shares at least ceil(0.9 a) with a partner, so of any a - ceil(0.9 a) + 1 of its shingles one is shared.
-Shingles are known by 64-bit hashes and put in one order for all sets: the hashes below ``REGION``, three in 16, first, in it rare ones
-(in at most ``RARE`` sets' regions) before frequent before very frequent ones, then by hash. A set's prefix is the start of that order, and of two linked
-sets the one whose prefix ends first has all that they share of it in the other's prefix, too. Rare shingles are signatures on
-their own. Of the frequent classes only combinations are: pairs of frequent, triples of very frequent shingles. For that the
-prefix is extended, as one or two shingles of a group say nothing: combinations are made inside ``groups`` by hash, as many as suit the
-set's size, and c shingles of a group count as c - 1 or c - 2. Group numbers follow powers of two of the size; a set that may have a partner
-beyond the next power takes part there as well. A region with too few shingles (short texts) is extended by shingles outside, taken as rare.
-So no link is lost, whatever the frequencies are; they only decide how many candidates there are.
-
-Candidates are verified with the whole sets, made anew from the texts of just the documents that are asked for. Of a signature with at most ``RARE``
-members all pairs are looked at; of others, members are first compared with one of them (a star, not all pairs). Sets that are joined
-by verified links need no further comparison with each other, so what is left are members outside a signature's largest class: they
-are compared with all others, hot signatures dealt out in chunks. Only pairs that pass a bound leave a task: sizes within 0.9, and parities of 256
-bits that differ in at most (a + b) / 19 places, which is the largest difference of linked sets; for sets of ``LARGE`` and more, parities
-of 16,384 bits are compared before the sets.
+Prefixes. Shingles are known by 64-bit hashes, whose range is cut into m segments. All of a set's shingles in a segment make one combination, so a set has
+m of them. Linked sets differ in d = (a + b) / 19 shingles at most, so in at most d combinations; the others are equal. Put in one order for
+all sets, those of most shingles first, the first d + 1 combinations of both hold a common one: these are the set's signatures. A combination says
+far more than a shingle of it, so a signature is shared by near copies and hardly ever by chance, however frequent single shingles or short passages are; no
+frequencies are counted. m follows the power of two of the larger set's size; a set that may have a partner beyond the next power has signatures for that,
+too. A combination of no shingles is one like the others (the last in order), so no link is lost.
+
+Sets that share a signature are joined to one of its members (a star, not all pairs), and the classes of these edges are groups: a link never leaves
+a group. The whole sets of grouped nodes are made anew from their texts, and a group is compared in one task: a few pairs of each node first, then nodes outside
+the largest class with all of another class, by sizes, parities of shingles and whole sets. A group larger than a task's share is dealt into parts, each compared with itself and with the
+first; then members outside the largest class are compared with all others (each two parts, if most are outside). Only links leave a task, a tree of each class.
 
 Null and empty texts, and those of blanks, have an empty set: they link with nothing and are classes of their own. Equal rows, and equal
 texts under several ids, are one node; a class has the smallest doc_id that is not null. Other columns play no part. Two shingles
 with one hash would count as one in a verification (a chance of 1e-13 for two sets of 1,000); ``n_shingles`` is
-counted without hashes. Memory of a task follows its largest set (about 100 bytes a word) and ``CHUNK``. An empty table gives no rows.
+counted without hashes. Memory of a task follows its largest set (about 100 bytes a word) and ``TOKENS``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,22 +29,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, salted, save
+from .common import _ODD, as_bytes, mix, salted, save
 from .simhash import connect
 
-#: Hashes below this are looked at first.
-REGION = 3 << 60
-#: A shingle in more regions than this is frequent; in more than the second number, very frequent.
-RARE, VERY = 32, 1024
-#: Sets of this many shingles, times a power of two, get one group of combinations more.
-GROUP = 80
-#: 64-bit words of the parities; of the finer ones of large sets, from so many shingles.
-WORDS, FINE, LARGE = 4, 256, 900
-CHUNK = 512
+#: Hashes up to this make combinations: all.
+REGION = (1 << 64) - 1
+#: A group of more nodes than this, and than a task's share, is dealt into parts: ``PARTS`` at most, but for shingles beyond ``TOKENS``.
+CHUNK = 32
+PARTS = 64
+#: Shingles of a part, about.
+TOKENS = 1 << 22
 #: Nodes that are broadcast to find their texts, at most (about 60 bytes each); more are joined by a shuffle.
 FEW = 100_000
 #: Smaller sets link with no other.
@@ -70,26 +63,32 @@ def hashes(grams: set[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams)))
 
 
-def needed(a: int) -> int:
-    """So many shingles of a set hold a shared one."""
-    return a - (9 * a + 9) // 10 + 1
-
-
 def systems(a: int) -> list[tuple[int, int]]:
-    """The powers of two a set of this size takes part in, with their numbers of groups."""
+    """The powers of two a set of this size takes part in, with their numbers of segments: 1.3 for each combination that a prefix may need."""
     b = a.bit_length() - 1
-    return [(x, max(1, (1 << x) // GROUP)) for x in ([b, b + 1] if 10 * a >= 9 << (b + 1) else [b])]
+    return [(x, -(-13 * (2 * ((2 << x) - 1) // 19 + 1) // 10)) for x in ([b, b + 1] if 10 * a >= 9 << (b + 1) else [b])]
 
 
 def prefix_size(a: int, a0: int) -> int:
-    """Shingles that a prefix can need at most, in the order of hashes: the region, and what lies beyond if the region is too small."""
-    return 0 if a < LEAST else min(a, max(a0, needed(a) + 3 * systems(a)[-1][1]))
-
-
-def parities(h: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """64 bits a word: whether an odd number of hashes falls on each."""
-    odd = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    """Shingles that signatures are made of: all, but for a set too small to link."""
+    return 0 if a < LEAST else a
+
+
+def signatures_of(a: int, a0: int, at: np.ndarray | None, h: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of a set with the sorted hashes ``h``. Places and numbers of sets of single shingles are not needed, nor is ``a0``."""
+    if a < LEAST:
+        return np.zeros(0, np.uint64)
+    out = []
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h))])
+        for power, m in systems(a):
+            segments = np.arange(m, dtype=np.uint64)
+            edges = np.concatenate([np.searchsorted(h, segments * np.uint64((1 << 64) // m)), [len(h)]])
+            held = np.diff(edges)
+            sigs = mix(sums[edges[1:]] - sums[edges[:-1]] + segments * _ODD + np.uint64(power))
+            most = min(10 * a // 9, (2 << power) - 1)  # of a partner
+            out.append(sigs[np.lexsort((sigs, -held))[: (a + most) // 19 + 1]])
+    return np.unique(np.concatenate(out))
 
 
 def digest(h: np.ndarray) -> bytes | None:
@@ -97,236 +96,277 @@ def digest(h: np.ndarray) -> bytes | None:
 
 
 def set_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (doc_id, key, a, a0, bits, fine, prefix): the set's digest (null: empty), size, hashes in the region, parities, finer ones of large sets, first hashes."""
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("a", T.IntegerType()), T.StructField("a0", T.IntegerType()), *(T.StructField(c, longs) for c in ("bits", "fine", "prefix"))])
+    """Rows (doc_id, key, a, sigs): the set's digest (null: empty), size and signatures."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("a", T.IntegerType()), T.StructField("sigs", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.int64())
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                key, a, a0, bits, fine, prefix = [], [], [], [], [], []
+                key, a, sigs = [], [], []
                 for t in as_bytes(batch.column("text")):
                     grams = shingles(t.as_py())
                     h = hashes(grams)
-                    low = int(np.searchsorted(h, np.uint64(REGION)))
                     key.append(digest(h))
                     a.append(len(grams))
-                    a0.append(low)
-                    bits.append(parities(h))
-                    fine.append(parities(h, FINE) if len(h) >= LARGE else [])
-                    prefix.append(h[: prefix_size(len(grams), low)].view(np.int64))
-                cols = [batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(a, pa.int32()), pa.array(a0, pa.int32()), *(pa.array(x, kind) for x in (bits, fine, prefix))]
+                    sigs.append(signatures_of(len(h), len(h), None, h).view(np.int64))
+                cols = [batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(a, pa.int32()), pa.array(sigs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (node, a, tokens) of the nodes ``wanted`` (node, key, first), with all their hashes.
+    """Rows (node, group, parts, part, tokens) of the nodes ``wanted`` (those, key and first), with all their hashes.
 
     Texts are found by a node's smallest doc_id and told apart by the set's digest; the first of equal ones counts.
     """
-    asked = wanted.select("node", "key", F.col("first").alias("_id"))
+    own = ["node", "group", "parts", "part"]
+    asked = wanted.select(*own, "key", F.col("first").alias("_id"))
     asked = F.broadcast(asked) if wanted.count() <= FEW else asked
-    found = docs.select("doc_id", F.col(text).alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "key", "text")
+    found = docs.select("doc_id", F.col(text).alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*own, "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
                 sets = [hashes(shingles(t.as_py())) for t in as_bytes(batch.column("text"))]
                 use = [i for i, (h, key) in enumerate(zip(sets, batch.column("key").to_pylist(), strict=True)) if digest(h) == key]
-                cols = [batch.column("node").take(pa.array(use, pa.int64())), pa.array([len(sets[i]) for i in use], pa.int32()), pa.array([sets[i].view(np.int64) for i in use], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["node", "a", "tokens"])
-
-    one = F.first(F.struct("a", "tokens")).alias("s")
-    return found.mapInArrow(run, "node long, a int, tokens array<long>").groupBy("node").agg(one).select("node", "s.*")
-
-
-def signatures_of(a: int, a0: int, at: np.ndarray, h: np.ndarray, n: np.ndarray, rare: int = RARE, very: int = VERY) -> np.ndarray:
-    """Signatures of a set, from its prefix's hashes that other prefixes hold, too: places in the order of hashes (ascending), hashes, numbers of sets."""
-    p = needed(a)
-    inside = at < a0
-    common = inside & (n > rare)
-    skip = np.cumsum(common)
-    alone = a0 - int(common.sum())
-    out = [h[inside & ~common & (at - skip < p)]]
-    if alone >= p:
-        return out[0]
-    for power, groups in systems(a):
-        have, made = alone, []
-        for k, those in ((2, common & (n <= very)), (3, common & (n > very))):
-            held: dict[int, list[int]] = {}
-            for x in h[those].tolist():
-                if have >= p:
-                    break
-                group = held.setdefault((x & 0xFFFFFFFF) % groups, [])
-                group.append(x)
-                have += len(group) >= k
-            for group in held.values():
-                made += [xxhash.xxh3_64_intdigest(np.array([power, k, *some], np.uint64).tobytes()) for some in combinations(group, k)]
-        out += [np.array(made, np.uint64), h[(at >= a0) & (at < a0 + p - have)]]
-    return np.unique(np.concatenate(out))
+                cols = [*(batch.column(c).take(pa.array(use, pa.int64())) for c in own), pa.array([sets[i].view(np.int64) for i in use], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*own, "tokens"])
 
+    return found.mapInArrow(run, "node long, group long, parts int, part int, tokens array<long>").groupBy(*own).agg(F.first("tokens").alias("tokens"))
 
-def signatures(nodes: DataFrame, rare: int = RARE, very: int = VERY) -> DataFrame:
-    """Rows (sig, node, a, bits) of nodes (node, a, a0, bits, prefix)."""
-    rows = nodes.select("node", F.posexplode("prefix").alias("at", "token"))
-    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    counts = rows.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = salted(rows, counts, ["token"], total, ["node"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("shared"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                shared = batch.column("shared")
-                ends = (shared.offsets.to_numpy() - shared.offsets[0].as_py()).tolist()
-                at, token, n = (x.to_numpy() for x in shared.flatten().flatten())
-                token = token.view(np.uint64)
-                sigs = [signatures_of(a, a0, at[i:j], token[i:j], n[i:j], rare, very) for a, a0, i, j in zip(batch.column("a").to_pylist(), batch.column("a0").to_pylist(), ends[:-1], ends[1:], strict=True)]
-                take = pa.array(np.repeat(np.arange(len(sigs)), [len(x) for x in sigs]))
-                sig = np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *(batch.column(c).take(take) for c in ("node", "a", "bits"))], names=["sig", "node", "a", "bits"])
-
-    return shared.join(nodes.select("node", "a", "a0", "bits"), "node").mapInArrow(run, "sig long, node long, a int, bits array<long>")
-
-
-def possible(a: Column, a_bits: Column, b: Column, b_bits: Column) -> Column:
-    """Sizes and parities allow a link."""
-    differ = sum((F.bit_count(a_bits[i].bitwiseXOR(b_bits[i])) for i in range(1, WORDS)), F.bit_count(a_bits[0].bitwiseXOR(b_bits[0])))
-    return (10 * F.least(a, b) >= 9 * F.greatest(a, b)) & (19 * differ <= a + b)
-
-
-def open_signatures(sigs: DataFrame) -> DataFrame:
-    """For signatures (sig, node, a, bits, label) of several classes: sig, n, and one member."""
-    one = F.min(F.struct("node", "a", "bits", "label")).alias("one")
-    return sigs.groupBy("sig").agg(F.count("*").alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), one).filter("_lo < _hi").drop("_lo", "_hi")
-
-
-def star_pairs(sigs: DataFrame, total: int) -> DataFrame:
-    """Possible pairs (u < v, large) of each open signature's smallest member with the others."""
-    both = salted(sigs, open_signatures(sigs), ["sig"], total, ["node"])
-    use = (F.col("label") != F.col("one.label")) & possible(F.col("a"), F.col("bits"), F.col("one.a"), F.col("one.bits"))
-    return both.filter(use).select(F.least("node", "one.node").alias("u"), F.greatest("node", "one.node").alias("v"), (F.least("a", "one.a") >= LARGE).alias("large")).distinct()
-
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of different labels in the buckets of a partition that is sorted by bucket."""
-
-    def out(t: pa.Table) -> pa.RecordBatch:
-        bucket, node, label, a = (t.column(c).to_numpy() for c in ("bucket", "node", "label", "a"))
-        bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-        size = np.diff(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])))
-        size, us, vs = np.repeat(size, size), [], []
-        for over, most in ((1, 8), (8, 64), (64, len(bucket))):  # buckets of like size share their passes
-            of = np.flatnonzero((size > over) & (size <= most))
-            for shift in range(1, len(of)):
-                i, j = of[:-shift], of[shift:]
-                same = bucket[i] == bucket[j]
-                if not same.any():
-                    break
-                same &= label[i] != label[j]
-                i, j = i[same], j[same]
-                fits = 10 * np.minimum(a[i], a[j]) >= 9 * np.maximum(a[i], a[j])
-                i, j = i[fits], j[fits]
-                near = 19 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= a[i] + a[j]
-                us.append(i[near])
-                vs.append(j[near])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        pairs = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.minimum(a[i], a[j]) >= LARGE], 1)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(pairs[:, 2] > 0)], names=["u", "v", "large"])
+def forest(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Edges of each node with the smallest of its class, for the classes of the edges (u, v)."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while (label[i] != label[j]).any():
+        x, y = label[i], label[j]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    far = label != np.arange(len(names))
+    return pa.RecordBatch.from_arrays([pa.array(names[far], pa.int64()), pa.array(names[label[far]], pa.int64())], names=["u", "v"])
 
-    held: list[pa.RecordBatch] = []
-    waiting = 0
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join the nodes of each signature, of rows sorted by signature: of its first node with its others, made fewer in each batch."""
+    last, centre = None, 0
     for batch in batches:
-        held.append(batch)
-        waiting += batch.num_rows
-        if waiting >= 1 << 15:
-            t = pa.Table.from_batches(held)
-            bucket = t.column("bucket").to_numpy()
-            cut = int(np.searchsorted(bucket, bucket[-1]))
-            if cut:
-                yield out(t.slice(0, cut))
-            held, waiting = t.slice(cut).combine_chunks().to_batches(), len(t) - cut
-    if waiting:
-        yield out(pa.Table.from_batches(held))
+        if not batch.num_rows:
+            continue
+        sig, node = (batch.column(c).to_numpy() for c in ("sig", "node"))
+        new = np.concatenate([[sig[0] != last], sig[1:] != sig[:-1]])
+        run = np.cumsum(new)
+        of = np.concatenate([[centre], node[new]])[run]
+        last, centre = sig[-1], of[-1]
+        far = of != node
+        yield forest(of[far], node[far])
+
+
+def groups(nodes: DataFrame) -> DataFrame:
+    """Rows (node, group) of the nodes (node, sigs) that share signatures; a link never leaves a group."""
+    sigs = nodes.select("node", F.explode("sigs").alias("sig"))
+    edges = connect(sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(_stars, "u long, v long"))
+    grouped = edges.select(F.col("u").alias("node"), F.col("v").alias("group"))
+    return grouped.unionByName(grouped.select(F.col("group").alias("node"), "group").distinct())
+
+
+def shared_with(x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes of the sorted ``x`` each of the sets holds."""
+    every = np.concatenate(sets)
+    hit = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+    return np.add.reduceat(hit, np.cumsum([0, *(len(s) for s in sets[:-1])]), dtype=np.int64)
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set, whether an odd number of its hashes falls on each of about 8 bits for a hash of the largest."""
+    most = max(map(len, sets))
+    words = min(1 << max(3, (most // 8).bit_length()), max(8, 1 << ((1 << 22) // len(sets)).bit_length() - 1))
+    out = np.zeros((len(sets), words), np.uint64)
+    every = np.concatenate(sets)
+    at = np.repeat(np.arange(len(sets)) * words, [len(s) for s in sets]) + ((every >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
+    np.bitwise_xor.at(out.reshape(-1), at, np.uint64(1) << (every & np.uint64(63)))
+    return out
 
 
-def pairs_in(buckets: DataFrame) -> DataFrame:
-    """Possible pairs (u < v, large) of different labels in the same bucket (bucket, node, label, a, bits)."""
-    return buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_cross, "u long, v long, large boolean").distinct()
+def link(sets: list[np.ndarray], label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the sets' classes (``label``: those known; it is changed), one for each two classes that become one."""
+    n, out = len(sets), []
+    a = np.array([len(s) for s in sets])
+
+    def meet(i: int, j: int) -> None:
+        if label[i] != label[j]:
+            out.append((i, j))
+            label[label == label[j]] = label[i]
+
+    def links(i: int, js: np.ndarray) -> np.ndarray:
+        return js[190 * shared_with(sets[i], [sets[j] for j in js.tolist()]) >= 90 * (a[i] + a[js])]
+
+    if n <= 6:
+        for i, j in combinations(range(n), 2):
+            if label[i] != label[j] and 10 * min(a[i], a[j]) >= 9 * max(a[i], a[j]) and len(links(i, np.array([j]))):
+                meet(i, j)
+        return out
+    bits = parities(sets)
+
+    def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        """Labels, sizes and parities allow a link."""
+        use = np.flatnonzero((label[i] != label[j]) & (10 * np.minimum(a[i], a[j]) >= 9 * np.maximum(a[i], a[j])))
+        i, j = (i if isinstance(i, int) else i[use]), j[use]
+        return use[19 * np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= a[i] + a[j]]
+
+    shift = 1
+    while shift < n:
+        first = np.arange(n - shift)
+        for i in near(first, first + shift).tolist():
+            if label[i] != label[i + shift] and len(links(i, np.array([i + shift]))):
+                meet(i, i + shift)
+        shift *= 2
+    names, sizes = np.unique(label, return_counts=True)
+    core = int(np.flatnonzero(label == names[sizes.argmax()])[0])
+    every = np.arange(n)
+    for i in np.flatnonzero(label != label[core]).tolist():
+        if label[i] == label[core]:
+            continue
+        left = near(i, every)
+        left = left[np.argsort(np.bitwise_count(bits[i] ^ bits[left]).sum(1), kind="stable")]
+        while len(left) and label[i] != label[core]:
+            for j in links(i, left[:32]).tolist():
+                meet(j, i)
+            left = left[32:]
+            left = left[label[left] != label[i]]
+    return out
 
 
-def outsiders(sigs: DataFrame, total: int, chunk: int = CHUNK) -> DataFrame:
-    """Buckets of the open signatures (sig, node, a, bits, label): each part of the members outside the largest class with each part of all members.
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], list[np.ndarray]]]:
+    """Columns and sets of each bucket of rows with a column ``tokens``, sorted by ``bucket``."""
 
-    Where the largest class holds less than half of them, each two parts of all members.
+    def out(t: pa.Table) -> Iterator[tuple[dict[str, np.ndarray], list[np.ndarray]]]:
+        cols = {c: t.column(c).to_numpy() for c in t.column_names if c != "tokens"}
+        tokens = t.column("tokens").combine_chunks()
+        ends = tokens.offsets.to_numpy()
+        every = tokens.values.to_numpy().view(np.uint64)
+        bucket = cols["bucket"]
+        edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist()
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            yield {c: x[lo:hi] for c, x in cols.items()}, [every[ends[k] : ends[k + 1]] for k in range(lo, hi)]
+
+    held: list[pa.RecordBatch] = []
+    size, first = 0, None
+    for whole in batches:
+        for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            held.append(batch)
+            size += batch.num_rows + batch.column("tokens").flatten().nbytes // 2048
+            first = batch.column("bucket")[0].as_py() if first is None else first
+            last = batch.column("bucket")[-1].as_py()
+            if size >= 1 << 13 and first != last:
+                t = pa.Table.from_batches(held)
+                cut = int(np.searchsorted(t.column("bucket").to_numpy(), last))
+                yield from out(t.slice(0, cut))
+                held, size, first = t.slice(cut).to_batches(), len(t) - cut, last
+    if held:
+        yield from out(pa.Table.from_batches(held))
+
+
+TILES = "node long, label long, core boolean, split boolean, hub boolean"
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes inside each bucket of :func:`hub_buckets`: rows (node, label, core, split, hub) of the nodes that link.
+
+    A group in parts has a core, the class that holds the largest class of its first part, the hub (of equal ones, that with the smallest node). So all its
+    buckets know the same core, whose label is -1 - group; other labels are a class's smallest node.
     """
-    sized = sigs.groupBy("sig", "label").agg(F.count("*").alias("size"))
-    most = sized.groupBy("sig").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
-    rows = salted(sigs, most.select("sig", "n", F.col("most.label").alias("largest"), (F.col("n") - F.col("most.size")).alias("others")), ["sig"], total, ["node"])
-    outer, part = F.ceil(F.col("others") / chunk).cast("int"), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    inner = F.ceil(F.col("n") / (8 * chunk)).cast("int")
+    for cols, sets in _buckets(batches):
+        node, hub = cols["node"], cols["part"] == 0
+        label, core, split = np.arange(len(node)), np.zeros(len(node), bool), cols["parts"] > 1
+        first = np.flatnonzero(hub & split)
+        if len(first):
+            own = np.arange(len(first))
+            link([sets[k] for k in first.tolist()], own)
+            _, at, sizes = np.unique(own, return_index=True, return_counts=True)  # rows are in order of nodes
+            anchor = first[min(at[sizes == sizes.max()])]
+            label[first] = first[own]
+        link(sets, label)
+        _, of = np.unique(label, return_inverse=True)
+        least = np.full(of.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, of, node)
+        if len(first):
+            core = of == of[anchor]
+        of = np.where(core, -1 - cols["group"], least[of])
+        use = of != node
+        yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (node, of, core, split, hub)], names=["node", "label", "core", "split", "hub"])
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u > v) that join the classes in each bucket (bucket, node, label, tokens); the core's nodes stand under its label."""
+    for cols, sets in _buckets(batches):
+        name = np.where(cols["label"] < 0, cols["label"], cols["node"])
+        i, j = np.array(link(sets, cols["label"].copy()), np.int64).reshape(-1, 2).T
+        yield forest(name[i], name[j])
+
+
+def dealt(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Members (node, group, a, and others) with ``n`` and ``parts`` of their group, and ``part``."""
+    total = members.count()
+    share = max(chunk, total // int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sized = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("a").alias("shingles"))
+    parts = F.greatest(F.least(F.ceil(F.col("n") / share), F.lit(PARTS)), F.ceil(F.col("shingles") / TOKENS)).cast("int")
+    rows = salted(members, sized.select("group", "n", parts.alias("parts")), ["group"], total, ["node"])
+    return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def hub_buckets(sets: DataFrame) -> DataFrame:
+    """Buckets of each part of a group (group, parts, part) with its first part."""
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).when(F.col("part") == 0, F.sequence(F.lit(1), F.col("parts") - 1)).otherwise(F.array("part"))
+    return sets.withColumn("at", F.explode(others)).select(F.xxhash64("group", "at").alias("bucket"), "node", "group", "parts", "part", "tokens")
+
+
+def outsiders(rows: DataFrame) -> DataFrame:
+    """Buckets (bucket, node, label) of groups in several parts (group, node, label, n, parts, part), label below zero for a group's core: each part of the members outside it with each part of all.
+
+    Where the core holds less than half of them, each two parts of all members.
+    """
+    others = rows.groupBy("group").agg(F.sum((F.col("label") >= 0).cast("long")).alias("others"), F.count("*").alias("n")).filter("others > 0")
+    rows = salted(rows.drop("n"), others, ["group"], rows.count(), ["node"])
+    outer = F.ceil(F.col("others") * F.col("parts") / (2 * F.col("n"))).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(1)), outer).cast("int")
     each = lambda n: F.sequence(F.lit(0), n - 1)
-    as_other = F.when(F.col("label") != F.col("largest"), F.transform(each(inner), lambda i: F.struct(part(outer).alias("o"), i.alias("i")))).otherwise(F.array())
-    as_member = F.transform(each(outer), lambda o: F.struct(o.alias("o"), part(inner).alias("i")))
-    own, parts = part(F.ceil(F.col("n") / chunk).cast("int")), F.ceil(F.col("n") / chunk).cast("int")
-    two = F.transform(each(parts), lambda x: F.struct(F.least(own, x).alias("o"), F.greatest(own, x).alias("i")))
-    pairs = F.when(parts > 1, F.filter(two, lambda x: x["o"] != x["i"])).otherwise(two)
-    dealt = rows.withColumn("at", F.explode(F.when(2 * F.col("others") > F.col("n"), pairs).otherwise(F.array_distinct(F.concat(as_member, as_other)))))
-    return dealt.select(F.xxhash64("sig", "at.o", "at.i").alias("bucket"), "node", "label", "a", "bits")
-
-
-def _with(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs (u, v) with columns of both sets, those of u first; a set that stands in many pairs is salted."""
-    out, total = pairs.select("u", "v"), pairs.count()
-    for end, rest in (("u", "v"), ("v", "u")):
-        counts = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n"))
-        side = counts.join(sets, "node").select(F.col("node").alias(end), "n", F.struct(*columns).alias(f"of_{end}"))
-        out = salted(out, side, [end], total, [rest]).drop("n")
-    return out
-
-
-def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs (u, v, large) that link, as rows (u, v) with u > v."""
-    pairs = save(pairs, "pairs")
-    large = _with(pairs.filter("large"), rows.filter(F.size("fine") > 0).select(F.col("row").alias("node"), "a", "fine"), ["a", "fine"])
-    differ = F.aggregate(F.zip_with("of_u.fine", "of_v.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    large = large.filter(19 * differ <= F.col("of_u.a") + F.col("of_v.a")).select("u", "v")
-    near = save(pairs.filter("not large").select("u", "v").unionByName(large), "near-pairs")
-    wanted = near.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "key", "first"), "node")
-    sets = save(whole_sets(docs, save(wanted, "wanted"), text), "whole-sets")
-    both = _with(near, sets, ["a", "tokens"])
-    shared = F.size(F.array_intersect("of_u.tokens", "of_v.tokens"))
-    return both.filter(190 * shared >= 90 * (F.col("of_u.a") + F.col("of_v.a"))).select(F.col("v").alias("u"), F.col("u").alias("v"))
-
-
-def classes(docs: DataFrame, rows: DataFrame, nodes: DataFrame, prefixes: DataFrame, text: str = "text", chunk: int = CHUNK, rare: int = RARE, very: int = VERY) -> DataFrame:
-    """Rows (node, label) of the nodes (node, key, first) that link with another; ``label`` is a node, the same for a class."""
-    sigs = save(signatures(prefixes, rare, very), "signatures")
-    counts = sigs.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = save(salted(sigs, counts, ["sig"], sigs.count(), ["node"]).withColumn("label", F.col("node")), "shared-signatures")
-    hot = shared.filter(F.col("n") > rare).drop("n")
-    n_hot = hot.count()
-    few = pairs_in(shared.filter(F.col("n") <= rare).select(F.col("sig").alias("bucket"), "node", "label", "a", "bits"))
-    edges = save(linked(few.unionByName(star_pairs(hot, n_hot)).distinct(), rows, nodes, docs, text), "set-links")
-    labels = connect(edges).select(F.col("u").alias("node"), F.col("v").alias("label"))
-    left = save(outsiders(save(hot.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled"), n_hot, chunk), "outsiders")
-    if left.isEmpty():
-        return labels
-    edges = edges.unionByName(linked(pairs_in(left), rows, nodes, docs, text))
-    return connect(edges).select(F.col("u").alias("node"), F.col("v").alias("label"))
-
-
-def join(docs: DataFrame, text: str = "text", chunk: int = CHUNK, rare: int = RARE, very: int = VERY) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and n_same (documents with the same set)."""
+    as_other = F.when(F.col("label") >= 0, F.transform(each(F.col("parts")), lambda i: F.struct(own.alias("o"), i.alias("i")))).otherwise(F.array())
+    as_member = F.transform(each(outer), lambda o: F.struct(o.alias("o"), F.col("part").alias("i")))
+    two = F.filter(F.transform(each(F.col("parts")), lambda x: F.struct(F.least("part", x).alias("o"), F.greatest("part", x).alias("i"))), lambda x: x["o"] != x["i"])
+    at = F.explode(F.when(2 * F.col("others") > F.col("n"), two).otherwise(F.array_distinct(F.concat(as_member, as_other))))
+    return rows.withColumn("at", at).select(F.xxhash64("group", "at.o", "at.i").alias("bucket"), "node", "label")
+
+
+def classes(docs: DataFrame, nodes: DataFrame, text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """Rows (node, label) of the nodes (node, key, first, a, sigs) that link with another; ``label`` is the same for a class: a node, or below zero."""
+    grouped = save(groups(nodes).join(nodes.select("node", "key", "first", "a"), "node"), "groups")
+    wanted = save(dealt(grouped, chunk), "wanted")
+    sets = save(whole_sets(docs, wanted, text), "whole-sets")
+    tiles = save(hub_buckets(sets).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_tiles, TILES), "tiles")
+    done = tiles.filter("not split").select("node", "label")
+    rows = wanted.filter("parts > 1").select("group", "node", "n", "parts", "part")
+    if rows.isEmpty():
+        return done
+    core = tiles.filter("core").select("node", "label")
+    left = save(outsiders(save(rows.join(core.distinct(), "node", "left").withColumn("label", F.coalesce("label", "node")), "split-groups")), "outsiders")
+    few = F.broadcast(left) if left.count() <= FEW else left
+    more = sets.select("node", "tokens").join(few, "node").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_links, "u long, v long")
+    inside = tiles.filter("split and (hub or not core)").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    labels = connect(inside.unionByName(more)).select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return done.unionByName(tiles.filter("core and not hub").select("node", "label")).unionByName(labels)
+
+
+def join(docs: DataFrame, text: str = "text", chunk: int = CHUNK, rare: int | None = None, very: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, and n_same (documents with the same set). ``rare`` and ``very`` are of an older form, and play no part."""
     rows = save(set_rows(docs, text).withColumn("row", F.monotonically_increasing_id()), "sets")
     some = rows.filter("key is not null")
-    nodes = save(some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("row").alias("node")), "nodes")
-    prefixes = some.filter(F.size("prefix") > 0).select(F.col("row").alias("node"), "a", "a0", "bits", "prefix").join(nodes.select("node"), "node", "left_semi")
-    labels = classes(docs, rows, nodes, prefixes, text, chunk, rare, very)
-    placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    nodes = save(some.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("row").alias("node"), F.first("a").alias("a"), F.first("sigs").alias("sigs")), "nodes")
+    labels = classes(docs, nodes, text, chunk)
+    placed = nodes.select("key", "first", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = placed.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     total = rows.count()
     sized = salted(placed.withColumnRenamed("n", "n_same"), least, ["label"], total, ["node"]).select("key", F.col("n_same").alias("n"), "component_id")

@@ -99,3 +99,41 @@ def test_linked_sets_share_a_signature():
             counts = np.array([n(x) for x in first.tolist()])
             found.append(set(setjoin.signatures_of(len(z), low, np.arange(len(first)), first, counts).tolist()))
         assert found[0] & found[1], (trial, a)
+
+
+@pytest.mark.parametrize("half", [0, 300])
+def test_near_copies_of_which_few_link(spark, monkeypatch, half):
+    """Large groups of near copies: right classes, and tables on the way that grow with the documents, not with their pairs."""
+    rng = random.Random(half)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for k in range(600):
+        t = list(base)
+        for _ in range(1 if k < half else 2):  # two sets of one word changed each link, others hardly ever
+            t[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+        docs.append((k, " ".join(t)))
+    saved = {}
+
+    def save(df, name, put=setjoin.save):
+        out = put(df, name)
+        saved[name] = max(saved.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(setjoin, "save", save)
+    got = setjoin.op12(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain(docs)
+    assert max(saved.values()) <= 8 * len(docs), saved
+
+
+def test_common_passages_share_no_signature():
+    """Sets of which a third is the same have no signature in common, so frequent shingles make no candidates."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**64, 100, np.uint64)
+    seen = set()
+    for _ in range(200):
+        h = np.unique(np.concatenate([common, rng.integers(0, 2**64, 200, np.uint64)]))
+        at = np.arange(setjoin.prefix_size(len(h), int(np.searchsorted(h, np.uint64(setjoin.REGION)))))
+        first = h[at]
+        own = set(setjoin.signatures_of(len(h), int(np.searchsorted(h, np.uint64(setjoin.REGION))), at, first, np.where(np.isin(first, common), 200, 1)).tolist())
+        assert len(own & seen) <= 2
+        seen |= own
